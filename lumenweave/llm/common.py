@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+EMPTY_WORDS: list[bytes] = []
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 _own_tmp: list[str] = []

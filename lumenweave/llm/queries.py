@@ -7,7 +7,14 @@ import importlib
 #: query -> module that defines it
 _WHERE = {
     "op1_token_counts": "token_counts",
+    "op2_decontamination": "decontaminate",
     "op3_jaccard_join": "jaccard_join",
+    "op4_quality_classifier": "quality_classifier",
+    "op5_warc": "warc",
+    "op6_best_fit_packing": "packing",
+    "op7_sharding": "sharding",
+    "op8_quality_rules": "quality_rules",
+    "op9_language_id": "language_id",
     "op10_secret_scan": "secret_scan",
 }
 
