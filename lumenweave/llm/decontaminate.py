@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import HashCache, mix64, read_table, ship_package, window_hashes
+from .common import HashCache, annotate, mix64, read_table, ship_package, window_hashes
 
 EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())  # trimmed from a word's ends
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -226,5 +227,23 @@ def benchmark_leaks(
     return out if out is not None else spark.createDataFrame([], LEAKS)
 
 
+def drop_leaks(
+    docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows that hold ``share`` or more of a benchmark item; null and empty texts stay."""
+    spark, names = docs.sparkSession, list(docs.columns)
+    ship_package(spark)
+    for items in _blocks(benchmark, item_col, item_text_col):
+        shared = spark.sparkContext.broadcast(SeedIndex(items, least))
+
+        def make(shared=shared):
+            keys, index = WordKeys(), shared.value
+            return lambda texts: [[bool(index.leaks(keys.of(t), share)) for t in texts]]
+
+        flagged = annotate(docs, text_col, make, T.StructType([T.StructField("__lw_leak", T.BooleanType())]))
+        docs = flagged.filter("NOT __lw_leak").select(*[F.col(f"`{c}`") for c in names])
+    return docs
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -63,6 +63,7 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray, scripts: np.ndarray, switch: float = 20.0):
         self.langs, self.switch = langs, switch
+        counts = counts if len(langs) else np.zeros((1, counts.shape[1]))  # no language: nothing is predicted
         p = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1])
         logs = np.log(p)
         self.logs = np.ascontiguousarray((logs - logs.mean(axis=0)).T.astype(np.float32))  # table entry x language

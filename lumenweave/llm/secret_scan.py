@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import annotate, read_table
@@ -397,16 +398,20 @@ def secret_spans(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + MOR
     return annotate(docs, text_col, make, T.StructType([T.StructField(out_col, T.ArrayType(SPAN))]))
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", rules=BASE_RULES + MORE_RULES) -> DataFrame:
-    """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. Null stays null."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", length_col: str = "n_chars", rules=BASE_RULES + MORE_RULES) -> DataFrame:
+    """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. Null stays null.
+
+    Where there is a column ``length_col``, it gets the new length in characters of texts that changed.
+    """
     rules, fields = tuple(rules), list(docs.columns)
 
     def make():
         scanner = _scanner(rules)
 
         def run(texts):
-            out = []
+            out, changed = [], []
             for t, spans in zip(texts, scanner.scan(texts)):
+                changed.append(bool(spans))
                 if spans:
                     s, parts, at = t.decode("utf-8", "replace"), [], 0
                     merged: list[list[int]] = []
@@ -420,14 +425,16 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
                         at = b
                     t = "".join([*parts, s[at:]]).encode()
                 out.append(None if t is None else t.decode("utf-8", "replace"))
-            return [out]
+            return out, changed
 
         return run
 
-    from pyspark.sql import functions as F
-
-    done = annotate(docs, text_col, make, T.StructType([T.StructField("__lw_text", T.StringType())]))
-    return done.select(*[F.col("__lw_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in fields])
+    done = annotate(docs, text_col, make, T.StructType([T.StructField("__lw_text", T.StringType()), T.StructField("__lw_changed", T.BooleanType())]))
+    new = {text_col: F.col("__lw_text")}
+    if length_col in fields:
+        kind = docs.schema[length_col].dataType
+        new[length_col] = F.when(F.col("__lw_changed"), F.length("__lw_text").cast(kind)).otherwise(F.col(length_col))
+    return done.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in fields])
 
 
 DIGEST = T.StructType(

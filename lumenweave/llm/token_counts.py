@@ -38,7 +38,10 @@ def load_pieces(path: str, closing: str = "</w>") -> list[tuple[int, ...]]:
 
 
 class MatchAutomaton:
-    """Greedy longest-match piece counts in time linear in the word."""
+    """Greedy longest-match piece counts in time linear in the word.
+
+    Where the last piece has no closing form the closing mark stands alone, and counts nothing.
+    """
 
     def __init__(self, pieces, cache_limit: int = 400_000):
         goto: list[dict[int, int]] = [{}]
@@ -56,13 +59,19 @@ class MatchAutomaton:
                 at = nxt
             if at:
                 whole[at] = True
+        alone = goto[0].get(END)
+        if alone is None:
+            alone = goto[0][END] = len(goto)
+            goto.append({})
+            whole.append(True)
+            parents.append((0, END))
         fail, popped = [NONE] * len(goto), [0] * len(goto)
         level = list(goto[0].values())
         while level:
             for v in level:
                 parent, s = parents[v]
                 if whole[v]:
-                    fail[v], popped[v] = 0, 1
+                    fail[v], popped[v] = 0, int(v != alone)
                     continue
                 z, pops = fail[parent], popped[parent]
                 while z != NONE and s not in goto[z]:

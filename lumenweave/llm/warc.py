@@ -206,14 +206,8 @@ def read_warc(files: DataFrame, with_data: bool = True) -> DataFrame:
                 so_far = lambda digest=digest: base64.b32encode(digest.copy().digest()).decode()
                 if not left:
                     yield (*base, 0, 0, True, so_far(), *said, b"" if with_data else None)
-                held, pending = [], 0
-                for part in s.take(left):
-                    held.append(part)
-                    pending += len(part)
-                    if pending < CHUNK and seen + pending < left:
-                        continue
-                    data = b"".join(held)
-                    held, pending = [], 0
+                while seen < left:
+                    data = b"".join(s.take(min(CHUNK, left - seen)))
                     digest.update(data)
                     seen += len(data)
                     yield (*base, k, seen, seen == left, so_far(), *said, data if with_data else None)
