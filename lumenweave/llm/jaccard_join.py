@@ -4,23 +4,26 @@ A document is its set of distinct word n-grams (tokens). Two sets that reach the
 least k tokens among the first ``n - ceil(t n) + k`` of any common order. The order used here is by
 class, then hash: tokens of one document, tokens of few (rare), tokens of many (frequent). So
 
-* a pair that shares a rare token of its extended (k = 2) prefixes is found by indexing single tokens,
-* any other pair shares two frequent ones and is found by indexing their 2-combinations,
+* a pair that shares a rare token of its extended prefixes is found by indexing single tokens,
+* any other pair shares k frequent ones. Tokens have one of COLOURS colours, by hash; with k above that,
+  two of the shared ones have one colour, so indexing the 2-combinations of one colour finds the pair,
 
 and every candidate is verified on the full sets. Classes come from the document frequency of every
 token, counted over all documents, and are kept as filters of bounded size: a filter's false positive
 moves a token to a later class for everybody, which changes the order but loses no pair.
 
 Groups of similar texts are never expanded. Each posting list first verifies its members against one
-pivot; only lists whose members still lie in different components are joined among themselves, and
-only across components. Equal sets are one node throughout.
+pivot; only lists whose members still lie in different components are compared among themselves, in
+blocks and only across components, on parity bitmaps: the bits in which two of them differ are at most
+the tokens in which the sets differ, so what they rule out is ruled out for certain, and only the pairs
+that remain become rows to verify. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +31,9 @@ from .common import HashCache, Scratch, mix64, read_table, ship_package, window_
 from .components import components
 
 LOW = np.uint64((1 << 40) - 1)
-FLUSH = 1_500_000  # tokens that a task gathers before it sends them on
+FLUSH = 1_000_000  # tokens that a task gathers before it sends them on
+COLOURS = 16
+BLOCK = 1024  # members of a posting list that one comparison holds twice, at most
 FILTER_BYTES = 48 << 20  # of both filters together: what is broadcast, at most
 
 
@@ -106,7 +111,7 @@ def token_filters(docs: DataFrame, text_col: str, width: int, rare: int) -> Filt
     most ``rare + 1`` times a flush, so a passage of a third of all documents doesn't flood its bucket.
     """
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = int(max(8, -(-size // 24_000_000)))
+    n = int(max(8, -(-size // 12_000_000)))
     most = 1 << max(3, (FILTER_BYTES // 2 // n).bit_length() - 1)
 
     def send(batches):
@@ -157,7 +162,82 @@ def token_filters(docs: DataFrame, text_col: str, width: int, rare: int) -> Filt
     return Filters(n, rows)
 
 
-PREFIX = "id long, n_shingles long, s1 long, s2 long, rare array<long>, frequent array<long>, tokens binary"
+def parity_bits(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least 4 bits a token (512 to 32768 bits), each the parity of the tokens that hash to it.
+
+    Two sets differ in as many tokens as their bitmaps differ in bits, or more. A longer bitmap folds to
+    half its length by exclusive or.
+    """
+    size = 512
+    while size < 4 * len(tokens) and size < 32768:
+        size *= 2
+    at = (tokens >> np.uint64(40)).astype(np.int64) & (size - 1)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def close_pairs(ids, comps, sizes, chunks, bitmaps, percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of different components (and, where the block has two chunks, of different ones) that bitmaps don't rule out."""
+    order = np.argsort(sizes, kind="stable")
+    ids, comps, sizes, chunks = (np.asarray(x)[order] for x in (ids, comps, sizes, chunks))
+    bitmaps = [np.frombuffer(bitmaps[k], dtype=np.uint64) for k in order]
+    two = len(np.unique(chunks)) > 1
+    ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
+    words = np.array([len(x) for x in bitmaps])  # grows with the size, by factors of two
+    a, b = [], []
+    for length in np.unique(words).tolist():
+        first = int(np.searchsorted(words, length))
+        last = int(np.searchsorted(words, length, side="right"))
+        until = int(ends[first:last].max())
+        rows = np.empty((until - first, length), dtype=np.uint64)
+        for k in range(first, until):
+            x = bitmaps[k]
+            while len(x) > length:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            rows[k - first] = x
+        for k in range(first, last):
+            other = slice(k + 1, int(ends[k]))
+            may = comps[other] != comps[k]
+            if two:
+                may &= chunks[other] != chunks[k]
+            if not may.any():
+                continue
+            apart = np.bitwise_count(rows[k + 1 - first : int(ends[k]) - first] ^ rows[k - first]).sum(axis=1)
+            total = sizes[other] + sizes[k]
+            need = -(-percent * total // (100 + percent))
+            for j in (np.flatnonzero(may & (apart <= total - 2 * need)) + k + 1).tolist():
+                x, y = int(ids[k]), int(ids[j])
+                a.append(max(x, y))
+                b.append(min(x, y))
+    return a, b
+
+
+def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """Close pairs (a, b) of posting lists: rows (k1, k2, i, j, chunk, id, component, n, bits), a block (k1, k2, i, j) at a time."""
+
+    def run(batches):
+        held, at = [], None
+
+        def done():
+            x = list(zip(*held))
+            a, b = close_pairs(x[6], x[7], x[8], x[5], x[9], percent)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:4] != at:
+                    if len(held) > 1:
+                        yield done()
+                    held, at = [], row[:4]
+                held.append((*row[:4], None, *row[4:]))
+        if len(held) > 1:
+            yield done()
+
+    key = ["k1", "k2", "i", "j"]
+    dealt = lists.select(*key, "chunk", "id", "component", "n", "bits").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+PREFIX = "id long, n_shingles long, s1 long, s2 long, rare array<long>, frequent array<long>, tokens binary, bits binary"
 
 
 def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, filters: Filters) -> DataFrame:
@@ -169,14 +249,15 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
-                cols = [[] for _ in range(6)]
+                cols = [[] for _ in range(7)]
                 for t in part.column(1).cast(pa.binary()):
                     s = shingle_set(t.as_py(), words_of, width)
                     n = len(s)
                     rare = frequent = s[:0]
                     if n:
                         cls = f.classes(s)
-                        m = min(n, n - -(-percent * n // 100) + 2)
+                        least = -(-percent * n // 100)
+                        m = min(n, n - least + min(COLOURS + 1, least))
                         if np.count_nonzero(cls == 0) < m:
                             first = np.argsort(cls, kind="stable")[:m]
                             c = cls[first]
@@ -186,13 +267,13 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                     indexed = len(rare) + len(frequent) > 0
                     for c, x in zip(
                         cols,
-                        (n, *(v - (1 << 64) if v >> 63 else v for v in sums), rare.view(np.int64), frequent.view(np.int64), s.tobytes() if indexed else None),
+                        (n, *(v - (1 << 64) if v >> 63 else v for v in sums), rare.view(np.int64), frequent.view(np.int64), s.tobytes() if indexed else None, parity_bits(s) if indexed else None),
                     ):
                         c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                    names=["id", "n_shingles", "s1", "s2", "rare", "frequent", "tokens"],
+                    names=["id", "n_shingles", "s1", "s2", "rare", "frequent", "tokens", "bits"],
                 )
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, PREFIX)
@@ -250,7 +331,7 @@ def jaccard_components(
     groups = scratch.table(real.groupBy(*key).agg(F.min("id").alias("rep")), "groups")
     # of each group of equal sets one row goes on, and only where it has tokens that others may share
     sets = scratch.table(
-        real.filter("tokens IS NOT NULL").join(groups, key).filter("id = rep").select("id", "n_shingles", "rare", "frequent", "tokens"),
+        real.filter("tokens IS NOT NULL").join(groups, key).filter("id = rep").select("id", "n_shingles", "rare", "frequent", "tokens", "bits"),
         "sets",
     )
     # an id with several texts joins their groups
@@ -269,6 +350,8 @@ def jaccard_components(
         sets.select("id", "n_shingles", F.explode("frequent"), F.lit(True))
     )
     placed = posts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # a set that must share no more than COLOURS tokens has all its combinations indexed
+    placed = placed.withColumn("small", F.ceil(F.col("n_shingles") * percent / 100) <= COLOURS)
     mixed = (
         placed.groupBy("token", "often")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
@@ -278,24 +361,34 @@ def jaccard_components(
     open_posts = scratch.table(placed.join(mixed, "token"), "open")
     single = open_posts.filter("NOT often").select("id", "component", F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"))
     often = open_posts.filter("often")
-    by_doc = often.filter(F.col("n_shingles") <= combination_size).groupBy("id", "component").agg(F.array_sort(F.collect_set("token")).alias("f"))
-    twos = by_doc.select("id", "component", "f", F.posexplode("f").alias("p", "k1")).select(
-        "id", "component", "k1", F.explode(F.slice("f", F.col("p") + 2, F.size("f"))).alias("k2")
-    )
+    by_doc = often.filter(F.col("n_shingles") <= combination_size).groupBy("id", "component", "small").agg(F.array_sort(F.collect_set("token")).alias("f"))
+    colour = lambda t: F.pmod(F.shiftright(t, 7), F.lit(COLOURS))
+    partner = F.filter(F.slice("f", F.col("p") + 2, F.size("f")), lambda t: (colour(t) == colour(F.col("k1"))) | F.col("small"))
+    twos = by_doc.select("id", "component", "small", "f", F.posexplode("f").alias("p", "k1")).select("id", "component", "k1", F.explode(partner).alias("k2"))
     large = often.filter(F.col("n_shingles") * 100 >= percent * combination_size).select(
         "id", "component", F.col("token").alias("k1"), F.lit(1).cast("long").alias("k2")
     )
     keys = single.union(twos).union(large)
-    lists = keys.groupBy("k1", "k2").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("k1", "k2")
-    keys = keys.join(lists, ["k1", "k2"])
-    other = keys.select("k1", "k2", F.col("id").alias("b"), F.col("component").alias("cb"))
-    across = (
-        keys.join(other, ["k1", "k2"])
-        .filter("id > b AND component <> cb")
-        .select(F.col("id").alias("a"), "b")
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    # of lists with the same members one is enough
+    lists = (
+        keys.groupBy("k1", "k2")
+        .agg(
+            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"),
+        )
+        .filter("lo <> hi")
+        .groupBy("lo", "hi", "n", "x1", "x2")
+        .agg(F.min(F.struct("k1", "k2")).alias("k"))
+        .select("k.k1", "k.k2", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+    )
+    blocks = (
+        keys.join(lists, ["k1", "k2"])
+        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("k1", "k2", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "component")
+        .join(sets.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
     )
+    across = block_pairs(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti")
     more = scratch.table(verified(across, sets, percent), "links-1")
     if not more.isEmpty():
         joined = components(links.union(more), scratch, "second")
@@ -312,3 +405,20 @@ def jaccard_components(
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return jaccard_components(docs, width=4, percent=85)
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of near duplicates: the one of the smallest id.
+
+    Rows without words or id link with nothing and stay. Of several rows with one id the one of the smallest text stays.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.table(jaccard_components(docs, id_col, text_col, width, percent).filter(f"{id_col} IS NOT NULL"), "components")
+    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    kept = docs.join(gone, id_col, "left_anti")
+    several = scratch.table(found.groupBy(id_col).count().filter("count > 1").select(id_col), "several")
+    if not several.isEmpty():
+        first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
+        one = kept.join(several, id_col, "left_semi").withColumn("__first", first).filter("__first = 1").drop("__first")
+        kept = kept.join(several, id_col, "left_anti").unionByName(one)
+    return kept.select(*docs.columns)
