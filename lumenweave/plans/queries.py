@@ -1,6 +1,8 @@
-"""Query and SQL pairs of the raster and catalog operators."""
+"""All query and SQL pairs of the raster and catalog operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lumenweave.plans import q_catalog, q_combine, q_files, q_graph, q_scalars, q_series, q_stats  # noqa: F401
+from lumenweave.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
