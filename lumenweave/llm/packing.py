@@ -241,48 +241,86 @@ class Places:
 # --- tokens ---------------------------------------------------------------------------------------
 
 
+PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~>"  # without ' (it opens tokens) and < (it opens special tokens)
+LETTERS_PATTERN = "[\\p{L}]+"
+
+
+def _byte_stand_ins() -> dict[int, str]:
+    from .token_counts import byte_letters
+
+    return {b: c for c, b in byte_letters().items()}
+
+
 class WordIds(dict):
-    """word bytes -> its ids as little-endian unsigned 32-bit numbers; unknown words are encoded together.
+    """word bytes (A-Z lowered) -> its ids as little-endian unsigned 32-bit numbers, remembered up to ``limit`` words.
 
-    White space in ASCII always separates tokens here, so a text's ids are its words' ids in order. Many
-    unknown words go to the tokenizer as one string with a special token between them, which also ends
-    every token; where a word holds that mark itself, words are encoded one by one.
+    White space in ASCII always separates tokens here, so a text's ids are its words' ids in order. A
+    run of small Latin letters, and of ASCII punctuation behind it, is a token of its own to a tokenizer
+    that splits by letters and marks byte-level word ends: such words go straight to its merge model.
+    All others are encoded whole.
     """
 
     def __init__(self, path: str, limit: int = 500_000):
+        import json
+
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.mark = next(((k, t.content) for k, t in sorted(added.items(), reverse=True)), None)
-
-    def learn(self, words: list[bytes]) -> None:
-        said = [w.decode("utf-8", "replace") for w in words]
-        if self.mark and not any("<" in w and self.mark[1] in w for w in said):
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark[1].join(said)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            if len(ends) == len(words) - 1:
-                raw, starts = ids.tobytes(), [0, *(ends + 1).tolist()]
-                for w, a, b in zip(words, starts, [*ends.tolist(), len(ids)]):
-                    self[w] = raw[4 * a : 4 * b]
-                return
-        for w, e in zip(words, self.tokenizer.encode_batch(said, add_special_tokens=False)):
-            self[w] = np.array(e.ids, dtype="<u4").tobytes()
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        normal = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        self.simple = (
+            [s["type"] for s in steps] == ["Split", "ByteLevel"]
+            and LETTERS_PATTERN in steps[0]["pattern"].get("Regex", "").split("|")
+            and not steps[1]["add_prefix_space"]
+            and normal == ["NFC", "Replace", "Lowercase"]
+            and spec["post_processor"] is None
+        )
+        self.model, self.stand_ins, self.marks = self.tokenizer.model, _byte_stand_ins(), {b"": b""}
+
+    def _merge(self, piece: bytes) -> bytes:
+        text = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.stand_ins)
+        return np.array([t.id for t in self.model.tokenize(text)], dtype="<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        core = word.rstrip(PUNCTUATION)
+        tail = word[len(core) :]
+        if self.simple and (not core or core.isalpha() or _small_latin(core)):
+            if tail not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks = {b"": b""}
+                self.marks[tail] = self._merge(tail)
+            ids = (self._merge(core) if core else b"") + self.marks[tail]
+        else:
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, text: bytes) -> bytes:
         # the tokenizer lowers case itself, but knows its special tokens by exact case
-        words = (text if b"<|" in text else text.lower()).split()
-        new = {w for w in words if w not in self}
-        if new:
-            if len(self) + len(new) > self.limit:
-                self.clear()
-                new = set(words)
-            new = list(new)
-            for k in range(0, len(new), 4096):
-                self.learn(new[k : k + 4096])
+        words = (text if b"<" in text else text.lower()).split()
         return b"".join(map(self.__getitem__, words))
 
 
+def _small_latin(word: bytes) -> bool:
+    """Letters below U+0250 only, small ones: their own normal form and lower case."""
+    s = word.decode("utf-8", "replace")
+    return s.isalpha() and max(s) < "\u0250" and s.lower() == s
+
+
+_words: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One memory of words a Python worker, which later tasks of that worker use on."""
+    if path not in _words:
+        _words[path] = WordIds(path)
+    return _words[path]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long"
 
 
@@ -295,7 +333,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, ca
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, part = WordIds(tokenizer), TaskContext.get().partitionId()
+        words, part = word_ids(tokenizer), TaskContext.get().partitionId()
         close = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for b in batches:
