@@ -235,6 +235,7 @@ def cosmic_mask(df: DataFrame, snr: float = 4.0, scale: float = 1.2) -> DataFram
     grow = [lambda n: (F.col("excess") > 0.5 * snr * F.col("noise")) & (n >= 1)]
     grow += 2 * [lambda n: (F.col("excess") > 0.5 * F.col("noise")) & ((n >= 2) | ((n >= 1) & (F.col("excess") > F.col("noise"))))]
     for rule in grow:
+        rows = rows.cache()  # each round reads it twice
         around = [F.array(*[F.lit(i) for i in (-1, 0, 1)])] * 2
         hits = rows.filter("flag").withColumn("i", F.explode(around[0])).withColumn("j", F.explode(around[1])).filter("i <> 0 OR j <> 0")
         n = hits.groupBy("frame", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y")).agg(F.count("*").alias("near"))
