@@ -65,7 +65,7 @@ class Mapper:
 
 
 def map_pixels(df: DataFrame, mappers: dict[int, Mapper], reference: Mapper, x: str = "x", y: str = "y") -> DataFrame:
-    """``df`` with cx and cy, its pixels' places in the reference grid. Mappers are a row a frame, and are broadcast."""
+    """``df`` with cx and cy, its pixels' places in the reference grid, null for a frame without a mapper. Mappers are a row a frame, and are broadcast."""
     shared = df.sparkSession.sparkContext.broadcast((mappers, reference))
 
     def run(batches):

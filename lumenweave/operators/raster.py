@@ -309,3 +309,45 @@ def feathered(sources: DataFrame) -> DataFrame:
     return hit.groupBy("frame", F.col("px").alias("x"), F.col("py").alias("y")).agg(
         F.max("mask").alias("mask"), F.max_by("id", F.struct("mask", -F.col("id"))).alias("label"), F.bit_or("bits").alias("bits")
     )
+
+
+def shared_star_mask(df: DataFrame, levels: DataFrame, width: int, height: int, least: int = 2) -> DataFrame:
+    """Pixels (x, y) that are stars in several channels: seeds above bg + 2 sigma in at least ``least`` frames, grown in each
+    channel above bg + 1 sigma along touching pixels, and dilated by one."""
+    rows = df.join(F.broadcast(levels), "frame").filter(finite(F.col("v")))
+    seed = rows.filter(F.col("v") > F.col("bg") + 2 * F.col("sigma")).groupBy("x", "y").agg(F.countDistinct("frame").alias("n")).filter(F.col("n") >= least)
+    bright = rows.filter(F.col("v") > F.col("bg") + F.col("sigma")).select("frame", "x", "y")
+    blobs = label_components(bright)
+    hit = blobs.join(seed.select("x", "y"), ["x", "y"]).select("frame", "label").distinct()
+    grown = blobs.join(hit, ["frame", "label"], "left_semi").select(F.lit(0).cast("long").alias("frame"), "x", "y").distinct()
+    return dilate(grown, 1, width, height).select("x", "y")
+
+
+def clean_channels(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256) -> DataFrame:
+    """Cosmic-ray cleaning of aligned channels: what they share as stars is left alone, whatever a single channel looks like."""
+    stars = shared_star_mask(df, levels, width, height).withColumn("star", F.lit(True))
+    got = clean(df, levels, size).join(df.select("frame", "x", "y", "v"), ["frame", "x", "y"]).join(stars, ["x", "y"], "left")
+    spared = F.coalesce("star", F.lit(False))
+    return got.select("frame", "x", "y", F.when(spared, F.col("v")).otherwise(F.col("clean")).alias("clean"), (F.col("hit") & ~spared).alias("hit"))
+
+
+def footprints(frames: DataFrame, maps: dict) -> DataFrame:
+    """The four mapped corners of each frame (frame, width, height), in order around it."""
+    corner = lambda m, x, y: F.struct(*[c.alias(n) for c, n in zip(m.apply(x, y), ("x", "y"))])
+    out = None
+    for frame, m in maps.items():
+        w, h = F.col("width") - 1.0, F.col("height") - 1.0
+        z = F.lit(0.0)
+        poly = F.array(corner(m, z, z), corner(m, w, z), corner(m, w, h), corner(m, z, h))
+        out = F.when(F.col("frame") == frame, poly) if out is None else out.when(F.col("frame") == frame, poly)
+    return frames.withColumn("polygon", out)
+
+
+def project_mask_back(pixels: DataFrame, mask: DataFrame, maps: dict, radius: float = 0.5) -> DataFrame:
+    """Detector pixels (frame, x, y) whose place in the output lies within ``radius`` of a mask pixel (x, y)."""
+    from lumenweave.operators.combine import place
+    from lumenweave.operators.joins import radius_join
+
+    at = place(pixels.select("frame", "x", "y"), maps).select("frame", F.col("x").alias("px"), F.col("y").alias("py"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    near = radius_join(at, mask.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), max(radius, 1e-6))
+    return near.select("frame", F.col("px").alias("x"), F.col("py").alias("y")).distinct()
