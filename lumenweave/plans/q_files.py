@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.functions import scalars as s
 from lumenweave.operators import joins
+from lumenweave.operators.index import global_index
 from lumenweave.plans.registry import query, r
 from lumenweave.plans.views import files, table, with_views
 
@@ -142,10 +143,10 @@ def j15(spark, sf):
     return joins.propagate(f, "path", "chip", "aligned", "shift").select("path", "chip", r("final"), "inherited")
 
 
-@query("j17_row_binding", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), f AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS j FROM o WHERE i % 3 <> 1) SELECT o_orderkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j FROM f")
+@query("j17_row_binding", "WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders), f AS (SELECT *, row_number() OVER (ORDER BY i) - 1 AS j FROM o WHERE i % 3 <> 1) SELECT o_orderkey, i, j FROM f")
 def j17(spark, sf):
-    o = table(spark, sf, "orders").select("o_orderkey").withColumn("i", F.row_number().over(Window.orderBy("o_orderkey")) - 1)
-    return o.filter("i % 3 <> 1").withColumn("j", F.row_number().over(Window.orderBy("i")) - 1)
+    o = global_index(table(spark, sf, "orders").select("o_orderkey"), ["o_orderkey"], "i")
+    return global_index(o.filter("i % 3 <> 1"), ["i"], "j")
 
 
 @query("u04_intersecting_sets", "WITH c AS (SELECT o_custkey AS k, list(DISTINCT o_orderpriority) AS p FROM orders GROUP BY 1) SELECT k, list_has_any(p, ['1-URGENT', '2-HIGH']) AS overlap FROM c")
