@@ -582,3 +582,23 @@ def test_stages_on_edges(spark, edge):
         for _, stage in c.STAGES:
             out = stage(spark, frame, SF)
             out.count()
+
+
+def test_rows_without_ids_by_a_filter(spark):
+    from lumenweave.llm.jaccard_join import without
+
+    docs = spark.range(3000).select(F.when(F.col("id") % 500 != 0, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    gone = spark.range(3000).filter("id % 7 = 0").select(F.col("id").alias("doc_id"))
+    want = [k if k % 500 else None for k in range(3000) if k % 500 == 0 or k % 7]
+    assert Counter(r.doc_id for r in without(docs, gone, "doc_id").collect()) == Counter(want)
+    assert without(docs, gone.limit(0), "doc_id").count() == 3000
+
+
+def test_ranks_are_gapless(spark):
+    from lumenweave.llm.ranks import ranked
+
+    df = spark.range(500).select(F.col("id"), (F.col("id") % 3).alias("k"))
+    got = ranked(df, ["k"], ["id"], F.xxhash64("id"), 7, "rank").collect()
+    for k in range(3):
+        assert sorted(r["rank"] for r in got if r.k == k) == list(range(len([r for r in got if r.k == k])))
+    assert sorted(r["rank"] for r in ranked(df, [], ["id"], F.xxhash64("id"), 7, "rank").collect()) == list(range(500))
