@@ -226,3 +226,12 @@ def test_queue_goes_on_after_a_failure(spark):
         return f"done {job.job_id}"
 
     assert jobs.run_queue(jobs_, work) == [(1, "succeeded", "done 1"), (2, "failed", "bad"), (3, "succeeded", "done 3")]
+
+
+def test_global_index_is_gapless(spark):
+    from lumenweave.operators.index import global_index
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("k"))
+    got = [(r.k, r.i) for r in global_index(df, ["k"], "i", 5).collect()]
+    assert sorted(i for _, i in got) == list(range(1000)) and [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted(k for k, _ in got)
+    assert global_index(df.limit(0), ["k"], "i").count() == 0
