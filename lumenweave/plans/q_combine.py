@@ -374,3 +374,45 @@ def p14(spark, sf):
     off = F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)]))
     near = st.withColumn("i", off).withColumn("j", off).filter(((F.col("x") + F.col("i")) * 7 + F.col("y") + F.col("j")) % 31 == 0)
     return st.join(near.select("star").distinct(), "star", "left_anti").select("frame", "star")
+
+
+@query("p03_finite_samples", f"{N} SELECT frame, count(*) FILTER (isfinite(v)) AS finite, count(*) FILTER (isnan(v)) AS missing FROM pix_nan GROUP BY frame")
+def p03(spark, sf):
+    v = F.col("v")
+    return pix_nan(spark, sf).groupBy("frame").agg(F.count_if(s.finite(v)).alias("finite"), F.count_if(F.isnan(v)).alias("missing"))
+
+
+@query(
+    "g03_mask_to_detector",
+    f"""{P}, m AS (SELECT a.range AS mx, b.range AS my FROM range(30, 34) a CROSS JOIN range(20, 23) b) SELECT DISTINCT frame, x, y FROM pix JOIN m ON abs(x + 1.5 * frame - mx) < 1 AND abs(y - 0.75 * frame - my) < 1
+WHERE (x + 1.5 * frame - mx) * (x + 1.5 * frame - mx) + (y - 0.75 * frame - my) * (y - 0.75 * frame - my) <= 0.36 + 1e-12""",
+)
+def g03(spark, sf):
+    mask = spark.range(12).select((F.col("id") % 4 + 30).alias("x"), (F.floor(F.col("id") / 4) + 20).alias("y"))
+    maps = {k: s.Affine(c=1.5 * k, f=-0.75 * k) for k in range(8)}
+    return raster.project_mask_back(pix(spark, sf), mask, maps, 0.6 + 1e-13)
+
+
+@query(
+    "g04_footprints",
+    f"""{P}, f AS (SELECT DISTINCT frame FROM pix), c AS (SELECT * FROM (VALUES (0, 0, 0), (1, 63, 0), (2, 63, 63), (3, 0, 63)) t(corner, cx, cy))
+SELECT frame, corner, round(0.9 * cx - 0.1 * cy + 10 * frame, 4) AS x, round(0.1 * cx + 0.9 * cy - 2 * frame, 4) AS y FROM f CROSS JOIN c""",
+)
+def g04(spark, sf):
+    maps = {k: s.Affine(0.9, -0.1, 10.0 * k, 0.1, 0.9, -2.0 * k) for k in range(8)}
+    f = pix(spark, sf).select("frame").distinct().withColumns({"width": F.lit(64), "height": F.lit(64)})
+    return raster.footprints(f, maps).select("frame", F.posexplode("polygon").alias("corner", "p")).select("frame", "corner", r("p.x", "x"), r("p.y", "y"))
+
+
+@query("m14_channel_clean")
+def m14(spark, sf):
+    p = pix_nan(spark, sf).filter("frame < 3").cache()
+    levels = stats.background(p, ["frame"]).select("frame", "bg", (F.col("sigma") / 4).alias("sigma"))
+    return raster.clean_channels(p, levels, 64, 64, 64).filter("hit").select("frame", "x", "y", r("clean"))
+
+
+@query("u03_shared_star_mask")
+def u03_mask(spark, sf):
+    p = pix(spark, sf).filter("frame < 3").cache()
+    levels = stats.background(p, ["frame"]).select("frame", "bg", (F.col("sigma") / 4).alias("sigma"))
+    return raster.shared_star_mask(p, levels, 64, 64).select("x", "y")
