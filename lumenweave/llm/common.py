@@ -22,8 +22,13 @@ _shipped: set[str] = set()
 _own_tmp: list[str] = []
 
 
+BATCH_ROWS = 1024  # rows that travel to Python together: whole texts may be long
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (a no-op when PYTHONPATH has it)."""
+    """Make this package importable in the Python workers (a no-op when PYTHONPATH has it), and batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
     if app in _shipped or str(_ROOT) in on_path:
@@ -91,6 +96,19 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def tidy() -> None:
+    """Give a task's freed memory back to the system: a Python worker lives on for other tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def annotate(df: DataFrame, text_col: str, make, added: T.StructType) -> DataFrame:
     """``df`` with the ``added`` columns, computed in Arrow batches from the UTF-8 bytes of ``text_col``.
 
@@ -112,6 +130,8 @@ def annotate(df: DataFrame, text_col: str, make, added: T.StructType) -> DataFra
                 yield pa.RecordBatch.from_arrays(
                     list(part.columns) + arrays, names=list(b.schema.names) + list(arrow.names)
                 )
+        del fn
+        tidy()
 
     return df.mapInArrow(run, out)
 
@@ -125,7 +145,7 @@ def crc_of_id(doc_id: Column | str) -> Column:
 class HashCache(dict):
     """word bytes -> 64-bit hash, remembered for the words seen lately; cleared at ``limit`` entries."""
 
-    limit = 400_000
+    limit = 200_000
 
     def __missing__(self, word):
         import xxhash

@@ -131,6 +131,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", switc
     def count(batches):
         import pyarrow as pa
 
+        from .common import tidy
+
         held: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -149,6 +151,8 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", switc
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(full), pa.string()), pa.array(full.astype(np.int32)), pa.array(got[full])], names=["lang", "k", "n"]
             )
+        del held
+        tidy()
 
     found = (
         rows.select(lang_col, text_col)
