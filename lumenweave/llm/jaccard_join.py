@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, Scratch, mix64, read_table, ship_package, window_hashes
+from .common import HashCache, Scratch, mix64, read_table, ship_package, tidy, window_hashes
 from .components import components
 
 LOW = np.uint64((1 << 40) - 1)
@@ -144,6 +144,8 @@ def token_filters(docs: DataFrame, text_col: str, width: int, rare: int) -> Filt
                     held, count = [], 0
         if held:
             yield flush()
+        del held, words_of
+        tidy()
 
     def count(table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
@@ -275,6 +277,8 @@ def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
                     [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
                     names=["id", "n_shingles", "s1", "s2", "rare", "frequent", "tokens", "bits"],
                 )
+        del words_of
+        tidy()
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, PREFIX)
 
@@ -407,6 +411,39 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, width=4, percent=85)
 
 
+def id_filter(ids: DataFrame, id_col: str) -> Filters:
+    """A Bloom filter of bounded size of the ids' hashes: what it doesn't hold isn't among them."""
+    n = max(1, -(-ids.count() // 1_000_000))
+    most = 1 << max(3, (FILTER_BYTES // 3 // n).bit_length() - 1)
+
+    def segment(table: pa.Table) -> pa.Table:
+        keys = np.unique(table.column("h").to_numpy().view(np.uint64) & LOW)
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "shared": pa.array([_segment(keys, most)], pa.binary()), "frequent": pa.array([b""], pa.binary())})
+
+    def deal(batches):
+        for b in batches:
+            h = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(_bucket(h.view(np.uint64), n).astype(np.int32)), pa.array(h)], names=["bucket", "h"])
+
+    hashed = ids.select(F.xxhash64(id_col).alias("h")).mapInArrow(deal, "bucket int, h long")
+    return Filters(n, hashed.groupBy("bucket").applyInArrow(segment, "bucket int, shared binary, frequent binary").collect())
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows of ``ids``; only rows that a filter can't clear take part in the join, so few texts are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, id_col))
+    out = T.StructType([*docs.schema.fields, T.StructField("__lw_maybe", T.BooleanType())])
+
+    def run(batches):
+        for b in batches:
+            maybe = shared.value.classes(b.column(b.num_columns - 1).to_numpy().view(np.uint64)) > 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(maybe)], names=[*b.schema.names[:-1], "__lw_maybe"])
+
+    flagged = docs.withColumn("__lw_h", F.xxhash64(id_col)).mapInArrow(run, out)
+    clear = flagged.filter("NOT __lw_maybe").drop("__lw_maybe")
+    return clear.unionByName(flagged.filter("__lw_maybe").drop("__lw_maybe").join(ids, id_col, "left_anti").select(*docs.columns))
+
+
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near duplicates: the one of the smallest id.
 
@@ -414,8 +451,8 @@ def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     scratch = Scratch(docs.sparkSession, "keep")
     found = scratch.table(jaccard_components(docs, id_col, text_col, width, percent).filter(f"{id_col} IS NOT NULL"), "components")
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    kept = docs.join(gone, id_col, "left_anti")
+    gone = scratch.table(found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "gone")
+    kept = without(docs, gone, id_col)
     several = scratch.table(found.groupBy(id_col).count().filter("count > 1").select(id_col), "several")
     if not several.isEmpty():
         first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
