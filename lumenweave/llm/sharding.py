@@ -15,6 +15,9 @@ from .common import Scratch, read_table
 from .ranks import ranked
 
 
+PART = 4096  # rows of one group that meet in one task, about
+
+
 def move_quotas(asked: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict[tuple[int, int], int], dict[int, list[tuple[int, int]]]]:
     """How many asking rows may go from shard to shard, and which free rows, by rank, make room: shard -> [(to, how many)]."""
     allowed = {k: min(n, asked.get(k[::-1], 0)) for k, n in asked.items()}
@@ -60,6 +63,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
         "state-0",
     )
     room = max(1, total // shards)
+    parts = F.ceil(F.col("members") / PART)  # a large group meets its shards in as many parts
     for n in range(1, rounds + 1):
         linked = state.filter("members > 1")
         want = (
@@ -67,9 +71,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
             .agg(F.count("*").alias("here"))
             .groupBy("g", "members")
             .agg(F.array_sort(F.collect_list(F.struct((-F.col("here")).alias("less"), F.pmod(F.xxhash64("g", "shard"), F.lit(997)).alias("tie"), "shard"))).alias("by"))
-            .select("g", F.slice(F.transform("by", lambda x: x["shard"]), F.lit(1), F.ceil(F.col("members") / room).cast("int")).alias("wanted"))
+            .select("g", F.slice(F.transform("by", lambda x: x["shard"]), F.lit(1), F.ceil(F.col("members") / room).cast("int")).alias("wanted"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
         )
-        asking = linked.join(want, "g").filter(~F.array_contains("wanted", F.col("shard")))
+        asking = linked.withColumn("part", F.pmod(F.col("row"), parts)).join(want, ["g", "part"]).filter(~F.array_contains("wanted", F.col("shard")))
         asking = scratch.table(
             asking.select("row", "g", "members", "shard", F.element_at("wanted", (F.pmod(F.xxhash64("row"), F.size("wanted")) + 1).cast("int")).alias("to")),
             f"asking-{n}",
