@@ -100,14 +100,25 @@ def triangle_match(ref: DataFrame, target: DataFrame, tolerance: float = 0.005,
 def nearest_date(science: DataFrame, calibration: DataFrame, keys: list[str], date: str = "day") -> DataFrame:
     """Of each science row's calibrations of equal ``keys`` the one of least distance in days, the first by id of equals; and how many there are.
 
-    Per key both sides are grouped by day first, so that the pairs compared are distinct days and not rows.
+    Both sides are reduced to distinct days a key; a window forward and one backward then give each day its
+    neighbours, so a key costs a sort of its days and no pairs are made.
     """
-    days = calibration.groupBy(*keys, F.col(date).alias("cal_day")).agg(F.min("cal_id").alias("cal_id"), F.count("*").alias("members"))
+    days = calibration.groupBy(*keys, F.col(date)).agg(F.min("cal_id").alias("cal_id"), F.count("*").alias("members"))
+    found = F.struct(F.col(date).alias("cal_day"), "cal_id")
     wanted = science.select(*keys, date).distinct()
-    gap = F.abs(F.datediff(F.col(date), F.col("cal_day")))
-    w = Window.partitionBy(*keys, date)
-    best = wanted.join(days, keys).withColumns({"gap": gap, "ensemble": F.sum("members").over(w)})
-    best = best.withColumn("r", F.row_number().over(w.orderBy("gap", "cal_id"))).filter("r = 1").select(*keys, date, "cal_id", "cal_day", "gap", "ensemble")
+    both = wanted.select(*keys, date, F.lit(True).alias("asked"), F.lit(None).cast("struct<cal_day:date,cal_id:bigint>").alias("cal"), F.lit(0).cast("long").alias("members")).union(
+        days.select(*keys, date, F.lit(False), found, "members")
+    )
+    w = Window.partitionBy(*keys)
+    near = both.withColumns(
+        {
+            "before": F.last("cal", ignorenulls=True).over(w.orderBy(date)), "after": F.last("cal", ignorenulls=True).over(w.orderBy(F.desc(date))),
+            "ensemble": F.sum("members").over(w),
+        }
+    ).filter("asked")
+    gap = lambda c: F.abs(F.datediff(F.col(date), F.col(f"{c}.cal_day")))
+    side = lambda c: F.when(F.col(c).isNotNull(), F.struct(gap(c).alias("gap"), F.col(f"{c}.cal_id").alias("cal_id"), F.col(f"{c}.cal_day").alias("cal_day")))
+    best = near.withColumn("best", F.least(side("before"), side("after"))).filter("best IS NOT NULL").select(*keys, date, "best.cal_id", "best.cal_day", "best.gap", "ensemble")
     return science.join(best, [*keys, date], "left")
 
 
