@@ -52,7 +52,8 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
     )
     total = slim.count()
     buckets = max(16, -(-total // 200_000))
-    members = slim.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1")
+    # a table of its own, so that the join's large side can be split where a text is very common
+    members = scratch.table(slim.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1"), "members")
     spread = F.xxhash64("doc_id", "g", "size")
     start = ranked(slim, [], ["doc_id", "g"], spread, buckets, "row")
     # not a hash join on g for rows alone in their group: those need no partner, only the group table is joined
