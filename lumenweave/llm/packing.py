@@ -293,7 +293,8 @@ class WordIds(dict):
                 if len(self.marks) > 10_000:
                     self.marks = {b"": b""}
                 self.marks[tail] = self._merge(tail)
-            ids = (self._merge(core) if core else b"") + self.marks[tail]
+            # the merge model normalises nothing, and words of a text with < come as they are
+            ids = (self._merge(core.lower()) if core else b"") + self.marks[tail]
         else:
             ids = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = ids

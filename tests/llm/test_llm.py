@@ -342,6 +342,14 @@ def test_tokens_of_odd_words():
         assert np.frombuffer(w.encode(t.encode()), dtype="<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_capitals_beside_angle_brackets():
+    from lumenweave.llm.packing import WordIds
+
+    w = WordIds(VOCABULARY)
+    for t in ("The a < b Then", "<p> The END.</p> Hello, World!", "THE <|endoftext|> Then <|ENDOFTEXT|> (Été) ÀB", "if X<Y: Return X->Next; Don't"):
+        assert np.frombuffer(w.encode(t.encode()), dtype="<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_plans_hold_the_histogram_in_few_sequences():
     rng = np.random.default_rng(2)
     for n, c in ((1, 8), (50, 16), (4000, 1000), (300_000, 4096)):
