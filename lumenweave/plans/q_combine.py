@@ -242,6 +242,19 @@ def f17(spark, sf):
     return raster.resample(p, pts).filter(~F.isnan("v")).select("frame", "id", r("v"))
 
 
+@query(
+    "f17_bilinear_all",
+    f"""{N}, pts AS (SELECT frame, x AS px0, y AS py0, y * 64 + x AS id, x + 0.3 AS px, y + 0.6 AS py FROM pix_nan),
+k AS (SELECT p.frame, p.id, q.v, (CASE WHEN q.x = p.px0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE WHEN q.y = p.py0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) AS w
+FROM pts p JOIN pix_nan q ON q.frame = p.frame AND q.x BETWEEN px0 AND px0 + 1 AND q.y BETWEEN py0 AND py0 + 1 WHERE isfinite(q.v))
+SELECT frame, id, round(sum(v * w) / sum(w), 4) AS v FROM pts LEFT JOIN k USING (frame, id) GROUP BY 1, 2""",
+)
+def f17_all(spark, sf):
+    p = pix_nan(spark, sf)
+    pts = p.select("frame", (F.col("y") * 64 + F.col("x")).alias("id"), (F.col("x") + 0.3).alias("px"), (F.col("y") + 0.6).alias("py"))
+    return raster.resample(p, pts).select("frame", "id", F.when(~F.isnan("v"), snap(F.col("v"), 4)).alias("v"))
+
+
 @query(
     "f19_value_weight",
     f"""{P} SELECT frame, round(sum(CASE WHEN frame % 2 = 0 THEN v / (100 + frame) ELSE v END), 3) AS total,
@@ -266,6 +279,16 @@ def w09(spark, sf):
     return got.select("frame", "x", "y", r("blurred"))
 
 
+@query(
+    "w09_gaussian_blur_all",
+    f"""{N}, k AS (SELECT i, exp(-i * i / 4.5) AS w FROM (SELECT unnest(range(-5, 6)) AS i)), fin AS (SELECT * FROM pix_nan WHERE isfinite(v)),
+c AS (SELECT p.frame, p.x, p.y, sum(q.v * a.w * b.w) AS t, sum(a.w * b.w) AS w FROM pix_nan p JOIN fin q ON q.frame = p.frame AND q.x BETWEEN p.x - 5 AND p.x + 5 AND q.y BETWEEN p.y - 5 AND p.y + 5 JOIN k a ON a.i = q.x - p.x JOIN k b ON b.i = q.y - p.y GROUP BY 1, 2, 3)
+SELECT frame, x, y, round(t / c.w, 4) AS blurred FROM pix_nan LEFT JOIN c USING (frame, x, y)""",
+)
+def w09_all(spark, sf):
+    return raster.blur(pix_nan(spark, sf)).select("frame", "x", "y", F.when(~F.isnan("blurred"), snap(F.col("blurred"), 4)).alias("blurred"))
+
+
 @query("w10_fill_holes")
 def w10(spark, sf):
     got = raster.fill_holes(pix_nan(spark, sf))

@@ -18,3 +18,9 @@ def test_votes_are_of_all_detections(spark):
     for frame in {a.frame for a in every}:
         best = sorted((-support[a.star], a.star) for a in every if a.frame == frame and support[a.star] >= 2)[:25]
         assert sorted((r.rank, r.star) for r in chosen if r.frame == frame) == [(k + 1, star) for k, (_, star) in enumerate(best)]
+
+
+def test_every_pixel_is_blurred_and_resampled(spark):
+    every = sorted((p.frame, p.x, p.y) for p in pix(spark, SF).collect())
+    assert sorted((r.frame, r.x, r.y) for r in rows(spark, "w09_gaussian_blur_all")) == every
+    assert sorted((r.frame, r.id % 64, r.id // 64) for r in rows(spark, "f17_bilinear_all")) == every
