@@ -331,21 +331,30 @@ def m13(spark, sf):
     return raster.clean(p, levels, 64).filter("hit").select("frame", "x", "y", r("clean"))
 
 
-@query(
-    "m18_star_raster",
-    """WITH src AS (SELECT user_id % 8 AS frame, event_id AS id, round((value * 13) % 256, 3) AS x, CAST((event_id * 7) % 256 AS DOUBLE) AS y, 1.5 + event_id % 3 AS radius, CAST(1 << (event_id % 5) AS BIGINT) AS bits FROM events WHERE event_id % 4 = 0),
+STARS_SQL = """WITH src AS (SELECT user_id % 8 AS frame, event_id AS id, round((value * 13) % 256, 3) AS x, CAST((event_id * 7) % 256 AS DOUBLE) AS y, 1.5 + event_id % 3 AS radius, CAST(1 << (event_id % 5) AS BIGINT) AS bits FROM events WHERE event_id % 4 = 0),
 g AS (SELECT src.*, unnest(range(CAST(ceil(x - radius) AS BIGINT), CAST(floor(x + radius) AS BIGINT) + 1)) AS px FROM src), g2 AS (SELECT g.*, unnest(range(CAST(ceil(y - radius) AS BIGINT), CAST(floor(y + radius) AS BIGINT) + 1)) AS py FROM g),
 m AS (SELECT *, sqrt((px - x) * (px - x) + (py - y) * (py - y)) / radius AS t FROM g2), k AS (SELECT *, CASE WHEN t <= 0.65 THEN 1.0 WHEN t <= 1 THEN 0.5 + 0.5 * cos(pi() * (t - 0.65) / 0.35) ELSE 0 END AS mask FROM m)
-SELECT frame, px AS x, py AS y, round(max(mask), 4) AS mask, arg_max(id, (mask, -id)) AS label, bit_or(bits) AS bits FROM k WHERE mask > 1e-6 GROUP BY 1, 2, 3""",
-)
-def m18(spark, sf):
-    src = table(spark, sf, "events").filter("event_id % 4 = 0").select(
+SELECT frame, px AS x, py AS y, round(max(mask), 4) AS mask, arg_max(id, (mask, -id)) AS label, bit_or(bits) AS bits FROM k WHERE mask > 1e-6 GROUP BY 1, 2, 3"""
+
+
+def _feathered(spark, sf, among):
+    src = table(spark, sf, "events").filter(among).select(
         (F.col("user_id") % 8).alias("frame"), F.col("event_id").alias("id"), snap((F.col("value") * 13) % 256, 3).alias("x"),
         ((F.col("event_id") * 7) % 256).cast("double").alias("y"), (F.col("event_id") % 3 + 1.5).cast("double").alias("radius"), F.expr("cast(shiftleft(1, cast(event_id % 5 as int)) as bigint)").alias("bits"),
     )
     return raster.feathered(src).filter("mask > 1e-6").select("frame", "x", "y", r("mask"), "label", "bits")
 
 
+@query("m18_star_raster", STARS_SQL)
+def m18(spark, sf):
+    return _feathered(spark, sf, "event_id % 4 = 0")
+
+
+@query("m18_star_raster_all", STARS_SQL.replace(" WHERE event_id % 4 = 0", ""))
+def m18_all(spark, sf):
+    return _feathered(spark, sf, "true")
+
+
 @query("u01_mask_fold", f"{P}, st AS (SELECT 0 AS frame, x, y, frame AS step, CASE WHEN frame % 3 = 2 THEN 'erase' ELSE 'add' END AS op FROM pix WHERE (x + frame) % 3 = 0), lst AS (SELECT x, y, arg_max(op, step) AS op FROM st GROUP BY 1, 2) SELECT CAST(0 AS BIGINT) AS frame, x, y FROM lst WHERE op = 'add'")
 def u01(spark, sf):
     st = pix(spark, sf).filter((F.col("x") + F.col("frame")) % 3 == 0)

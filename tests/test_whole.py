@@ -24,3 +24,15 @@ def test_every_pixel_is_blurred_and_resampled(spark):
     every = sorted((p.frame, p.x, p.y) for p in pix(spark, SF).collect())
     assert sorted((r.frame, r.x, r.y) for r in rows(spark, "w09_gaussian_blur_all")) == every
     assert sorted((r.frame, r.id % 64, r.id // 64) for r in rows(spark, "f17_bilinear_all")) == every
+
+
+def test_every_source_reaches_the_mask(spark):
+    bits = {}
+    for e in stars(spark, SF).collect():
+        radius = 1.5 + e.star % 3
+        for x in range(int(e.x - radius), int(e.x + radius) + 2):
+            for y in range(int(e.y - radius) - 1, int(e.y + radius) + 2):
+                if (x - e.x) ** 2 + (y - e.y) ** 2 <= (0.99 * radius) ** 2:
+                    bits[e.frame, x, y] = bits.get((e.frame, x, y), 0) | 1 << e.star % 5
+    got = {(r.frame, r.x, r.y): r.bits for r in rows(spark, "m18_star_raster_all")}
+    assert all(got[k] & b == b for k, b in bits.items())
