@@ -48,8 +48,8 @@ def j04(spark, sf):
 
 @query("j05_triangle_match")
 def j05(spark, sf):
-    st = series.brightest(stars(spark, sf), 14, ["frame"])
-    return joins.triangle_match(st.filter("frame = 0"), st.filter("frame < 3"), 0.004, 2, 14)
+    st = series.brightest(stars(spark, sf), 40, ["frame"])
+    return joins.triangle_match(st.filter("frame = 0"), st, 0.004, 2, 40)
 
 
 @query("j10_footprint_semi_join", f"{S}, b AS (SELECT frame * 40 AS x0, frame * 30 AS y0, frame * 40 + 25 AS x1, frame * 30 + 20 AS y1 FROM (SELECT unnest(range(3)) AS frame)) SELECT star, frame FROM stars s WHERE EXISTS (SELECT 1 FROM b WHERE s.x BETWEEN x0 - 5 AND x1 + 5 AND s.y BETWEEN y0 - 5 AND y1 + 5)")
@@ -72,7 +72,7 @@ def j11(spark, sf):
 @query("j12_bipartite_matching")
 def j12(spark, sf):
     st = stars(spark, sf).withColumn("region", (F.floor(F.col("x") / 64) * 4 + F.floor(F.col("y") / 64)).cast("long"))
-    truth, seen = st.filter("frame = 0 AND star % 4 = 0").select("region", "star", "x", "y"), st.filter("frame = 1 AND star % 4 = 0").select("region", "star", "x", "y")
+    truth, seen = st.filter("frame = 0").select("region", "star", "x", "y"), st.filter("frame = 1").select("region", "star", "x", "y")
     near = joins.radius_join(truth, seen, 6.0, ["region"]).select("region", F.col("star").alias("truth"), F.col("r_star").alias("detection"))
     # who is paired may differ between equal matchings; how many are doesn't
     return fit.match_bipartite(near).groupBy("region").agg(F.count("*").alias("matched"))
@@ -159,6 +159,16 @@ def j16(spark, sf):
     return near.filter(F.col("dist") <= 3 + F.col("r_area") / 4).groupBy("star").agg(F.count("*").alias("members"))
 
 
+@query(
+    "j16_star_neighbours_all",
+    f"""{S} SELECT a.frame, a.star, count(*) AS members FROM stars a JOIN stars b ON a.frame = b.frame AND sqrt({PAIR}) <= 3 + b.area / 4.0 GROUP BY 1, 2""",
+)
+def j16_all(spark, sf):
+    t = stars(spark, sf).select("frame", "star", "x", "y", "area")
+    near = joins.radius_join(t, t, 13.0, ["frame"])
+    return near.filter(F.col("dist") <= 3 + F.col("r_area") / 4).groupBy("frame", "star").agg(F.count("*").alias("members"))
+
+
 @query("m22_template_scale")
 def m22(spark, sf):
     p = pix(spark, sf).withColumn("t", F.col("x") * 0.1 + F.col("frame")).withColumn("v", F.col("v") * 0.01 + 2.5 * F.col("t"))

@@ -36,3 +36,36 @@ def test_every_source_reaches_the_mask(spark):
                     bits[e.frame, x, y] = bits.get((e.frame, x, y), 0) | 1 << e.star % 5
     got = {(r.frame, r.x, r.y): r.bits for r in rows(spark, "m18_star_raster_all")}
     assert all(got[k] & b == b for k, b in bits.items())
+
+
+def test_matching_is_of_all_stars_of_two_frames(spark):
+    near, every = {}, stars(spark, SF).collect()
+    region = lambda s: s.x // 64 * 4 + s.y // 64
+    for a in every:
+        if a.frame == 0:
+            near[a.star] = [b.star for b in every if b.frame == 1 and region(a) == region(b) and (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 36]
+    owner = {}
+
+    def place(t, seen):
+        for d in near[t]:
+            if d not in seen:
+                seen.add(d)
+                if d not in owner or place(owner[d], seen):
+                    owner[d] = t
+                    return True
+        return False
+
+    assert sum(r.matched for r in rows(spark, "j12_bipartite_matching")) == sum(place(t, set()) for t in near)
+
+
+def test_triangles_are_of_forty_stars_in_all_frames(spark):
+    got = rows(spark, "j05_triangle_match")
+    same = [r for r in got if r.frame == 0]
+    assert len(same) == 40 and all(r.ref == r.star and r.votes >= 39 * 38 / 2 for r in same)  # a frame against itself
+    assert {r.frame for r in got} == set(range(8))
+
+
+def test_neighbours_are_of_all_frames(spark):
+    every = stars(spark, SF).collect()
+    members = {a.star: sum(b.frame == a.frame and ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5 <= 3 + b.area / 4 for b in every) for a in every}
+    assert {r.star: r.members for r in rows(spark, "j16_star_neighbours_all")} == members
