@@ -151,16 +151,25 @@ def t01(spark, sf):
     return series.brightest(stars(spark, sf), 50, ["frame"]).select("frame", "star", "rank")
 
 
-@query(
-    "t02_review_order",
-    f"{S}, t AS (SELECT * FROM stars WHERE star % 10 = 0) SELECT star, CAST(row_number() OVER o AS INTEGER) AS position, lag(star) OVER o AS previous, lead(star) OVER o AS following FROM t WINDOW o AS (PARTITION BY frame ORDER BY area DESC, peak DESC, star)",
-)
-def t02(spark, sf):
+REVIEW = f"{S}, t AS (SELECT * FROM stars WHERE star % 10 = 0) SELECT star, CAST(row_number() OVER o AS INTEGER) AS position, lag(star) OVER o AS previous, lead(star) OVER o AS following FROM t WINDOW o AS (PARTITION BY frame ORDER BY area DESC, peak DESC, star)"
+
+
+def _review(spark, sf, among):
     w = Window.partitionBy("frame").orderBy(F.desc("area"), F.desc("peak"), "star")
-    t = stars(spark, sf).filter("star % 10 = 0")
+    t = stars(spark, sf).filter(among)
     return t.select("star", F.row_number().over(w).alias("position"), F.lag("star").over(w).alias("previous"), F.lead("star").over(w).alias("following"))
 
 
+@query("t02_review_order", REVIEW)
+def t02(spark, sf):
+    return _review(spark, sf, "star % 10 = 0")
+
+
+@query("t02_review_order_all", REVIEW.replace(" WHERE star % 10 = 0", ""))
+def t02_all(spark, sf):
+    return _review(spark, sf, "true")
+
+
 @query(
     "t04_channel_assignment",
     """WITH f AS (SELECT DISTINCT p_brand AS brand FROM part), k AS (SELECT brand, row_number() OVER (ORDER BY brand) - 1 AS i, count(*) OVER () AS n FROM f)

@@ -69,3 +69,19 @@ def test_neighbours_are_of_all_frames(spark):
     every = stars(spark, SF).collect()
     members = {a.star: sum(b.frame == a.frame and ((a.x - b.x) ** 2 + (a.y - b.y) ** 2) ** 0.5 <= 3 + b.area / 4 for b in every) for a in every}
     assert {r.star: r.members for r in rows(spark, "j16_star_neighbours_all")} == members
+
+
+def test_review_order_is_of_all_stars(spark):
+    want, every = [], stars(spark, SF).collect()
+    for frame in {s.frame for s in every}:
+        own = [s.star for s in sorted((s for s in every if s.frame == frame), key=lambda s: (-s.area, -s.peak, s.star))]
+        want += zip(own, range(1, len(own) + 1), [None, *own], [*own[1:], None])
+    assert {(r.star, r.position, r.previous, r.following) for r in rows(spark, "t02_review_order_all")} == set(want)
+
+
+def test_links_of_all_suppliers_join_components(spark):
+    part = {r.n_nationkey: r.n_nationkey for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
+    for s in spark.read.parquet(f"{SF}/supplier.parquet").collect():
+        a, b = sorted((part[s.s_nationkey], part[s.s_suppkey * 7 % 25]))
+        part = {k: a if v == b else v for k, v in part.items()}
+    assert {r.frame: r.component for r in rows(spark, "w13_frame_components_all")} == part
