@@ -84,19 +84,28 @@ def _sources(spark):
     return spark.createDataFrame([(0, 20.0, 20.0, 6.0, 0.2), (0, 24.0, 22.0, 5.0, 0.1), (1, 40.0, 40.0, 8.0, 0.3)], "frame long, x double, y double, radius double, base double")
 
 
-@query(
-    "m20_gentler_stars",
-    f"""{P}, {SRC}, k AS (SELECT p.frame, p.x, p.y, v / 110 AS v, greatest(0.0, v / 110 - base) AS e, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) / radius AS t FROM pix p JOIN src s ON s.frame = p.frame AND abs(p.x - s.x) <= 16 AND abs(p.y - s.y) <= 16),
-c AS (SELECT frame, x, y, max({FEATHER} * (e - e / (1 + 2 * e))) AS c FROM k GROUP BY 1, 2, 3) SELECT frame, x, y, round(v / 110 - coalesce(c, 0), 5) AS v FROM pix LEFT JOIN c USING (frame, x, y) WHERE frame < 2""",
-)
-def m20(spark, sf):
-    p = pix(spark, sf).filter("frame < 2").select("frame", "x", "y", (F.col("v") / 110).alias("v"))
+GENTLER = f"""{P}, {SRC}, k AS (SELECT p.frame, p.x, p.y, v / 110 AS v, greatest(0.0, v / 110 - base) AS e, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) / radius AS t FROM pix p JOIN src s ON s.frame = p.frame AND abs(p.x - s.x) <= 16 AND abs(p.y - s.y) <= 16),
+c AS (SELECT frame, x, y, max({FEATHER} * (e - e / (1 + 2 * e))) AS c FROM k GROUP BY 1, 2, 3) SELECT frame, x, y, round(v / 110 - coalesce(c, 0), 5) AS v FROM pix LEFT JOIN c USING (frame, x, y) WHERE frame < 2"""
+
+
+def _gentler(spark, sf, among):
+    p = pix(spark, sf).filter(among).select("frame", "x", "y", (F.col("v") / 110).alias("v"))
     return detect.gentler(p, _sources(spark)).select("frame", "x", "y", r("v", digits=5))
 
 
+@query("m20_gentler_stars", GENTLER)
+def m20(spark, sf):
+    return _gentler(spark, sf, "frame < 2")
+
+
+@query("m20_gentler_stars_all", GENTLER.replace(" WHERE frame < 2", ""))
+def m20_all(spark, sf):
+    return _gentler(spark, sf, "true")
+
+
 @query("m21_whitened_stars")
 def m21(spark, sf):
-    p = pix(spark, sf).filter("frame < 2").select("frame", "x", "y", (F.col("v") / 110).alias("r"), (F.col("v") / 150).alias("g"), (F.col("v") / 200).alias("b"))
+    p = pix(spark, sf).select("frame", "x", "y", (F.col("v") / 110).alias("r"), (F.col("v") / 150).alias("g"), (F.col("v") / 200).alias("b"))
     src = _sources(spark).withColumns({f"base_{c}": F.col("base") for c in "rgb"})
     return detect.whiten(p, src).select("frame", "x", "y", *[r(c, digits=5) for c in "rgb"])
 

@@ -85,3 +85,11 @@ def test_links_of_all_suppliers_join_components(spark):
         a, b = sorted((part[s.s_nationkey], part[s.s_suppkey * 7 % 25]))
         part = {k: a if v == b else v for k, v in part.items()}
     assert {r.frame: r.component for r in rows(spark, "w13_frame_components_all")} == part
+
+
+def test_frames_without_sources_come_back(spark):
+    v = {(p.frame, p.x, p.y): p.v for p in pix(spark, SF).collect()}
+    for name, c, level in (("m20_gentler_stars_all", "v", 110), ("m21_whitened_stars", "r", 110)):
+        got = {(r.frame, r.x, r.y): r[c] for r in rows(spark, name)}
+        assert got.keys() == v.keys()
+        assert all(abs(got[k] - v[k] / level) < 2e-5 for k in v if k[0] > 1)
