@@ -4,6 +4,10 @@ Rows start in shards of equal counts. In each round a group of equal texts names
 most of it (as many as it needs), its rows elsewhere ask to move there, and quotas let a row move only
 against one that moves the other way: another asking row, or a row without links, which may stand
 anywhere. So counts never change, and the edges that the cut costs only fall.
+
+Where that leaves groups in more shards than they need, these and the rows without links vacate their
+places and are put back by a plan, largest groups first; if even that cuts a group, all rows are. The
+plan knows groups by size alone, so the driver sees a row a size, and a row a group only of large ones.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from .ranks import ranked
 
 
 PART = 4096  # rows of one group that meet in one task, about
+LARGE = 1000  # members from which a group's rows are ranked in many buckets
 
 
 def move_quotas(asked: dict[tuple[int, int], int], free: dict[int, int]) -> tuple[dict[tuple[int, int], int], dict[int, list[tuple[int, int]]]]:
@@ -31,12 +36,98 @@ def move_quotas(asked: dict[tuple[int, int], int], free: dict[int, int]) -> tupl
     return {k: n for k, n in allowed.items() if n}, back
 
 
+def settle(groups: list[tuple[int, str, int]], room: dict[int, int], whole: int) -> tuple[list[tuple[int, str, int, int, int]], int]:
+    """Places of groups (members, name, how many such) in shards' rooms, which they fill: runs (members, name, from, to, shard) of the
+    rows of a size in the groups' order; and how many groups are in more shards, of ``whole`` rows each, than their size needs.
+
+    A group goes whole to the shard with least room for it. One that fits nowhere waits until all others are placed; when the
+    smallest of these was tried each room was less than it, so without rows alone they are fewer than the shards.
+    """
+    left, runs, waiting, cut = dict(room), [], [], 0
+    most = max(room.values())
+
+    def spread(k, name, at):
+        end, parts = at + k, 0
+        while at < end:
+            fits = [s for s in left if left[s] >= end - at]
+            s = min(fits, key=lambda s: (left[s], s)) if fits else max(left, key=lambda s: (left[s], -s))
+            n = min(left[s], end - at)
+            runs.append((k, name, at, at + n, s))
+            left[s] -= n
+            at, parts = at + n, parts + 1
+        return parts > -(-k // whole)
+
+    for k, name, n in sorted((g for g in groups if g[0] > 1), key=lambda g: (-g[0], g[1])):
+        at = 0
+        while n:
+            fits = [s for s in left if left[s] >= k]
+            if fits:
+                s = min(fits, key=lambda s: (left[s], s))
+                c = min(n, left[s] // k)
+                runs.append((k, name, at, at + c * k, s))
+                left[s] -= c * k
+                at, n = at + c * k, n - c
+            elif k > most:
+                cut += spread(k, name, at)
+                at, n = at + k, n - 1
+            else:
+                waiting.append((k, name, at, n))
+                n = 0
+    for k, name, at, n in waiting:
+        for i in range(n):
+            cut += spread(k, name, at + i * k)
+    for k, name, n in groups:
+        at = 0
+        for s in sorted(left) if k == 1 else ():
+            c = min(n - at, left[s])
+            if c:
+                runs.append((k, name, at, at + c, s))
+                left[s] -= c
+                at += c
+    return runs, cut
+
+
+def settled(state: DataFrame, scratch: Scratch, room: int, buckets: int) -> DataFrame:
+    """``state`` with the groups that the rounds left in more shards than they need put together, as far as counts allow."""
+    spark = state.sparkSession
+    held = state.filter("members > 1").select("g", "members", "shard").distinct().groupBy("g", "members").agg(F.count("*").alias("held"))
+    apart = scratch.table(held.filter(F.col("held") > F.ceil(F.col("members") / room)).select("g", F.lit(True).alias("apart")), "apart")
+    n_apart = apart.count()
+    if not n_apart:
+        return state
+    name = F.when(F.col("members") > LARGE, F.col("g")).otherwise("").alias("name")
+    pool = scratch.table(state.join(apart, "g", "left").select(*state.columns, name, (F.col("apart").isNotNull() | (F.col("members") == 1)).alias("moves")), "pool")
+    sizes = pool.groupBy("members", "name", "moves").count().collect()  # a row a size up to LARGE, and a row a larger group
+    rooms = pool.groupBy("shard", "moves").count().collect()
+    for every in (False, True):
+        groups: dict[tuple[int, str], int] = {}
+        for r in sizes:
+            if every or r["moves"]:
+                groups[r["members"], r["name"]] = groups.get((r["members"], r["name"]), 0) + r["count"] // r["members"]
+        vacated: dict[int, int] = {}
+        for r in rooms:
+            if every or r["moves"]:
+                vacated[r["shard"]] = vacated.get(r["shard"], 0) + r["count"]
+        runs, cut = settle([(k, g, n) for (k, g), n in groups.items()], vacated, room)
+        if not cut:
+            break
+    if cut >= n_apart:
+        return state
+    going, staying = (pool, None) if every else (pool.filter("moves"), pool.filter("NOT moves").select(*state.columns))
+    to = spark.createDataFrame(runs, "members long, name string, lo long, hi long, to int")
+    # all rows of a group follow each other, as the size's groups do; a large group is alone under its name
+    key = F.when(F.col("name") == "", F.xxhash64("g")).otherwise(F.xxhash64("row"))
+    put = ranked(going, ["members", "name"], ["g", "row"], key, buckets, "rank").join(F.broadcast(to), ["members", "name"]).filter("rank >= lo AND rank < hi")
+    put = put.select(*[F.col("to").alias(c) if c == "shard" else F.col(c) for c in state.columns])
+    return scratch.table(put if staying is None else put.union(staying), "settled")
+
+
 def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes plus 1), text_crc32, law (``rows``), shard, slot, grown_shard (null).
 
     Shards' row counts differ by one at most. Rows of equal text are linked (a null text counts as empty)
-    and share a shard as far as counts allow; a group larger than a shard takes as few shards as rounds
-    reach. Slots run from 0 in each shard. Repeated rows and null ids are rows like any other.
+    and share a shard as far as counts allow: of the groups that fit in a shard, fewer are cut than there
+    are shards. A group larger than a shard takes as few shards as it needs where those are free. Slots run from 0 in each shard. Repeated rows and null ids are rows like any other.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
@@ -101,6 +192,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
             )
         state = scratch.table(state.join(going, "row", "left").withColumn("shard", F.coalesce("to", "shard")).drop("to"), f"state-{n}")
         scratch.drop(f"state-{n - 1}", f"asking-{n}")
+    state = settled(state, scratch, room, buckets)
     placed = ranked(state, ["shard"], ["row"], F.xxhash64("row"), buckets, "slot")
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -19,7 +19,7 @@ from lumenweave.llm.packing import best_plan, pack
 from lumenweave.llm.quality_classifier import score_quality
 from lumenweave.llm.quality_rules import VoteModel, quality_posterior
 from lumenweave.llm.secret_scan import Scanner, redact_secrets, secret_digest, secret_spans
-from lumenweave.llm.sharding import move_quotas, shard_rows
+from lumenweave.llm.sharding import move_quotas, settle, shard_rows
 from lumenweave.llm.token_counts import END, load_pieces, token_counts
 from lumenweave.llm.warc import plan_records, read_warc, warc_round_trip, write_warc
 
@@ -411,6 +411,42 @@ def test_quotas_keep_counts():
     assert not any(flow.values()) and sum(n for t in back.values() for _, n in t) <= 5
 
 
+def test_settled_groups_fill_the_rooms():
+    rng = np.random.default_rng(4)
+    for alone in (0, 40):
+        n = Counter(rng.integers(2, 60, 900).tolist())
+        groups = [(k, "", c) for k, c in n.items()] + [(5000, "large", 1), (1, "", alone)]
+        total = sum(k * c for k, _, c in groups)
+        room = {s: (total + s) // 9 for s in range(9)}
+        runs, cut = settle(groups, room, total // 9)
+        used, rows = Counter(), defaultdict(list)
+        for k, name, lo, hi, s in runs:
+            used[s] += hi - lo
+            rows[k, name].append((lo, hi))
+        assert used == room and cut < 9
+        for k, name, c in groups:
+            ends = sorted(rows[k, name])
+            assert [lo for lo, _ in ends] + [k * c] == [0] * (c > 0) + [hi for _, hi in ends] + [0] * (c == 0)
+            if k > 1:
+                assert sum(lo % k > 0 for lo, _ in ends) <= 9
+
+
+def test_shards_cut_few_groups(spark):
+    rng = np.random.default_rng(5)
+    for hot, alone in ((1000, 1000), (0, 0), (1000, 60)):
+        texts = ["hot"] * hot + [f"alone {k}" for k in range(alone)]
+        while len(texts) < 3000:
+            texts += [f"group {len(texts)}"] * int(rng.integers(2, 11))
+        rows = list(enumerate(texts))
+        got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+        check_shards(rows, got, 8)
+        where = defaultdict(set)
+        for r in got:
+            where[texts[r.doc_id]].add(r.shard)
+        assert len(where["hot"]) <= 3
+        assert sum(len(s) > 1 for t, s in where.items() if t != "hot") < 8
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
