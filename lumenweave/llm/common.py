@@ -49,9 +49,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own_tmp or not any("lumenweave-shared-" in x for x in _own_tmp):
             _own_tmp.append(tempfile.mkdtemp(prefix="lumenweave-shared-"))
         found = "file://" + next(x for x in _own_tmp if "lumenweave-shared-" in x)
@@ -136,6 +138,14 @@ def annotate(df: DataFrame, text_col: str, make, added: T.StructType) -> DataFra
     return df.mapInArrow(run, out)
 
 
+def long_id(df: DataFrame, name: str) -> Column:
+    """The id column as a long; an error that says so where it isn't of an integer type."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"ids are of an integer type, and {name} is {kind.simpleString()}: number the rows first")
+    return F.col(f"`{name}`").cast("long")
+
+
 def crc_of_id(doc_id: Column | str) -> Column:
     """crc32 of an id written as decimal text, as an unsigned long."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -5,12 +5,17 @@ least k tokens among the first ``n - ceil(t n) + k`` of any common order. The or
 class, then hash: tokens of one document, tokens of few (rare), tokens of many (frequent). So
 
 * a pair that shares a rare token of its extended prefixes is found by indexing single tokens,
-* any other pair shares k frequent ones. Tokens have one of COLOURS colours, by hash; with k above that,
-  two of the shared ones have one colour, so indexing the 2-combinations of one colour finds the pair,
+* any other pair shares k frequent ones. These have one of C colours, by hash; with k above C two of the
+  shared ones have one colour, so indexing the 2-combinations of one colour finds the pair. C belongs to a
+  size class (sizes from a power of two to the next): it grows with the sizes, so that a set has a bounded
+  number of combinations for each of its tokens, and is always less than what two sets of the class must
+  share. Sets at the border of a class are indexed in the classes below too that they may link with. Where sets are so small
+  that one shared token may be all they must share, C is 0 and single frequent tokens are indexed,
 
 and every candidate is verified on the full sets. Classes come from the document frequency of every
-token, counted over all documents, and are kept as filters of bounded size: a filter's false positive
-moves a token to a later class for everybody, which changes the order but loses no pair.
+token, counted over all documents: each chunk of documents sends its distinct tokens to their buckets, which
+answer with the class of each, and chunks and answers meet again by the chunk's number. No table of tokens is
+broadcast or brought to the driver.
 
 Groups of similar texts are never expanded. Each posting list first verifies its members against one
 pivot; only lists whose members still lie in different components are compared among themselves, in
@@ -25,16 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import HashCache, Scratch, mix64, read_table, ship_package, tidy, window_hashes
+from .common import HashCache, Scratch, long_id, mix64, read_table, ship_package, tidy, window_hashes
 from .components import components
 
 LOW = np.uint64((1 << 40) - 1)
-FLUSH = 1_000_000  # tokens that a task gathers before it sends them on
-COLOURS = 16
+CHUNK = 1_000_000  # tokens of the documents that send and are answered together
+BUCKET_BYTES = 12_000_000  # of text, whose tokens one bucket counts
 BLOCK = 1024  # members of a posting list that one comparison holds twice, at most
-FILTER_BYTES = 48 << 20  # of both filters together: what is broadcast, at most
+CLASSES = 40  # of sizes: from 2 ** c to 2 ** (c + 1)
+PER_TOKEN = 2.5  # combinations of a set for each of its tokens, at most about
 
 
 def shingle_set(text: bytes | None, words_of: HashCache, width: int) -> np.ndarray:
@@ -45,123 +50,123 @@ def shingle_set(text: bytes | None, words_of: HashCache, width: int) -> np.ndarr
     return np.unique(window_hashes(words_of.many(words), width))
 
 
+def _least(n: int, percent: int) -> int:
+    """Tokens that a set of ``n`` shares with every set it links with, at least."""
+    return -(-percent * n // 100)
+
+
+def colours(size_class: int, percent: int) -> int:
+    """C of a size class; 0: single frequent tokens are indexed."""
+    low = 1 << size_class
+    apart = 1 - percent / 100
+    return max(1, min(int(np.ceil(apart * apart * low / (2 * PER_TOKEN))), _least(low, percent) - 1)) if _least(low, percent) > 1 else 0
+
+
+def size_classes(n: int, percent: int) -> list[int]:
+    """The class of a size, and those below whose sets may link with it: a pair meets in the class of the smaller set."""
+    return list(range(_least(n, percent).bit_length() - 1, n.bit_length()))
+
+
 def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
     return ((tokens >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
 
 
-class Filters:
-    """Two Bloom filters, cut into a segment a bucket: tokens of two or more documents, and of more than ``rare``."""
-
-    def __init__(self, n: int, rows):
-        self.n = n
-        self.parts = []
-        for name in ("shared", "frequent"):
-            sizes = np.zeros(n, dtype=np.int64)
-            for r in rows:
-                sizes[r["bucket"]] = len(r[name])
-            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            bits = np.zeros(int(sizes.sum()) or 1, dtype=np.uint8)
-            for r in rows:
-                b = r["bucket"]
-                bits[starts[b] : starts[b] + sizes[b]] = np.frombuffer(r[name], dtype=np.uint8)
-            self.parts.append((starts, sizes, bits))
-
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
-        """0: of one document for certain, 1: rare, 2: frequent."""
-        b = _bucket(tokens, self.n).astype(np.int64)
-        h = mix64(tokens & LOW)
-        out = np.zeros(len(tokens), dtype=np.int8)
-        alive = np.arange(len(tokens))
-        for starts, sizes, bits in self.parts:
-            size = sizes[b[alive]]
-            inside = size > 0
-            for i in range(3):
-                pos = _positions(h[alive], i, size)
-                at = np.where(inside, starts[b[alive]] + (pos >> 3), 0)
-                inside &= (bits[at] >> (pos & 7).astype(np.uint8) & 1).astype(bool)
-            alive = alive[inside]
-            out[alive] += 1
-        return out
-
-
-def _positions(h: np.ndarray, i: int, size) -> np.ndarray:
-    """The i-th bit of each hash in a segment of ``size`` bytes (a power of two, or 0)."""
-    mask = np.maximum(np.asarray(size, dtype=np.int64) * 8 - 1, 0)
-    return ((h >> np.uint64(20 * i)) & np.uint64(0x7FFFFFFFFFF)).astype(np.int64) & mask
-
-
-def _segment(keys: np.ndarray, most: int) -> bytes:
-    """A Bloom segment of about ten bits a key, a power of two of bytes, ``most`` bytes at most."""
-    if not len(keys):
-        return b""
-    size = 8
-    while size * 8 < 10 * len(keys) and size * 2 <= most:
-        size *= 2
-    bits = np.zeros(size * 8, dtype=np.uint8)
-    h = mix64(keys)
-    for i in range(3):
-        bits[_positions(h, i, size)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+SETS = "chunk long, pos long, id long, n_shingles long, s1 long, s2 long, tokens binary"
 
 
-def token_filters(docs: DataFrame, text_col: str, width: int, rare: int) -> Filters:
-    """Count every token's documents, over all documents, and keep which are shared and which frequent.
+def token_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Per row: its chunk and place there, the set's size, signature (two sums over its tokens) and tokens, in hash order."""
 
-    Tokens travel as packed arrays, one a bucket and flush; a token that a task meets often is sent at
-    most ``rare + 1`` times a flush, so a passage of a third of all documents doesn't flood its bucket.
+    def run(batches):
+        from pyspark import TaskContext
+
+        words_of, part, names = HashCache(), TaskContext.get().partitionId() << 32, [f.split()[0] for f in SETS.split(", ")]
+        chunk = pos = held = 0
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                cols = [[] for _ in range(6)]
+                piece = b.slice(k, 512)
+                for t in piece.column(1).cast(pa.binary()):
+                    s = shingle_set(t.as_py(), words_of, width)
+                    n = len(s)
+                    mixed = mix64(s)
+                    sums = (int(mixed.sum(dtype=np.uint64)) if n else 0, int(np.bitwise_xor.reduce(mix64(mixed + np.uint64(n)))) if n else 0)
+                    for c, x in zip(cols, (part + chunk, pos, n, *(v - (1 << 64) if v >> 63 else v for v in sums), s.tobytes() if n else None)):
+                        c.append(x)
+                    pos, held = pos + 1, held + n
+                    if held >= CHUNK or pos >= CHUNK:
+                        chunk, pos, held = chunk + 1, 0, 0
+                kinds = (*[pa.int64()] * 5, pa.binary())
+                made = [pa.array(c, x) for c, x in zip(cols, kinds)]
+                yield pa.RecordBatch.from_arrays([*made[:2], piece.column(0), *made[2:]], names=names)
+        del words_of
+        tidy()
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, SETS)
+
+
+def _edges(u: np.ndarray, n: int) -> np.ndarray:
+    """Where each of ``n`` buckets begins among sorted tokens."""
+    return np.searchsorted(_bucket(u, n), np.arange(n + 1, dtype=np.uint64))
+
+
+def _bits(table: pa.Table | pa.RecordBatch, name: str, at: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(table.column(name)[at].as_buffer(), dtype=np.uint8), count=n)
+
+
+ANSWERS = "chunk long, first long, last long, bucket int, shared binary, frequent binary"
+
+
+def token_classes(sets: DataFrame, n: int, rare: int) -> DataFrame:
+    """Per stretch of a chunk (rows from place ``first`` to ``last``) and bucket: which of the stretch's distinct tokens there, in order,
+    are in two or more documents (``shared``) and in more than ``rare`` (``frequent``). No row where none is shared.
+
+    A token crosses the shuffle once a stretch, with its count there (255 at most, which is above any ``rare``).
     """
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = int(max(8, -(-size // 12_000_000)))
-    most = 1 << max(3, (FILTER_BYTES // 2 // n).bit_length() - 1)
 
     def send(batches):
-        words_of, held, count = HashCache(), [], 0
+        held, at, first, last = [], None, 0, 0
 
         def flush():
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            u = np.repeat(u, np.minimum(c, rare + 1))
-            edges = np.searchsorted(_bucket(u, n), np.arange(n + 1))
+            edges = _edges(u, n)
             full = np.flatnonzero(np.diff(edges))
             low = u & LOW
-            four, one = low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8)
+            parts = (low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), np.minimum(c, 255).astype(np.uint8))
+            cut = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full.astype(np.int32)),
-                    pa.array([four[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
-                    pa.array([one[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary()),
-                ],
-                names=["bucket", "low", "high"],
+                [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), at)), pa.array(np.full(len(full), first)), pa.array(np.full(len(full), last)), *map(cut, parts)],
+                names=["bucket", "chunk", "first", "last", "low", "high", "times"],
             )
 
         for b in batches:
-            for t in b.column(0).cast(pa.binary()):
-                s = shingle_set(t.as_py(), words_of, width)
-                if len(s):
-                    held.append(s)
-                    count += len(s)
-                if count >= FLUSH:
+            for chunk, pos, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if held and (chunk != at or pos < last):
                     yield flush()
-                    held, count = [], 0
+                    held = []
+                if not held:
+                    at, first = chunk, pos
+                held.append(np.frombuffer(t.as_py(), dtype=np.uint64))
+                last = pos
         if held:
             yield flush()
-        del held, words_of
+        del held
         tidy()
 
-    def count(table: pa.Table) -> pa.Table:
+    def answer(table: pa.Table) -> pa.Table:
         joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
+        times = joined("times", np.uint8)
         keys = joined("low", np.uint32).astype(np.uint64) | joined("high", np.uint8).astype(np.uint64) << np.uint64(32)
-        u, c = np.unique(keys, return_counts=True)
-        return pa.table(
-            {
-                "bucket": table.column("bucket").slice(0, 1),
-                "shared": pa.array([_segment(u[c > 1], most)], pa.binary()),
-                "frequent": pa.array([_segment(u[c > rare], most)], pa.binary()),
-            }
-        )
+        _, back = np.unique(keys, return_inverse=True)
+        total = np.bincount(back, weights=times)[back]
+        ends = np.cumsum([len(x) for x in table.column("times").to_pylist()])
+        shared, frequent = (np.split(total > least, ends[:-1]) for least in (1, rare))
+        some = [k for k, x in enumerate(shared) if x.any()]
+        pack = lambda x: pa.array([np.packbits(x[k]).tobytes() for k in some], pa.binary())
+        return pa.table({**{c: table.column(c).take(pa.array(some, pa.int64())) for c in ("chunk", "first", "last", "bucket")}, "shared": pack(shared), "frequent": pack(frequent)})
 
-    sent = docs.select(text_col).mapInArrow(send, "bucket int, low binary, high binary")
-    rows = sent.groupBy("bucket").applyInArrow(count, "bucket int, shared binary, frequent binary").collect()
-    return Filters(n, rows)
+    sent = sets.filter("tokens IS NOT NULL").select("chunk", "pos", "tokens").mapInArrow(send, "bucket int, chunk long, first long, last long, low binary, high binary, times binary")
+    return sent.groupBy("bucket").applyInArrow(answer, ANSWERS)
 
 
 def parity_bits(tokens: np.ndarray) -> bytes:
@@ -214,73 +219,74 @@ def close_pairs(ids, comps, sizes, chunks, bitmaps, percent: int) -> tuple[list[
 
 
 def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Close pairs (a, b) of posting lists: rows (k1, k2, i, j, chunk, id, component, n, bits), a block (k1, k2, i, j) at a time."""
+    """Close pairs (a, b) of posting lists: rows (k0, k1, k2, i, j, chunk, id, component, n, bits), a block (k0, k1, k2, i, j) at a time."""
 
     def run(batches):
         held, at = [], None
 
         def done():
             x = list(zip(*held))
-            a, b = close_pairs(x[6], x[7], x[8], x[5], x[9], percent)
+            a, b = close_pairs(*x[1:4], x[0], x[4], percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[:4] != at:
+                if row[:5] != at:
                     if len(held) > 1:
                         yield done()
-                    held, at = [], row[:4]
-                held.append((*row[:4], None, *row[4:]))
+                    held, at = [], row[:5]
+                held.append(row[5:])
         if len(held) > 1:
             yield done()
 
-    key = ["k1", "k2", "i", "j"]
+    key = ["k0", "k1", "k2", "i", "j"]
     dealt = lists.select(*key, "chunk", "id", "component", "n", "bits").repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(run, "a long, b long")
 
 
-PREFIX = "id long, n_shingles long, s1 long, s2 long, rare array<long>, frequent array<long>, tokens binary, bits binary"
-
-
-def prefixes(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, filters: Filters) -> DataFrame:
-    """Per row: the set's size and signature; its indexed prefix tokens by class, and, if any, the whole set."""
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
-
-    def run(batches):
-        words_of, f = HashCache(), shared.value
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                cols = [[] for _ in range(7)]
-                for t in part.column(1).cast(pa.binary()):
-                    s = shingle_set(t.as_py(), words_of, width)
-                    n = len(s)
-                    rare = frequent = s[:0]
-                    if n:
-                        cls = f.classes(s)
-                        least = -(-percent * n // 100)
-                        m = min(n, n - least + min(COLOURS + 1, least))
-                        if np.count_nonzero(cls == 0) < m:
-                            first = np.argsort(cls, kind="stable")[:m]
-                            c = cls[first]
-                            rare, frequent = s[first[c == 1]], s[first[c == 2]]
-                    mixed = mix64(s)
-                    sums = (int(mixed.sum(dtype=np.uint64)) if n else 0, int(np.bitwise_xor.reduce(mix64(mixed + np.uint64(n)))) if n else 0)
-                    indexed = len(rare) + len(frequent) > 0
-                    for c, x in zip(
-                        cols,
-                        (n, *(v - (1 << 64) if v >> 63 else v for v in sums), rare.view(np.int64), frequent.view(np.int64), s.tobytes() if indexed else None, parity_bits(s) if indexed else None),
-                    ):
-                        c.append(x)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                    names=["id", "n_shingles", "s1", "s2", "rare", "frequent", "tokens", "bits"],
-                )
-        del words_of
-        tidy()
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, PREFIX)
+PREFIX = "id long, n_shingles long, s1 long, s2 long, classes array<int>, rare array<long>, frequent array<long>, tokens binary, bits binary"
+
+
+def prefixes(sets: DataFrame, answers: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row with tokens: size and signature; its indexed prefix tokens by class, and, if any, its size classes and the whole set."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.sort_by("pos")
+        pos = left.column("pos").to_numpy()
+        docs = [np.frombuffer(t, dtype=np.uint64) for t in left.column("tokens").to_pylist()]
+        first = right.column("first").to_numpy()
+        classes: list[np.ndarray | None] = [None] * len(docs)
+        right = right.combine_chunks()
+        for at, end in sorted(set(zip(first.tolist(), right.column("last").to_pylist()))):
+            lo, hi = np.searchsorted(pos, at), np.searchsorted(pos, end, side="right")
+            u, back = np.unique(np.concatenate(docs[lo:hi]), return_inverse=True)
+            edges = _edges(u, n)
+            of = np.zeros(len(u), dtype=np.int8)
+            for r in np.flatnonzero(first == at).tolist():
+                k = right.column("bucket")[r].as_py()
+                size = int(edges[k + 1] - edges[k])
+                of[edges[k] : edges[k + 1]] = _bits(right, "shared", r, size) + _bits(right, "frequent", r, size)
+            ends = np.cumsum([len(x) for x in docs[lo:hi]])
+            classes[lo:hi] = np.split(of[back], ends[:-1])
+        cols = [[] for _ in range(5)]
+        for s, cls in zip(docs, classes):
+            row = (None, [], [], None, None)
+            size = len(s)
+            which = size_classes(size, percent)
+            m = min(size, size - _least(size, percent) + colours(which[-1], percent) + 1)
+            # a stretch without an answer shares nothing
+            if cls is not None and np.count_nonzero(cls == 0) < m:
+                head = np.argsort(cls, kind="stable")[:m]
+                c = cls[head]
+                rare, frequent = s[head[c == 1]], s[head[c == 2]]
+                row = (which, rare.view(np.int64), frequent.view(np.int64), s.tobytes(), parity_bits(s))
+            for c, x in zip(cols, row):
+                c.append(x)
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        made = dict(zip(("classes", "rare", "frequent", "tokens", "bits"), (pa.array(c, x) for c, x in zip(cols, kinds))))
+        return pa.table({**{c: left.column(c) for c in ("id", "n_shingles", "s1", "s2")}, **made})
+
+    return sets.filter("tokens IS NOT NULL").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PREFIX)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -306,36 +312,39 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    percent: int = 80,
-    rare: int = 32,
-    combination_size: int = 400,
-) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, rare: int = 32) -> DataFrame:
     """Per row: the id, ``n_shingles`` and ``component_id``, the smallest id reachable by links, itself included.
 
-    Two rows link when 100 * |A & B| >= percent * |A | B| over their distinct ``width``-word shingles. Rows
-    without words have no shingles and link with nothing. Rows with one id are one document with the
-    links of all of them. A null id comes back with a null component and links with nothing. Columns other
-    than id and text are ignored; an empty table gives an empty result. ``rare``: a token of more documents
-    counts as frequent. Sets above ``combination_size`` are indexed by single frequent tokens too, because
-    their combinations would be too many.
+    Two rows link when 100 * |A & B| >= percent * |A | B| over their distinct ``width``-word shingles; exact for every
+    ``percent`` from 1 to 100. ``rare`` (254 at most): a token of more documents counts as frequent.
+
+    Ids are of an integer type. Nulls: a null text has no shingles and links with nothing, like an empty one or one of white
+    space; a null id comes back with a null component and links with nothing. Very long texts: taken whole, whatever their size. Ties: a pair
+    exactly at the threshold links. Repeated rows: come back a row each; rows with one id are one document with the links of
+    all of them. An empty table gives an empty result. Columns other than id and text are ignored, whatever their names.
     """
+    if not 1 <= percent <= 100 or not 1 <= rare <= 254:
+        raise ValueError("percent is from 1 to 100, rare from 1 to 254")
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "jaccard")
-    filters = token_filters(docs, text_col, width, rare)
+    docs = docs.select(long_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("t"))
+    size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = int(max(8, -(-size // BUCKET_BYTES)))
+    every = scratch.table(token_sets(docs, "id", "t", width), "every")
+    answers = scratch.table(token_classes(every, n, rare), "answers")
+    scratch.release_shuffles()
+    # rows without tokens are few columns, and the others come back from the chunks
+    rows = scratch.table(prefixes(every, answers, n, percent), "prefixes")
+    without = scratch.table(every.filter("tokens IS NULL").select("id", "n_shingles", "s1", "s2"), "without")
+    scratch.drop("every", "answers")
     scratch.release_shuffles()
-    rows = scratch.table(prefixes(docs, id_col, text_col, width, percent, filters), "prefixes")
-    real = rows.filter("n_shingles > 0 AND id IS NOT NULL")
+    real = rows.filter("id IS NOT NULL")
     key = ["n_shingles", "s1", "s2"]
     groups = scratch.table(real.groupBy(*key).agg(F.min("id").alias("rep")), "groups")
     # of each group of equal sets one row goes on, and only where it has tokens that others may share
     sets = scratch.table(
-        real.filter("tokens IS NOT NULL").join(groups, key).filter("id = rep").select("id", "n_shingles", "rare", "frequent", "tokens", "bits"),
+        real.filter("tokens IS NOT NULL").join(groups, key).filter("id = rep").select("id", "n_shingles", "classes", "rare", "frequent", "tokens", "bits"),
         "sets",
     )
     # an id with several texts joins their groups
@@ -350,12 +359,10 @@ def jaccard_components(
     joined = components(links, scratch, "first")
 
     # posting lists that still hold several components
-    posts = sets.select("id", "n_shingles", F.explode("rare").alias("token"), F.lit(False).alias("often")).union(
-        sets.select("id", "n_shingles", F.explode("frequent"), F.lit(True))
+    posts = sets.select("id", "classes", F.explode("rare").alias("token"), F.lit(False).alias("often")).union(
+        sets.select("id", "classes", F.explode("frequent"), F.lit(True))
     )
     placed = posts.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    # a set that must share no more than COLOURS tokens has all its combinations indexed
-    placed = placed.withColumn("small", F.ceil(F.col("n_shingles") * percent / 100) <= COLOURS)
     mixed = (
         placed.groupBy("token", "often")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"))
@@ -363,33 +370,34 @@ def jaccard_components(
         .select("token")
     )
     open_posts = scratch.table(placed.join(mixed, "token"), "open")
-    single = open_posts.filter("NOT often").select("id", "component", F.col("token").alias("k1"), F.lit(0).cast("long").alias("k2"))
-    often = open_posts.filter("often")
-    by_doc = often.filter(F.col("n_shingles") <= combination_size).groupBy("id", "component", "small").agg(F.array_sort(F.collect_set("token")).alias("f"))
-    colour = lambda t: F.pmod(F.shiftright(t, 7), F.lit(COLOURS))
-    partner = F.filter(F.slice("f", F.col("p") + 2, F.size("f")), lambda t: (colour(t) == colour(F.col("k1"))) | F.col("small"))
-    twos = by_doc.select("id", "component", "small", "f", F.posexplode("f").alias("p", "k1")).select("id", "component", "k1", F.explode(partner).alias("k2"))
-    large = often.filter(F.col("n_shingles") * 100 >= percent * combination_size).select(
-        "id", "component", F.col("token").alias("k1"), F.lit(1).cast("long").alias("k2")
+    long = lambda x: F.lit(x).cast("long")
+    single = open_posts.filter("NOT often").select("id", "component", F.lit(-1).alias("k0"), F.col("token").alias("k1"), long(0).alias("k2"))
+    often = open_posts.filter("often").select("id", "component", "token", F.explode("classes").alias("k0"))
+    often = often.withColumn("c", F.element_at(F.array(*[F.lit(colours(k, percent)) for k in range(CLASSES)]), F.least(F.col("k0") + 1, F.lit(CLASSES))))
+    alone = often.filter("c = 0").select("id", "component", "k0", F.col("token").alias("k1"), long(1).alias("k2"))
+    coloured = often.filter("c > 0").groupBy("id", "component", "k0", F.pmod(F.shiftright("token", 7), "c")).agg(F.array_sort(F.collect_set("token")).alias("f"))
+    twos = coloured.select("id", "component", "k0", "f", F.posexplode("f").alias("p", "k1")).select(
+        "id", "component", "k0", "k1", F.explode(F.slice("f", F.col("p") + 2, F.size("f"))).alias("k2")
     )
-    keys = single.union(twos).union(large)
+    keys = single.union(alone).union(twos)
+    ks = ["k0", "k1", "k2"]
     # of lists with the same members one is enough
     lists = (
-        keys.groupBy("k1", "k2")
+        keys.groupBy(*ks)
         .agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"),
             F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"),
         )
         .filter("lo <> hi")
         .groupBy("lo", "hi", "n", "x1", "x2")
-        .agg(F.min(F.struct("k1", "k2")).alias("k"))
-        .select("k.k1", "k.k2", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
+        .agg(F.min(F.struct(*ks)).alias("k"))
+        .select("k.k0", "k.k1", "k.k2", F.ceil(F.col("n") / BLOCK).cast("int").alias("chunks"))
     )
     blocks = (
-        keys.join(lists, ["k1", "k2"])
+        keys.join(lists, ks)
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("k1", "k2", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "component")
+        .select(*ks, F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "component")
         .join(sets.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
     )
     across = block_pairs(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti")
@@ -398,7 +406,7 @@ def jaccard_components(
         joined = components(links.union(more), scratch, "second")
     scratch.drop("open", "sets", "tried")
     found = groups.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("c"))
-    placed = rows.select("id", *key).join(found, key, "left")
+    placed = rows.select("id", *key).union(without).join(found, key, "left")
     return placed.select(
         F.col("id").alias(id_col),
         "n_shingles",
@@ -411,51 +419,20 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(docs, width=4, percent=85)
 
 
-def id_filter(ids: DataFrame, id_col: str) -> Filters:
-    """A Bloom filter of bounded size of the ids' hashes: what it doesn't hold isn't among them."""
-    n = max(1, -(-ids.count() // 1_000_000))
-    most = 1 << max(3, (FILTER_BYTES // 3 // n).bit_length() - 1)
-
-    def segment(table: pa.Table) -> pa.Table:
-        keys = np.unique(table.column("h").to_numpy().view(np.uint64) & LOW)
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "shared": pa.array([_segment(keys, most)], pa.binary()), "frequent": pa.array([b""], pa.binary())})
-
-    def deal(batches):
-        for b in batches:
-            h = b.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(_bucket(h.view(np.uint64), n).astype(np.int32)), pa.array(h)], names=["bucket", "h"])
-
-    hashed = ids.select(F.xxhash64(id_col).alias("h")).mapInArrow(deal, "bucket int, h long")
-    return Filters(n, hashed.groupBy("bucket").applyInArrow(segment, "bucket int, shared binary, frequent binary").collect())
-
-
-def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the rows of ``ids``; only rows that a filter can't clear take part in the join, so few texts are shuffled."""
-    shared = docs.sparkSession.sparkContext.broadcast(id_filter(ids, id_col))
-    out = T.StructType([*docs.schema.fields, T.StructField("__lw_maybe", T.BooleanType())])
-
-    def run(batches):
-        for b in batches:
-            maybe = shared.value.classes(b.column(b.num_columns - 1).to_numpy().view(np.uint64)) > 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(maybe)], names=[*b.schema.names[:-1], "__lw_maybe"])
-
-    flagged = docs.withColumn("__lw_h", F.xxhash64(id_col)).mapInArrow(run, out)
-    clear = flagged.filter("NOT __lw_maybe").drop("__lw_maybe")
-    return clear.unionByName(flagged.filter("__lw_maybe").drop("__lw_maybe").join(ids, id_col, "left_anti").select(*docs.columns))
-
-
 def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component of near duplicates: the one of the smallest id.
 
-    Rows without words or id link with nothing and stay. Of several rows with one id the one of the smallest text stays.
+    Ids are of an integer type. Rows without words or id link with nothing and stay. Of several rows with one id the one of the smallest
+    text stays (a null is the largest; of equal rows one). Very long texts are compared whole, an empty table gives an empty
+    one, and all columns pass through.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    found = scratch.table(jaccard_components(docs, id_col, text_col, width, percent).filter(f"{id_col} IS NOT NULL"), "components")
-    gone = scratch.table(found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct(), "gone")
-    kept = without(docs, gone, id_col)
+    found = scratch.table(jaccard_components(docs, id_col, text_col, width, percent).filter(f"`{id_col}` IS NOT NULL"), "components")
+    gone = scratch.table(found.filter(F.col("component_id") != F.col(f"`{id_col}`")).select(id_col).distinct(), "gone")
+    kept = docs.join(gone, id_col, "left_anti")
     several = scratch.table(found.groupBy(id_col).count().filter("count > 1").select(id_col), "several")
     if not several.isEmpty():
-        first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
-        one = kept.join(several, id_col, "left_semi").withColumn("__first", first).filter("__first = 1").drop("__first")
+        first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(f"`{text_col}`").asc_nulls_last()))
+        one = kept.join(several, id_col, "left_semi").withColumn("__lw_first", first).filter("__lw_first = 1").drop("__lw_first")
         kept = kept.join(several, id_col, "left_anti").unionByName(one)
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

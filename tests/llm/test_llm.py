@@ -189,9 +189,12 @@ def test_jaccard_edges(edge, none):
     assert jaccard_components(none).count() == 0
 
 
-@pytest.mark.parametrize("rare,combination_size", [(1, 400), (2, 20), (32, 400)])
-def test_jaccard_on_graded_copies(spark, rare, combination_size):
+@pytest.mark.parametrize("rare,percent,chunk", [(1, 70, 1_000_000), (2, 85, 300), (32, 70, 300), (1, 30, 500), (1, 50, 500), (3, 95, 50)])
+def test_jaccard_on_graded_copies(spark, rare, percent, chunk, monkeypatch):
     """Chains of copies with more and more edits, above and below the threshold, of short to long texts."""
+    import lumenweave.llm.jaccard_join as j
+
+    monkeypatch.setattr(j, "CHUNK", chunk)
     rng = np.random.default_rng(rare)
     rows = []
     for g, n in enumerate((3, 8, 19, 21, 40, 60)):
@@ -203,8 +206,56 @@ def test_jaccard_on_graded_copies(spark, rare, combination_size):
             rows.append((len(rows) + 1, " ".join(w)))
             if rng.random() < 0.3:
                 base = w
-    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=70, rare=rare, combination_size=combination_size)
-    assert result(got) == brute_components(rows, 2, 70)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=2, percent=percent, rare=rare)
+    assert result(got) == brute_components(rows, 2, percent)
+
+
+@pytest.mark.parametrize("percent", [30, 40, 50, 60, 80])
+def test_jaccard_by_one_frequent_token(spark, percent):
+    """Sets whose only shared token is a frequent one, of one word and of few."""
+    rows = [(k, f"alpha p{k} q{k} r{k}") for k in range(40)] + [(100, "alpha"), (101, "alpha beta"), (102, "beta gamma"), (103, "beta gamma alpha"), (104, "Alpha"), (105, "p3 q3")]
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=1, percent=percent, rare=3)
+    assert result(got) == brute_components(rows, 1, percent)
+
+
+def test_jaccard_of_large_sets_that_share_frequent_tokens(spark):
+    """Sets of over 400 shingles that are mostly passages of many documents: links by combinations alone."""
+    rng = np.random.default_rng(6)
+    passages = [[f"p{p}w{k}" for k in range(rng.integers(60, 160))] for p in range(14)]
+    rows = []
+    for k in range(90):
+        w = [x for p in rng.permutation(14)[: rng.integers(3, 12)] for x in passages[p]] + [f"d{k}u{j}" for j in range(rng.integers(0, 120))]
+        rows.append((k, " ".join(w)))
+    for k in range(0, 90, 3):
+        w = rows[k][1].split()
+        for _ in range(rng.integers(0, max(1, len(w) // 25))):
+            w[rng.integers(len(w))] = f"e{rng.integers(9999)}"
+        rows.append((200 + k, " ".join(w)))
+    for percent in (55, 80):
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=percent, rare=2)
+        assert result(got) == brute_components(rows, 3, percent)
+
+
+def test_combinations_meet_wherever_sets_link():
+    """C is below what two sets of a class share, sets that may link have a class in common, and combinations grow linearly."""
+    from lumenweave.llm.jaccard_join import _least, colours, size_classes
+
+    for percent in (1, 20, 30, 50, 66, 80, 85, 95, 100):
+        for n in [*range(1, 300), 1000, 4096, 20_000, 100_000]:
+            own = size_classes(n, percent)
+            c = colours(own[-1], percent)
+            for m in {_least(n, percent), (_least(n, percent) + n) // 2, n}:
+                both = set(own) & set(size_classes(m, percent))
+                assert both and all(colours(k, percent) < _least(n, percent) for k in both)
+                assert all(colours(k, percent) <= min(c, colours(size_classes(m, percent)[-1], percent)) for k in both)
+            if c and percent >= 50:
+                f = n - _least(n, percent) + c + 1
+                assert f * f / (2 * c) <= 12 * n + 40
+
+
+def test_jaccard_refuses_ids_of_text(spark):
+    with pytest.raises(TypeError, match="integer"):
+        jaccard_components(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
 
 
 def test_close_pairs_lose_nothing_and_rule_out_most():
