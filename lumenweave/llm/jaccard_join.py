@@ -12,15 +12,16 @@ class, then hash: tokens of one document, tokens of few (rare), tokens of many (
   share. Sets at the border of a class are indexed in the classes below too that they may link with. Where sets are so small
   that one shared token may be all they must share, C is 0 and single frequent tokens are indexed,
 
-and every candidate is verified on the full sets. Classes come from the document frequency of every
-token, counted over all documents: each chunk of documents sends its distinct tokens to their buckets, which
-answer with the class of each, and chunks and answers meet again by the chunk's number. No table of tokens is
-broadcast or brought to the driver.
+and every candidate is verified. Classes come from the document frequency of every token, counted over all
+documents: each chunk of documents sends its distinct tokens to their buckets, which answer with the class of
+those in two or more documents, and chunks and answers meet again by the chunk's number. No table of tokens is
+broadcast or brought to the driver. A document goes on with these tokens alone: one without partners is in no
+intersection, and how many a document has of them follows from the set's size.
 
 Groups of similar texts are never expanded. Each posting list first verifies its members against one
 pivot; only lists whose members still lie in different components are compared among themselves, in
 blocks and only across components, on parity bitmaps: the bits in which two of them differ are at most
-the tokens in which the sets differ, so what they rule out is ruled out for certain, and only the pairs
+the shared tokens in which the sets differ, so what they rule out is ruled out for certain, and only the pairs
 that remain become rows to verify. Equal sets are one node throughout.
 """
 
@@ -28,13 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import HashCache, Scratch, long_id, mix64, read_table, ship_package, tidy, window_hashes
 from .components import components
 
-LOW = np.uint64((1 << 40) - 1)
+LOW = np.uint64((1 << 48) - 1)
 CHUNK = 1_000_000  # tokens of the documents that send and are answered together
 BUCKET_BYTES = 12_000_000  # of text, whose tokens one bucket counts
 BLOCK = 1024  # members of a posting list that one comparison holds twice, at most
@@ -71,121 +73,144 @@ def _bucket(tokens: np.ndarray, n: int) -> np.ndarray:
     return ((tokens >> np.uint64(40)) * np.uint64(n)) >> np.uint64(24)
 
 
-SETS = "chunk long, pos long, id long, n_shingles long, s1 long, s2 long, tokens binary"
+def pack_places(places: list[np.ndarray]) -> list[bytes]:
+    """Ascending numbers as gaps of 16 bits, one array each; 65535 means that as much and what follows."""
+    gaps = np.concatenate([np.diff(p, prepend=0) for p in places]).astype(np.int64)
+    whole, rest = np.divmod(gaps, 65535)
+    at = np.cumsum(whole + 1) - 1
+    out = np.full(int(at[-1]) + 1, 65535, dtype="<u2")
+    out[at] = rest
+    ends = at[np.cumsum([len(p) for p in places]) - 1] + 1
+    return [x.tobytes() for x in np.split(out, ends[:-1])]
 
 
-def token_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row: its chunk and place there, the set's size, signature (two sums over its tokens) and tokens, in hash order."""
+def unpack_places(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of all arrays, and where each array ends among them."""
+    gaps = np.frombuffer(b"".join(blobs), dtype="<u2").astype(np.int64)
+    last = np.flatnonzero(gaps != 65535)
+    total = np.cumsum(gaps)
+    blob_end = np.cumsum([len(x) // 2 for x in blobs])
+    ends = np.searchsorted(last, blob_end)
+    before = np.concatenate([[0], total[blob_end[:-1] - 1]])
+    return total[last] - np.repeat(before, np.diff(ends, prepend=0)), ends
+
+
+SENT = "key long, chunk long, id long, n_shingles long, s1 long, s2 long, places binary, start long, four binary, two binary, times binary"
+
+
+def sent_tokens(docs: DataFrame, n: int, id_col: str, text_col: str, width: int) -> DataFrame:
+    """Two kinds of rows. ``key`` below 0: a document of a chunk, with its set's size, signature (two sums over its tokens) and its
+    tokens as places in the chunk's list of distinct tokens. Otherwise: those of a chunk's tokens that fall into bucket ``key``, from
+    place ``start`` on, as 48 bits each, with their counts in the chunk (255 at most, which is above any ``rare``)."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        words_of, part, names = HashCache(), TaskContext.get().partitionId() << 32, [f.split()[0] for f in SETS.split(", ")]
-        chunk = pos = held = 0
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                cols = [[] for _ in range(6)]
-                piece = b.slice(k, 512)
-                for t in piece.column(1).cast(pa.binary()):
-                    s = shingle_set(t.as_py(), words_of, width)
-                    n = len(s)
-                    mixed = mix64(s)
-                    sums = (int(mixed.sum(dtype=np.uint64)) if n else 0, int(np.bitwise_xor.reduce(mix64(mixed + np.uint64(n)))) if n else 0)
-                    for c, x in zip(cols, (part + chunk, pos, n, *(v - (1 << 64) if v >> 63 else v for v in sums), s.tobytes() if n else None)):
-                        c.append(x)
-                    pos, held = pos + 1, held + n
-                    if held >= CHUNK or pos >= CHUNK:
-                        chunk, pos, held = chunk + 1, 0, 0
-                kinds = (*[pa.int64()] * 5, pa.binary())
-                made = [pa.array(c, x) for c, x in zip(cols, kinds)]
-                yield pa.RecordBatch.from_arrays([*made[:2], piece.column(0), *made[2:]], names=names)
-        del words_of
-        tidy()
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, SETS)
+        words_of, chunk, held, count = HashCache(), TaskContext.get().partitionId() << 32, [], 0
+        kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in SENT.split(", ")]
+        names = [f.split()[0] for f in SENT.split(", ")]
 
+        def rows(n_rows, **cols):
+            full = [pa.array(cols[c], k) if c in cols else pa.nulls(n_rows, k) for c, k in zip(names, kinds)]
+            return pa.RecordBatch.from_arrays(full, names=names)
 
-def _edges(u: np.ndarray, n: int) -> np.ndarray:
-    """Where each of ``n`` buckets begins among sorted tokens."""
-    return np.searchsorted(_bucket(u, n), np.arange(n + 1, dtype=np.uint64))
+        def flush():
+            ids, sets = zip(*held)
+            u, back, c = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            size = np.array([len(x) for x in sets])
+            ends = np.cumsum(size)
+            some = size > 0
+            mixed, salt = mix64(u)[back], np.repeat(size.astype(np.uint64), size)
+            both = [np.zeros(len(sets), dtype=np.uint64) for _ in range(2)]
+            if len(u):
+                begin = (ends - size)[some]
+                both[0][some] = np.add.reduceat(mixed, begin)
+                both[1][some] = np.bitwise_xor.reduceat(mix64(mixed + salt), begin)
+            packed = iter(pack_places([x for x in np.split(back, ends[:-1]) if len(x)]) if len(u) else [])
+            places = [next(packed) if x else None for x in some.tolist()]
+            s1, s2 = (x.view(np.int64) for x in both)
+            yield rows(len(ids), key=np.full(len(ids), -1 - chunk), chunk=np.full(len(ids), chunk), id=ids, n_shingles=size, s1=s1, s2=s2, places=places)
+            edges = np.searchsorted(_bucket(u, n), np.arange(n + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(edges))
+            low = u & LOW
+            cut = lambda x: [x[edges[k] : edges[k + 1]].tobytes() for k in full]
+            four, two, times = low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), np.minimum(c, 255).astype(np.uint8)
+            yield rows(len(full), key=full, chunk=np.full(len(full), chunk), start=edges[full], four=cut(four), two=cut(two), times=cut(times))
 
+        for b in batches:
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                s = shingle_set(t.as_py(), words_of, width)
+                held.append((doc, s))
+                count += len(s)
+                if count >= CHUNK or len(held) >= CHUNK:
+                    yield from flush()
+                    chunk, held, count = chunk + 1, [], 0
+        if held:
+            yield from flush()
+        del words_of, held
+        tidy()
 
-def _bits(table: pa.Table | pa.RecordBatch, name: str, at: int, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(table.column(name)[at].as_buffer(), dtype=np.uint8), count=n)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, SENT)
 
 
-ANSWERS = "chunk long, first long, last long, bucket int, shared binary, frequent binary"
+def _identity(bucket: int, low: np.ndarray) -> np.ndarray:
+    """A token's number from its bucket and 48 bits, the same everywhere."""
+    with np.errstate(over="ignore"):
+        return mix64(low + np.uint64(bucket + 1) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def token_classes(sets: DataFrame, n: int, rare: int) -> DataFrame:
-    """Per stretch of a chunk (rows from place ``first`` to ``last``) and bucket: which of the stretch's distinct tokens there, in order,
-    are in two or more documents (``shared``) and in more than ``rare`` (``frequent``). No row where none is shared.
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
 
-    A token crosses the shuffle once a stretch, with its count there (255 at most, which is above any ``rare``).
-    """
 
-    def send(batches):
-        held, at, first, last = [], None, 0, 0
+ANSWERED = "chunk long, id long, n_shingles long, s1 long, s2 long, places binary, start long, shared binary, frequent binary, tokens binary"
 
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            edges = _edges(u, n)
-            full = np.flatnonzero(np.diff(edges))
-            low = u & LOW
-            parts = (low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint8), np.minimum(c, 255).astype(np.uint8))
-            cut = lambda x: pa.array([x[edges[k] : edges[k + 1]].tobytes() for k in full], pa.binary())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array(np.full(len(full), at)), pa.array(np.full(len(full), first)), pa.array(np.full(len(full), last)), *map(cut, parts)],
-                names=["bucket", "chunk", "first", "last", "low", "high", "times"],
-            )
 
-        for b in batches:
-            for chunk, pos, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if held and (chunk != at or pos < last):
-                    yield flush()
-                    held = []
-                if not held:
-                    at, first = chunk, pos
-                held.append(np.frombuffer(t.as_py(), dtype=np.uint64))
-                last = pos
-        if held:
-            yield flush()
-        del held
-        tidy()
+def answered_tokens(sent: DataFrame, rare: int) -> DataFrame:
+    """Documents as they are; and per chunk and bucket, which of the chunk's tokens there, in order, are in two or more documents
+    (``shared``), their numbers (``tokens``), and which of these are in more than ``rare`` (``frequent``)."""
+    names = [f.split()[0] for f in ANSWERED.split(", ")]
+    kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in ANSWERED.split(", ")]
 
     def answer(table: pa.Table) -> pa.Table:
-        joined = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), dtype=kind)
-        times = joined("times", np.uint8)
-        keys = joined("low", np.uint32).astype(np.uint64) | joined("high", np.uint8).astype(np.uint64) << np.uint64(32)
-        _, back = np.unique(keys, return_inverse=True)
+        bucket = table.column("key")[0].as_py()
+        if bucket < 0:
+            return pa.table({c: table.column(c) if c in table.column_names else pa.nulls(len(table), k) for c, k in zip(names, kinds)})
+        times = _joined(table, "times", np.uint8)
+        low = _joined(table, "four", np.uint32).astype(np.uint64) | _joined(table, "two", np.uint16).astype(np.uint64) << np.uint64(32)
+        _, back = np.unique(low, return_inverse=True)
         total = np.bincount(back, weights=times)[back]
         ends = np.cumsum([len(x) for x in table.column("times").to_pylist()])
-        shared, frequent = (np.split(total > least, ends[:-1]) for least in (1, rare))
+        shared, total, low = (np.split(x, ends[:-1]) for x in (total > 1, total, low))
         some = [k for k, x in enumerate(shared) if x.any()]
-        pack = lambda x: pa.array([np.packbits(x[k]).tobytes() for k in some], pa.binary())
-        return pa.table({**{c: table.column(c).take(pa.array(some, pa.int64())) for c in ("chunk", "first", "last", "bucket")}, "shared": pack(shared), "frequent": pack(frequent)})
+        made = {
+            "shared": [np.packbits(shared[k]).tobytes() for k in some],
+            "frequent": [np.packbits(total[k][shared[k]] > rare).tobytes() for k in some],
+            "tokens": [_identity(bucket, low[k][shared[k]]).tobytes() for k in some],
+        }
+        kept = {c: table.column(c).take(pa.array(some, pa.int64())) for c in ("chunk", "start")}
+        return pa.table({c: kept[c] if c in kept else pa.array(made[c], k) if c in made else pa.nulls(len(some), k) for c, k in zip(names, kinds)})
 
-    sent = sets.filter("tokens IS NOT NULL").select("chunk", "pos", "tokens").mapInArrow(send, "bucket int, chunk long, first long, last long, low binary, high binary, times binary")
-    return sent.groupBy("bucket").applyInArrow(answer, ANSWERS)
+    return sent.groupBy("key").applyInArrow(answer, ANSWERED)
 
 
-def parity_bits(tokens: np.ndarray) -> bytes:
-    """A bitmap of at least 4 bits a token (512 to 32768 bits), each the parity of the tokens that hash to it.
+def parity_bits(tokens: np.ndarray, n: int) -> bytes:
+    """A bitmap of at least 4 bits for each of a set's ``n`` tokens (512 to 32768 bits), each the parity of those of ``tokens`` that hash to it.
 
     Two sets differ in as many tokens as their bitmaps differ in bits, or more. A longer bitmap folds to
     half its length by exclusive or.
     """
     size = 512
-    while size < 4 * len(tokens) and size < 32768:
+    while size < 4 * n and size < 32768:
         size *= 2
     at = (tokens >> np.uint64(40)).astype(np.int64) & (size - 1)
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def close_pairs(ids, comps, sizes, chunks, bitmaps, percent: int) -> tuple[list[int], list[int]]:
-    """Pairs of different components (and, where the block has two chunks, of different ones) that bitmaps don't rule out."""
+def close_pairs(ids, comps, sizes, held, chunks, bitmaps, percent: int) -> tuple[list[int], list[int]]:
+    """Pairs of different components (and, where the block has two chunks, of different ones) that bitmaps of the ``held`` tokens don't rule out."""
     order = np.argsort(sizes, kind="stable")
-    ids, comps, sizes, chunks = (np.asarray(x)[order] for x in (ids, comps, sizes, chunks))
+    ids, comps, sizes, held, chunks = (np.asarray(x)[order] for x in (ids, comps, sizes, held, chunks))
     bitmaps = [np.frombuffer(bitmaps[k], dtype=np.uint64) for k in order]
     two = len(np.unique(chunks)) > 1
     ends = np.searchsorted(sizes, sizes * 100 // percent, side="right")
@@ -209,9 +234,8 @@ def close_pairs(ids, comps, sizes, chunks, bitmaps, percent: int) -> tuple[list[
             if not may.any():
                 continue
             apart = np.bitwise_count(rows[k + 1 - first : int(ends[k]) - first] ^ rows[k - first]).sum(axis=1)
-            total = sizes[other] + sizes[k]
-            need = -(-percent * total // (100 + percent))
-            for j in (np.flatnonzero(may & (apart <= total - 2 * need)) + k + 1).tolist():
+            need = -(-percent * (sizes[other] + sizes[k]) // (100 + percent))
+            for j in (np.flatnonzero(may & (apart <= held[other] + held[k] - 2 * need)) + k + 1).tolist():
                 x, y = int(ids[k]), int(ids[j])
                 a.append(max(x, y))
                 b.append(min(x, y))
@@ -219,14 +243,14 @@ def close_pairs(ids, comps, sizes, chunks, bitmaps, percent: int) -> tuple[list[
 
 
 def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Close pairs (a, b) of posting lists: rows (k0, k1, k2, i, j, chunk, id, component, n, bits), a block (k0, k1, k2, i, j) at a time."""
+    """Close pairs (a, b) of posting lists: rows (k0, k1, k2, i, j, chunk, id, component, n, held, bits), a block (k0, k1, k2, i, j) at a time."""
 
     def run(batches):
         held, at = [], None
 
         def done():
             x = list(zip(*held))
-            a, b = close_pairs(*x[1:4], x[0], x[4], percent)
+            a, b = close_pairs(*x[1:5], x[0], x[5], percent)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
@@ -240,75 +264,70 @@ def block_pairs(lists: DataFrame, percent: int) -> DataFrame:
             yield done()
 
     key = ["k0", "k1", "k2", "i", "j"]
-    dealt = lists.select(*key, "chunk", "id", "component", "n", "bits").repartition(*key).sortWithinPartitions(*key)
+    dealt = lists.select(*key, "chunk", "id", "component", "n", "held", "bits").repartition(*key).sortWithinPartitions(*key)
     return dealt.mapInArrow(run, "a long, b long")
 
 
 PREFIX = "id long, n_shingles long, s1 long, s2 long, classes array<int>, rare array<long>, frequent array<long>, tokens binary, bits binary"
 
 
-def prefixes(sets: DataFrame, answers: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row with tokens: size and signature; its indexed prefix tokens by class, and, if any, its size classes and the whole set."""
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("pos")
-        pos = left.column("pos").to_numpy()
-        docs = [np.frombuffer(t, dtype=np.uint64) for t in left.column("tokens").to_pylist()]
-        first = right.column("first").to_numpy()
-        classes: list[np.ndarray | None] = [None] * len(docs)
-        right = right.combine_chunks()
-        for at, end in sorted(set(zip(first.tolist(), right.column("last").to_pylist()))):
-            lo, hi = np.searchsorted(pos, at), np.searchsorted(pos, end, side="right")
-            u, back = np.unique(np.concatenate(docs[lo:hi]), return_inverse=True)
-            edges = _edges(u, n)
-            of = np.zeros(len(u), dtype=np.int8)
-            for r in np.flatnonzero(first == at).tolist():
-                k = right.column("bucket")[r].as_py()
-                size = int(edges[k + 1] - edges[k])
-                of[edges[k] : edges[k + 1]] = _bits(right, "shared", r, size) + _bits(right, "frequent", r, size)
-            ends = np.cumsum([len(x) for x in docs[lo:hi]])
-            classes[lo:hi] = np.split(of[back], ends[:-1])
-        cols = [[] for _ in range(5)]
-        for s, cls in zip(docs, classes):
+def prefixes(answered: DataFrame, percent: int) -> DataFrame:
+    """Per document: size and signature; and where its prefix holds shared tokens: its size classes, these tokens by class, and all shared tokens of the set."""
+
+    def run(table: pa.Table) -> pa.Table:
+        docs = table.filter(pa.compute.is_valid(table.column("n_shingles")))
+        said = table.filter(pa.compute.is_valid(table.column("start")))
+        some = [x for x in docs.column("places").to_pylist() if x is not None]
+        places, ends = unpack_places(some) if some else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64))
+        size = int(places.max()) + 1 if len(places) else 0
+        kind, token = np.zeros(size, dtype=np.int8), np.zeros(size, dtype=np.uint64)
+        bits = lambda x, n: np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n)
+        for start, shared, frequent, tokens in zip(*(said.column(c).to_pylist() for c in ("start", "shared", "frequent", "tokens"))):
+            t = np.frombuffer(tokens, dtype=np.uint64)
+            at = start + np.flatnonzero(bits(shared, 8 * len(shared)))
+            kind[at], token[at] = 1 + bits(frequent, len(t)), t
+        begin, own = iter([0, *ends[:-1].tolist()]), iter(ends.tolist())
+        kinds, cols = kind[places], [[] for _ in range(5)]
+        for n, p in zip(docs.column("n_shingles").to_pylist(), docs.column("places").to_pylist()):
             row = (None, [], [], None, None)
-            size = len(s)
-            which = size_classes(size, percent)
-            m = min(size, size - _least(size, percent) + colours(which[-1], percent) + 1)
-            # a stretch without an answer shares nothing
-            if cls is not None and np.count_nonzero(cls == 0) < m:
-                head = np.argsort(cls, kind="stable")[:m]
-                c = cls[head]
-                rare, frequent = s[head[c == 1]], s[head[c == 2]]
-                row = (which, rare.view(np.int64), frequent.view(np.int64), s.tobytes(), parity_bits(s))
-            for c, x in zip(cols, row):
-                c.append(x)
-        kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
-        made = dict(zip(("classes", "rare", "frequent", "tokens", "bits"), (pa.array(c, x) for c, x in zip(cols, kinds))))
-        return pa.table({**{c: left.column(c) for c in ("id", "n_shingles", "s1", "s2")}, **made})
-
-    return sets.filter("tokens IS NOT NULL").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, PREFIX)
+            if p is not None:
+                lo, hi = next(begin), next(own)
+                c = kinds[lo:hi]
+                which = size_classes(n, percent)
+                m = min(n, n - _least(n, percent) + colours(which[-1], percent) + 1)
+                hit = np.flatnonzero(c)
+                if n - len(hit) < m:  # of a common order the tokens without partners come first
+                    s, c = token[places[lo:hi][hit]], c[hit]
+                    order = np.lexsort((s, c))[: m - (n - len(hit))]
+                    c, head = c[order], s[order]
+                    row = (which, head[c == 1].view(np.int64), head[c == 2].view(np.int64), np.sort(s).tobytes(), parity_bits(s, n))
+            for col, x in zip(cols, row):
+                col.append(x)
+        types = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
+        made = dict(zip(("classes", "rare", "frequent", "tokens", "bits"), (pa.array(c, x) for c, x in zip(cols, types))))
+        return pa.table({**{c: docs.column(c) for c in ("id", "n_shingles", "s1", "s2")}, **made})
+
+    return answered.groupBy("chunk").applyInArrow(run, PREFIX)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets reach the threshold."""
+    """Those of ``pairs`` (a, b) whose whole sets reach the threshold: by their sizes and the tokens they share."""
 
     def run(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("ta"), b.column("tb")):
-                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-                n, m = sorted((len(x), len(y)))
-                if 100 * n < percent * m:
+            for x, y, n, m in zip(b.column("ta"), b.column("tb"), b.column("na").to_pylist(), b.column("nb").to_pylist()):
+                if 100 * min(n, m) < percent * max(n, m):
                     keep.append(False)
                     continue
-                both = np.concatenate((x, y))
+                both = np.concatenate([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y)])
                 both.sort(kind="stable")
                 inter = int(np.count_nonzero(both[1:] == both[:-1]))
                 keep.append(100 * inter >= percent * (n + m - inter))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}"), F.col("n_shingles").alias(f"n{x}"))
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb", "na", "nb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -331,15 +350,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(long_id(docs, id_col).alias("id"), F.col(f"`{text_col}`").alias("t"))
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(max(8, -(-size // BUCKET_BYTES)))
-    every = scratch.table(token_sets(docs, "id", "t", width), "every")
-    answers = scratch.table(token_classes(every, n, rare), "answers")
+    answered = scratch.table(answered_tokens(sent_tokens(docs, n, "id", "t", width), rare), "answered")
     scratch.release_shuffles()
-    # rows without tokens are few columns, and the others come back from the chunks
-    rows = scratch.table(prefixes(every, answers, n, percent), "prefixes")
-    without = scratch.table(every.filter("tokens IS NULL").select("id", "n_shingles", "s1", "s2"), "without")
-    scratch.drop("every", "answers")
+    rows = scratch.table(prefixes(answered, percent), "prefixes")
+    scratch.drop("answered")
     scratch.release_shuffles()
-    real = rows.filter("id IS NOT NULL")
+    real = rows.filter("n_shingles > 0 AND id IS NOT NULL")
     key = ["n_shingles", "s1", "s2"]
     groups = scratch.table(real.groupBy(*key).agg(F.min("id").alias("rep")), "groups")
     # of each group of equal sets one row goes on, and only where it has tokens that others may share
@@ -398,7 +414,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         .select(*ks, F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "id", "component")
-        .join(sets.select("id", F.col("n_shingles").alias("n"), "bits"), "id")
+        .join(sets.select("id", F.col("n_shingles").alias("n"), (F.octet_length("tokens") / 8).cast("long").alias("held"), "bits"), "id")
     )
     across = block_pairs(blocks, percent).distinct().join(tried, ["a", "b"], "left_anti")
     more = scratch.table(verified(across, sets, percent), "links-1")
@@ -406,7 +422,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         joined = components(links.union(more), scratch, "second")
     scratch.drop("open", "sets", "tried")
     found = groups.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("c"))
-    placed = rows.select("id", *key).union(without).join(found, key, "left")
+    placed = rows.select("id", *key).join(found, key, "left")
     return placed.select(
         F.col("id").alias(id_col),
         "n_shingles",
