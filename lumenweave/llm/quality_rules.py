@@ -1,13 +1,16 @@
 """Operator 8: quality rules as weak supervision.
 
-Each rule votes good (1), bad (-1) or abstains (0) on a document. Vote patterns are counted over all
-documents (at most 3 ** rules of them), expectation-maximisation estimates how each rule votes on good
-and on bad documents and how common good ones are, and a document is kept by its posterior probability,
-not by passing every rule.
+Each rule votes good (1), bad (-1) or abstains (0) on a document. Rules are sensitive: their bad votes
+hit some good documents too. Vote patterns are counted over all documents, expectation-maximisation
+estimates from these counts alone how often each rule votes which way on good and on bad documents and how
+common good ones are, and a document is kept by its posterior probability, not by passing every rule: a bad
+vote may be outweighed, and several abstentions may fail a document that no rule voted against.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from .common import HashCache, Scratch, annotate, read_table, window_hashes
 SYMBOLS = b"#*$%&|<>"
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended_lines",
-    "n_letters", "n_upper", "n_letter_words",
+    "n_letters", "n_upper", "n_letter_words", "n_top_word", "n_distinct",
 )
 
 
@@ -28,7 +31,7 @@ def text_counts(text: bytes | None, words_of: HashCache) -> tuple[int, ...]:
     n = len(words)
     if not n:
         symbols = len(text) - len(text.translate(None, SYMBOLS)) if text else 0
-        return (0, 0, symbols, 0, 0, 0, 0, 0, 0, 0)
+        return (0, 0, symbols, *[0] * 9)
     s = text.decode("utf-8", "replace")
     joined = b"".join(words)
     word_chars = len(joined) if joined.isascii() else len(joined.decode("utf-8", "replace"))
@@ -54,14 +57,16 @@ def text_counts(text: bytes | None, words_of: HashCache) -> tuple[int, ...]:
     letters = sum(map(str.isalpha, s)) if not s.isascii() else len(text) - len(text.translate(None, _ASCII_LETTERS))
     n_upper = letters and (len(s) - sum(map(str.__eq__, s, lower)) if len(lower) == len(s) else sum(map(str.isupper, s)))
     letter_words = sum(1 for w in words if w[0] > 127 or w[:1].isalpha() or any(b > 127 or chr(b).isalpha() for b in w))
-    return (n, word_chars, len(text) - len(text.translate(None, SYMBOLS)), dup, repeated, lines, ended, letters, n_upper, letter_words)
+    each = Counter(text.lower().split())
+    symbols = len(text) - len(text.translate(None, SYMBOLS))
+    return (n, word_chars, symbols, dup, repeated, lines, ended, letters, n_upper, letter_words, max(each.values()), len(each))
 
 
 _ASCII_LETTERS = bytes([*range(65, 91), *range(97, 123)])
 
 
 def count_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the COUNTS columns; all 0 for a null or empty text."""
+    """``docs`` with the COUNTS columns, which replace columns of these names; all 0 for a null or empty text."""
 
     def make():
         words_of = HashCache()
@@ -78,33 +83,37 @@ def rule_votes() -> dict:
     """Rule -> its vote, on the COUNTS columns. Ratios have at least 1 below, so empty texts vote too."""
     c = F.col
     per = lambda a, b: c(a) / F.greatest(c(b), F.lit(1))
+    low = lambda x, good, bad: _vote(x < good, x > bad)
+    high = lambda x, good, bad: _vote(x > good, x < bad)
+    word = per("word_chars", "n_words")
     return {
-        "length": _vote(c("n_words") >= 80, c("n_words") < 20),
-        "repeated_words": _vote(per("n_repeat_words", "n_words") < 0.2, per("n_repeat_words", "n_words") > 0.45),
-        "duplicate_lines": _vote(per("n_dup_lines", "n_lines") < 0.2, per("n_dup_lines", "n_lines") > 0.4),
-        "symbols": _vote(per("n_symbols", "n_words") < 0.05, per("n_symbols", "n_words") > 0.25),
-        "word_length": _vote(per("word_chars", "n_words").between(3, 12), ~per("word_chars", "n_words").between(2.5, 14)),
-        "upper_case": _vote(per("n_upper", "n_letters") < 0.2, per("n_upper", "n_letters") > 0.4),
-        "line_ends": _vote(per("n_ended_lines", "n_lines") > 0.6, per("n_ended_lines", "n_lines") < 0.2),
-        "letter_words": _vote(per("n_letter_words", "n_words") > 0.95, per("n_letter_words", "n_words") < 0.75),
+        "length": high(c("n_words"), 79, 50),
+        "repeated_words": low(per("n_repeat_words", "n_words"), 0.05, 0.1),
+        "duplicate_lines": low(per("n_dup_lines", "n_lines"), 0.02, 0.1),
+        "symbols": low(per("n_symbols", "n_words"), 0.01, 0.1),
+        "word_length": _vote(word.between(4.3, 6.2), ~word.between(4, 6.8)),
+        "upper_case": low(per("n_upper", "n_letters"), 0.04, 0.06),
+        "line_ends": high(per("n_ended_lines", "n_lines"), 0.9, 0.7),
+        "letter_words": high(per("n_letter_words", "n_words"), 0.97, 0.95),
+        "common_word": low(per("n_top_word", "n_words"), 0.08, 0.1),
+        "distinct_words": high(per("n_distinct", "n_words"), 0.6, 0.5),
+        "letters": high(per("n_letters", "word_chars"), 0.95, 0.9),
     }
 
 
 class VoteModel:
     """Two classes; every rule votes independently given the class. ``fit`` takes pattern rows and their counts.
 
-    Rules are written to fire rarely on good documents, so their false alarms have a prior:
-    ``false_alarm`` of the good ones, weighing as ``trust`` times all rows. Without it the commonest kind
-    of fault would take the second class for itself, and other rules' bad votes would pass as noise.
-    A bad vote is never taken as evidence for quality.
+    Rates start from, and with ``weight`` pseudo-rows a class lean to, those of a rule that mostly says good of good documents;
+    that only says which class is which, and is soon outweighed by the counts. A bad vote is never taken as
+    evidence for quality: where the rates of a rule come out that way, the classes share their mean.
     """
 
-    def __init__(self, n_rules: int, prior: float = 0.9, false_alarm: float = 0.003, hit: float = 0.3, trust: float = 4.0):
-        # P(vote | class, it votes): class 1 is good; 0: bad, 1: abstains, which says nothing, 2: good
-        self.prior, self.false_alarm, self.hit, self.trust = prior, false_alarm, hit, trust
-        self.p = np.empty((2, n_rules, 3))
-        self.p[1] = [false_alarm, 1, 1 - false_alarm]
-        self.p[0] = [hit, 1, 1 - hit]
+    START = ((0.4, 0.2, 0.4), (0.03, 0.05, 0.92))  # of a bad, and of a good document: votes bad, abstains, votes good
+
+    def __init__(self, n_rules: int, prior: float = 0.8, weight: float = 100.0):
+        self.prior, self.weight = prior, weight
+        self.p = np.repeat(np.array(self.START)[:, None, :], n_rules, axis=1)  # class x rule x (bad, abstains, good)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         at = votes.astype(int) + 1
@@ -112,19 +121,16 @@ class VoteModel:
         logs = [np.log(self.p[k][rule, at]).sum(axis=1) + np.log(self.prior if k else 1 - self.prior) for k in (0, 1)]
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
-    def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> VoteModel:
-        total = counts.sum()
+    def fit(self, votes: np.ndarray, counts: np.ndarray, rounds: int = 500) -> VoteModel:
+        start = self.p.copy()
         for _ in range(rounds if len(votes) else 0):
             q = self.posterior(votes)
-            before = self.prior
-            self.prior = float(np.clip((q * counts).sum() / total, 0.01, 0.99))
-            for k, weight, rate, share in ((0, (1 - q) * counts, self.hit, 0.02), (1, q * counts, self.false_alarm, self.trust)):
-                said = np.stack([(weight[:, None] * (votes == v)).sum(axis=0) for v in (-1, 1)], axis=1) + 1e-6 * total
-                bad = (said[:, 0] + share * total * rate) / (said.sum(axis=1) + share * total)
-                self.p[k] = np.column_stack([bad, np.ones_like(bad), 1 - bad])
+            before, self.prior = self.prior, float(np.clip((q * counts).sum() / counts.sum(), 0.01, 0.99))
+            for k, share in ((0, (1 - q) * counts), (1, q * counts)):
+                said = np.stack([(share[:, None] * (votes == v)).sum(axis=0) for v in (-1, 0, 1)], axis=1) + self.weight * start[k]
+                self.p[k] = said / said.sum(axis=1, keepdims=True)
             wrong = self.p[1][:, 0] > self.p[0][:, 0]
-            for k in (0, 1):
-                self.p[k][wrong] = (self.p[0][wrong] + self.p[1][wrong]) / 2
+            self.p[:, wrong] = self.p[:, wrong].mean(axis=0)
             if abs(before - self.prior) < 1e-9:
                 break
         return self
@@ -135,24 +141,28 @@ def quality_posterior(
 ) -> DataFrame:
     """Per row: the id, the base counts, ``base_failed``, ``quality`` (posterior) and ``kept``.
 
-    A null text counts as empty: zero counts, base_failed. Null ids and repeated rows come back as they
-    are. Counts go to the shared folder once, then patterns are counted over all of them.
+    A null text counts as empty: zero counts, base_failed. Null ids and repeated rows come back as they are, and equal texts get
+    equal verdicts. Very long texts are counted whole. A posterior equal to ``threshold`` is kept. An empty table gives an empty
+    result. Columns other than id and text are ignored, whatever their names. Counts go to the shared folder once, then
+    patterns are counted over all of them: at most 3 ** 11 rows, and as many numbers a row.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "rules")
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark, "rules")
     votes = rule_votes()
-    counted = count_columns(docs.select(id_col, text_col), text_col).drop(text_col)
-    rows = scratch.table(counted.withColumns({f"v_{k}": v.cast("byte") for k, v in votes.items()}), "counts")
+    source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    counted = count_columns(source, "__text").drop("__text")
     names = [f"v_{k}" for k in votes]
-    patterns = rows.groupBy(*names).count().toPandas()  # 3 ** 8 rows at most
-    seen = patterns[names].to_numpy(dtype=np.int8)
+    # a pattern is one number, in base 3
+    code = sum((v.cast("int") + 1) * 3**k for k, v in enumerate(votes.values()))
+    rows = scratch.table(counted.withColumn("pattern", code.cast("int")), "counts")
+    patterns = rows.groupBy("pattern").count().toPandas()
+    seen = np.stack([patterns["pattern"].to_numpy() // 3**k % 3 - 1 for k in range(len(names))], axis=1).astype(np.int8)
     model = VoteModel(len(names)).fit(seen, patterns["count"].to_numpy(dtype=float))
-    spark = docs.sparkSession
-    schema = ", ".join(f"{n} byte" for n in names) + ", quality double"
-    table = spark.createDataFrame([(*map(int, v), float(q)) for v, q in zip(seen, model.posterior(seen))], schema)
-    scored = rows.join(F.broadcast(table), names)
+    table = spark.createDataFrame(list(zip(patterns["pattern"].tolist(), model.posterior(seen).tolist())), "pattern int, quality double")
+    scored = rows.join(F.broadcast(table), "pattern")  # 3 ** 11 rows of two numbers at most
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(
-        id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        F.col("__id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & (F.col("quality") >= threshold)).alias("kept"), "quality",
     )
 
