@@ -114,9 +114,13 @@ def tidy() -> None:
 def annotate(df: DataFrame, text_col: str, make, added: T.StructType) -> DataFrame:
     """``df`` with the ``added`` columns, computed in Arrow batches from the UTF-8 bytes of ``text_col``.
 
+    Columns that have a name of an added one are replaced; the text column's own name can't be one.
     ``make()`` runs once in each task and returns a function from a list of bytes or None (one an
     input row) to a list of columns. Every other column passes through as Arrow data untouched.
     """
+    if text_col in added.fieldNames():
+        raise ValueError(f"the text column can't be named {text_col}: a result has that name")
+    df = df.drop(*[c for c in df.columns if c in added.fieldNames()])
     out = T.StructType(list(df.schema.fields) + list(added.fields))
     at = df.columns.index(text_col)
 

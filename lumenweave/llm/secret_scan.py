@@ -1,9 +1,11 @@
 """Operator 10: secret scans by one combined deterministic automaton.
 
 All rules' patterns are compiled to one NFA, determinised by subset construction over byte classes and
-minimised; the scan is a single pass over the bytes, stepping many lines at once through the transition
-array. Lines the pass flags are resolved to exact leftmost, longest, non-overlapping spans with each
-rule's own anchored automaton, built by the same compiler.
+minimised. The scan is a single pass over the bytes of a batch of texts: these are cut at every byte that leads
+to the start from everywhere, and long pieces into blocks, whose entries are put right afterwards; all
+pieces step together through the transition array, which gives the rules that match in each. In the pieces
+where some do, a second automaton of all rules, anchored, reads the exact spans: leftmost, longest and
+non-overlapping for each rule, all rules in one walk.
 """
 
 from __future__ import annotations
@@ -217,15 +219,18 @@ class Dfa:
         # bytes that lead to the start from everywhere: text may be cut behind them
         self.resets = [b for b in range(256) if search and (self.table[b::256] == 0).all()]
 
-    def longest(self, data: bytes, at: int) -> int:
-        """End of the longest match that begins at ``at``, or -1 (for an automaton without ``search``)."""
-        table, accepts, state, found = self.rows(), self.accepting(), 0, -1
+    def ends(self, data: bytes, at: int, wanted: int) -> dict[int, int]:
+        """Rule -> end of its longest match that begins at ``at``, of the rules in the mask (for an automaton without ``search``)."""
+        rows, accepts, state, found = self.rows(), self.accepting(), 0, {}
         for i in range(at, len(data)):
-            state = table[state][data[i]]
+            state = rows[state][data[i]]
             if state < 0:
                 break
-            if accepts[state]:
-                found = i + 1
+            mask = accepts[state] & wanted
+            while mask:
+                low = mask & -mask
+                found[low.bit_length() - 1] = i + 1
+                mask ^= low
         return found
 
     def rows(self):
@@ -289,81 +294,118 @@ MORE_RULES = (
 )
 
 
+BLOCK = 256  # bytes that one step sequence takes at most
+
+
 class Scanner:
-    """All rules in one automaton; spans of a text as (start, end, rule number) in bytes."""
+    """All rules in one automaton; spans of a text as (start, end, rule number) in code points."""
 
     def __init__(self, rules=BASE_RULES + MORE_RULES):
         self.rules = tuple(rules)
         self.all = Dfa([(r.pattern, r.fold) for r in self.rules], True)
-        self.one = [Dfa([(r.pattern, r.fold)], False) for r in self.rules]
-        self.first = []
-        for d in self.one:
-            row = d.rows()[0]
-            self.first.append(bytes(b for b in range(256) if row[b] >= 0))
-        self.cut = bytes([10]) if 10 in self.all.resets else b""
-
-    def flags(self, lines: list[bytes]) -> np.ndarray:
-        """Per line the mask of rules that match in it: one pass over the bytes, all lines in step."""
-        lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-        order = np.argsort(-lengths, kind="stable")
-        buf = np.frombuffer(b"".join(lines) or b"\0", dtype=np.uint8)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order] if len(lines) else lengths
-        sorted_lengths = lengths[order]
-        active = np.searchsorted(-sorted_lengths, -np.arange(1, (sorted_lengths[0] if len(lines) else 0) + 1), side="right")
+        self.anchored = Dfa([(r.pattern, r.fold) for r in self.rules], False)
+        row = self.anchored.rows()[0]
+        self.begins = [row[b] >= 0 for b in range(256)]
+        self.is_reset = np.zeros(256, dtype=bool)
+        self.is_reset[self.all.resets] = True
+        self.accepting = self.all.accepts > 0
+
+    def _pieces(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths of the stretches between reset bytes."""
+        edge = np.diff(np.concatenate([[0], (~self.is_reset[buf]).view(np.int8), [0]]))
+        starts = np.flatnonzero(edge == 1)
+        return starts, np.flatnonzero(edge == -1) - starts
+
+    def flags(self, buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Per piece the mask of rules that match in it: one pass over the bytes, all blocks of all pieces in step.
+
+        Every block is entered as if at the start. Where the block before it ends in another state, the block is
+        walked again from that state until both walks are in one state, behind which nothing differs.
+        """
+        if not len(starts):
+            return np.empty(0, dtype=np.int64)
+        n_blocks = -(-lengths // BLOCK)
+        owner = np.repeat(np.arange(len(starts)), n_blocks)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+        at = starts[owner] + number * BLOCK
+        size = np.minimum(lengths[owner] - number * BLOCK, BLOCK)
+        order = np.argsort(-size, kind="stable")
+        place = at[order]
+        active = np.searchsorted(-size[order], -np.arange(1, int(size.max()) + 1), side="right")
         table, accepts = self.all.table, self.all.accepts
-        state = np.zeros(len(lines), dtype=np.int32)
-        mask = np.zeros(len(lines), dtype=np.int64)
-        accepting = accepts > 0
+        state, mask = np.zeros(len(owner), dtype=np.int32), np.zeros(len(owner), dtype=np.int64)
         for i, n in enumerate(active.tolist()):
-            s = table[(state[:n] << 8) + buf[starts[:n] + i]]
+            s = table[(state[:n] << 8) + buf[place[:n] + i]]
             state[:n] = s
-            hit = accepting[s]
+            hit = self.accepting[s]
             if hit.any():
                 mask[:n] |= accepts[s]
-        out = np.zeros(len(lines), dtype=np.int64)
-        out[order] = mask
+        last, found = np.empty_like(state), np.empty_like(mask)
+        last[order], found[order] = state, mask
+        for k in np.flatnonzero((number[1:] > 0) & (last[:-1] != 0)).tolist() if len(owner) > 1 else ():
+            # in ascending order, so that the state a block is entered in is already right
+            self._again(buf, k + 1, int(last[k]), int(at[k + 1]), int(size[k + 1]), last, found)
+            # a block that now ends elsewhere reaches into the next one, which the list may not hold
+            j = k + 1
+            while j + 1 < len(owner) and number[j + 1] > 0 and last[j] != 0 and self._moved:
+                self._again(buf, j + 1, int(last[j]), int(at[j + 1]), int(size[j + 1]), last, found)
+                j += 1
+        out = np.zeros(len(starts), dtype=np.int64)
+        np.bitwise_or.at(out, owner, found)
         return out
 
-    def resolve(self, data: bytes, rule: int) -> list[tuple[int, int]]:
-        dfa, first, r = self.one[rule], frozenset(self.first[rule]), self.rules[rule]
-        out, at, n = [], 0, len(data)
-        rows = dfa.rows()[0]
-        while at < n:
-            if data[at] not in first:
-                at += 1
-                continue
-            end = dfa.longest(data, at)
-            if end < 0:
-                at += 1
+    def _again(self, buf, k: int, state: int, at: int, size: int, last: np.ndarray, found: np.ndarray) -> None:
+        table, accepts, other = self.all.table, self.all.accepts, 0
+        mask = 0
+        for b in buf[at : at + size].tolist():
+            state, other = int(table[(state << 8) + b]), int(table[(other << 8) + b])
+            mask |= int(accepts[state])
+            if state == other:
+                self._moved = False
+                break
+        else:
+            self._moved = int(last[k]) != state
+            last[k] = state
+        found[k] |= mask
+
+    def resolve(self, data: bytes, wanted: int) -> list[tuple[int, int, int]]:
+        """The spans of the rules in the mask, in bytes."""
+        out, free, begins = [], [0] * len(self.rules), self.begins
+        for at, b in enumerate(data):
+            if not begins[b]:
                 continue
-            if r.keep(data[at:end]):
-                out.append((at, end))
-            at = end
+            mask = sum(1 << r for r in range(len(free)) if wanted >> r & 1 and free[r] <= at)
+            for r, end in self.anchored.ends(data, at, mask).items() if mask else ():
+                if self.rules[r].keep(data[at:end]):
+                    out.append((at, end, r))
+                free[r] = end
         return out
 
     def scan(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text, by start and then rule; offsets in code points, end exclusive."""
-        lines, owner, offset = [], [], []
-        for k, t in enumerate(texts):
-            at = 0
-            for line in (t or b"").split(self.cut) if self.cut else [t or b""]:
-                if line:
-                    lines.append(line)
-                    owner.append(k)
-                    offset.append(at)
-                at += len(line) + 1
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        masks = self.flags(lines)
-        for i in np.flatnonzero(masks).tolist():
-            line, k = lines[i], owner[i]
-            before = len(texts[k][: offset[i]].decode("utf-8", "replace")) if offset[i] else 0
-            plain = line.isascii()
-            for rule in range(len(self.rules)):
-                if masks[i] >> rule & 1:
-                    for a, b in self.resolve(line, rule):
-                        if not plain:
-                            a, b = (len(line[:x].decode("utf-8", "replace")) for x in (a, b))
-                        found[k].append((before + a, before + b, rule))
+        cut = bytes([self.all.resets[0]]) if self.all.resets else None
+        groups = [list(range(len(texts)))] if cut else [[k] for k in range(len(texts))]
+        for group in groups:
+            held = [texts[k] or b"" for k in group]
+            buf = np.frombuffer((cut or b"").join(held) or b"\0", dtype=np.uint8)
+            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])[:-1]
+            starts, lengths = self._pieces(buf)
+            masks = self.flags(buf, starts, lengths)
+            hit = np.flatnonzero(masks)
+            of = np.searchsorted(begin, starts[hit], side="right") - 1
+            points, at = None, -1
+            for i, k in zip(hit.tolist(), of.tolist()):
+                a = int(starts[i] - begin[k])
+                spans = self.resolve(held[k][a : a + int(lengths[i])], int(masks[i]))
+                if not spans:
+                    continue
+                if at != k:  # code points before each byte of the text
+                    raw = np.frombuffer(held[k], dtype=np.uint8)
+                    points, at = None if held[k].isascii() else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]), k
+                for x, y, r in spans:
+                    x, y = (a + x, a + y) if points is None else (int(points[a + x]), int(points[a + y]))
+                    found[group[k]].append((x, y, r))
         for spans in found:
             spans.sort(key=lambda s: (s[0], s[2]))
         return found
@@ -383,7 +425,8 @@ def secret_spans(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + MOR
     """``docs`` with ``out_col``: an array of (kind, start, end) in code points, by start and then rule order.
 
     A null or empty text has an empty array. Spans of one rule never overlap; spans of different rules
-    may. All other columns, repeated rows and null ids pass through.
+    may, and of those with one start the rule named first comes first. Texts are scanned whole, however long. Repeated rows, null ids and all other columns pass
+    through; a column named ``out_col`` is replaced. An empty table gives an empty result.
     """
     rules = tuple(rules)
 
@@ -399,9 +442,10 @@ def secret_spans(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + MOR
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", length_col: str = "n_chars", rules=BASE_RULES + MORE_RULES) -> DataFrame:
-    """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. Null stays null.
+    """``docs`` with every secret span of the text replaced by ``mark``; overlapping spans become one. Null stays null, and so does an empty text.
 
-    Where there is a column ``length_col``, it gets the new length in characters of texts that changed.
+    Texts are scanned whole, however long; repeated rows, null ids and other columns pass through, whatever their names;
+    an empty table gives an empty result. Where there is a column ``length_col``, it gets the new length in characters of texts that changed.
     """
     rules, fields = tuple(rules), list(docs.columns)
 
@@ -444,7 +488,12 @@ DIGEST = T.StructType(
 
 
 def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, counts of the base kinds, the digest of the base spans and all spans as text."""
+    """Per row: the id, counts of the base kinds, the digest of the base spans and all spans as text.
+
+    A null or empty text has no spans (counts 0, the digest of an empty string). Spans with one start stand in the rules' order. Repeated rows and
+    null ids come back as they are, very long texts are scanned whole, an empty table gives an empty result. Columns other than id and text are
+    ignored, whatever their names.
+    """
     rules = BASE_RULES + MORE_RULES
     n_base = len(BASE_RULES)
 
@@ -464,7 +513,8 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         return run
 
-    return annotate(docs.select(id_col, text_col), text_col, make, DIGEST).drop(text_col)
+    source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    return annotate(source, "__text", make, DIGEST).drop("__text").withColumnRenamed("__id", id_col)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
