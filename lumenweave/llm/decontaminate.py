@@ -1,24 +1,29 @@
 """Operator 2: benchmark decontamination by greedy string tiling.
 
-A document and a benchmark item that share a seed (a run of ``tile`` words) are tiled: running
-Karp-Rabin hashes find the longest common runs of words that are still unmarked, these are marked
-longest first without overlap, and the search length falls until it reaches ``tile``. The share of the
-item's words under tiles, in whatever order they stand in the document, decides.
+Documents and benchmark items are joined by their seeds (runs of ``least`` words). A pair that shares enough of
+them is tiled: running Karp-Rabin hashes find the longest common runs of words that are still unmarked, these
+are marked longest first without overlap, and the search length falls until it reaches ``least``. The share of
+the item's words under tiles, in whatever order they stand in the document, decides.
+
+Documents are read once, whatever the benchmark's size. Of each only the seeds and words go on that may
+match: where the benchmark has few seeds, all of them are broadcast and tell which; beyond that bound all seeds
+of all documents take part in the join.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import HashCache, annotate, mix64, read_table, ship_package, window_hashes
+from .common import HashCache, Scratch, long_id, mix64, read_table, tidy, window_hashes
 
 EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())  # trimmed from a word's ends
 BASE = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_WORDS = 2_000_000  # benchmark words in one broadcast index, at most
+FILTER_SEEDS = 4_000_000  # of the benchmark, which are broadcast (32 MB) where there are no more
 
 
 class WordKeys(HashCache):
@@ -108,80 +113,114 @@ def _again(found, free_i, free_d, least: int) -> bool:
     return False
 
 
-class SeedIndex:
-    """Seeds of a block of benchmark items: sorted hashes, and the items of each."""
-
-    def __init__(self, items: list[tuple[int, bytes | None]], least: int):
-        keys = WordKeys()
-        self.least, self.ids, self.words, self.width = least, [], [], []
-        by_width: dict[int, list[tuple[np.ndarray, int]]] = {}
-        for item_id, text in items:
-            h = keys.of(text)
-            if not len(h):
-                continue
-            w = min(least, len(h))
-            by_width.setdefault(w, []).append((np.unique(window_hashes(h, w)), len(self.ids)))
-            self.ids.append(item_id)
-            self.words.append(h)
-            self.width.append(w)
-        self.seeds = {}
-        for w, parts in by_width.items():
-            seed = np.concatenate([p for p, _ in parts])
-            owner = np.concatenate([np.full(len(p), k) for p, k in parts])
-            order = np.argsort(seed, kind="stable")
-            self.seeds[w] = (seed[order], owner[order])
-
-    def leaks(self, doc: np.ndarray, share: float) -> list[tuple[int, float, int, int]]:
-        """(item, coverage, tiles, longest tile) of each item of which the document holds ``share`` or more."""
-        out = []
-        for w, (seed, owner) in self.seeds.items():
-            if len(doc) < w:
-                continue
-            h = window_hashes(doc, w)
-            left = np.searchsorted(seed, h)
-            hit = np.flatnonzero(seed[np.minimum(left, len(seed) - 1)] == h)
-            if not len(hit):
-                continue
-            places: dict[int, list[int]] = {}
-            for p in hit.tolist():
-                k = int(left[p])
-                while k < len(seed) and seed[k] == h[p]:
-                    places.setdefault(int(owner[k]), []).append(p)
-                    k += 1
-            for item, at in places.items():
-                n = len(self.words[item])
-                covered = np.zeros(len(doc) + 1, dtype=np.int64)
-                for p in range(w):
-                    covered[np.asarray(at) + p] = 1
-                # only seeded stretches can hold tiles; a gap between two is a word that matches nothing
-                keep = np.flatnonzero(covered[:-1])
-                gaps = np.flatnonzero(np.diff(keep) > 1) + 1
-                part = np.insert(doc[keep], gaps, np.uint64(0))
-                # if all of it were tiled and that isn't enough, it isn't
-                if len(keep) < share * n:
-                    continue
-                tiles = tile(self.words[item], part, w)
-                coverage = sum(k for _, _, k in tiles) / n
-                if coverage >= share:
-                    out.append((self.ids[item], coverage, len(tiles), max(k for _, _, k in tiles)))
-        return sorted(out, key=lambda x: (x[0] is None, x[0] or 0))
-
-
-LEAKS = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    """Blocks of benchmark rows of at most BLOCK_WORDS words (or one longer item), streamed to the driver."""
-    held, words = [], 0
-    for r in benchmark.select(item_col, F.col(text_col).cast("binary")).toLocalIterator():
-        n = len(bytes(r[1]).split()) if r[1] else 0
-        if held and words + n > BLOCK_WORDS:
-            yield held
-            held, words = [], 0
-        held.append((r[0], bytes(r[1]) if r[1] else None))
-        words += n
-    if held:
-        yield held
+ITEMS = "item long, item_id long, n long, width int, words binary, seeds array<long>, times array<int>"
+
+
+def benchmark_items(benchmark: DataFrame, least: int, item_col: str, text_col: str) -> DataFrame:
+    """Per benchmark row with words: a number of its own, its words as hashes, and its distinct seeds with how often each occurs."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        keys, item = WordKeys(), TaskContext.get().partitionId() << 32
+        for b in batches:
+            rows = []
+            for item_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                h = keys.of(text.as_py())
+                if len(h):
+                    w = min(least, len(h))
+                    seeds, times = np.unique(window_hashes(h, w), return_counts=True)
+                    rows.append((item, item_id, len(h), w, h.tobytes(), seeds.view(np.int64), times.astype(np.int32)))
+                    item += 1
+            cols = list(zip(*rows)) or [[] for _ in range(7)]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in ITEMS.split(", ")])
+
+    return benchmark.select(long_id(benchmark, item_col).alias("item_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, ITEMS)
+
+
+HITS = "doc_id long, digest string, seeds array<long>, part binary"
+
+
+def seed_hits(docs: DataFrame, widths: list[int], known: np.ndarray | None) -> DataFrame:
+    """Per document (doc_id, text) with a seed in ``known`` (or with any, where that is None): its text's digest, these seeds, and the
+    words under them as hashes, with 0 between stretches: only there can tiles lie."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        keys, known = WordKeys(), shared.value
+        for b in batches:
+            rows = []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
+                text = text.as_py()
+                h = keys.of(text)
+                seeds, covered = [], np.zeros(len(h), dtype=bool)
+                for w in widths:
+                    if len(h) < w:
+                        continue
+                    x = window_hashes(h, w)
+                    at = np.arange(len(x)) if known is None else np.flatnonzero(known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x)
+                    if len(at):
+                        seeds.append(x[at])
+                        for i in range(w):
+                            covered[at + i] = True
+                if seeds:
+                    keep = np.flatnonzero(covered)
+                    gaps = np.flatnonzero(np.diff(keep) > 1) + 1
+                    part = np.insert(h[keep], gaps, np.uint64(0))
+                    rows.append((doc, hashlib.md5(text).hexdigest(), np.unique(np.concatenate(seeds)).view(np.int64), part.tobytes()))
+            cols = list(zip(*rows)) or [[] for _ in range(4)]
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "digest", "seeds", "part"])
+        del keys
+        tidy()
+
+    return docs.mapInArrow(run, HITS)
+
+
+def tiled(pairs: DataFrame, share: float) -> DataFrame:
+    """Rows (digest, part, item, item_id, n, width, words) -> those whose tiles cover ``share`` of the item or more, with what the tiles are."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            columns = [b.column(c) for c in ("digest", "part", "item_id", "width", "words")]
+            for digest, part, item_id, width, words in zip(*columns):
+                item, doc = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (words, part))
+                tiles = tile(item, doc, width.as_py())
+                coverage = sum(k for _, _, k in tiles) / len(item)
+                if tiles and coverage >= share:
+                    rows.append((digest.as_py(), item_id.as_py(), coverage, len(tiles), max(k for _, _, k in tiles)))
+            cols = list(zip(*rows)) or [[] for _ in range(5)]
+            kinds = (pa.string(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["digest", "item_id", "coverage", "n_tiles", "longest_tile"])
+
+    return pairs.mapInArrow(run, "digest string, item_id long, coverage double, n_tiles int, longest_tile int")
+
+
+def leaked_texts(docs: DataFrame, benchmark: DataFrame, least: int, share: float, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of documents (doc_id, text): those with seeds, and of each leaking text (by its MD5 digest) a row an item. Equal texts are tiled once."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "leaks")
+    items = scratch.table(benchmark_items(benchmark, least, item_col, item_text_col), "items")
+    widths = sorted(r["width"] for r in items.select("width").distinct().collect())  # ``least`` numbers at most
+    n_seeds = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    known = None
+    if n_seeds <= FILTER_SEEDS:
+        known = np.sort(items.select(F.explode("seeds").alias("s")).distinct().toPandas()["s"].to_numpy(dtype=np.int64).view(np.uint64))
+    hits = scratch.table(seed_hits(docs, widths if n_seeds else [], known), "hits")
+    texts = scratch.table(hits.dropDuplicates(["digest"]), "texts")
+    seeds = items.select("item", F.explode(F.arrays_zip("seeds", "times")).alias("x")).select("item", F.col("x.seeds").alias("seed"), F.col("x.times").alias("times"))
+    pairs = (
+        texts.select("digest", F.explode("seeds").alias("seed"))
+        .join(seeds, "seed")
+        .groupBy("digest", "item")
+        .agg(F.sum("times").alias("seeded"))
+        .join(items.select("item", "item_id", "n", "width", "words"), "item")
+        .filter(F.col("seeded") * F.col("width") >= share * F.col("n"))  # no more words than these can be under tiles
+        .join(texts.select("digest", "part"), "digest")
+    )
+    return hits, scratch.table(tiled(pairs, share), "leaks")
 
 
 def benchmark_leaks(
@@ -197,52 +236,31 @@ def benchmark_leaks(
     """A row per document row and benchmark item of which the document holds ``share`` of the words or more.
 
     Columns: doc_id, item_id, coverage, n_tiles, longest_tile. Words are compared without ASCII case and edge
-    punctuation. Items shorter than ``least`` words are seeded and tiled whole. Null or empty texts on
-    either side leak nothing; repeated rows, null ids and equal items give a row each. The benchmark is
-    taken in blocks of bounded size, each broadcast and held against all documents.
+    punctuation. Items shorter than ``least`` words are seeded and tiled whole.
+
+    Ids are of an integer type. Null or empty texts on either side leak nothing. Very long texts are tiled whole. Ties: a coverage
+    equal to ``share`` is a leak; of common runs of one length the first in the item, then in the document, is marked first. Repeated
+    rows, null ids and equal items give a row each. An empty table on either side gives an empty result. Other columns are
+    ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    out = None
-    for items in _blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(SeedIndex(items, least))
-
-        def run(batches, shared=shared):
-            keys, index = WordKeys(), shared.value
-            for b in batches:
-                rows = [
-                    (doc, *leak)
-                    for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()))
-                    for leak in index.leaks(keys.of(text.as_py()), share)
-                ]
-                cols = list(zip(*rows)) or [[] for _ in range(5)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"]
-                )
-
-        source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        found = source.mapInArrow(run, LEAKS)
-        out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], LEAKS)
+    source = docs.select(long_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    hits, leaks = leaked_texts(source, benchmark, least, share, item_col, item_text_col)
+    return hits.select("doc_id", "digest").join(leaks, "digest").drop("digest")
 
 
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that hold ``share`` or more of a benchmark item; null and empty texts stay."""
-    spark, names = docs.sparkSession, list(docs.columns)
-    ship_package(spark)
-    for items in _blocks(benchmark, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(SeedIndex(items, least))
-
-        def make(shared=shared):
-            keys, index = WordKeys(), shared.value
-            return lambda texts: [[bool(index.leaks(keys.of(t), share)) for t in texts]]
-
-        flagged = annotate(docs, text_col, make, T.StructType([T.StructField("__lw_leak", T.BooleanType())]))
-        docs = flagged.filter("NOT __lw_leak").select(*[F.col(f"`{c}`") for c in names])
-    return docs
+    """``docs`` without the rows that hold ``share`` or more of a benchmark item.
+
+    Null and empty texts stay, as do all rows where either table is empty. Repeated rows go or stay together; very long texts are tiled
+    whole; a coverage equal to ``share`` is a leak. Ids don't matter, and all columns pass through, whatever their names.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(f"`{text_col}`")
+    _, leaks = leaked_texts(docs.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text")), benchmark, least, share, item_col, item_text_col)
+    gone = leaks.select(F.col("digest").alias("__lw_digest")).distinct()
+    return docs.withColumn("__lw_digest", F.md5(text.cast("binary"))).join(gone, "__lw_digest", "left_anti").select(*names)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
