@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, read_table, ship_package
+from .common import Scratch, long_id, read_table, ship_package
 
 CHUNK = 1 << 20
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of URLs, from RFC 4122
@@ -45,20 +45,27 @@ def header_block(fields: list[tuple[str, object]], first: str) -> bytes:
 
 
 def _fs(uri: str):
+    """The file system of a path in the shared folder, and the path there: local, hdfs, s3, gs and abfs addresses."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri("s3://" + rest if colon and scheme in ("s3a", "s3n") else uri)
 
 
 def plan_records(pages: DataFrame, id_col: str, html_col: str, url_col: str, least: int) -> DataFrame:
-    """Per page: id, url, payload, digest, and the page it refers to where an earlier one has its payload."""
-    payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    firsts = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"))
-    joined = rows.join(firsts, "digest", "left")
-    revisit = F.col("first") != F.col("page_id")
-    return joined.select("page_id", "url", "payload", base32_of_hex(F.col("digest")).alias("digest"), F.when(revisit, F.col("first")).alias("refers_to"))
+    """Per page: id, url, payload, digest, and the page it refers to where an earlier one has its payload.
+
+    Which page refers to which is found on ids and digests alone; payloads meet only the pages that refer to others, by id, so a
+    payload of very many pages is no hot key, and where such pages are few no payload crosses a shuffle.
+    """
+    payload = F.coalesce(F.encode(F.col(f"`{html_col}`"), "UTF-8"), F.lit(b""))
+    rows = pages.select(long_id(pages, id_col).alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    slim = rows.filter((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    firsts = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).filter("refers_to < last").drop("last")
+    refer = slim.join(firsts, "digest").filter("page_id <> refers_to").distinct()
+    joined = rows.join(refer, ["page_id", "digest"], "left")
+    return joined.select("page_id", "url", "payload", base32_of_hex(F.hex("digest")).alias("digest"), "refers_to")
 
 
 def write_warc(planned: DataFrame, folder: str) -> DataFrame:
@@ -239,10 +246,11 @@ def warc_round_trip(
 ) -> DataFrame:
     """Per page, read back from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Of pages with equal payloads of ``least`` bytes or more the smallest id is the response (with it any
-    repeated row of that id), the others are revisits of it. A null html is an empty payload; a null id is
-    never a response's partner and has a response of its own. Bytes and digest of a response are computed
-    while reading and must equal its header's, or the read fails. An empty table gives an empty result.
+    Ids are of an integer type. Of pages with equal payloads of ``least`` bytes or more the smallest id is the response (with it any
+    repeated row of that id), the others are revisits of it. A null html is an empty payload, a null url is left out; a null id is
+    never a response's partner and has a response of its own. Very large payloads are written and read a chunk at a time. Bytes and
+    digest of a response are computed while reading and must equal its header's, or the read fails. An empty table gives an empty
+    result. Other columns are ignored, whatever their names. Archives stay in the shared folder.
     """
     spark = pages.sparkSession
     scratch = scratch or Scratch(spark, "warc")
