@@ -3,7 +3,8 @@
 Rows start in shards of equal counts. In each round a group of equal texts names the shards that hold
 most of it (as many as it needs), its rows elsewhere ask to move there, and quotas let a row move only
 against one that moves the other way: another asking row, or a row without links, which may stand
-anywhere. So counts never change, and the edges that the cut costs only fall.
+anywhere. So counts never change, and the rows that are away from their group (what the cut costs) only fall,
+which each round checks. Rounds go on until none may move, or one settles so few that a plan does it better.
 
 Where that leaves groups in more shards than they need, these and the rows without links vacate their
 places and are put back by a plan, largest groups first; if even that cuts a group, all rows are. The
@@ -122,19 +123,28 @@ def settled(state: DataFrame, scratch: Scratch, room: int, buckets: int) -> Data
     return scratch.table(put if staying is None else put.union(staying), "settled")
 
 
-def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_rows(
+    docs: DataFrame, shards: int = 16, gain: float = 0.05, id_col: str = "doc_id", text_col: str = "text", cuts: list[int] | None = None
+) -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes plus 1), text_crc32, law (``rows``), shard, slot, grown_shard (null).
 
     Shards' row counts differ by one at most. Rows of equal text are linked (a null text counts as empty)
     and share a shard as far as counts allow: of the groups that fit in a shard, fewer are cut than there
-    are shards. A group larger than a shard takes as few shards as it needs where those are free. Slots run from 0 in each shard. Repeated rows and null ids are rows like any other.
+    are shards. A group larger than a shard takes as few shards as it needs where those are free. Slots run from 0 in each shard.
+
+    Rounds end when none of the rows away from their group may move, or fewer than a share ``gain`` of them; the plan settles what is left. ``cuts``
+    gets the number of such rows before each round; it never rises.
+
+    Repeated rows and null ids are rows like any other, and ids may be of any type. A very long text counts by its size alone. Ties between shards
+    go by hash. With fewer rows than shards some shards are empty; an empty table gives an empty result. Other columns
+    are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
-    raw = F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b""))
+    raw = F.coalesce(F.encode(F.col(f"`{text_col}`"), "UTF-8"), F.lit(b""))
     slim = scratch.table(
         docs.select(
-            F.col(id_col).alias("doc_id"),
+            F.col(f"`{id_col}`").alias("doc_id"),
             (F.octet_length(raw) + 1).cast("long").alias("size"),
             F.crc32(raw).alias("text_crc32"),
             F.md5(raw).alias("g"),
@@ -147,7 +157,7 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
     members = scratch.table(slim.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1"), "members")
     spread = F.xxhash64("doc_id", "g", "size")
     start = ranked(slim, [], ["doc_id", "g"], spread, buckets, "row")
-    # not a hash join on g for rows alone in their group: those need no partner, only the group table is joined
+    # the group table has no row for texts that stand alone
     state = scratch.table(
         start.join(members, "g", "left").select(
             "row", "doc_id", "size", "text_crc32", "g", F.coalesce("members", F.lit(1)).alias("members"), (F.col("row") % shards).cast("int").alias("shard")
@@ -156,7 +166,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
     )
     room = max(1, total // shards)
     parts = F.ceil(F.col("members") / PART)  # a large group meets its shards in as many parts
-    for n in range(1, rounds + 1):
+    n, before = 0, None
+    while True:
+        n += 1
         linked = state.filter("members > 1")
         want = (
             linked.groupBy("g", "members", "shard")
@@ -171,12 +183,18 @@ def shard_rows(docs: DataFrame, shards: int = 16, rounds: int = 6, id_col: str =
             f"asking-{n}",
         )
         asked = {(r["shard"], r["to"]): r["count"] for r in asking.groupBy("shard", "to").count().collect()}  # shards ** 2 rows
-        if not asked:
+        away = sum(asked.values())
+        if before is not None and away > before:
+            raise RuntimeError(f"rows away from their group rose from {before} to {away}")
+        if cuts is not None:
+            cuts.append(away)
+        if not away:
             break
         free = {r["shard"]: r["count"] for r in state.filter("members = 1").groupBy("shard").count().collect()}
         allowed, back = move_quotas(asked, free)
-        if not allowed:
+        if sum(allowed.values()) < gain * away:
             break
+        before = away
         quota = spark.createDataFrame([(a, b, k) for (a, b), k in allowed.items()], "shard int, to int, quota long")
         # a group's rows stand together, so quotas cut few groups; a very large one is spread over buckets
         key = F.xxhash64("g") + F.when(F.col("members") > 1000, F.pmod(F.col("row"), F.lit(buckets))).otherwise(0)
