@@ -1,14 +1,16 @@
 """Operator 4: a quality classifier on random-indexing word vectors.
 
-Every word (and its shape) has a sparse random index vector; its context vector is the sum of its
-neighbours' index vectors over the whole corpus, in a table of fixed size that words are hashed to. A
-document is the mean of its words' normalised context vectors; a two-layer network learns the label from
-a bounded sample of labelled rows, and a temperature fitted on rows it didn't learn from calibrates it.
+Every word of the vocabulary (the commonest words of all documents, a stated number of them) and every word
+shape has a sparse random index vector; its context vector is the sum of its neighbours' index vectors over the
+whole corpus. These are sums of integers, so they don't depend on the order of tasks. A document is the mean of its
+words' normalised context vectors; a two-layer network learns the label from a bounded sample of labelled
+rows, and a temperature fitted on rows it didn't learn from calibrates it.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,17 +19,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import EMPTY_WORDS, HashCache, Scratch, crc_of_id, read_table, ship_package
+from .common import EMPTY_WORDS, HashCache, Scratch, crc_of_id, read_table, ship_package, tidy
 
-BITS, DIM, NONZERO, REACH = 14, 64, 2, 2  # rows of the table (a power of 2), width, entries of an index vector, neighbours each side
-ROWS = 1 << BITS
+VOCABULARY, SHAPES = 1 << 15, 1 << 12  # words with a vector of their own, at most; hashed rows of word shapes
+ROWS = VOCABULARY + SHAPES
+DIM, NONZERO, REACH = 64, 2, 2  # width, entries of an index vector, neighbours each side
 BLOCK = 1024  # rows of the table that travel together
 MERGE = 32  # partial tables that one task adds up at a time
+FLUSH = 1_000_000  # tokens that a task gathers before it adds them up
 _UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 
 
+def _core(word: bytes) -> bytes:
+    """A word in small letters without ASCII punctuation at its ends, or as it is if nothing else is left."""
+    return word.lower().strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or word
+
+
+class CoreHashes(HashCache):
+    """word bytes -> hash of its core."""
+
+    def __missing__(self, word):
+        import xxhash
+
+        if len(self) >= self.limit:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(_core(word))
+        return h
+
+
 class WordRows(HashCache):
-    """word bytes -> its row and its shape's row, as row | shape << 16."""
+    """word bytes -> its row (VOCABULARY if it has none) and its shape's row, as row | shape << 32."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        """``vocabulary``: the words' hashes by row."""
+        super().__init__()
+        self.order = np.argsort(vocabulary)
+        self.sorted = vocabulary[self.order]
 
     def __missing__(self, word):
         import xxhash
@@ -35,20 +62,67 @@ class WordRows(HashCache):
         if len(self) >= self.limit:
             self.clear()
         shape = _DIGIT.sub(b"9", _LOWER.sub(b"x", _UPPER.sub(b"X", word)))[:8]
-        core = word.lower().strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or word
-        h = xxhash.xxh3_64_intdigest
-        row = self[word] = h(core) % ROWS | (h(b"shape " + shape) % ROWS) << 16
+        h = np.uint64(xxhash.xxh3_64_intdigest(_core(word)))
+        k = int(np.searchsorted(self.sorted, h))
+        known = k < len(self.sorted) and self.sorted[k] == h
+        row = self[word] = (int(self.order[k]) if known else VOCABULARY) | (VOCABULARY + xxhash.xxh3_64_intdigest(b"shape " + shape) % SHAPES) << 32
         return row
 
     def tokens(self, text: bytes | None) -> np.ndarray:
-        """Rows of a text's words and shapes, in turn."""
+        """Rows of a text's words (-1 for one without) and shapes, in turn."""
         words = text.split() if text else EMPTY_WORDS
         both = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
         out = np.empty(2 * len(words), dtype=np.int64)
-        out[0::2], out[1::2] = both & 0xFFFF, both >> 16
+        row = both & 0xFFFFFFFF
+        out[0::2], out[1::2] = np.where(row == VOCABULARY, -1, row), both >> 32
         return out
 
 
+def common_words(docs: DataFrame, text_col: str) -> np.ndarray:
+    """Hashes of the VOCABULARY commonest words of all documents: by sixteenths of a power of two of their counts, then by hash."""
+
+    def run(batches):
+        words_of, held, n = CoreHashes(), [], 0
+        u, c = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+
+        def add():
+            every, back = np.unique(np.concatenate([u, *held]), return_inverse=True)
+            return every, np.bincount(back, weights=np.concatenate([c, np.ones(n, dtype=np.int64)]), minlength=len(every)).astype(np.int64)
+
+        for b in batches:
+            for text in b.column(0).cast(pa.binary()):
+                words = (text.as_py() or b"").split()
+                if words:
+                    held.append(words_of.many(words))
+                    n += len(words)
+                if n >= FLUSH:
+                    u, c = add()
+                    held, n = [], 0
+                    if len(u) >= FLUSH:
+                        yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "n": c})
+                        u, c = u[:0], c[:0]
+        if held:
+            u, c = add()
+        yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "n": c})
+
+    # every sixteenth of a power of two is a level of commonness: 1024 of them at most
+    counted = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    levels = counted.select("h", F.floor(16 * F.log2("n")).cast("int").alias("level"))
+    scratch = Scratch(docs.sparkSession, "vocabulary")
+    levels = scratch.table(levels, "levels")
+    left, last, share = VOCABULARY, -1, 1.0
+    for r in sorted(levels.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        last, share = r["level"], min(1.0, 1.2 * (left + 100) / r["count"])
+        left -= r["count"]
+        if left <= 0:
+            break
+    near = F.pmod(F.xxhash64("h"), F.lit(1 << 31))
+    kept = levels.filter((F.col("level") > last) | ((F.col("level") == last) & (near <= int(share * (1 << 31)))))
+    rows = kept.orderBy(F.col("level").desc(), near, "h").limit(VOCABULARY).select("h").toPandas()
+    scratch.drop("levels")
+    return rows["h"].to_numpy(dtype=np.int64).view(np.uint64)
+
+
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the nonzero entries of each row's random index vector: the same everywhere."""
     rng = np.random.default_rng(20240229)
@@ -72,26 +146,26 @@ def add_contexts(table: np.ndarray, docs: list[np.ndarray], place: np.ndarray, s
 
 def _sum_blobs(key):
     def run(table: pa.Table) -> pa.Table:
-        total = None
+        total = 0
         for blob in table.column("part"):
-            x = np.frombuffer(blob.as_buffer(), dtype=np.float32)
-            total = x.astype(np.float64) if total is None else total + x
-        return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, "part": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+            total = total + np.frombuffer(zlib.decompress(blob.as_buffer()), dtype=np.int64)
+        return pa.table({**{k: table.column(k).slice(0, 1) for k in key}, "part": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     return run
 
 
-def context_table(docs: DataFrame, text_col: str) -> np.ndarray:
+def context_table(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> np.ndarray:
     """The context vectors over all documents, ROWS x DIM, unit length: its size is fixed.
 
     Each task sums its own table; tables are added in rounds of MERGE, so that no task gathers more than
     MERGE blocks of fixed size however many tasks there are.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
         from pyspark import TaskContext
 
-        rows, (place, sign) = WordRows(), index_vectors()
+        rows, (place, sign) = WordRows(shared.value), index_vectors()
         table, held, n, any_text = np.zeros((ROWS, DIM)), [], 0, False
         for b in batches:
             for text in b.column(0).cast(pa.binary()):
@@ -99,7 +173,7 @@ def context_table(docs: DataFrame, text_col: str) -> np.ndarray:
                 if len(d):
                     held.append(d)
                     n += len(d)
-                if n >= 500_000:
+                if n >= FLUSH:
                     add_contexts(table, held, place, sign)
                     held, n, any_text = [], 0, True
         if held:
@@ -107,10 +181,12 @@ def context_table(docs: DataFrame, text_col: str) -> np.ndarray:
             any_text = True
         if any_text:
             part = TaskContext.get().partitionId()
-            parts = [table[k : k + BLOCK].astype(np.float32).tobytes() for k in range(0, ROWS, BLOCK)]
+            parts = [zlib.compress(table[k : k + BLOCK].astype(np.int64).tobytes(), 1) for k in range(0, ROWS, BLOCK)]
             yield pa.RecordBatch.from_pydict(
                 {"block": pa.array(range(len(parts)), pa.int32()), "task": pa.array([part] * len(parts), pa.int32()), "part": pa.array(parts, pa.binary())}
             )
+        del table, rows
+        tidy()
 
     source = docs.select(text_col)
     tasks = max(1, source.rdd.getNumPartitions())
@@ -118,27 +194,29 @@ def context_table(docs: DataFrame, text_col: str) -> np.ndarray:
     while tasks > 1:
         sums = sums.withColumn("task", (F.col("task") / MERGE).cast("int")).groupBy("block", "task").applyInArrow(_sum_blobs(["block", "task"]), "block int, task int, part binary")
         tasks = -(-tasks // MERGE)
-    table = np.zeros((ROWS, DIM), dtype=np.float32)
+    table = np.zeros((ROWS, DIM))
     for r in sums.collect():  # ROWS / BLOCK rows
-        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(bytes(r["part"]), dtype=np.float32).reshape(BLOCK, DIM)
+        part = np.frombuffer(zlib.decompress(bytes(r["part"])), dtype=np.int64)
+        table[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = part.reshape(-1, DIM)
     norm = np.linalg.norm(table, axis=1, keepdims=True)
-    return np.divide(table, norm, out=np.zeros_like(table), where=norm > 0)
+    return np.divide(table, norm, out=np.zeros_like(table), where=norm > 0).astype(np.float32)
 
 
-def pooled(docs: DataFrame, text_col: str, table: np.ndarray) -> DataFrame:
+def pooled(docs: DataFrame, text_col: str, vocabulary: np.ndarray, table: np.ndarray) -> DataFrame:
     """``docs`` without the text, with ``vector``: the mean of its tokens' context vectors (zeros without words)."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, table))
     at = docs.columns.index(text_col)
     schema = docs.drop(text_col).schema.add("vector", T.ArrayType(T.FloatType()))
 
     def run(batches):
-        rows, t = WordRows(), shared.value
+        rows, t = WordRows(shared.value[0]), shared.value[1]
         for b in batches:
             for k in range(0, b.num_rows, 1024):
                 part = b.slice(k, 1024)
                 out = np.zeros((part.num_rows, DIM), dtype=np.float32)
                 for i, text in enumerate(part.column(at).cast(pa.binary())):
                     d = rows.tokens(text.as_py())
+                    d = d[d >= 0]
                     if len(d):
                         seen, times = np.unique(d, return_counts=True)
                         out[i] = times.astype(np.float32) @ t[seen] / len(d)
@@ -221,13 +299,16 @@ def score_quality(
 
     ``may_teach`` is a condition on the id: only labels of such rows are read. Of them at most ``max_rows``
     (those of least hash of the id) teach the network; word vectors come from all documents. A null or empty
-    text has the zero vector, and so a score. An id with several labels teaches with each; null labels don't.
+    text has the zero vector, and so a score; a very long one is pooled whole. An id with several labels teaches with each; null labels and ids don't.
+    Words equally common come into the vocabulary by hash. Repeated rows and null ids come back as they are; equal texts have equal scores. Without
+    labels all scores are a half; an empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = scratch or Scratch(spark, "quality")
-    source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    vectors = scratch.table(pooled(source, "__text", context_table(source, "__text")), "vectors")
+    source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    vocabulary = common_words(source, "__text")
+    vectors = scratch.table(pooled(source, "__text", vocabulary, context_table(source, "__text", vocabulary)), "vectors")
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y"))
     taught = vectors.join(known.filter(may_teach(F.col("__id"))), "__id").withColumn("h", F.pmod(F.xxhash64("__id"), F.lit(1 << 31)))
     # a cut at the hash that a fifth more rows than wanted lie below, so that each task sends few to the last sort
