@@ -122,11 +122,19 @@ class Model:
         return self.langs[lang], score, spans
 
 
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", switch: float = 20.0) -> Model:
-    """Count n-grams and scripts by language over every row with a language; what comes to the driver has a fixed size a language."""
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", switch: float = 20.0, most: int = 256) -> Model:
+    """Count n-grams and scripts by language over every row with a language; what comes to the driver has a fixed size a language.
+
+    More than ``most`` languages are an error: the model, which is broadcast, is 256 KB a language, and so many names mean
+    that ``lang_col`` isn't one of languages. Null texts and languages teach nothing, an empty table gives a model that finds none.
+    """
     spark = rows.sparkSession
     ship_package(spark)
     size = 1 << BITS
+    rows = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    names = rows.select("lang").filter("lang IS NOT NULL").distinct().limit(most + 1).count()
+    if names > most:
+        raise ValueError(f"{lang_col} names more than {most} languages")
 
     def count(batches):
         import pyarrow as pa
@@ -155,7 +163,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", switc
         tidy()
 
     found = (
-        rows.select(lang_col, text_col)
+        rows
         .mapInArrow(count, "lang string, k int, n long")
         .groupBy("lang", "k")
         .agg(F.sum("n").alias("n"))
@@ -187,8 +195,9 @@ ADDED = T.StructType(
 def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``spans`` (names after ``prefix``).
 
-    A null text, and one without a letter, is ``und`` with score 0 and no spans. Other columns, repeated
-    rows and null ids pass through.
+    A null or empty text, and one without a letter, is ``und`` with score 0 and no spans. Very long texts are labelled whole. Of languages with
+    equally many letters the first by name is the text's. Repeated rows, null ids and other columns pass through; columns
+    named like a result are replaced. An empty table gives an empty one.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
