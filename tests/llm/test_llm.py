@@ -500,8 +500,10 @@ def test_shards_cut_few_groups(spark):
         while len(texts) < 3000:
             texts += [f"group {len(texts)}"] * int(rng.integers(2, 11))
         rows = list(enumerate(texts))
-        got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+        cuts = []
+        got = shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8, cuts=cuts).collect()
         check_shards(rows, got, 8)
+        assert len(cuts) > 1 and cuts == sorted(cuts, reverse=True) and cuts[-1] < cuts[0]
         where = defaultdict(set)
         for r in got:
             where[texts[r.doc_id]].add(r.shard)
