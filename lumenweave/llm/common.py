@@ -81,7 +81,14 @@ class Scratch:
         return f"{self.dir}/{name}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        # what the write shuffled is of no more use behind it: its files go at once, not when the driver next collects garbage
+        conf, key = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(key, "false")
+        conf.set(key, "true")
+        try:
+            df.write.mode("overwrite").parquet(self.path(name))
+        finally:
+            conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -90,13 +97,6 @@ class Scratch:
             p = jvm.org.apache.hadoop.fs.Path(self.path(name))
             p.getFileSystem(conf).delete(p, True)
 
-    def release_shuffles(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished jobs: it acts when the driver collects garbage."""
-        import gc
-
-        gc.collect()
-        self.spark._jvm.System.gc()
-
 
 def tidy() -> None:
     """Give a task's freed memory back to the system: a Python worker lives on for other tasks."""

@@ -351,10 +351,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     size = docs.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = int(max(8, -(-size // BUCKET_BYTES)))
     answered = scratch.table(answered_tokens(sent_tokens(docs, n, "id", "t", width), rare), "answered")
-    scratch.release_shuffles()
     rows = scratch.table(prefixes(answered, percent), "prefixes")
     scratch.drop("answered")
-    scratch.release_shuffles()
     real = rows.filter("n_shingles > 0 AND id IS NOT NULL")
     key = ["n_shingles", "s1", "s2"]
     groups = scratch.table(real.groupBy(*key).agg(F.min("id").alias("rep")), "groups")
