@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-EMPTY_WORDS: list[bytes] = []
 _ROOT = Path(__file__).resolve().parents[2]
 _shipped: set[str] = set()
 _own_tmp: list[str] = []
@@ -156,23 +155,6 @@ def crc_of_id(doc_id: Column | str) -> Column:
     return F.crc32(c.cast("string").cast("binary"))
 
 
-class HashCache(dict):
-    """word bytes -> 64-bit hash, remembered for the words seen lately; cleared at ``limit`` entries."""
-
-    limit = 200_000
-
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def many(self, words) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -185,6 +167,88 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+PIECE = 1 << 20  # bytes of a text that are hashed together
+_BASE = np.uint64(0xD1342543DE82EF95 | 3)  # odd, and twice odd less one: its powers lie far apart
+_tables: dict[str, np.ndarray] = {}
+
+
+def _table(name: str) -> np.ndarray:
+    """Powers of the base and of its inverse, codes of the 256 bytes (as they are, and with A-Z as a-z), and which are white space."""
+    if not _tables:
+        with np.errstate(over="ignore"):
+            step = lambda x: np.concatenate([[np.uint64(1)], np.cumprod(np.full(PIECE, x, dtype=np.uint64))])
+            inverse = pow(int(_BASE), -1, 1 << 64)
+            plain = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            small = plain.copy()
+            small[65:91] = plain[97:123]
+            space = np.zeros(256, dtype=bool)
+            space[[9, 10, 11, 12, 13, 32]] = True
+            _tables.update(power=step(_BASE), inverse=step(np.uint64(inverse)), plain=plain, small=small, space=space)
+    return _tables[name]
+
+
+def cut_text(text: bytes):
+    """Stretches of a text of a PIECE or less that end behind a word; a longer word comes alone."""
+    at, spaces = 0, [bytes([b]) for b in (9, 10, 11, 12, 13, 32)]
+    while len(text) - at > PIECE:
+        # a stretch begins with the white space that the one before ended at
+        cut = max(text.rfind(x, at + 1, at + PIECE) for x in spaces)
+        if cut < 0:
+            cut = min((k for x in spaces if (k := text.find(x, at + 1)) >= 0), default=len(text))
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
+def _hash_piece(buf: np.ndarray, code: np.ndarray, edge: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    word = np.concatenate([[False], ~_table("space")[buf], [False]])
+    turn = np.flatnonzero(word[1:] != word[:-1])
+    start, end = turn[0::2], turn[1::2]
+    bare = np.ones(len(start), dtype=bool)
+    if edge is not None and len(start):
+        # the nearest byte from the start on, and from the end back, that isn't an edge one
+        inner = np.flatnonzero(~edge[buf] & word[1:-1])
+        first, last = np.searchsorted(inner, start), np.searchsorted(inner, end) - 1
+        bare = first <= last
+        start = np.where(bare, inner[np.minimum(first, max(len(inner) - 1, 0))] if len(inner) else start, start)
+        end = np.where(bare, (inner[np.maximum(last, 0)] if len(inner) else end) + 1, end)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(code[buf] * _table("power")[: len(buf)], dtype=np.uint64)])
+        h = (total[end] - total[start]) * _table("inverse")[start]
+        return mix64(h + (end - start).astype(np.uint64)), bare
+
+
+def word_hashes(text: bytes | None, lower: bool = True, edge: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word of a text (a run of bytes that aren't ASCII white space), A-Z lowered or not, and whether it is ``bare``.
+
+    Bytes of ``edge`` at a word's ends don't count; a word of nothing else isn't bare, and is hashed whole. Hashes are polynomials over the bytes,
+    taken for all words at once from running sums; a text is worked through in pieces, a very long word in parts.
+    """
+    code = _table("small" if lower else "plain")
+    trim = None
+    if edge:
+        trim = np.zeros(256, dtype=bool)
+        trim[list(edge)] = True
+    hashes, bares = [], []
+    for piece in cut_text(text or b""):
+        if len(piece) <= PIECE:
+            h, bare = _hash_piece(np.frombuffer(piece, dtype=np.uint8), code, trim)
+        else:
+            word = piece.strip(b"\t\n\x0b\x0c\r ")
+            inner = word.strip(edge) if edge else word
+            bare, word = np.array([bool(inner)]), inner or word
+            total = 0
+            for k in range(0, len(word), PIECE):
+                part = np.frombuffer(word[k : k + PIECE], dtype=np.uint8)
+                with np.errstate(over="ignore"):
+                    own = int((code[part] * _table("power")[: len(part)]).sum(dtype=np.uint64))
+                total += own * pow(int(_BASE), k, 1 << 64)
+            h = mix64(np.array([(total + len(word)) & ((1 << 64) - 1)], dtype=np.uint64))
+        hashes.append(h)
+        bares.append(bare)
+    return (hashes[0], bares[0]) if len(hashes) == 1 else (np.concatenate(hashes), np.concatenate(bares))
+
+
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` adjacent word hashes, in order; the whole sequence as one when it is shorter."""
     n = len(h)

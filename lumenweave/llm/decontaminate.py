@@ -19,28 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, Scratch, long_id, mix64, read_table, tidy, window_hashes
+from .common import Scratch, long_id, mix64, read_table, tidy, window_hashes, word_hashes
 
 EDGE = bytes(b for b in range(33, 127) if not chr(b).isalnum())  # trimmed from a word's ends
 BASE = np.uint64(0x9E3779B97F4A7C15)
 FILTER_SEEDS = 4_000_000  # of the benchmark, which are broadcast (32 MB) where there are no more
 
 
-class WordKeys(HashCache):
-    """Hash of a word without case (A-Z) and without ASCII punctuation at its ends; 0 if nothing is left."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        bare = word.strip(EDGE)
-        h = self[word] = (xxhash.xxh3_64_intdigest(bare) or 1) if bare else 0
-        return h
-
-    def of(self, text: bytes | None) -> np.ndarray:
-        h = self.many(text.lower().split()) if text else np.empty(0, dtype=np.uint64)
-        return h[h != 0]
+def word_keys(text: bytes | None) -> np.ndarray:
+    """Hashes (none is 0) of a text's words without case (A-Z) and without ASCII punctuation at their ends; words of nothing else are left out."""
+    h, bare = word_hashes(text, True, EDGE)
+    return np.maximum(h[bare], np.uint64(1))
 
 
 def _runs(h: np.ndarray, free: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,11 +111,11 @@ def benchmark_items(benchmark: DataFrame, least: int, item_col: str, text_col: s
     def run(batches):
         from pyspark import TaskContext
 
-        keys, item = WordKeys(), TaskContext.get().partitionId() << 32
+        item = TaskContext.get().partitionId() << 32
         for b in batches:
             rows = []
             for item_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                h = keys.of(text.as_py())
+                h = word_keys(text.as_py())
                 if len(h):
                     w = min(least, len(h))
                     seeds, times = np.unique(window_hashes(h, w), return_counts=True)
@@ -148,12 +137,12 @@ def seed_hits(docs: DataFrame, widths: list[int], known: np.ndarray | None) -> D
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
-        keys, known = WordKeys(), shared.value
+        known = shared.value
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
                 text = text.as_py()
-                h = keys.of(text)
+                h = word_keys(text)
                 seeds, covered = [], np.zeros(len(h), dtype=bool)
                 for w in widths:
                     if len(h) < w:
@@ -172,7 +161,6 @@ def seed_hits(docs: DataFrame, widths: list[int], known: np.ndarray | None) -> D
             cols = list(zip(*rows)) or [[] for _ in range(4)]
             kinds = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "digest", "seeds", "part"])
-        del keys
         tidy()
 
     return docs.mapInArrow(run, HITS)

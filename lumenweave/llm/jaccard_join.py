@@ -33,7 +33,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import HashCache, Scratch, long_id, mix64, read_table, ship_package, tidy, window_hashes
+from .common import Scratch, long_id, mix64, read_table, ship_package, tidy, window_hashes, word_hashes
 from .components import components
 
 LOW = np.uint64((1 << 48) - 1)
@@ -44,12 +44,9 @@ CLASSES = 40  # of sizes: from 2 ** c to 2 ** (c + 1)
 PER_TOKEN = 2.5  # combinations of a set for each of its tokens, at most about
 
 
-def shingle_set(text: bytes | None, words_of: HashCache, width: int) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the ``width``-word shingles of a text, A-Z lowered; empty without words."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(window_hashes(words_of.many(words), width))
+    return np.unique(window_hashes(word_hashes(text)[0], width))
 
 
 def _least(n: int, percent: int) -> int:
@@ -106,7 +103,7 @@ def sent_tokens(docs: DataFrame, n: int, id_col: str, text_col: str, width: int)
     def run(batches):
         from pyspark import TaskContext
 
-        words_of, chunk, held, count = HashCache(), TaskContext.get().partitionId() << 32, [], 0
+        chunk, held, count = TaskContext.get().partitionId() << 32, [], 0
         kinds = [pa.binary() if f.endswith("binary") else pa.int64() for f in SENT.split(", ")]
         names = [f.split()[0] for f in SENT.split(", ")]
 
@@ -139,7 +136,7 @@ def sent_tokens(docs: DataFrame, n: int, id_col: str, text_col: str, width: int)
 
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
-                s = shingle_set(t.as_py(), words_of, width)
+                s = shingle_set(t.as_py(), width)
                 held.append((doc, s))
                 count += len(s)
                 if count >= CHUNK or len(held) >= CHUNK:
@@ -147,7 +144,7 @@ def sent_tokens(docs: DataFrame, n: int, id_col: str, text_col: str, width: int)
                     chunk, held, count = chunk + 1, [], 0
         if held:
             yield from flush()
-        del words_of, held
+        del held
         tidy()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, SENT)

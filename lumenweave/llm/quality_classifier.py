@@ -9,7 +9,6 @@ rows, and a temperature fitted on rows it didn't learn from calibrates it.
 
 from __future__ import annotations
 
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import EMPTY_WORDS, HashCache, Scratch, crc_of_id, read_table, ship_package, tidy
+from .common import Scratch, crc_of_id, cut_text, mix64, read_table, ship_package, tidy, word_hashes
 
 VOCABULARY, SHAPES = 1 << 15, 1 << 12  # words with a vector of their own, at most; hashed rows of word shapes
 ROWS = VOCABULARY + SHAPES
@@ -27,54 +26,59 @@ DIM, NONZERO, REACH = 64, 2, 2  # width, entries of an index vector, neighbours
 BLOCK = 1024  # rows of the table that travel together
 MERGE = 32  # partial tables that one task adds up at a time
 FLUSH = 1_000_000  # tokens that a task gathers before it adds them up
-_UPPER, _LOWER, _DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
-
-
-def _core(word: bytes) -> bytes:
-    """A word in small letters without ASCII punctuation at its ends, or as it is if nothing else is left."""
-    return word.lower().strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") or word
-
-
-class CoreHashes(HashCache):
-    """word bytes -> hash of its core."""
-
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(_core(word))
-        return h
-
-
-class WordRows(HashCache):
-    """word bytes -> its row (VOCABULARY if it has none) and its shape's row, as row | shape << 32."""
+EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Classes of a shape's bytes: 1 of A-Z, 2 of a-z and all above ASCII, 3 of digits, 0 of white space, others by themselves below 0.
+_CLASSES = np.array(
+    [1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 or b >= 128 else 3 if 48 <= b <= 57 else 0 if b in (9, 10, 11, 12, 13, 32) else -1 - b for b in range(256)], dtype=np.int16
+)
+
+
+def core_hashes(text: bytes | None) -> np.ndarray:
+    """Hashes of a text's words in small letters without ASCII punctuation at their ends (with it where nothing else is left)."""
+    return word_hashes(text, True, EDGE)[0]
+
+
+def shape_rows(text: bytes | None) -> np.ndarray:
+    """The row of each word's shape: its bytes' classes, of which runs count once, the first eight."""
+    rows = []
+    for piece in cut_text(text or b""):
+        c = _CLASSES[np.frombuffer(piece, dtype=np.uint8)]
+        word = np.concatenate([[False], c != 0, [False]])
+        turn = np.flatnonzero(word[1:] != word[:-1])
+        start, end = turn[0::2], turn[1::2]
+        if not len(start):
+            continue
+        # kept: a word's first byte, and those that aren't letters or digits like the byte before
+        kept = word[1:-1].copy()
+        kept[1:] &= (c[1:] != c[:-1]) | (c[1:] < 0)
+        at = np.flatnonzero(kept)
+        first = np.searchsorted(at, start)
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        at, rank = at[rank < 8], rank[rank < 8]
+        with np.errstate(over="ignore"):
+            part = mix64(c[at].astype(np.int64).view(np.uint64) * np.uint64(16) + rank.astype(np.uint64))
+            total = np.concatenate([[np.uint64(0)], np.cumsum(part, dtype=np.uint64)])
+            h = total[np.searchsorted(at, end)] - total[np.searchsorted(at, start)]
+        rows.append(VOCABULARY + (mix64(h) % np.uint64(SHAPES)).astype(np.int64))
+    return np.concatenate(rows) if rows else np.empty(0, dtype=np.int64)
+
+
+class WordRows:
+    """A text's words and shapes as rows of the table. ``vocabulary``: the words' hashes by row."""
 
     def __init__(self, vocabulary: np.ndarray):
-        """``vocabulary``: the words' hashes by row."""
-        super().__init__()
         self.order = np.argsort(vocabulary)
         self.sorted = vocabulary[self.order]
 
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        shape = _DIGIT.sub(b"9", _LOWER.sub(b"x", _UPPER.sub(b"X", word)))[:8]
-        h = np.uint64(xxhash.xxh3_64_intdigest(_core(word)))
-        k = int(np.searchsorted(self.sorted, h))
-        known = k < len(self.sorted) and self.sorted[k] == h
-        row = self[word] = (int(self.order[k]) if known else VOCABULARY) | (VOCABULARY + xxhash.xxh3_64_intdigest(b"shape " + shape) % SHAPES) << 32
-        return row
-
     def tokens(self, text: bytes | None) -> np.ndarray:
         """Rows of a text's words (-1 for one without) and shapes, in turn."""
-        words = text.split() if text else EMPTY_WORDS
-        both = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        out = np.empty(2 * len(words), dtype=np.int64)
-        row = both & 0xFFFFFFFF
-        out[0::2], out[1::2] = np.where(row == VOCABULARY, -1, row), both >> 32
+        h = core_hashes(text)
+        out = np.empty(2 * len(h), dtype=np.int64)
+        out[1::2] = shape_rows(text)
+        out[0::2] = -1
+        if len(self.sorted) and len(h):
+            k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            out[0::2] = np.where(self.sorted[k] == h, self.order[k], -1)
         return out
 
 
@@ -82,7 +86,7 @@ def common_words(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashes of the VOCABULARY commonest words of all documents: by sixteenths of a power of two of their counts, then by hash."""
 
     def run(batches):
-        words_of, held, n = CoreHashes(), [], 0
+        held, n = [], 0
         u, c = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
 
         def add():
@@ -91,10 +95,10 @@ def common_words(docs: DataFrame, text_col: str) -> np.ndarray:
 
         for b in batches:
             for text in b.column(0).cast(pa.binary()):
-                words = (text.as_py() or b"").split()
-                if words:
-                    held.append(words_of.many(words))
-                    n += len(words)
+                h = core_hashes(text.as_py())
+                if len(h):
+                    held.append(h)
+                    n += len(h)
                 if n >= FLUSH:
                     u, c = add()
                     held, n = [], 0

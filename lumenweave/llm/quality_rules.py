@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, Scratch, annotate, read_table, window_hashes
+from .common import Scratch, annotate, read_table, window_hashes, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 COUNTS = (
@@ -25,7 +25,7 @@ COUNTS = (
 )
 
 
-def text_counts(text: bytes | None, words_of: HashCache) -> tuple[int, ...]:
+def text_counts(text: bytes | None) -> tuple[int, ...]:
     """The counts named in COUNTS, of one text."""
     words = text.split() if text else []
     n = len(words)
@@ -47,7 +47,7 @@ def text_counts(text: bytes | None, words_of: HashCache) -> tuple[int, ...]:
         seen.add(line)
     repeated = 0
     if n >= 3:
-        _, back, c = np.unique(window_hashes(words_of.many(words), 3), return_inverse=True, return_counts=True)
+        _, back, c = np.unique(window_hashes(word_hashes(text, False)[0], 3), return_inverse=True, return_counts=True)
         hit = np.zeros(n, dtype=bool)
         twice = c[back] > 1
         for i in range(3):
@@ -69,8 +69,7 @@ def count_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the COUNTS columns, which replace columns of these names; all 0 for a null or empty text."""
 
     def make():
-        words_of = HashCache()
-        return lambda texts: list(zip(*(text_counts(t, words_of) for t in texts))) or [[] for _ in COUNTS]
+        return lambda texts: list(zip(*map(text_counts, texts))) or [[] for _ in COUNTS]
 
     return annotate(docs, text_col, make, T.StructType([T.StructField(c, T.LongType()) for c in COUNTS]))
 

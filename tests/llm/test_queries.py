@@ -103,15 +103,14 @@ def plain_vectors(texts, vocabulary):
 
 
 def test_op4_by_brute_force(spark, texts):
-    import xxhash
-
     from lumenweave.llm.quality_classifier import VOCABULARY as SIZE
-    from lumenweave.llm.quality_classifier import _core, common_words, fit_network
+    from lumenweave.llm.quality_classifier import common_words, core_hashes, fit_network
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     vocabulary = common_words(docs, "text")
-    n = Counter(_core(w) for _, t in texts if t is not None for w in t.encode().split())
-    assert len(n) <= SIZE and {int(h) for h in vocabulary} == {xxhash.xxh3_64_intdigest(w) for w in n}
+    edge = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    n = Counter(w.lower().strip(edge) or w for _, t in texts if t is not None for w in t.encode().split())
+    assert len(n) <= SIZE and {int(h) for h in vocabulary} == {int(core_hashes(w)[0]) for w in n}
     vectors = plain_vectors(texts, vocabulary)
     labels = spark.read.parquet(f"{SF}/labels.parquet").withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31))).collect()
     teach = sorted((r.h, r.doc_id, r.quality) for r in labels if crc(r.doc_id) % 3 != 1 and r.quality is not None)
@@ -125,15 +124,13 @@ def test_op4_by_brute_force(spark, texts):
 
 def test_op4_cut_vocabulary(spark, monkeypatch):
     """Where there are more words than the vocabulary holds, the commonest are in it."""
-    import xxhash
-
     import lumenweave.llm.quality_classifier as module
 
     monkeypatch.setattr(module, "VOCABULARY", 20)
     text = " ".join(f"w{k}" for k in range(200) for _ in range(200 - k))
     got = {int(h) for h in module.common_words(spark.createDataFrame([(text,), (None,), ("",)], "text string"), "text")}
-    assert len(got) == 20 and {xxhash.xxh3_64_intdigest(f"w{k}".encode()) for k in range(8)} <= got
-    assert got <= {xxhash.xxh3_64_intdigest(f"w{k}".encode()) for k in range(32)}
+    assert len(got) == 20 and {int(module.core_hashes(f"w{k}".encode())[0]) for k in range(8)} <= got
+    assert got <= {int(module.core_hashes(f"w{k}".encode())[0]) for k in range(32)}
     alone = spark.createDataFrame([(" ".join(f"x{k}" for k in range(5000)),)], "text string")
     assert len(module.common_words(alone, "text")) == 20 and len(module.common_words(alone.limit(0), "text")) == 0
 
@@ -287,3 +284,40 @@ def test_words_fuzzed_against_the_tokenizer():
     for _ in range(100_000):
         t = "".join(bits[k] for k in rng.integers(0, len(bits), rng.integers(1, 7)))
         assert np.frombuffer(w.encode(t.encode()), dtype="<u4").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_word_hashes_against_words(monkeypatch):
+    """Equal words have equal hashes and others don't, wherever pieces end; edges and case count or don't as asked."""
+    import lumenweave.llm.common as module
+
+    rng = np.random.default_rng(3)
+    parts = [b"word", b"Word", b"WORD,", b"(word)", b"...", b"drow", b"a", b"b", b"ab", b"ba", b"\xc3\xa9t\xc3\xa9", b"x" * 50, b"x" * 51, b"\x00", b"\x1c", b"#"]
+    gaps = [b" ", b"\n", b"\t ", b"\r\n", b"\x0b", b"  "]
+    seen = {}
+    for piece in (7, 40, 1 << 20):
+        monkeypatch.setattr(module, "PIECE", piece)
+        module._tables.clear()
+        for _ in range(300):
+            n = int(rng.integers(0, 30))
+            text = b"".join(gaps[rng.integers(6)] + parts[rng.integers(len(parts))] for _ in range(n)) + gaps[rng.integers(6)] * int(rng.integers(2))
+            for lower, edge in ((True, b""), (False, b""), (True, b".,()#")):
+                h, bare = module.word_hashes(text, lower, edge)
+                ws = (text.lower() if lower else text).split()
+                assert len(h) == len(ws) and [bool(w.strip(edge) if edge else w) for w in ws] == bare.tolist()
+                for w, x in zip(ws, h.tolist()):
+                    w = (w.strip(edge) or w) if edge else w
+                    assert seen.setdefault((w, lower), x) == x
+    for lower in (True, False):
+        own = {w: x for (w, k), x in seen.items() if k == lower}
+        assert len(set(own.values())) == len(own)
+    module._tables.clear()
+
+
+def test_shapes():
+    from lumenweave.llm.quality_classifier import shape_rows
+
+    rows = shape_rows(b" Word Other word 12 345 a1 B2 1990s C#-x C#-yy A.B.C.D.E.F A.B.C.D.G.H.I \xc3\xa9t").tolist()
+    of = dict(zip("Word Other word 12 345 a1 B2 1990s C#-x C#-yy long longer et".split(), rows))
+    assert of["Word"] == of["Other"] and of["12"] == of["345"] and of["C#-x"] == of["C#-yy"] and of["long"] == of["longer"] and of["word"] == of["et"]
+    assert len({of[k] for k in ("Word", "word", "12", "a1", "B2", "1990s", "C#-x", "long")}) == 8
+    assert len(shape_rows(None)) == len(shape_rows(b" \n")) == 0
