@@ -41,7 +41,8 @@ def a02(spark, sf):
 @query("a03_percentiles", f"{V}, {FIN} SELECT frame, round(quantile_cont(v, 0.05), 4) AS p5, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.998), 4) AS p998 FROM fin GROUP BY frame")
 def a03(spark, sf):
     p = pix_nan(spark, sf).filter(s.finite(F.col("v")))
-    return p.groupBy("frame").agg(*[r(F.percentile("v", q), n) for n, q in (("p5", 0.05), ("p50", 0.5), ("p998", 0.998))])
+    got = stats.quantiles(p, ["frame"], F.col("v"), {n: stats.linear(q) for n, q in (("p5", 0.05), ("p50", 0.5), ("p998", 0.998))})
+    return got.select("frame", r("p5"), r("p50"), r("p998"))
 
 
 @query(
@@ -50,8 +51,8 @@ def a03(spark, sf):
 )
 def a04(spark, sf):
     p = pix_nan(spark, sf).filter(s.finite(F.col("v")))
-    up = stats._upper_middle(p, ["frame"], F.col("v"), "upper")
-    return p.groupBy("frame").agg(F.median("v").alias("middle")).join(up, "frame").select("frame", r("middle"), r("upper"))
+    got = stats.quantiles(p, ["frame"], F.col("v"), {"middle": stats.linear(0.5), "upper": stats.upper_middle()})
+    return got.select("frame", r("middle"), r("upper"))
 
 
 @query("a05_order_statistic", f"{V}, {FIN} SELECT frame, v AS value FROM (SELECT frame, v, row_number() OVER (PARTITION BY frame ORDER BY v) AS k FROM fin) WHERE k = 11")
