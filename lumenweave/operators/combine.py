@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.scalars import Affine, finite
-from lumenweave.operators.stats import clipped
+from lumenweave.operators.stats import clipped, linear, median, quantiles
 
 NAN = float("nan")
 
@@ -106,13 +106,20 @@ def accumulate(contributions: DataFrame, value: Column, weight: Column) -> DataF
     return sums.select("ox", "oy", F.when(F.abs("w") <= 1e-12, F.lit(NAN)).otherwise(F.col("vw") / F.col("w")).alias("v"), F.col("w").alias("weight"))
 
 
+def map_table(spark, maps: dict[int, Affine]) -> DataFrame:
+    """Frames' maps as a table: a row a frame, which the caller's dictionary already holds."""
+    rows = [(int(k), *(float(getattr(m, c)) for c in "abcdef")) for k, m in maps.items()]
+    return spark.createDataFrame(rows, "frame long, ma double, mb double, mc double, md double, me double, mf double")
+
+
 def place(df: DataFrame, maps: dict[int, Affine]) -> DataFrame:
     """cx, cy of each pixel by its frame's map (identity where it has none)."""
-    cx, cy = F.col("x").cast("double"), F.col("y").cast("double")
-    for frame, m in maps.items():
-        mx, my = m.apply(F.col("x"), F.col("y"))
-        cx, cy = F.when(F.col("frame") == frame, mx).otherwise(cx), F.when(F.col("frame") == frame, my).otherwise(cy)
-    return df.withColumn("cx", cx).withColumn("cy", cy)
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    if not maps:
+        return df.withColumns({"cx": x, "cy": y})
+    j = df.join(F.broadcast(map_table(df.sparkSession, maps)), "frame", "left")  # a row a frame
+    at = lambda a, b, c, own: F.coalesce(F.col(a) * x + F.col(b) * y + F.col(c), own)
+    return j.select(*[F.col(f"`{c}`") for c in df.columns], at("ma", "mb", "mc", x).alias("cx"), at("md", "me", "mf", y).alias("cy"))
 
 
 def context(contributions: DataFrame) -> DataFrame:
@@ -159,7 +166,7 @@ def master_bias(df: DataFrame) -> DataFrame:
 def master_flat(df: DataFrame, bias: DataFrame) -> DataFrame:
     """Per-pixel median less bias, over the median of all positive ones; what isn't positive is NaN."""
     raw = df.join(bias, ["x", "y"]).withColumn("d", F.col("v") - F.col("bias")).filter(finite(F.col("d"))).groupBy("x", "y").agg(F.median("d").alias("f"))
-    level = raw.filter("f > 0").agg(F.median("f").alias("level"))
+    level = median(raw.filter("f > 0"), [], F.col("f"), "level")
     return raw.crossJoin(F.broadcast(level)).select("x", "y", F.when(F.col("f") > 0, F.col("f") / F.col("level")).otherwise(F.lit(NAN)).alias("flat"))
 
 
@@ -196,7 +203,7 @@ def amplifier_steps(df: DataFrame, width: int, band: int = 16, least: int = 200,
     amp = F.least(F.floor(F.col("x") / w), F.lit(strips - 1)).cast("int")
     keys = ["frame", "amp", "band"]
     rows = df.withColumns({"amp": amp, "band": F.floor(F.col("y") / band)})
-    level = clipped(rows, keys, "v", 3.0, 3.0, 3).groupBy(*keys).agg(F.count("*").alias("n"), F.median("v").alias("m")).filter(F.col("n") >= least)
+    level = quantiles(clipped(rows, keys, "v", 3.0, 3.0, 3), keys, F.col("v"), {"m": linear(0.5)}).filter(F.col("n") >= least)
     nxt = level.select("frame", (F.col("amp") - 1).alias("amp"), "band", F.col("m").alias("m2"))
     step = level.join(nxt, keys).groupBy("frame", (F.col("amp") + 1).alias("amp")).agg(F.median(F.col("m2") - F.col("m")).alias("step"))
     every = level.select("frame").distinct().crossJoin(df.sparkSession.range(strips).select(F.col("id").cast("int").alias("amp"))).join(step, ["frame", "amp"], "left")

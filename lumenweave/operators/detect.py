@@ -153,13 +153,23 @@ def verify(sources: DataFrame, evidence: DataFrame, radius: float = 2.0, least:
     return sources.join(n, "id", "left").withColumn("confirmations", F.coalesce("confirmations", F.lit(0))).withColumn("confirmed", F.col("confirmations") >= least)
 
 
+def _within_reach(df: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pixels with each source whose radius reaches them: df's columns, the source's prefixed r_, and dist. Sources go to the pixels of their box."""
+    span = lambda c: F.sequence(F.ceil(F.col(c) - F.col("radius")).cast("long"), F.floor(F.col(c) + F.col("radius")).cast("long"))
+    s = sources.select("frame", F.explode(span("x")).alias("__x"), *[F.col(c).alias(f"r_{c}") for c in sources.columns if c != "frame"], "y", "radius")
+    s = s.withColumn("__y", F.explode(span("y"))).drop("y", "radius")
+    j = df.join(s, (df["frame"] == s["frame"]) & (df["x"] == s["__x"]) & (df["y"] == s["__y"])).drop(s["frame"]).drop("__x", "__y")
+    dist = F.sqrt((F.col("x") - F.col("r_x")) ** 2 + (F.col("y") - F.col("r_y")) ** 2)
+    return j.withColumn("dist", dist).filter(F.col("dist") <= F.col("r_radius"))
+
+
 def gentler(df: DataFrame, sources: DataFrame, strength: float = 0.5) -> DataFrame:
     """Pixels (frame, x, y, v of 0..1) less the greatest of their stars' corrections: w * (E - E / (1 + 4 * strength * E)).
 
     E is the excess over a source's base, w its feather: 1 within 0.65 of the radius, a cosine to 0 beyond.
     """
-    widest = 16.0
-    near = radius_join(df.select("frame", "x", "y", "v"), sources.select("frame", "x", "y", "radius", "base"), widest, ["frame"])
+    src = sources.select("frame", "x", "y", "radius", "base")
+    near = _within_reach(df.select("frame", "x", "y", "v"), src)
     t = F.col("dist") / F.col("r_radius")
     w = F.when(t <= 0.65, 1.0).when(t <= 1, 0.5 + 0.5 * F.cos(F.lit(math.pi) * (t - 0.65) / 0.35)).otherwise(0.0)
     e = F.greatest(F.lit(0.0), F.col("v") - F.col("r_base"))
@@ -169,7 +179,7 @@ def gentler(df: DataFrame, sources: DataFrame, strength: float = 0.5) -> DataFra
 
 def whiten(df: DataFrame, sources: DataFrame, amount: float = 1.0, luma: bool = False) -> DataFrame:
     """Colours (frame, x, y, r, g, b) near a star moved towards neutral by its feather: each channel's excess to the greatest, or to their luma."""
-    near = radius_join(df, sources.select("frame", "x", "y", "radius", "base_r", "base_g", "base_b"), 16.0, ["frame"])
+    near = _within_reach(df, sources.select("frame", "x", "y", "radius", "base_r", "base_g", "base_b"))
     t = F.col("dist") / F.col("r_radius")
     w = F.when(t <= 0.65, 1.0).when(t <= 1, 0.5 + 0.5 * F.cos(F.lit(math.pi) * (t - 0.65) / 0.35)).otherwise(0.0)
     ex = {c: F.greatest(F.lit(0.0), F.col(c) - F.col(f"r_base_{c}")) for c in "rgb"}

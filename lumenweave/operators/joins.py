@@ -13,16 +13,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str] = (), x: str = "x", y: str = "y") -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str] = (), x: str = "x", y: str = "y", copied: str = "left") -> DataFrame:
     """Pairs within ``radius`` (inclusive) and equal ``keys``: left columns, right ones prefixed r_, and dist.
 
-    Only the left side is copied (to its 3 x 3 cells), so no pair comes twice.
+    Only one side is copied (to its 3 x 3 cells), so no pair comes twice: the one named by ``copied``, which should be the smaller.
     """
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     cell = lambda c: F.floor(F.col(c) / radius)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    a = left.withColumn("__dx", F.explode(near)).withColumn("__dy", F.explode(near))
-    a = a.withColumns({"__cx": cell(x) + F.col("__dx"), "__cy": cell(y) + F.col("__dy")}).drop("__dx", "__dy")
-    b = right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns], cell(x).alias("__cx"), cell(y).alias("__cy"))
+
+    def celled(df: DataFrame, cx: str, cy: str, copy: bool) -> DataFrame:
+        if not copy:
+            return df.withColumns({"__cx": cell(cx), "__cy": cell(cy)})
+        return df.withColumn("__dx", near).withColumn("__dy", near).withColumns({"__cx": cell(cx) + F.col("__dx"), "__cy": cell(cy) + F.col("__dy")}).drop("__dx", "__dy")
+
+    a = celled(left, x, y, copied == "left")
+    b = celled(right.select(*[F.col(c).alias(c if c in keys else f"r_{c}") for c in right.columns]), f"r_{x}", f"r_{y}", copied == "right")
     dist = F.sqrt((F.col(x) - F.col(f"r_{x}")) ** 2 + (F.col(y) - F.col(f"r_{y}")) ** 2)
     return a.join(b, [*keys, "__cx", "__cy"]).withColumn("dist", dist).filter(F.col("dist") <= radius).drop("__cx", "__cy")
 
@@ -165,13 +170,20 @@ def in_box(stars: DataFrame, boxes: DataFrame, pad: float, extent: float) -> Dat
 def may_overlap(frames: DataFrame) -> DataFrame:
     """Pairs i < j whose centres lie no further apart than half their diagonals together; an unknown place keeps its pairs.
 
-    Frames' footprints are few beside their pixels; known ones still meet by cells of the largest diagonal.
+    Known frames meet by cells of the largest diagonal. Frames of unknown place pair with all, which is what is asked for.
     """
-    a = frames.select(F.col("frame").alias("i"), F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.col("diag").alias("id"))
-    b = frames.select(F.col("frame").alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("diag").alias("jd"))
+    at = frames.select("frame", "cx", "cy", "diag")
+    side = at.filter("cx IS NOT NULL").crossJoin(F.broadcast(at.agg(F.greatest(F.max("diag"), F.lit(1e-9)).alias("__side"))))  # one number
+    known = side.withColumns({"__gx": F.floor(F.col("cx") / F.col("__side")), "__gy": F.floor(F.col("cy") / F.col("__side"))})
+    near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    a = known.select(F.col("frame").alias("i"), F.col("cx").alias("ix"), F.col("cy").alias("iy"), F.col("diag").alias("id"), "__gx", "__gy")
+    b = known.select(F.col("frame").alias("j"), F.col("cx").alias("jx"), F.col("cy").alias("jy"), F.col("diag").alias("jd"), "__gx", "__gy")
+    b = b.withColumn("__dx", near).withColumn("__dy", near).withColumns({"__gx": F.col("__gx") + F.col("__dx"), "__gy": F.col("__gy") + F.col("__dy")})
     d = F.sqrt((F.col("ix") - F.col("jx")) ** 2 + (F.col("iy") - F.col("jy")) ** 2)
-    unknown = F.col("ix").isNull() | F.col("jx").isNull()
-    return a.join(b, F.col("i") < F.col("j")).filter(unknown | (d <= (F.col("id") + F.col("jd")) / 2)).select("i", "j")
+    close = a.join(b, ["__gx", "__gy"]).filter((F.col("i") < F.col("j")) & (d <= (F.col("id") + F.col("jd")) / 2)).select("i", "j")
+    lost = at.filter("cx IS NULL").select(F.col("frame").alias("a"))
+    all_of = lost.join(at.select(F.col("frame").alias("b")), F.col("a") != F.col("b"))
+    return close.union(all_of.select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))).distinct()
 
 
 def weights_or_default(items: DataFrame, weights: DataFrame, key: str, default: float) -> DataFrame:
