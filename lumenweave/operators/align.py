@@ -1,144 +1,324 @@
-"""Aligning frames: a cascade of matches per frame, chains through aligned frames, and a bundle that must improve."""
+"""Aligning frames: a cascade of matches per frame, chains through aligned frames, and a bundle that must improve.
+
+Matches are made on catalogs capped to a stated number of stars, so a frame's group is small; which stars of the
+frames placed before a frame meets is a join on cells, and never passes the driver.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.operators.fit import fit_similarity, ransac
+from lumenweave.operators.fit import fit_affine, fit_similarity, moved, ransac, shift_of_corners
+from lumenweave.operators.joins import mutual_nearest
 from lumenweave.operators.series import brightest
 
 FIT = "frame long, method string, support long, rms double, a double, b double, c double, d double, e double, f double"
+STARS = 500  # of a catalog that is matched, at most
+MOST_SHIFT = 150.0  # of a corner, by a fit that is believed
+NEAR = 2.0  # within which a star supports a fit
 
 
-def _pairs(p: np.ndarray, q: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Mutual nearest indexes within a radius."""
+def _mutual(p: np.ndarray, q: np.ndarray, radius: float, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes that are each other's nearest within a radius, and, below a ratio of 1, clearly nearer than the second."""
     if not len(p) or not len(q):
         return np.empty(0, int), np.empty(0, int)
     d = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
-    near = d.argmin(axis=1)
-    back = d.argmin(axis=0)
-    i = np.flatnonzero((back[near] == np.arange(len(p))) & (d[np.arange(len(p)), near] <= radius))
+    near, back = d.argmin(axis=1), d.argmin(axis=0)
+    own = d[np.arange(len(p)), near]
+    ok = (back[near] == np.arange(len(p))) & (own <= radius)
+    if ratio < 1:
+        for side, at in ((d, near), (d.T, back)):
+            if side.shape[1] > 1:
+                two = np.partition(side, 1, axis=1)[:, :2]
+                clear = (two[:, 1] > radius) | (two[:, 0] <= ratio * two[:, 1])
+                ok &= clear if side is d else clear[near]
+    i = np.flatnonzero(ok)
     return i, near[i]
 
 
-def _histogram_offset(p: np.ndarray, q: np.ndarray, window: float = 150.0, size: float = 3.0, least: int = 4) -> np.ndarray | None:
+def _by_offsets(p: np.ndarray, q: np.ndarray, window: float = 150.0, size: float = 3.0, radius: float = 8.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs nearest to the commonest offset: the centroid of the fullest 3 x 3 bins of all offsets in the window."""
     d = (q[None, :, :] - p[:, None, :]).reshape(-1, 2)
     d = d[(np.abs(d) <= window).all(axis=1)]
     if not len(d):
-        return None
+        return np.empty(0, int), np.empty(0, int)
     bins, inverse, n = np.unique(np.floor(d / size).astype(int), axis=0, return_inverse=True, return_counts=True)
     top = int(n.argmax())
-    if n[top] < least:
-        return None
+    if n[top] < 4:
+        return np.empty(0, int), np.empty(0, int)
     near = (np.abs(bins - bins[top]) <= 1).all(axis=1)
-    return d[near[inverse.ravel()]].mean(axis=0)
-
-
-def cascade(p: np.ndarray, q: np.ndarray, corners: np.ndarray, most_shift: float = 150.0, least: int = 3) -> tuple[str, np.ndarray, int, float] | None:
-    """The first of: nearest pairs at 5 px, offset histogram then 8 px, nearest at 30 px, that gives a similarity by RANSAC
-    which moves no corner by more than ``most_shift`` and keeps ``least`` stars within 2 px."""
-    tries = [("nearest", np.zeros(2), 5.0)]
-    shift = _histogram_offset(p, q)
-    if shift is not None:
-        tries.append(("histogram", shift, 8.0))
-    tries.append(("wide", np.zeros(2), 30.0))
-    for name, move, radius in tries:
-        i, j = _pairs(p + move, q, radius)
-        if len(i) < least:
-            continue
-        m, ok = ransac(p[i], q[j], 3.0)
-        if ok.sum() < least:
-            continue
-        moved = p @ m[:, :2].T + m[:, 2]
-        a, b = _pairs(moved, q, 2.0)
-        if len(a) < least or np.hypot(*(corners @ m[:, :2].T + m[:, 2] - corners).T).max() > most_shift:
-            continue
-        m = fit_similarity(p[a], q[b])
-        rms = float(np.sqrt((((p[a] @ m[:, :2].T + m[:, 2]) - q[b]) ** 2).sum(axis=1).mean()))
-        return name, m, len(a), rms
-    return None
-
-
-def align_to(stars: DataFrame, reference: DataFrame, extent: float, cap: int = 500) -> DataFrame:
-    """A fit (FIT) of each frame's stars to the reference's; frames that none of the methods places are left out.
-
-    Catalogs are capped to their ``cap`` brightest first, so a frame's group and the reference beside it are small.
+    return _mutual(p + d[near[inverse.ravel()]].mean(axis=0), q, radius)
+
+
+def _triangles(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices (by the length of the side across, ascending) and the two side ratios of all triangles."""
+    n = len(p)
+    i, j, k = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), np.arange(n), indexing="ij"))
+    t = np.stack([i, j, k], axis=1)[(i < j) & (j < k)]
+    side = np.stack([np.hypot(*(p[t[:, b]] - p[t[:, c]]).T) for b, c in ((1, 2), (0, 2), (0, 1))], axis=1)
+    order = np.argsort(side, axis=1)
+    t, side = np.take_along_axis(t, order, axis=1), np.take_along_axis(side, order, axis=1)
+    ok = side[:, 2] > 1e-9
+    return t[ok], side[ok, :2] / side[ok, 2:]
+
+
+def _by_triangles(p: np.ndarray, q: np.ndarray, cap: int = 40, tolerance: float = 0.01, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by votes of alike triangles of the first ``cap`` stars of each, which shift, turn and scale leave alone."""
+    a, b = _triangles(p[:cap]), _triangles(q[:cap])
+    if not len(a[0]) or not len(b[0]):
+        return np.empty(0, int), np.empty(0, int)
+    votes = np.zeros((min(cap, len(p)), min(cap, len(q))), dtype=np.int64)
+    order = np.argsort(b[1][:, 0], kind="stable")
+    r = b[1][order]
+    lo, hi = np.searchsorted(r[:, 0], a[1][:, 0] - tolerance), np.searchsorted(r[:, 0], a[1][:, 0] + tolerance, "right")
+    for t, (_, r2), x, y in zip(a[0], a[1], lo, hi):
+        near = order[x:y][np.abs(r[x:y, 1] - r2) <= tolerance]
+        for v in range(3):
+            np.add.at(votes[t[v]], b[0][near, v], 1)
+    best, back = votes.argmax(axis=1), votes.argmax(axis=0)
+    i = np.flatnonzero((back[best] == np.arange(len(votes))) & (votes.max(axis=1) >= least))
+    return i, best[i]
+
+
+def _clipped(p: np.ndarray, q: np.ndarray, m: np.ndarray, sigmas: float = 3.0) -> np.ndarray:
+    """Which pairs a fit leaves within some deviations of its residuals."""
+    d = np.hypot(*(moved(p, m) - q).T)
+    spread = np.sqrt((d * d).mean())
+    return d <= sigmas * spread if spread > 0 else np.ones(len(d), dtype=bool)
+
+
+def believable(m: np.ndarray) -> bool:
+    """Nearly the identity: no mirror, a scale within 15 %, a turn below 10 degrees."""
+    det = m[0, 0] * m[1, 1] - m[0, 1] * m[1, 0]
+    turn = np.degrees(np.arctan2(m[1, 0] - m[0, 1], m[0, 0] + m[1, 1]))
+    return det > 0 and 0.85 <= np.sqrt(det) <= 1.15 and abs(turn) < 10
+
+
+def _residuals(p: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[float, float]:
+    d = np.hypot(*(moved(p, m) - q).T)
+    return float(np.sqrt((d * d).mean())), float(d.max())
+
+
+def _worth_an_affine(p: np.ndarray, q: np.ndarray, similar: np.ndarray, affine: np.ndarray, extent: tuple[float, float]) -> bool:
+    """Whether six unknowns instead of four pay: clearly smaller residuals, where those of four are large, over stars that span the frame."""
+    if len(p) < 6:
+        return False
+    (r1, m1), (r2, m2) = _residuals(p, q, similar), _residuals(p, q, affine)
+    if not (r2 < r1 and m2 < m1) or (r1 <= 1.25 and m1 <= 3.5) or (r2 > 0.75 * r1 and m2 > 0.8 * m1):
+        return False
+    w, h = np.ptp(q, axis=0)
+    return min(w, h) >= max(120, 0.2 * min(extent)) and np.hypot(w, h) >= max(250, 0.35 * np.hypot(*extent))
+
+
+def cascade(p: np.ndarray, q: np.ndarray, extent: tuple[float, float], radius: float = 15.0) -> tuple[str, np.ndarray, int, float] | None:
+    """(method, 2 x 3 map, stars that support it, RMS) of p onto q, or None.
+
+    Pairs come from the first of these that gives four: the commonest offset, nearest pairs tightened round by round, nearest
+    pairs of twice the radius, alike triangles. A similarity by random samples, an affine where that fails or clearly pays. A
+    fit must be believable, move no corner by more than MOST_SHIFT and be supported by three stars (four, for an affine of larger catalogs). Stars come brightest first.
     """
-    ref = brightest(reference.withColumn("frame", F.lit(0)), cap, ["frame"]).select("x", "y").orderBy("x", "y").toPandas().to_numpy(float)
-    shared = stars.sparkSession.sparkContext.broadcast(ref)
-    corners = np.array([[0, 0], [extent, 0], [0, extent], [extent, extent]], dtype=float)
+    method, (i, j) = "offsets", _by_offsets(p, q)
+    if len(i) < 4:
+        i, j = np.empty(0, int), np.empty(0, int)
+    reach = radius
+    for _ in range(3):
+        if len(i) >= 4:
+            break
+        method, (i, j) = "nearest", _mutual(p[:80], q[:80], reach, 0.8)
+        if len(i) < 4:
+            break
+        keep = _clipped(p[i], q[j], fit_similarity(p[i], q[j]))
+        i, j, reach = i[keep], j[keep], max(radius / 3, 5.0)
+    if len(i) < 4 and len(p) >= 30:
+        wide = _mutual(p[:80], q[:80], 2 * radius, 0.8)
+        if len(wide[0]) > len(i):
+            method, (i, j) = "wide", wide
+    if len(i) < 4:
+        alike = _by_triangles(p, q)
+        if len(alike[0]) > len(i):
+            method, (i, j) = "triangles", alike
+    if len(i) < 2:
+        return None
+    m, ok = ransac(p[i], q[j], 1.5, 300)
+    affine, in_affine = ransac(p[i], q[j], 1.5, 2000, "affine") if len(i) >= 3 else (None, None)
+    general = False
+    if ok.sum() < 2:
+        if affine is None or in_affine.sum() < 3:
+            return None
+        m, general = affine, True
+    elif affine is not None and in_affine.sum() >= 3 and _worth_an_affine(p[i], q[j], m, affine, extent):
+        m, general = affine, True
+    at = moved(p, m)
+    a, b = _mutual(at, q, NEAR)
+    # a correction that no more stars support than none does is none
+    same = _mutual(p, q, NEAR)
+    if len(same[0]) >= max(3, len(a)):
+        m, (a, b), general = np.array([[1.0, 0, 0], [0, 1, 0]]), same, False
+    least = 4 if general and min(len(p), len(q)) > 3 else 3
+    if not believable(m) or shift_of_corners(m, extent) > MOST_SHIFT or len(a) < least:
+        return None
+    return method, m, len(a), float(np.sqrt(((moved(p[a], m) - q[b]) ** 2).sum(axis=1).mean()))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["x", "y"])[["x", "y"]].to_numpy(float)
-        got = cascade(p, shared.value, corners)
-        rows = [] if got is None else [(int(pdf["frame"].iloc[0]), got[0], got[2], got[3], *got[1].ravel())]
+
+def _beside(stars: DataFrame, reference: DataFrame, cap: int, pad: float) -> DataFrame:
+    """Per frame of ``stars`` the brightest ``cap`` reference stars within its padded box, by cells of a box's size."""
+    box = stars.groupBy("frame").agg(*[f(c).alias(f"{n}{c}") for c in "xy" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    side = 1024.0
+    span = lambda c: F.explode(F.sequence(F.floor((F.col(f"lo{c}") - pad) / side), F.floor((F.col(f"hi{c}") + pad) / side)))
+    cells = box.withColumn("gx", span("x")).withColumn("gy", span("y"))
+    ref = reference.select("x", "y", "peak").withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)})
+    inside = F.col("x").between(F.col("lox") - pad, F.col("hix") + pad) & F.col("y").between(F.col("loy") - pad, F.col("hiy") + pad)
+    j = ref.join(cells, ["gx", "gy"]).filter(inside).select("frame", "x", "y", "peak")
+    rank = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("peak"), "x", "y"))
+    # new names for the plan: both sides of the cogroup may stand on one catalog
+    return j.withColumn("rank", rank).filter(F.col("rank") <= cap).select(*[F.col(c).alias(c) for c in ("frame", "x", "y", "rank")])
+
+
+def align_to(stars: DataFrame, reference: DataFrame, extent: float, cap: int = STARS) -> DataFrame:
+    """A fit (FIT) of each frame's stars (frame, x, y, peak) to the reference's (x, y, peak); frames that the cascade can't place are left out."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        order = lambda f: f.sort_values("rank")[["x", "y"]].to_numpy(float)
+        got = cascade(order(left), order(right), (extent, extent)) if len(left) and len(right) else None
+        rows = [] if got is None else [(int(left["frame"].iloc[0]), got[0], got[2], got[3], *got[1].ravel())]
         return pd.DataFrame(rows, columns=["frame", "method", "support", "rms", *"abcdef"])
 
-    return brightest(stars, cap, ["frame"]).select("frame", "x", "y").groupBy("frame").applyInPandas(run, FIT)
+    own = brightest(stars, cap, ["frame"]).select("frame", "x", "y", "rank")
+    ref = _beside(own, reference, cap, MOST_SHIFT)
+    return own.groupBy("frame").cogroup(ref.groupBy("frame")).applyInPandas(run, FIT)
 
 
 def transformed(stars: DataFrame, fits: DataFrame) -> DataFrame:
     """Stars in the reference's grid."""
-    j = stars.join(F.broadcast(fits.select("frame", *"abcdef")), "frame")
+    j = stars.join(F.broadcast(fits.select("frame", *"abcdef")), "frame")  # a row a frame
     x, y = F.col("x"), F.col("y")
     return j.select(
         *[c for c in stars.columns if c not in ("x", "y")], (F.col("a") * x + F.col("b") * y + F.col("c")).alias("x"), (F.col("d") * x + F.col("e") * y + F.col("f")).alias("y")
     )
 
 
-def align_frames(stars: DataFrame, reference_frame: int, extent: float, rounds: int = 3) -> DataFrame:
+def align_frames(stars: DataFrame, reference_frame: int, extent: float, adjust: bool = False) -> DataFrame:
     """Fits of all frames that can be placed: directly first, then through the stars of frames placed before, until none is added.
 
-    The number of frames, not of stars, bounds what comes to the driver between rounds.
+    A row a frame comes to the driver between rounds, stars don't. With ``adjust`` the bundle moves all but the reference
+    once more, where that brings the frames' common stars closer.
     """
     spark = stars.sparkSession
-    done = spark.createDataFrame([(reference_frame, "reference", 0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)], FIT)
-    known = {reference_frame}
-    for k in range(rounds):
-        left = stars.filter(~F.col("frame").isin(list(known)))
-        if left.isEmpty():
+    rows: list[tuple] = [(reference_frame, "reference", 0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]
+    n = 0
+    while True:
+        done = spark.createDataFrame(rows, FIT)
+        left = stars.join(F.broadcast(done.select("frame")), "frame", "left_anti")  # a row a frame
+        new = align_to(left, transformed(stars, done), extent).collect()
+        if not new:
             break
-        ref = transformed(stars.filter(F.col("frame").isin(list(known))), done)
-        rows = align_to(left, ref, extent).collect()
-        if not rows:
-            break
-        known |= {r["frame"] for r in rows}
-        new = spark.createDataFrame(rows, FIT)
-        done = done.union(new.withColumn("method", F.when(F.lit(k > 0), F.concat(F.lit("chain-"), "method")).otherwise(F.col("method"))))
-    return done
+        rows += [(r["frame"], ("chain-" if n else "") + r["method"], *r[2:]) for r in new]
+        n += 1
+    return bundled(stars, done, reference_frame, extent) if adjust else done
 
 
-def bundle(matches: pd.DataFrame, rounds: int = 20, cap: float = 25.0) -> tuple[dict[int, np.ndarray], float, float]:
-    """Shifts of frames that bring matched stars (star, frame, x, y) together, by Gauss-Seidel; frame of least number fixed.
+# --- bundle ---------------------------------------------------------------------------------------
+
+COMMON, LEAST, STEP = 3.0, 6, 25.0  # radius of common stars, pairs that a frame needs, largest move of a corner
 
-    Returns shifts, and the RMS before and after; shifts are all zero unless the RMS falls below 0.999 of itself.
-    """
-    frames = sorted(matches["frame"].unique())
-    shift = {f: np.zeros(2) for f in frames}
 
-    def rms() -> float:
-        p = matches[["x", "y"]].to_numpy(float) + np.array([shift[f] for f in matches["frame"]])
-        centre = pd.DataFrame(p).groupby(matches["star"].to_numpy()).transform("mean").to_numpy()
-        return float(np.sqrt(((p - centre) ** 2).sum(axis=1).mean()))
+def common_stars(placed: DataFrame, cap: int = STARS) -> DataFrame:
+    """Pairs (i, j, xi, yi, xj, yj) of frames' stars (frame, star, x, y, peak) that are each other's nearest within COMMON, of all frames i < j."""
+    top = brightest(placed, cap, ["frame"]).select("frame", "star", "x", "y")
+    cell = lambda df: df.withColumns({"gx": F.floor(F.col("x") / 256), "gy": F.floor(F.col("y") / 256)})
+    # frames meet where both have stars in a cell
+    where = cell(top).select("frame", "gx", "gy").distinct()
+    pairs = where.select(F.col("frame").alias("i"), "gx", "gy").join(where.select(F.col("frame").alias("j"), "gx", "gy"), ["gx", "gy"]).filter("i < j").select("i", "j").distinct()
+    pairs = pairs.withColumn("pair", F.concat_ws(":", "i", "j"))
+    a = pairs.join(top.withColumnRenamed("frame", "i"), "i").select("pair", "star", "x", "y")
+    b = pairs.join(top.withColumnRenamed("frame", "j"), "j").select("pair", "star", "x", "y")
+    near = mutual_nearest(a, b, COMMON, 1.0, ["pair"]).select("pair", "star", "r_star")
+    at = lambda side, star: near.join(side.select("pair", F.col("star").alias(star), F.col("x").alias(f"x_{star}"), F.col("y").alias(f"y_{star}")), ["pair", star])
+    both = at(a, "star").join(at(b, "r_star").select("pair", "star", "x_r_star", "y_r_star"), ["pair", "star"]).join(pairs, "pair")
+    return both.select("i", "j", F.col("x_star").alias("xi"), F.col("y_star").alias("yi"), F.col("x_r_star").alias("xj"), F.col("y_r_star").alias("yj"))
 
+
+def bundle(pairs: pd.DataFrame, fixed: set[int], extent: float, general: bool = False, sweeps: int = 20) -> tuple[dict[int, np.ndarray], float, float]:
+    """Maps of frames that bring common stars (i, j, xi, yi, xj, yj) together, frame by frame in turn, with those of ``fixed`` held.
+
+    Returns maps, and the RMS before and after; all maps are the identity unless the RMS falls below 0.999 of itself.
+    """
+    i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
+    p, q = pairs[["xi", "yi"]].to_numpy(float), pairs[["xj", "yj"]].to_numpy(float)
+    frames = sorted(set(i.tolist()) | set(j.tolist()))
+    same = np.array([[1.0, 0, 0], [0, 1, 0]])
+    maps = {f: same.copy() for f in frames}
+    rms = lambda: float(np.sqrt(((p - q) ** 2).sum(axis=1).mean())) if len(p) else 0.0
+    solve = fit_affine if general else fit_similarity
     before = rms()
-    for _ in range(rounds):
-        for f in frames[1:]:
-            p = matches[["x", "y"]].to_numpy(float) + np.array([shift[k] for k in matches["frame"]])
-            own = (matches["frame"] == f).to_numpy()
-            if own.sum() < 6:
+    for _ in range(sweeps):
+        any_moved = False
+        for f in frames:
+            left, right = i == f, j == f
+            if f in fixed or left.sum() + right.sum() < LEAST:
                 continue
-            rest = pd.DataFrame(p[~own]).groupby(matches["star"].to_numpy()[~own]).mean()
-            at = [s for s in matches["star"].to_numpy()[own] if s in rest.index]
-            if len(at) < 6:
+            own, other = np.vstack([p[left], q[right]]), np.vstack([q[left], p[right]])
+            u = solve(own, other)
+            keep = _clipped(own, other, u)
+            if keep.sum() >= LEAST:
+                u = solve(own[keep], other[keep])
+            if not believable(u) or shift_of_corners(u, (extent, extent)) > STEP:
                 continue
-            mine = pd.DataFrame(p[own], index=matches["star"].to_numpy()[own]).loc[at].to_numpy()
-            step = np.median(rest.loc[at].to_numpy() - mine, axis=0)
-            shift[f] = np.clip(shift[f] + step, -cap, cap)
+            p[left], q[right] = moved(p[left], u), moved(q[right], u)
+            maps[f] = np.column_stack([u[:, :2] @ maps[f][:, :2], u[:, :2] @ maps[f][:, 2] + u[:, 2]])
+            any_moved = True
+        if not any_moved:
+            break
     after = rms()
     if after >= 0.999 * before:
-        return {f: np.zeros(2) for f in frames}, before, before
-    return shift, before, after
+        return {f: same for f in frames}, before, before
+    return maps, before, after
+
+
+def bundled(stars: DataFrame, fits: DataFrame, reference_frame: int, extent: float) -> DataFrame:
+    """``fits`` with the bundle's moves behind them. Common stars are found by joins; a group of frames that hang together is solved at once, of capped catalogs."""
+    from lumenweave.operators.graph import frame_components
+
+    pairs = common_stars(transformed(stars, fits))
+    comps = frame_components(fits.select("frame"), pairs.select("i", "j").distinct())
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "j", "xi", "yi"])
+        held = {reference_frame} & (set(pdf["i"]) | set(pdf["j"]))
+        maps, _, _ = bundle(pdf, held or {int(pdf["i"].min())}, extent)
+        return pd.DataFrame([(f, *m.ravel()) for f, m in maps.items()], columns=["frame", "ua", "ub", "uc", "ud", "ue", "uf"])
+
+    schema = "frame long, ua double, ub double, uc double, ud double, ue double, uf double"
+    moves = pairs.join(comps.withColumnRenamed("frame", "i"), "i").groupBy("component").applyInPandas(run, schema)
+    c = F.col
+    j = fits.join(moves, "frame", "left").fillna({"ua": 1.0, "ub": 0.0, "uc": 0.0, "ud": 0.0, "ue": 1.0, "uf": 0.0})
+    lead = lambda u, v: (c(u) * c("a") + c(v) * c("d"), c(u) * c("b") + c(v) * c("e"), c(u) * c("c") + c(v) * c("f"))
+    top, low = lead("ua", "ub"), lead("ud", "ue")
+    return j.select(
+        "frame", "method", "support", "rms", top[0].alias("a"), top[1].alias("b"), (top[2] + c("uc")).alias("c"), low[0].alias("d"), low[1].alias("e"), (low[2] + c("uf")).alias("f")
+    )
+
+
+def align_channels(stars: DataFrame, reference: int, extent: float) -> DataFrame:
+    """Fits of colour channels (``frame``) that share a grid already to one of them: catalogs spread over the field, directly, without chains."""
+    from lumenweave.operators.series import spread
+
+    even = spread(stars, STARS, ["frame"], extent).drop("rank")
+    return align_to(even.filter(F.col("frame") != reference), even.filter(F.col("frame") == reference), extent)
+
+
+def warped(df: DataFrame, fits: DataFrame, width: int, height: int) -> DataFrame:
+    """Frames (frame, x, y, v) resampled to the reference's grid by their fits: each output pixel takes the bilinear value at its source place."""
+    from lumenweave.operators.raster import resample
+
+    c = F.col
+    det = c("a") * c("e") - c("b") * c("d")
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    out = fits.filter(F.abs(det) > 1e-12).select("frame", *"abcdef", span(width).alias("ox")).withColumn("oy", span(height))
+    u, v = c("ox") - c("c"), c("oy") - c("f")
+    points = out.select("frame", (c("oy") * width + c("ox")).alias("id"), ((c("e") * u - c("b") * v) / det).alias("px"), ((c("a") * v - c("d") * u) / det).alias("py"))
+    got = resample(df, points)
+    return got.select("frame", (c("id") % width).alias("x"), F.floor(c("id") / width).alias("y"), "v")

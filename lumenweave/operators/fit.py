@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,26 +44,79 @@ def fit_similarity(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.column_stack([m, q.mean(axis=0) - m @ p.mean(axis=0)])
 
 
-def ransac(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, rounds: int = 300, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """A similarity and its inliers: most inliers, then least error; the last fit is on all inliers."""
-    rng = np.random.default_rng(seed)
-    best, kept, error = None, np.zeros(len(p), dtype=bool), np.inf
-    for _ in range(rounds if len(p) >= 2 else 0):
-        k = rng.choice(len(p), 2, replace=False)
-        m = fit_similarity(p[k], q[k])
-        d = ((p @ m[:, :2].T + m[:, 2] - q) ** 2).sum(axis=1)
+def fit_affine(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Affine p -> q by least squares, as a 2 x 3 matrix."""
+    return np.linalg.lstsq(np.column_stack([p, np.ones(len(p))]), q, rcond=None)[0].T
+
+
+def moved(p: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return p @ m[:, :2].T + m[:, 2]
+
+
+def shift_of_corners(m: np.ndarray, extent: tuple[float, float]) -> float:
+    """How far a map moves a frame's corner, at most."""
+    w, h = extent
+    corners = np.array([[0, 0], [w, 0], [0, h], [w, h]], dtype=float)
+    return float(np.hypot(*(moved(corners, m) - corners).T).max())
+
+
+def seed_of(p: np.ndarray, q: np.ndarray) -> int:
+    """A seed that only the pairs decide, in their order: equal pairs give equal samples everywhere."""
+    return zlib.crc32(np.ascontiguousarray(np.column_stack([p, q]), dtype="<f8").tobytes())
+
+
+def _solve_samples(p: np.ndarray, q: np.ndarray, at: np.ndarray, model: str) -> np.ndarray:
+    """Maps (n x 2 x 3) of samples of pairs; NaN where a sample decides none."""
+    a, b = p[at], q[at]
+    if model == "affine":
+        m = np.concatenate([a, np.ones((*a.shape[:2], 1))], axis=2)
+        ok = np.abs(np.linalg.det(m)) > 1e-9
+        out = np.full((len(at), 2, 3), np.nan)
+        if ok.any():
+            out[ok] = np.linalg.solve(m[ok], b[ok]).transpose(0, 2, 1)
+        return out
+    u, v = a[:, 1] - a[:, 0], b[:, 1] - b[:, 0]
+    n = (u * u).sum(axis=1)
+    with np.errstate(all="ignore"):
+        c, s = (u * v).sum(axis=1) / n, (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]) / n
+    turn = np.stack([np.stack([c, -s], axis=1), np.stack([s, c], axis=1)], axis=1)
+    shift = b.mean(axis=1) - np.einsum("nij,nj->ni", turn, a.mean(axis=1))
+    return np.concatenate([turn, shift[:, :, None]], axis=2)
+
+
+def ransac(p: np.ndarray, q: np.ndarray, tolerance: float = 3.0, rounds: int = 300, model: str = "similarity") -> tuple[np.ndarray, np.ndarray]:
+    """A ``similarity`` or ``affine`` map p -> q and its inliers: most inliers, then least error; the last fit is on all inliers.
+
+    Samples are drawn by a seed of the pairs themselves. Just as many pairs as the model needs are fitted directly; fewer, and pairs
+    without consensus, give the identity and no inliers.
+    """
+    need, fit = (3, fit_affine) if model == "affine" else (2, fit_similarity)
+    none = np.array([[1.0, 0, 0], [0, 1, 0]]), np.zeros(len(p), dtype=bool)
+    if len(p) < need:
+        return none
+    if len(p) == need:
+        return fit(p, q), np.ones(need, dtype=bool)
+    rng = np.random.default_rng(seed_of(p, q))
+    at = rng.random((rounds, len(p))).argpartition(need - 1, axis=1)[:, :need]
+    maps = _solve_samples(p, q, at, model)
+    best, found, error = none[1], 0, np.inf
+    for m in maps:
+        if not np.isfinite(m).all():
+            continue
+        d = ((moved(p, m) - q) ** 2).sum(axis=1)
         ok = d <= tolerance * tolerance
-        if (ok.sum(), -d[ok].sum()) > (kept.sum(), -error):
-            best, kept, error = m, ok, d[ok].sum()
-    return (fit_similarity(p[kept], q[kept]) if best is not None and kept.sum() >= 2 else np.array([[1.0, 0, 0], [0, 1, 0]])), kept
+        n, e = int(ok.sum()), float(d[ok].sum())
+        if n > found or (n == found and e < error):
+            best, found, error = ok, n, e
+    return (fit(p[best], q[best]), best) if found >= need else none
 
 
-def ransac_frames(pairs: DataFrame, tolerance: float = 3.0, most: int = 500) -> DataFrame:
-    """A similarity by frame from matched stars (x, y) -> (u, v); catalogs are capped before they match, so a group is small."""
+def ransac_frames(pairs: DataFrame, tolerance: float = 3.0, rounds: int = 300, model: str = "similarity") -> DataFrame:
+    """A map by frame from matched stars (x, y) -> (u, v); catalogs are capped before they match, so a group is small."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "y", "u", "v"])
-        m, ok = ransac(pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float), tolerance)
+        m, ok = ransac(pdf[["x", "y"]].to_numpy(float), pdf[["u", "v"]].to_numpy(float), tolerance, rounds, model)
         return pd.DataFrame([{"frame": pdf["frame"].iloc[0], "inliers": int(ok.sum()), **dict(zip("abcdef", m.ravel()))}])
 
     return pairs.groupBy("frame").applyInPandas(run, "frame long, inliers long, a double, b double, c double, d double, e double, f double")
