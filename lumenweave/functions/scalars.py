@@ -90,21 +90,41 @@ def midtones(x: Column, m: float) -> Column:
 
 
 def hyperbolic(x: Column, p: Stretch) -> Column:
-    """The generalised hyperbolic transfer for b = 0 (exponential), scaled to 0..1 between the outer points."""
-    d, sp, lp, hp = p.d, p.symmetry, p.shadows, p.highlights
-    if d <= 0:
-        return x
-    low = math.exp(-d * (sp - lp))
-    start = low - d * lp * low
-    high = 2 - math.exp(-d * (hp - sp))
-    end = high + d * (1 - hp) * math.exp(-d * (hp - sp))
+    """The generalised hyperbolic transfer, scaled to 0..1: steepest at the symmetry point, straight beyond the protected ends.
+
+    With u the distance from the symmetry point, its rise is 1 - exp(-d u) for b = 0, 1 - (1 + d b u) ** (-1 / b) for b above 0,
+    and for b below 0, with B = -b, ((1 + d B u) ** ((B - 1) / B) - 1) / (B - 1); the fall on the other side is its mirror.
+    """
+    d, b, sp, lp, hp = p.d, p.b, p.symmetry, p.shadows, p.highlights
+    if d <= 0 or hp <= lp:
+        return clamp01(x)
+    large = -b if abs(-b - 1) >= 1e-6 else 1 + 1e-6  # B = 1 is a removable gap
+
+    def rise(u, exp, power):
+        if b == 0:
+            return 1 - exp(-d * u)
+        return 1 - power(1 + d * b * u, -1 / b) if b > 0 else (power(1 + d * large * u, (large - 1) / large) - 1) / (large - 1)
+
+    def slope(u: float) -> float:
+        if b == 0:
+            return d * math.exp(-d * u)
+        return d * (1 + d * b * u) ** (-(1 + b) / b) if b > 0 else d * (1 + d * large * u) ** (-1 / large)
+
+    value = lambda t: math.copysign(rise(abs(t - sp), math.exp, pow), t - sp)
+    low, low_slope = value(lp), slope(abs(lp - sp))
+    high, high_slope = value(hp), slope(abs(hp - sp))
+    start, end = low - lp * low_slope, high + (1 - hp) * high_slope  # at 0 and at 1
     q = 1 / (end - start)
-    return (
-        F.when(x < lp, d * low * q * x)
-        .when(x < sp, (F.exp(-d * sp + d * x) - start) * q)
-        .when(x < hp, (2 - F.exp(d * sp - d * x) - start) * q)
-        .otherwise((high + d * (x - hp) * math.exp(-d * (hp - sp)) - start) * q)
+    unit = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    far = F.abs(unit - sp)
+    up = rise(far, F.exp, lambda base, e: F.pow(base, F.lit(float(e))))
+    out = (
+        F.when(unit < lp, low_slope * unit + start)
+        .when(unit < sp, -up)
+        .when(unit < hp, up)
+        .otherwise(high + (unit - hp) * high_slope)
     )
+    return clamp01((out - start) * q)
 
 
 def stretch(v: Column, params: Stretch) -> Column:

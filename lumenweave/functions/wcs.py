@@ -20,6 +20,39 @@ def bilinear_table(table: np.ndarray, x: np.ndarray, y: np.ndarray, step: float
     return table[j, i] * (1 - a) * (1 - b) + table[j, i1] * a * (1 - b) + table[j1, i] * (1 - a) * b + table[j1, i1] * a * b
 
 
+@dataclass
+class Correction:
+    """A detector's correction table: samples on a grid that CRPIX, CRVAL and CDELT place on the image."""
+
+    table: np.ndarray
+    crpix: tuple[float, float] = (1.0, 1.0)
+    crval: tuple[float, float] = (1.0, 1.0)
+    cdelt: tuple[float, float] = (1.0, 1.0)
+
+    @classmethod
+    def of(cls, table: np.ndarray, cards: dict[str, str]) -> Correction:
+        """A table from a plane and its cards; missing or unusable placement, and samples that aren't finite, are errors."""
+        from lumenweave.sources.fits import card_number
+
+        numbers = [card_number(cards.get(f"{k}{i}")) for k in ("CRPIX", "CRVAL", "CDELT") for i in (1, 2)]
+        if any(n is None or not math.isfinite(n) for n in numbers) or min(abs(numbers[4]), abs(numbers[5])) < 1e-15:
+            raise ValueError("a correction table without its place")
+        if table.ndim != 2 or not table.size or not np.isfinite(table).all():
+            raise ValueError("a correction table with missing samples")
+        return cls(np.asarray(table, dtype=float), *(tuple(numbers[k : k + 2]) for k in (0, 2, 4)))
+
+    def at(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The correction of image pixels (from 0), by bilinear interpolation; beyond the table its edge is held."""
+        u = (x + 1 - self.crval[0]) / self.cdelt[0] + self.crpix[0] - 1
+        v = (y + 1 - self.crval[1]) / self.cdelt[1] + self.crpix[1] - 1
+        return bilinear_table(self.table, u, v)
+
+
+def correction(t, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of a placed table, a bare one (a sample a pixel), or none."""
+    return np.zeros_like(x) if t is None else t.at(x, y) if isinstance(t, Correction) else bilinear_table(t, x, y)
+
+
 @dataclass
 class Mapper:
     """Source pixel -> detector correction -> distortion -> sky -> reference pixel; ``sky`` alone stops before the last."""
@@ -29,14 +62,14 @@ class Mapper:
     cd: tuple[float, float, float, float]
     sip_a: dict[tuple[int, int], float] = field(default_factory=dict)
     sip_b: dict[tuple[int, int], float] = field(default_factory=dict)
-    d2im: tuple[np.ndarray, np.ndarray] | None = None
+    d2im: tuple[Correction | np.ndarray | None, Correction | np.ndarray | None] | None = None
 
     def _poly(self, terms, u, v):
         return sum((c * u**p * v**q for (p, q), c in terms.items()), np.zeros_like(u))
 
     def sky(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.d2im is not None:
-            x, y = x + bilinear_table(self.d2im[0], x, y), y + bilinear_table(self.d2im[1], x, y)
+            x, y = x + correction(self.d2im[0], x, y), y + correction(self.d2im[1], x, y)
         u, v = x - self.crpix[0], y - self.crpix[1]
         u, v = u + self._poly(self.sip_a, u, v), v + self._poly(self.sip_b, u, v)
         xi, eta = np.radians(self.cd[0] * u + self.cd[1] * v), np.radians(self.cd[2] * u + self.cd[3] * v)
@@ -60,7 +93,7 @@ class Mapper:
         if self.d2im is not None:
             x0, y0 = x.copy(), y.copy()
             for _ in range(rounds):
-                x, y = x0 - bilinear_table(self.d2im[0], x, y), y0 - bilinear_table(self.d2im[1], x, y)
+                x, y = x0 - correction(self.d2im[0], x, y), y0 - correction(self.d2im[1], x, y)
         return x, y
 
 

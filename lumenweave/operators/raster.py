@@ -23,13 +23,17 @@ def haloed_tiles(df: DataFrame, size: int, halo: int) -> DataFrame:
     return rows.withColumn("own", (F.floor(F.col("x") / size) == F.col("tx")) & (F.floor(F.col("y") / size) == F.col("ty")))
 
 
-def tile_map(df: DataFrame, kernel, outputs: dict[str, str], size: int = 64, halo: int = 4, inputs: tuple[str, ...] = ("v",)) -> DataFrame:
+def tile_map(df: DataFrame, kernel, outputs: dict[str, str], size: int = 64, halo: int = 4, inputs: tuple[str, ...] = ("v",), placed: bool = False) -> DataFrame:
     """``kernel(planes)`` on each tile: a dict of 2-D arrays (NaN where there is no pixel) to a dict of 2-D arrays of one shape.
 
+    A ``placed`` kernel also gets the x and y of the arrays' first sample.
+
     Returns frame, x, y and the outputs, for the tiles' own pixels that exist.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not pdf["own"].any():  # only the halo of a tile beyond the raster
+            return pd.DataFrame({c: [] for c in ("frame", "x", "y", *outputs)})
         tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
         side = size + 2 * halo
         c, rw = (pdf["x"] - (tx * size - halo)).to_numpy(), (pdf["y"] - (ty * size - halo)).to_numpy()
@@ -38,7 +42,7 @@ def tile_map(df: DataFrame, kernel, outputs: dict[str, str], size: int = 64, hal
             g = np.full((side, side), np.nan)
             g[rw, c] = pdf[name].to_numpy(dtype=float)
             planes[name] = g
-        got = kernel(planes)
+        got = kernel(planes, tx * size - halo, ty * size - halo) if placed else kernel(planes)
         own = pdf["own"].to_numpy()
         out = {"frame": pdf["frame"][own], "x": pdf["x"][own], "y": pdf["y"][own]}
         for name, kind in outputs.items():
@@ -47,7 +51,9 @@ def tile_map(df: DataFrame, kernel, outputs: dict[str, str], size: int = 64, hal
         return pd.DataFrame(out)
 
     schema = "frame long, x long, y long, " + ", ".join(f"{k} {t}" for k, t in outputs.items())
-    return haloed_tiles(df.select("frame", "x", "y", *inputs), size, halo).groupBy("frame", "tx", "ty").applyInPandas(run, schema)
+    got = haloed_tiles(df.select("frame", "x", "y", *inputs), size, halo).groupBy("frame", "tx", "ty").applyInPandas(run, schema)
+    # pandas' NaN comes back as null
+    return got.withColumns({k: F.coalesce(k, F.lit(NAN)) for k, t in outputs.items() if t == "double"})
 
 
 def shifted(g: np.ndarray, reach: int) -> np.ndarray:
@@ -94,29 +100,62 @@ def blur(df: DataFrame, sigma: float = 1.5, size: int = 64) -> DataFrame:
     return tile_map(df, lambda p: {"blurred": blur_grid(p["v"], sigma)}, {"blurred": "double"}, size, int(np.ceil(3 * sigma)))
 
 
-def fill_holes(df: DataFrame, reach: int = 2, size: int = 64) -> DataFrame:
-    """A missing sample from a least-squares plane of its window, weighted by 1 / distance squared; else the window's weighted median; else NaN."""
-    at = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
-    w = np.array([1.0 / (i * i + j * j) if (i, j) != (0, 0) else 0.0 for i, j in at])
+def _mirrored(g: np.ndarray, left: int, top: int, width: int, height: int) -> np.ndarray:
+    """A grid whose samples outside the raster are those mirrored at its edge, where the grid holds these."""
 
-    def kernel(p):
-        g = p["v"]
-        s = shifted(g, reach)
-        out = g.copy()
-        for y, x in np.argwhere(~np.isfinite(g)):
-            v = s[:, y, x]
-            ok = np.isfinite(v) & (w > 0)
-            if ok.sum() >= 6:
-                a = np.array([(1.0, i, j) for (i, j), k in zip(at, ok) if k])
-                root = np.sqrt(w[ok])[:, None]
-                out[y, x] = np.linalg.lstsq(a * root, v[ok] * root[:, 0], rcond=None)[0][0]
-            elif ok.any():
-                order = np.argsort(v[ok])
-                run = np.cumsum(w[ok][order])
-                out[y, x] = v[ok][order][np.searchsorted(run, run[-1] / 2)]
-        return {"filled": out}
-
-    return tile_map(df, kernel, {"filled": "double"}, size, reach)
+    def back(at: np.ndarray, n: int) -> np.ndarray:
+        return np.where(at < 0, -at - 1, np.where(at >= n, 2 * n - at - 1, at))
+
+    rows, cols = np.arange(g.shape[0]) + top, np.arange(g.shape[1]) + left
+    r, c = back(rows, height) - top, back(cols, width) - left
+    ok = ((r >= 0) & (r < g.shape[0]))[:, None] & ((c >= 0) & (c < g.shape[1]))[None, :]
+    return np.where(ok, g[np.clip(r, 0, g.shape[0] - 1)][:, np.clip(c, 0, g.shape[1] - 1)], np.nan)
+
+
+def fill_grid(g: np.ndarray, hole: np.ndarray, samples: np.ndarray, near: int = 4, far: int = 8) -> np.ndarray:
+    """``g`` with its holes filled from ``samples`` (NaN where there are none).
+
+    A bicubic surface of 16 terms over the window ``near``, weighted by 1 / (1 + distance squared), with a small ridge, where that has 24
+    samples; its value stays within theirs. Else the weighted median of the window ``far``; else what was there.
+    """
+    out = g.copy()
+
+    def window(reach):
+        at = np.arange(-reach, reach + 1)
+        dx, dy = np.meshgrid(at, at)
+        return dx.ravel(), dy.ravel(), 1.0 / (1 + (dx * dx + dy * dy).ravel())
+
+    dx, dy, w = window(near)
+    powers = np.stack([(dx / near) ** a * (dy / near) ** b for b in range(4) for a in range(4)], axis=1)
+    padded = np.pad(samples, far, constant_values=np.nan)
+    fx, fy, fw = window(far)
+    for y, x in np.argwhere(hole):
+        v = padded[y + far + dy, x + far + dx]
+        ok = np.isfinite(v)
+        if ok.sum() >= 24:
+            a = powers[ok]
+            m = a.T @ (a * w[ok, None]) + 1e-8 * np.eye(16)
+            got = np.linalg.solve(m, a.T @ (w[ok] * v[ok]))[0]
+            if np.isfinite(got):
+                out[y, x] = min(max(got, v[ok].min()), v[ok].max())
+                continue
+        v = padded[y + far + fy, x + far + fx]
+        ok = np.isfinite(v) & ((fx != 0) | (fy != 0))
+        if ok.any():
+            order = np.argsort(v[ok], kind="stable")
+            run = np.cumsum(fw[ok][order])
+            out[y, x] = v[ok][order][np.searchsorted(run, run[-1] / 2)]
+    return out
+
+
+def fill_holes(df: DataFrame, width: int, height: int, size: int = 64) -> DataFrame:
+    """Missing samples filled from their neighbours, mirrored at the raster's edge (``fill_grid``): frame, x, y, filled."""
+
+    def kernel(p, left, top):
+        samples = _mirrored(p["v"], left, top, width, height)
+        return {"filled": fill_grid(p["v"], ~np.isfinite(p["v"]), samples)}
+
+    return tile_map(df, kernel, {"filled": "double"}, size, 8, placed=True)
 
 
 def label_components(mask: DataFrame, size: int = 64) -> DataFrame:
@@ -164,56 +203,64 @@ def component_shapes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("frame", "label").agg(F.count("*").alias("area"), w.alias("width"), h.alias("height"), (F.count("*") / (w * h)).alias("fill"))
 
 
-def clean_grid(g: np.ndarray, sigma: np.ndarray | float, bg: float, threshold: float = 10.0, passes: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Single-frame cosmic-ray removal: seeds by Laplacian, growth above bg + 2 sigma, star-like blobs spared, the rest filled by medians."""
-    out, hit = g.copy(), np.zeros(g.shape, dtype=bool)
+def clean_grid(g: np.ndarray, sigma: float, inside: np.ndarray | None = None, spared: np.ndarray | None = None, passes: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Single-frame cosmic-ray removal: (cleaned, hit).
+
+    A seed is positive and above its four neighbours (a missing one counts as the seed itself) by ten deviations in all; it grows over
+    touching samples above its own wide background, the upper median of 11 x 11, plus two deviations. A grown blob like a star (over 60
+    pixels, or over 12 that fill their box of more than 3 x 3 to 0.65) stays, any other becomes the background. ``inside``: where
+    seeds may lie (the raster but for its outer two pixels); ``spared`` pixels never seed.
+    """
+    height, width = g.shape
+    if inside is None:
+        inside = np.zeros(g.shape, dtype=bool)
+        inside[2 : height - 2, 2 : width - 2] = True
+    now, hit = g, np.zeros(g.shape, dtype=bool)
     for _ in range(passes):
-        s = shifted(out, 1)
-        lap = 4 * s[4] - (s[1] + s[3] + s[5] + s[7])
-        seed = np.isfinite(lap) & (lap > threshold * sigma)
-        if not seed.any():
-            break
-        bright = np.isfinite(out) & (out > bg + 2 * sigma)
-        seen, cosmic = np.zeros(g.shape, dtype=bool), np.zeros(g.shape, dtype=bool)
-        for start in map(tuple, np.argwhere(seed)):
-            if seen[start]:
+        s = shifted(now, 1)
+        sides = [np.where(np.isnan(s[k]), now, s[k]) for k in (1, 3, 5, 7)]
+        seed = inside & (now > 0) & (4 * now - sum(sides) > 10 * sigma)
+        if spared is not None:
+            seed &= ~spared
+        out, done = now.copy(), np.zeros(g.shape, dtype=bool)
+        for y, x in map(tuple, np.argwhere(seed)):
+            if done[y, x]:
                 continue
-            seen[start], blob, todo = True, [start], [start]
-            while todo:
-                y, x = todo.pop()
-                for i in (-1, 0, 1):
-                    for j in (-1, 0, 1):
-                        k = (y + i, x + j)
-                        if 0 <= k[0] < g.shape[0] and 0 <= k[1] < g.shape[1] and not seen[k] and (bright[k] or seed[k]):
-                            seen[k] = True
-                            blob.append(k)
-                            todo.append(k)
-            ys, xs = zip(*blob)
-            h, w = max(ys) - min(ys) + 1, max(xs) - min(xs) + 1
-            star = len(blob) > 60 or (len(blob) > 12 and len(blob) / (h * w) > 0.65 and h > 3 and w > 3)
-            if not star:
-                cosmic[list(ys), list(xs)] = True
-        if not cosmic.any():
-            break
-        hit |= cosmic
-        kept = np.where(cosmic, np.nan, out)
-        for y, x in np.argwhere(cosmic):
-            near = kept[max(0, y - 2) : y + 3, max(0, x - 2) : x + 3]
-            near = near[np.isfinite(near)]
-            out[y, x] = np.median(near) if len(near) else bg
-    return out, hit
-
-
-def clean(df: DataFrame, levels: DataFrame, size: int = 256, halo: int = 8) -> DataFrame:
-    """Cosmic-ray cleaned pixels with a ``hit`` flag; ``levels`` has bg and sigma of each frame."""
-    rows = df.join(F.broadcast(levels), "frame")
-
-    def kernel(p):
-        bg, sigma = (float(np.nanmax(p[k])) for k in ("bg", "sigma"))
-        out, hit = clean_grid(p["v"], sigma, bg)
+            wide = now[max(0, y - 5) : y + 6, max(0, x - 5) : x + 6]
+            wide = np.sort(wide[~np.isnan(wide)])
+            level = float(wide[len(wide) // 2])
+            blob, own = [(y, x)], {(y, x)}
+            for a, b in blob:
+                for i in range(max(0, a - 1), min(height, a + 2)):
+                    for j in range(max(0, b - 1), min(width, b + 2)):
+                        if (i, j) not in own and not done[i, j] and now[i, j] > level + 2 * sigma:
+                            own.add((i, j))
+                            blob.append((i, j))
+            ys, xs = (np.array(c) for c in zip(*blob))
+            h, w = np.ptp(ys) + 1, np.ptp(xs) + 1
+            done[ys, xs] = True
+            if not (len(blob) > 60 or (len(blob) > 12 and len(blob) / (h * w) > 0.65 and h > 3 and w > 3)):
+                out[ys, xs] = level
+                hit[ys, xs] = True
+        now = out
+    return now, hit
+
+
+#: What a blob that isn't a star may span, with the window of its background, in each of two passes.
+CLEAN_HALO = 2 * (61 + 6)
+
+
+def clean(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256) -> DataFrame:
+    """Cosmic-ray cleaned pixels with a ``hit`` flag; ``levels`` has the sigma of each frame. The halo holds every blob that is removed, so tiles don't show."""
+    rows = df.join(F.broadcast(levels.select("frame", "sigma")), "frame")  # a row a frame
+
+    def kernel(p, left, top):
+        y, x = np.arange(p["v"].shape[0]) + top, np.arange(p["v"].shape[1]) + left
+        inside = ((y >= 2) & (y < height - 2))[:, None] & ((x >= 2) & (x < width - 2))[None, :]
+        out, hit = clean_grid(p["v"], float(np.nanmax(p["sigma"])), inside)
         return {"clean": out, "hit": hit}
 
-    return tile_map(rows, kernel, {"clean": "double", "hit": "boolean"}, size, halo, ("v", "bg", "sigma"))
+    return tile_map(rows, kernel, {"clean": "double", "hit": "boolean"}, size, CLEAN_HALO, ("v", "sigma"), placed=True)
 
 
 def cosmic_mask(df: DataFrame, snr: float = 4.0, scale: float = 1.2) -> DataFrame:
@@ -326,21 +373,21 @@ def shared_star_mask(df: DataFrame, levels: DataFrame, width: int, height: int,
 def clean_channels(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256) -> DataFrame:
     """Cosmic-ray cleaning of aligned channels: what they share as stars is left alone, whatever a single channel looks like."""
     stars = shared_star_mask(df, levels, width, height).withColumn("star", F.lit(True))
-    got = clean(df, levels, size).join(df.select("frame", "x", "y", "v"), ["frame", "x", "y"]).join(stars, ["x", "y"], "left")
+    got = clean(df, levels, width, height, size).join(df.select("frame", "x", "y", "v"), ["frame", "x", "y"]).join(stars, ["x", "y"], "left")
     spared = F.coalesce("star", F.lit(False))
     return got.select("frame", "x", "y", F.when(spared, F.col("v")).otherwise(F.col("clean")).alias("clean"), (F.col("hit") & ~spared).alias("hit"))
 
 
 def footprints(frames: DataFrame, maps: dict) -> DataFrame:
-    """The four mapped corners of each frame (frame, width, height), in order around it."""
-    corner = lambda m, x, y: F.struct(*[c.alias(n) for c, n in zip(m.apply(x, y), ("x", "y"))])
-    out = None
-    for frame, m in maps.items():
-        w, h = F.col("width") - 1.0, F.col("height") - 1.0
-        z = F.lit(0.0)
-        poly = F.array(corner(m, z, z), corner(m, w, z), corner(m, w, h), corner(m, z, h))
-        out = F.when(F.col("frame") == frame, poly) if out is None else out.when(F.col("frame") == frame, poly)
-    return frames.withColumn("polygon", out)
+    """The four mapped corners of each frame (frame, width, height), in order around it; null where it has no map."""
+    from lumenweave.operators.combine import map_table
+
+    w, h, z = F.col("width") - 1.0, F.col("height") - 1.0, F.lit(0.0)
+    at = lambda a, b, c, x, y: F.col(a) * x + F.col(b) * y + F.col(c)
+    corner = lambda x, y: F.struct(at("ma", "mb", "mc", x, y).alias("x"), at("md", "me", "mf", x, y).alias("y"))
+    poly = F.when(F.col("ma").isNotNull(), F.array(corner(z, z), corner(w, z), corner(w, h), corner(z, h)))
+    j = frames.join(F.broadcast(map_table(frames.sparkSession, maps)), "frame", "left")  # a row a frame
+    return j.select(*frames.columns, poly.alias("polygon"))
 
 
 def project_mask_back(pixels: DataFrame, mask: DataFrame, maps: dict, radius: float = 0.5) -> DataFrame:
@@ -349,5 +396,5 @@ def project_mask_back(pixels: DataFrame, mask: DataFrame, maps: dict, radius: fl
     from lumenweave.operators.joins import radius_join
 
     at = place(pixels.select("frame", "x", "y"), maps).select("frame", F.col("x").alias("px"), F.col("y").alias("py"), F.col("cx").alias("x"), F.col("cy").alias("y"))
-    near = radius_join(at, mask.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), max(radius, 1e-6))
+    near = radius_join(at, mask.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), max(radius, 1e-6), copied="right")
     return near.select("frame", F.col("px").alias("x"), F.col("py").alias("y")).distinct()

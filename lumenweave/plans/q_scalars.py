@@ -50,6 +50,24 @@ def f04(spark, sf):
     return pix(spark, sf).filter(u < 1).select("frame", "x", "y", r(s.hyperbolic(u, s.Stretch(d=3.0, symmetry=0.2)), "g", 5))
 
 
+GHS_B = {
+    "positive": (1.5, "1 - power(1 + 3.0 * 1.5 * {u}, -1 / 1.5)"),
+    "negative": (-1.4, "(power(1 + 3.0 * 1.4 * {u}, 0.4 / 1.4) - 1) / 0.4"),
+}
+
+
+def _ghs_b(kind: str) -> str:
+    rise = GHS_B[kind][1]
+    at0, at1 = rise.format(u="0.2"), rise.format(u="0.8")
+    return f"(CASE WHEN {U} < 0.2 THEN -1 ELSE 1 END * ({rise.format(u=f'abs({U} - 0.2)')}) + {at0}) / ({at1} + {at0})"
+
+
+@query("f04_hyperbolic_local", f"{P} SELECT frame, x, y, round({_ghs_b('positive')}, 5) AS positive, round({_ghs_b('negative')}, 5) AS negative FROM pix WHERE {U} < 1")
+def f04_local(spark, sf):
+    u = F.col("v") / 110
+    return pix(spark, sf).filter(u < 1).select("frame", "x", "y", *[r(s.hyperbolic(u, s.Stretch(d=3.0, b=b, symmetry=0.2)), k, 5) for k, (b, _) in GHS_B.items()])
+
+
 @query("f05_mode_names", "SELECT CASE lower(trim(m)) WHEN 'log' THEN 'Log' WHEN 'sqrt' THEN 'Sqrt' WHEN 'asinh' THEN 'Asinh' WHEN 'histeq' THEN 'HistEq' WHEN 'mtf' THEN 'MTF' WHEN 'ghs' THEN 'GHS' ELSE 'Linear' END AS mode, count(*) AS n FROM (SELECT [' log', 'SQRT', 'asinH', 'other', 'mtf ', 'Ghs', 'histeq', ''][l_orderkey % 8 + 1] AS m FROM lineitem) GROUP BY 1")
 def f05(spark, sf):
     names = F.array(*[F.lit(k) for k in (" log", "SQRT", "asinH", "other", "mtf ", "Ghs", "histeq", "")])
