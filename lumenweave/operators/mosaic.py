@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -69,11 +70,35 @@ def sky_levels(df: DataFrame, options: Options) -> DataFrame:
     return graph.plan_sky(own, graph.solve_offsets(edges, comps), options.sky)
 
 
+def _on_output(df: DataFrame, options: Options) -> DataFrame:
+    return combine.place(df, options.maps).withColumns({"cx": F.col("cx") * options.scale, "cy": F.col("cy") * options.scale})
+
+
+def edge_trim(width: int, height: int, scale: float = 1.0) -> int:
+    """Pixels trimmed from a frame's edges before it is combined: none."""
+    return 0
+
+
+def canvas(placed: DataFrame) -> tuple[int, int, int, int]:
+    """(left, top, width, height) of the output pixels that placed samples (cx, cy) reach: one aggregate."""
+    r = placed.filter(s.finite(F.col("cx")) & s.finite(F.col("cy"))).agg(*[f(c).alias(f"{n}{c}") for c in ("cx", "cy") for f, n in ((F.min, "lo"), (F.max, "hi"))]).first()
+    if r["locx"] is None:
+        return 0, 0, 0, 0
+    left, top = math.floor(r["locx"]), math.floor(r["locy"])
+    return left, top, math.ceil(r["hicx"]) - left + 1, math.ceil(r["hicy"]) - top + 1
+
+
 def build(df: DataFrame, options: Options) -> DataFrame:
-    """Mosaic (ox, oy, v, weight, inputs, dq) of prepared frames: sky off, cosmic rays rejected if asked, scattered, summed, normalised."""
+    """Mosaic (ox, oy, v, weight, inputs, dq) of prepared frames: sky off, cosmic rays rejected if asked, scattered, summed, normalised.
+
+    A canvas of more than ``most_pixels`` is refused: a stray map would make it.
+    """
+    _, _, width, height = canvas(_on_output(df, options))
+    if width * height > options.most_pixels:
+        raise ValueError(f"a canvas of {width} x {height} pixels: some frame's map is wrong")
     levels = sky_levels(df, options).cache()
     flat = df.join(F.broadcast(levels), "frame").withColumn("v", F.col("v") - F.coalesce("sky", F.lit(0.0))).drop("sky")
-    placed = combine.place(flat, options.maps).withColumns({"cx": F.col("cx") * options.scale, "cy": F.col("cy") * options.scale})
+    placed = _on_output(flat, options)
     if options.reject:
         # the model of each pixel is the median of all frames where it lands
         near = placed.withColumns({"mx": F.floor(F.col("cx") + 0.5), "my": F.floor(F.col("cy") + 0.5)})

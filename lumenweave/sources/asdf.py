@@ -14,7 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lumenweave.sources.fits import SCHEMA
+from lumenweave.sources import storage
+from lumenweave.sources.fits import SCHEMA, chosen, header_batch, tile_batch
 
 MAGIC = b"\xd3BLK"
 KINDS = {"float32": "f4", "float64": "f8", "uint32": "u4", "int32": "i4", "uint16": "u2", "int16": "i2", "uint8": "u1"}
@@ -51,15 +52,19 @@ def tree_and_blocks(path: str) -> tuple[dict, list]:
 
     Loader.add_multi_constructor("!", plain)
     Loader.add_multi_constructor("tag:", plain)
-    with open(path, "rb") as f:
-        if not f.readline().startswith(b"#ASDF"):
+    with storage.reading(path) as f:
+        head, end = b"", -1
+        while end < 0:  # the tree ends in a line of three dots
+            more = f.read(1 << 16)
+            head += more
+            end = head.find(b"\n...")
+            if not more and end < 0:
+                end = len(head)
+        if not head.startswith(b"#ASDF"):
             raise ValueError(f"{path} isn't of this format")
-        text = []
-        for line in f:
-            if line.rstrip() == b"...":
-                break
-            if not line.startswith((b"#", b"%")):
-                text.append(line)
+        text = [line for line in head[: end + 1].splitlines(keepends=True) if not line.startswith((b"#", b"%"))]
+        behind = head.find(b"\n", end + 1)
+        f.seek(behind + 1 if behind >= 0 else len(head))
         return yaml.load(b"".join(text).replace(b"--- !", b"!", 1), Loader), blocks(f)
 
 
@@ -88,7 +93,7 @@ def read_array(path: str, node: dict, places: list) -> np.ndarray:
     at, size, checksum, comp = places[node["source"]]
     if comp != b"\0\0\0\0" or "strides" in node:
         raise ValueError(f"{path}: compressed or strided arrays are not read")
-    with open(path, "rb") as f:
+    with storage.reading(path) as f:
         f.seek(at)
         raw = f.read(size)
     if checksum != b"\0" * 16 and hashlib.md5(raw).digest() != checksum:
@@ -104,33 +109,30 @@ class _File(InputPartition):
 
 class AsdfReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.tile = options["path"].removeprefix("file://"), int(options.get("tileSize", "256"))
+        self.path, self.tile = options["path"], int(options.get("tilesize", options.get("tileSize", "256")))
         self.pixels = options.get("pixels", "true").lower() == "true"
+        self.wanted = chosen(options)
 
     def partitions(self):
-        names = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, n) for n in os.listdir(self.path))
-        return [_File(n) for n in names if n.lower().endswith(".asdf")]
+        return [_File(n) for n, _ in storage.children(self.path) if n.lower().endswith(".asdf")]
 
     def read(self, partition):
         tree, places = tree_and_blocks(partition.path)
-        head_cards = cards(tree)
+        head_cards, step = cards(tree), self.tile
         for k, (name, node) in enumerate(arrays(tree)):
-            if len(node["shape"]) != 2:
+            if len(node["shape"]) != 2 or any(self.wanted[c] is not None and v not in self.wanted[c] for c, v in (("hdu", k), ("extname", name))):
                 continue
             height, width = node["shape"]
             head = (partition.path, k, name, None, head_cards, width, height)
             if not self.pixels:
-                yield (*head, *(None,) * 8)
+                yield header_batch(head)
                 continue
             a = read_array(partition.path, node, places)
             exact = np.issubdtype(a.dtype, np.integer)
-            for y0 in range(0, height, self.tile):
-                for x0 in range(0, width, self.tile):
-                    own = a[y0 : y0 + self.tile, x0 : x0 + self.tile]
-                    yield (
-                        *head, x0 // self.tile, y0 // self.tile, x0, y0, own.shape[1], own.shape[0],
-                        own.astype(np.float32).ravel().tolist(), own.astype(np.int64).ravel().tolist() if exact else None,
-                    )
+            for y0 in range(0, height, step):
+                strip = a[y0 : y0 + step]
+                cut = [(x0, y0, strip[:, x0 : x0 + step]) for x0 in range(0, width, step)]
+                yield tile_batch(head, [(x0, y, t.astype(np.float32), t.astype(np.int64) if exact else None) for x0, y, t in cut], step)
 
 
 class AsdfSource(DataSource):
@@ -162,7 +164,7 @@ def write_asdf(path: str, planes: dict[str, np.ndarray], cards_: dict[str, str])
         lines += [f"{name}: !core/ndarray-1.0.0", f"  source: {k}", f"  datatype: {kind}", "  byteorder: little", f"  shape: [{a.shape[0]}, {a.shape[1]}]"]
         raw = a.astype(a.dtype.newbyteorder("<")).tobytes()
         body += MAGIC + struct.pack(">H", 48) + struct.pack(">I4sQQQ", 0, b"\0\0\0\0", len(raw), len(raw), len(raw)) + hashlib.md5(raw).digest() + raw
-    with open(path, "wb") as f:
+    with storage.writing(path) as f:
         f.write("\n".join([*lines, "...", ""]).encode() + body)
 
 
@@ -170,10 +172,12 @@ def open_raster(spark, path: str, **options: str):
     """Tile rows of a file or folder of either format, told by magic bytes or suffix."""
     from lumenweave.sources import fits
 
-    plain = path.removeprefix("file://")
-    first = plain if os.path.isfile(plain) else next((os.path.join(plain, n) for n in sorted(os.listdir(plain)) if n.lower().endswith((*fits.SUFFIXES, ".asdf"))), "")
-    magic = open(first, "rb").read(9) if first else b""
-    kind = "asdf" if magic.startswith(b"#ASDF") or (not magic and plain.lower().endswith(".asdf")) else "fits"
+    first = next((n for n, _ in storage.children(path) if n.lower().endswith((*fits.SUFFIXES, ".asdf"))), "")
+    magic = b""
+    if first:
+        with storage.reading(first) as f:
+            magic = f.read(9)
+    kind = "asdf" if magic.startswith(b"#ASDF") or (not magic and path.lower().endswith(".asdf")) else "fits"
     (register if kind == "asdf" else fits.register)(spark)
     reader = spark.read.format(kind)
     for k, v in options.items():

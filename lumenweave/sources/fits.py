@@ -2,8 +2,10 @@
 
 ``spark.read.format("fits").load(folder)`` gives a row per tile of each image plane: file, hdu, name, version, cards,
 width, height, the tile's place and its samples. Header-only reads (``option("pixels", "false")``) decode nothing;
-filters on hdu, extname and extver are pushed to the reader, which seeks past other planes.
-Integer planes are scaled by BSCALE and BZERO with BLANK as NaN; masks keep their exact bits in ``exact``.
+the options ``hdu``, ``extname`` and ``extver`` (lists with commas) choose planes, and the reader seeks past others. (Filters aren't
+pushed: Spark keeps what it pushed to a Python source for all scans of one frame.) Large files are read by several tasks, each of
+which takes its share of the strips. Integer planes are scaled by BSCALE and BZERO with BLANK
+as NaN; masks keep their exact bits in ``exact``. ``spark.read.format("fits_table").option("extname", ...)`` reads a binary table.
 """
 
 from __future__ import annotations
@@ -14,9 +16,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from lumenweave.sources import storage
+
 BLOCK, CARD = 2880, 80
 SUFFIXES = (".fits", ".fit", ".fts")
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -75,9 +80,8 @@ def shape(cards: dict[str, str]) -> tuple[list[int], int]:
 
 def planes(path: str) -> Iterator[tuple[int, dict[str, str], list[int], int]]:
     """(number, cards, axes, place of the data) of each header unit; a truncated tail ends the file after the whole ones."""
-    size = os.path.getsize(path)
-    with open(path, "rb") as f:
-        k = 0
+    with storage.reading(path) as f:
+        size, k = f.size(), 0
         while (cards := read_header(f)) is not None:
             dims, n = shape(cards)
             at = f.tell()
@@ -103,55 +107,84 @@ def decode(raw: bytes, cards: dict[str, str], exact: bool) -> tuple[np.ndarray,
     return v.astype(np.float32), (a.astype(np.int64) + int(zero) if exact and scale == 1 else None)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+class _Part(InputPartition):
+    """The ``part``-th of ``parts`` shares of a file's strips."""
+
+    def __init__(self, path: str, part: int, parts: int):
+        self.path, self.part, self.parts = path, part, parts
+
+
+def chosen(options: dict) -> dict[str, set | None]:
+    """Which hdu, extname and extver are asked for; None where any is."""
+    given = {c: options.get(c) for c in ("hdu", "extname", "extver")}
+    return {c: None if v is None else {x if c == "extname" else int(x) for x in v.split(",")} for c, v in given.items()}
+
+
+def list_arrays(tiles: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """Arrays as a list column, without a Python value a sample."""
+    ends = np.cumsum([0, *(t.size for t in tiles)]).astype(np.int32)
+    flat = np.concatenate([t.ravel() for t in tiles]) if tiles else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=kind))
+
+
+def tile_batch(head: tuple, tiles: list[tuple[int, int, np.ndarray, np.ndarray | None]], step: int) -> pa.RecordBatch:
+    """A row a tile (x0, y0, samples, exact bits) of the plane that ``head`` tells of: file, hdu, extname, extver, cards, width, height."""
+    n = len(tiles)
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.map_(pa.string(), pa.string()), pa.int32(), pa.int32())
+    cols = [pa.array([list(x.items()) if isinstance(x, dict) else x] * n, k) for x, k in zip(head, kinds)]
+    number = lambda values: pa.array(values, pa.int32())
+    cols += [number([x0 // step for x0, *_ in tiles]), number([y0 // step for _, y0, *_ in tiles]), number([t[0] for t in tiles]), number([t[1] for t in tiles])]
+    cols += [number([t[2].shape[1] for t in tiles]), number([t[2].shape[0] for t in tiles]), list_arrays([t[2] for t in tiles], pa.float32())]
+    cols.append(list_arrays([t[3] for t in tiles], pa.int64()) if all(t[3] is not None for t in tiles) else pa.nulls(n, pa.list_(pa.int64())))
+    return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SCHEMA.replace("map<string,string>", "map").split(", ")])
+
+
+def header_batch(head: tuple) -> pa.RecordBatch:
+    """The row of a unit without pixels."""
+    empty = tile_batch(head, [(0, 0, np.zeros((1, 1), dtype=np.float32), None)], 1)
+    return pa.RecordBatch.from_arrays([*empty.columns[:7], *(pa.nulls(1, c.type) for c in empty.columns[7:])], names=empty.schema.names)
 
 
 class FitsReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.tile = options["path"], int(options.get("tileSize", "256"))
+        self.path, self.tile = options["path"], int(options.get("tilesize", options.get("tileSize", "256")))
+        self.split = int(options.get("splitbytes", options.get("splitBytes", str(128 << 20))))
         self.pixels = options.get("pixels", "true").lower() == "true"
         self.exact = options.get("exact", "true").lower() == "true"
-        self.wanted: dict[str, object] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute in (("hdu",), ("extname",), ("extver",)):
-                self.wanted[f.attribute[0]] = f.value
-            else:
-                yield f
+        self.wanted = chosen(options)
 
     def partitions(self):
-        """A file a partition: direct children with a known suffix, by path; products of star maps are left out."""
-        root = self.path.removeprefix("file://")
-        names = [root] if os.path.isfile(root) else sorted(os.path.join(root, n) for n in os.listdir(root))
-        good = [n for n in names if n.lower().endswith(SUFFIXES) and not n.lower().endswith("_starmap.fits") and os.path.isfile(n)]
-        return [_File(n, self.tile) for n in good]
-
-    def read(self, partition: _File):
+        """Direct children with a known suffix, by path, star maps left out; a part for each ``splitBytes``. Nothing is opened."""
+        found = storage.children(self.path)
+        good = [(n, size) for n, size in found if n.lower().endswith(SUFFIXES) and not n.lower().endswith("_starmap.fits")]
+        parts = lambda size: max(1, -(-size // self.split)) if self.pixels else 1
+        return [_Part(n, k, parts(size)) for n, size in good for k in range(parts(size))]
+
+    def read(self, partition: _Part):
+        strip, step = 0, self.tile
         for k, cards, dims, at in planes(partition.path):
             name, version = cards.get("EXTNAME", ""), card_number(cards.get("EXTVER"))
             version = None if version is None else int(version)
-            if any(self.wanted.get(c, v) != v for c, v in (("hdu", k), ("extname", name), ("extver", version))):
+            if any(self.wanted[c] is not None and v not in self.wanted[c] for c, v in (("hdu", k), ("extname", name), ("extver", version))):
                 continue
             width, height = (dims[0], dims[1]) if len(dims) >= 2 else (0, 0)
             head = (partition.path, k, name, version, cards, width, height)
             if not self.pixels or not width or cards.get("XTENSION", "IMAGE") not in ("IMAGE", ""):
-                yield (*head, *(None,) * 8)
+                if partition.part == 0:
+                    yield header_batch(head)
                 continue
-            size, step = abs(int(card_number(cards["BITPIX"]))) // 8, partition.size
-            with open(partition.path, "rb") as f:
+            size = abs(int(card_number(cards["BITPIX"]))) // 8
+            with storage.reading(partition.path) as f:
                 for y0 in range(0, height, step):  # a strip of tiles at a time
+                    strip += 1
+                    if strip % partition.parts != partition.part:
+                        continue
                     rows = min(step, height - y0)
                     f.seek(at + y0 * width * size)
                     v, bits = decode(f.read(rows * width * size), cards, self.exact)
                     v = v.reshape(rows, width)
                     bits = None if bits is None else bits.reshape(rows, width)
-                    for x0 in range(0, width, step):
-                        own = v[:, x0 : x0 + step]
-                        mask = None if bits is None else bits[:, x0 : x0 + step].ravel().tolist()
-                        yield (*head, x0 // step, y0 // step, x0, y0, own.shape[1], rows, own.ravel().tolist(), mask)
+                    yield tile_batch(head, [(x0, y0, v[:, x0 : x0 + step], None if bits is None else bits[:, x0 : x0 + step]) for x0 in range(0, width, step)], step)
 
 
 class FitsSource(DataSource):
@@ -168,13 +201,85 @@ class FitsSource(DataSource):
         return FitsReader(dict(self.options))
 
 
+#: Letters of a table's forms: numpy kind, Spark type. Fixed values of the format.
+FORMS = {"L": ("S1", "boolean"), "B": ("u1", "int"), "I": (">i2", "int"), "J": (">i4", "int"), "K": (">i8", "long"), "E": (">f4", "float"), "D": (">f8", "double"), "A": ("S", "string")}
+
+
+def table_layout(cards: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(name, numpy kind, Spark type) of a binary table's columns; a column of several numbers is refused."""
+    out = []
+    for k in range(1, int(card_number(cards.get("TFIELDS")) or 0) + 1):
+        m = re.match(r"(\d*)([A-Z])", cards[f"TFORM{k}"])
+        n, letter = int(m[1] or 1), m[2]
+        if letter not in FORMS or (n != 1 and letter != "A"):
+            raise ValueError(f"form {cards[f'TFORM{k}']!r} is not read")
+        kind, spark_type = FORMS[letter]
+        out.append((cards.get(f"TTYPE{k}", f"COL{k}").strip(), f"S{n}" if letter == "A" else kind, spark_type))
+    return out
+
+
+class TableReader(DataSourceReader):
+    def __init__(self, options: dict, layout):
+        self.path, self.name, self.layout = options["path"], options.get("extname", ""), layout
+
+    def partitions(self):
+        return [_Part(n, 0, 1) for n, _ in storage.children(self.path) if n.lower().endswith(SUFFIXES)]
+
+    def read(self, partition: _Part):
+        dtype = np.dtype([(n, k) for n, k, _ in self.layout])
+        for _, cards, dims, at in planes(partition.path):
+            if cards.get("XTENSION") != "BINTABLE" or cards.get("EXTNAME", "") != self.name:
+                continue
+            if [x[:2] for x in table_layout(cards)] != [x[:2] for x in self.layout] or dims[0] != dtype.itemsize:
+                raise ValueError(f"{partition.path}: another layout of {self.name}")
+            with storage.reading(partition.path) as f:
+                for row in range(0, dims[1], 8192):
+                    n = min(8192, dims[1] - row)
+                    f.seek(at + row * dtype.itemsize)
+                    got = np.frombuffer(f.read(n * dtype.itemsize), dtype=dtype)
+                    cols = [pa.array([partition.path] * n, pa.string())]
+                    for name, kind, spark_type in self.layout:
+                        c = got[name]
+                        if spark_type == "boolean":
+                            cols.append(pa.array(c == b"T"))
+                        elif kind.startswith("S"):
+                            cols.append(pa.array([x.decode("latin-1").rstrip(" \0") for x in c], pa.string()))
+                        else:
+                            width = {"int": "i4", "long": "i8", "float": "f4", "double": "f8"}[spark_type]
+                            cols.append(pa.array(c.astype(width)))
+                    yield pa.RecordBatch.from_arrays(cols, names=["file", *(n.lower() for n, _, _ in self.layout)])
+
+
+class TableSource(DataSource):
+    """A binary table of a file, or of a folder's files where they have one layout; columns have small names, ``file`` comes first."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "fits_table"
+
+    def _layout(self):
+        options = dict(self.options)
+        for path, _ in storage.children(options["path"]):
+            if path.lower().endswith(SUFFIXES):
+                for _, cards, _, _ in planes(path):
+                    if cards.get("XTENSION") == "BINTABLE" and cards.get("EXTNAME", "") == options.get("extname", ""):
+                        return table_layout(cards)
+        raise ValueError(f"{options['path']}: no table {options.get('extname', '')!r}")
+
+    def schema(self) -> str:
+        return ", ".join(["file string", *(f"`{n.lower()}` {t}" for n, _, t in self._layout())])
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return TableReader(dict(self.options), self._layout())
+
+
 def register(spark) -> None:
-    """Make the format known to a session, and let its filters reach the reader."""
+    """Make the formats known to a session."""
     from lumenweave.session import ship_package
 
     ship_package(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FitsSource)
+    spark.dataSource.register(TableSource)
 
 
 def pixels(tiles):
@@ -219,7 +324,9 @@ def encode_plane(data: np.ndarray, cards: dict, first: bool, name: str = "", ver
     if version is not None:
         head.append(card("EXTVER", version))
     for k, v in cards.items():
-        if k not in RESERVED and re.fullmatch(r"[A-Z0-9_-]{1,8}", k):
+        if isinstance(v, bool):
+            head.append(card(k, v))
+        elif k not in RESERVED and re.fullmatch(r"[A-Z0-9_-]{1,8}", k):
             number = v if not isinstance(v, str) else (card_number(v) if re.fullmatch(r"[-+.0-9EeDd]+", v) else None)
             head.append(card(k, v if number is None else (int(number) if float(number).is_integer() and "." not in str(v) else number)))
     text = b"".join(head) + b"END".ljust(CARD)
@@ -227,25 +334,102 @@ def encode_plane(data: np.ndarray, cards: dict, first: bool, name: str = "", ver
     return text.ljust(-(-len(text) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 
 
-def write_file(path: str, planes_: list[tuple[str, np.ndarray, dict]], overwrite: bool = True) -> None:
-    """A file of planes (name, data, cards), published whole: a sibling is written, synced and renamed."""
-    if not overwrite and os.path.exists(path):
+def encode_table(name: str, columns: list[tuple[str, str]], rows: np.ndarray, cards: dict | None = None) -> bytes:
+    """Header and data of a binary table; ``columns`` are (name, form), ``rows`` a structured array in their order."""
+    head = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", rows.dtype.itemsize), card("NAXIS2", len(rows))]
+    head += [card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(columns)), card("EXTNAME", name)]
+    for k, (column, form) in enumerate(columns, 1):
+        head += [card(f"TTYPE{k}", column), card(f"TFORM{k}", form)]
+    head += [card(k, v) for k, v in (cards or {}).items()]
+    text = b"".join(head) + b"END".ljust(CARD)
+    body = rows.tobytes()
+    return text.ljust(-(-len(text) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+
+
+def write_bytes(path: str, parts: Iterator[bytes], overwrite: bool = True) -> None:
+    """A file published whole: a sibling is written, closed and moved; a failed one leaves nothing."""
+    if not overwrite and storage.exists(path):
         raise FileExistsError(path)
     part = f"{path}.{os.getpid()}.part"
     try:
-        with open(part, "wb") as f:
-            for k, (name, data, cards) in enumerate(planes_):
-                f.write(encode_plane(data, cards, k == 0, name if k else ""))
-            f.flush()
-            os.fsync(f.fileno())
-        if overwrite:
-            os.replace(part, path)
-        else:
-            os.link(part, path)  # fails if another writer was first
-            os.unlink(part)
+        with storage.writing(part) as f:
+            for x in parts:
+                f.write(x)
+        storage.publish(part, path, overwrite)
     finally:
-        if os.path.exists(part):
-            os.unlink(part)
+        storage.remove(part)
+
+
+def write_file(path: str, planes_: list[tuple[str, np.ndarray, dict]], overwrite: bool = True, tables: list[bytes] = ()) -> None:
+    """A file of planes (name, data, cards) and of tables, published whole. ``EXTVER`` among a plane's cards is its version."""
+
+    def parts():
+        for k, (name, data, cards) in enumerate(planes_):
+            version = cards.get("EXTVER")
+            yield encode_plane(data, cards, k == 0, name if k else "", None if version is None else int(version))
+        yield from tables
+
+    write_bytes(path, parts(), overwrite)
+
+
+def plane_header(width: int, height: int, exact: bool, cards: dict, first: bool, name: str) -> bytes:
+    """The header alone of a plane whose samples follow elsewhere."""
+    one = encode_plane(np.zeros((1, 1), dtype=np.int32 if exact else np.float32), cards, first, name)
+    text = one[: len(one) - BLOCK]
+    return text.replace(card("NAXIS1", 1), card("NAXIS1", width)).replace(card("NAXIS2", 1), card("NAXIS2", height))
+
+
+def write_sorted(df, path: str, width: int, height: int, columns: list[tuple[str, str, bool]], cards: dict | None = None, extra: list[bytes] = ()) -> int:
+    """Pixel rows (x, y and the columns) as one file of planes (column, name, exact), a row of pixels in memory at a time.
+
+    Rows come sorted to one task, which spools each plane to a sibling in the store and joins them at the end. Pixels that
+    no row has are NaN, or 0 in exact planes; those outside the canvas are left out. Returns how many were written.
+    """
+    import pandas as pd
+
+    def run(batches):
+        spools = [f"{path}.plane-{k}.part" for k in range(len(columns))]
+        files = [storage.writing(p) for p in spools]
+        blank = lambda exact: np.zeros(width, dtype=">i4") if exact else np.full(width, np.nan, dtype=">f4")
+        at, n, row = 0, 0, [blank(e) for _, _, e in columns]
+
+        def advance(to: int):
+            nonlocal at, row
+            while at < to:
+                for f, values in zip(files, row):
+                    f.write(values.tobytes())
+                at, row = at + 1, [blank(e) for _, _, e in columns]
+
+        try:
+            for pdf in batches:
+                pdf = pdf[(pdf["x"] >= 0) & (pdf["x"] < width) & (pdf["y"] >= 0) & (pdf["y"] < height)]
+                for y, own in pdf.groupby("y", sort=True):
+                    advance(int(y))
+                    x = own["x"].to_numpy()
+                    for (column, _, _), values in zip(columns, row):
+                        values[x] = own[column].to_numpy()
+                    n += len(own)
+            advance(height)
+            for f in files:
+                f.close()
+
+            def parts():
+                for k, ((_, name, exact), spool) in enumerate(zip(columns, spools)):
+                    yield plane_header(width, height, exact, (cards or {}) if k == 0 else {}, k == 0, name if k else "")
+                    with storage.reading(spool) as f:
+                        while data := f.read(1 << 22):
+                            yield data
+                    yield b"\0" * (-4 * width * height % BLOCK)
+                yield from extra
+
+            write_bytes(path, parts())
+        finally:
+            for p in spools:
+                storage.remove(p)
+        yield pd.DataFrame({"pixels": [n]})
+
+    ordered = df.select("x", "y", *[c for c, _, _ in columns]).orderBy("y", "x").coalesce(1)
+    return ordered.mapInPandas(run, "pixels long").first()["pixels"]
 
 
 def write_frames(df, folder: str, width: int, height: int, planes_: tuple[str, ...] = ("v",), exact: tuple[str, ...] = ()):
@@ -262,8 +446,7 @@ def write_frames(df, folder: str, width: int, height: int, planes_: tuple[str, .
             g = np.zeros((height, width), dtype=np.int32) if name in exact else np.full((height, width), np.nan, dtype=np.float32)
             g[pdf["y"], pdf["x"]] = pdf[name]
             out.append((name.upper(), g, {"FRAME": frame}))
-        os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"frame-{frame:06d}.fits")
+        path = f"{folder.rstrip('/')}/frame-{frame:06d}.fits"
         write_file(path, out)
         return pd.DataFrame({"frame": [frame], "path": [path], "pixels": [len(pdf)]})
 

@@ -64,11 +64,60 @@ def default_regions(width: int, height: int, columns: int = 4, rows: int = 3) ->
 
 def write_report(rows: list[dict], path: str) -> None:
     """A small report as JSON, published whole."""
-    import os
-
-    part = f"{path}.{os.getpid()}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(rows, f, indent=1, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
+    from lumenweave.sources.fits import write_bytes
+
+    write_bytes(path, iter([json.dumps(rows, indent=1, sort_keys=True).encode()]))
+
+
+def read_report(path: str):
+    from lumenweave.sources import storage
+
+    with storage.reading(path) as f:
+        return json.loads(f.read())
+
+
+SIDECAR = "path string, sci_ext int, width int, height int, size bigint, mtime bigint, accepted boolean, a double, b double, c double, d double, e double, f double"
+
+
+def merge_sidecar(old: list[dict], new: list[dict]) -> list[dict]:
+    """Alignment records by (path, sci_ext): a new one takes the place of an old one, others stay; by path and chip."""
+    key = lambda r: (r["path"], r["sci_ext"])
+    both = {key(r): r for r in old} | {key(r): r for r in new}
+    return [both[k] for k in sorted(both)]
+
+
+def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
+    """Alignment records of a sidecar file; ``joins.identity_status`` tells which still belong to their files."""
+    return spark.read.schema(SIDECAR).option("multiLine", True).json(path)
+
+
+MOSAIC_PROJECT = "version int, reference string, inputs array<struct<path:string,dx:double,dy:double,excluded:boolean>>, settings map<string,string>"
+
+
+def read_mosaic_project(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """A mosaic project's inputs (path, dx, dy, excluded, is_reference): paths inside the project's folder are relative there; no offsets are 0."""
+    p = spark.read.schema(MOSAIC_PROJECT).option("multiLine", True).json(path)
+    whole = lambda c: F.when(c.startswith("/") | c.contains("://"), c).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), c))
+    each = p.select("reference", F.posexplode("inputs").alias("position", "i"))
+    return each.select(
+        "position", whole(F.col("i.path")).alias("path"), F.coalesce("i.dx", F.lit(0.0)).alias("dx"), F.coalesce("i.dy", F.lit(0.0)).alias("dy"),
+        F.coalesce("i.excluded", F.lit(False)).alias("excluded"), F.coalesce(F.col("i.path") == F.col("reference"), F.lit(False)).alias("is_reference"),
+    )
+
+
+def invalid_regions(regions: DataFrame, width: int, height: int) -> DataFrame:
+    """Regions of a labelling project (id, x0, y0, x1, y1, split) that break its rules, with the reason."""
+    n = regions.groupBy("id").agg(F.count("*").alias("n"))
+    outside = (F.col("x0") < 0) | (F.col("y0") < 0) | (F.col("x1") > width) | (F.col("y1") > height)
+    reason = (
+        F.when(F.col("n") > 1, "twice").when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), "empty").when(outside, "outside").when(~F.col("split").isin("train", "validation"), "split")
+    )
+    return regions.join(n, "id").withColumn("reason", reason).filter("reason IS NOT NULL").drop("n")
+
+
+def invalid_labels(labels: DataFrame, regions: DataFrame) -> DataFrame:
+    """Labels (id, x, y, kind) that lie in no region, or whose kind isn't star, not or ambiguous, with the reason."""
+    box = regions.select("x0", "y0", "x1", "y1")  # a grid of a few rectangles
+    inside = labels.join(F.broadcast(box), (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))).select("id").distinct().withColumn("inside", F.lit(True))
+    reason = F.when(~F.col("kind").isin("star", "not", "ambiguous"), "kind").when(F.col("inside").isNull(), "region")
+    return labels.join(inside, "id", "left").withColumn("reason", reason).filter("reason IS NOT NULL").drop("inside")

@@ -48,3 +48,15 @@ def run_in_group(spark, group: str, action: Callable[[], object]):
         return action()
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def run_steps(steps: list[tuple[str, Callable[[], object]]], progress: Callable[[str, int, int], None], cancelled: Callable[[], bool] = lambda: False) -> list:
+    """Run named steps in order and tell before and behind each how many are done; stops, with what is done, when ``cancelled``."""
+    out: list = []
+    for name, step in steps:
+        if cancelled():
+            break
+        progress(name, len(out), len(steps))
+        out.append(step())
+        progress(name, len(out), len(steps))
+    return out
