@@ -14,23 +14,24 @@ PAIR = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)"
 
 @query(
     "j02_radius_join",
-    f"""{S} SELECT a.star, b.star AS r_star, round(sqrt({PAIR}), 4) AS dist FROM stars a JOIN stars b ON a.frame = 0 AND b.frame = 1 AND floor(b.x / 5) BETWEEN floor(a.x / 5) - 1 AND floor(a.x / 5) + 1 AND {PAIR} <= 25""",
+    f"""{S} SELECT a.star, b.star AS r_star, round(sqrt({PAIR}), 4) AS dist FROM stars a JOIN stars b ON (a.frame + 1) % 8 = b.frame AND floor(b.x / 5) BETWEEN floor(a.x / 5) - 1 AND floor(a.x / 5) + 1 AND {PAIR} <= 25""",
 )
 def j02(spark, sf):
-    st = stars(spark, sf)
-    got = joins.radius_join(st.filter("frame = 0").select("star", "x", "y"), st.filter("frame = 1").select("star", "x", "y"), 5.0)
+    """Stars of every frame with those of the next."""
+    st = stars(spark, sf).select("frame", "star", "x", "y")
+    got = joins.radius_join(st.withColumn("frame", (F.col("frame") + 1) % 8), st, 5.0, ["frame"])
     return got.select("star", "r_star", r("dist"))
 
 
 @query(
     "j03_mutual_nearest",
-    f"""{S}, p AS (SELECT a.star, b.star AS r_star, sqrt({PAIR}) AS dist FROM stars a JOIN stars b ON a.frame = 0 AND b.frame = 1 AND floor(b.x / 8) BETWEEN floor(a.x / 8) - 1 AND floor(a.x / 8) + 1 AND sqrt({PAIR}) <= 8),
+    f"""{S}, p AS (SELECT a.star, b.star AS r_star, sqrt({PAIR}) AS dist FROM stars a JOIN stars b ON (a.frame + 1) % 8 = b.frame AND floor(b.x / 8) BETWEEN floor(a.x / 8) - 1 AND floor(a.x / 8) + 1 AND sqrt({PAIR}) <= 8),
 k AS (SELECT *, row_number() OVER wa AS ra, row_number() OVER wb AS rb, lead(dist) OVER wa AS sa, lead(dist) OVER wb AS sb FROM p WINDOW wa AS (PARTITION BY star ORDER BY dist, r_star), wb AS (PARTITION BY r_star ORDER BY dist, star))
 SELECT star, r_star, round(dist, 4) AS dist FROM k WHERE ra = 1 AND rb = 1 AND (sa IS NULL OR dist <= 0.85 * sa) AND (sb IS NULL OR dist <= 0.85 * sb)""",
 )
 def j03(spark, sf):
     st = stars(spark, sf)
-    return joins.mutual_nearest(st.filter("frame = 0"), st.filter("frame = 1"), 8.0, 0.85).select("star", "r_star", r("dist"))
+    return joins.mutual_nearest(st.withColumn("frame", (F.col("frame") + 1) % 8), st, 8.0, 0.85, ["frame"]).select("star", "r_star", r("dist"))
 
 
 @query(
@@ -71,8 +72,10 @@ def j11(spark, sf):
 
 @query("j12_bipartite_matching")
 def j12(spark, sf):
-    st = stars(spark, sf).withColumn("region", (F.floor(F.col("x") / 64) * 4 + F.floor(F.col("y") / 64)).cast("long"))
-    truth, seen = st.filter("frame = 0").select("region", "star", "x", "y"), st.filter("frame = 1").select("region", "star", "x", "y")
+    # a region is a sixteenth of the field, of a frame as truth and the next as detections
+    st = stars(spark, sf).withColumn("cell", (F.floor(F.col("x") / 64) * 4 + F.floor(F.col("y") / 64)).cast("long"))
+    of = lambda frame: st.select((frame % 8 * 16 + F.col("cell")).alias("region"), "star", "x", "y")
+    truth, seen = of(F.col("frame")), of(F.col("frame") + 7)
     near = joins.radius_join(truth, seen, 6.0, ["region"]).select("region", F.col("star").alias("truth"), F.col("r_star").alias("detection"))
     # who is paired may differ between equal matchings; how many are doesn't
     return fit.match_bipartite(near).groupBy("region").agg(F.count("*").alias("matched"))
@@ -151,19 +154,9 @@ def p10(spark, sf):
 
 @query(
     "j16_star_neighbours",
-    f"""{S}, t AS (SELECT * FROM stars WHERE frame = 3) SELECT a.star, count(*) AS members FROM t a JOIN t b ON sqrt({PAIR}) <= 3 + b.area / 4.0 GROUP BY 1""",
-)
-def j16(spark, sf):
-    t = stars(spark, sf).filter("frame = 3").select("star", "x", "y", "area")
-    near = joins.radius_join(t, t, 13.0)
-    return near.filter(F.col("dist") <= 3 + F.col("r_area") / 4).groupBy("star").agg(F.count("*").alias("members"))
-
-
-@query(
-    "j16_star_neighbours_all",
     f"""{S} SELECT a.frame, a.star, count(*) AS members FROM stars a JOIN stars b ON a.frame = b.frame AND sqrt({PAIR}) <= 3 + b.area / 4.0 GROUP BY 1, 2""",
 )
-def j16_all(spark, sf):
+def j16(spark, sf):
     t = stars(spark, sf).select("frame", "star", "x", "y", "area")
     near = joins.radius_join(t, t, 13.0, ["frame"])
     return near.filter(F.col("dist") <= 3 + F.col("r_area") / 4).groupBy("frame", "star").agg(F.count("*").alias("members"))

@@ -129,9 +129,15 @@ def a20(spark, sf):
     return combine.plane_mean(_square(spark, sf), planes).select("ox", "oy", r("sky"))
 
 
-@query("a21_stack", f"{N} SELECT x, y, count(*) AS n, round(least(avg(v), median(v)), 4) AS v FROM pix_nan WHERE isfinite(v) AND frame < 3 GROUP BY 1, 2")
+@query("a21_stack", f"{N} SELECT x, y, count(*) AS n, round(median(v), 4) AS v FROM pix_nan WHERE isfinite(v) GROUP BY 1, 2")
 def a21(spark, sf):
-    return combine.stack(pix_nan(spark, sf).filter("frame < 3"), 3).select("x", "y", "n", r("v"))
+    return combine.stack(pix_nan(spark, sf), 8).select("x", "y", "n", r("v"))
+
+
+@query("a21_stack_of_three", f"{N}, t AS (SELECT frame % 3 AS frame, x, y, avg(v) AS v FROM pix_nan WHERE isfinite(v) GROUP BY 1, 2, 3) SELECT x, y, count(*) AS n, round(least(avg(v), median(v)), 4) AS v FROM t GROUP BY 1, 2")
+def a21_three(spark, sf):
+    t = pix_nan(spark, sf).filter(s.finite(F.col("v"))).groupBy((F.col("frame") % 3).alias("frame"), "x", "y").agg(F.avg("v").alias("v"))
+    return combine.stack(t, 3).select("x", "y", "n", r("v"))
 
 
 MASTER = """bias AS (SELECT x, y, median(v) AS bias FROM pix WHERE frame < 3 GROUP BY 1, 2), raw AS (SELECT x, y, median(v - bias) AS f FROM pix JOIN bias USING (x, y) WHERE frame >= 3 GROUP BY 1, 2),
@@ -231,25 +237,12 @@ def a40(spark, sf):
 
 @query(
     "f17_bilinear",
-    f"""{N}, pts AS (SELECT frame, x AS px0, y AS py0, y * 64 + x AS id, x + 0.3 AS px, y + 0.6 AS py FROM pix_nan WHERE (x + y) % 11 = 0),
-k AS (SELECT p.frame, p.id, q.v, (CASE WHEN q.x = p.px0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE WHEN q.y = p.py0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) AS w
-FROM pts p JOIN pix_nan q ON q.frame = p.frame AND q.x BETWEEN px0 AND px0 + 1 AND q.y BETWEEN py0 AND py0 + 1 WHERE isfinite(q.v))
-SELECT frame, id, round(sum(v * w) / sum(w), 4) AS v FROM k GROUP BY 1, 2""",
-)
-def f17(spark, sf):
-    p = pix_nan(spark, sf)
-    pts = p.filter((F.col("x") + F.col("y")) % 11 == 0).select("frame", (F.col("y") * 64 + F.col("x")).alias("id"), (F.col("x") + 0.3).alias("px"), (F.col("y") + 0.6).alias("py"))
-    return raster.resample(p, pts).filter(~F.isnan("v")).select("frame", "id", r("v"))
-
-
-@query(
-    "f17_bilinear_all",
     f"""{N}, pts AS (SELECT frame, x AS px0, y AS py0, y * 64 + x AS id, x + 0.3 AS px, y + 0.6 AS py FROM pix_nan),
 k AS (SELECT p.frame, p.id, q.v, (CASE WHEN q.x = p.px0 THEN 1 - (px - floor(px)) ELSE px - floor(px) END) * (CASE WHEN q.y = p.py0 THEN 1 - (py - floor(py)) ELSE py - floor(py) END) AS w
 FROM pts p JOIN pix_nan q ON q.frame = p.frame AND q.x BETWEEN px0 AND px0 + 1 AND q.y BETWEEN py0 AND py0 + 1 WHERE isfinite(q.v))
 SELECT frame, id, round(sum(v * w) / sum(w), 4) AS v FROM pts LEFT JOIN k USING (frame, id) GROUP BY 1, 2""",
 )
-def f17_all(spark, sf):
+def f17(spark, sf):
     p = pix_nan(spark, sf)
     pts = p.select("frame", (F.col("y") * 64 + F.col("x")).alias("id"), (F.col("x") + 0.3).alias("px"), (F.col("y") + 0.6).alias("py"))
     return raster.resample(p, pts).select("frame", "id", F.when(~F.isnan("v"), snap(F.col("v"), 4)).alias("v"))
@@ -271,27 +264,16 @@ def f19(spark, sf):
 @query(
     "w09_gaussian_blur",
     f"""{N}, k AS (SELECT i, exp(-i * i / 4.5) AS w FROM (SELECT unnest(range(-5, 6)) AS i)), fin AS (SELECT * FROM pix_nan WHERE isfinite(v)),
-c AS (SELECT p.frame, p.x, p.y, sum(q.v * a.w * b.w) AS t, sum(a.w * b.w) AS w FROM (SELECT * FROM pix_nan WHERE (x + y) % 5 = 0) p JOIN fin q ON q.frame = p.frame AND q.x BETWEEN p.x - 5 AND p.x + 5 AND q.y BETWEEN p.y - 5 AND p.y + 5 JOIN k a ON a.i = q.x - p.x JOIN k b ON b.i = q.y - p.y GROUP BY 1, 2, 3)
-SELECT frame, x, y, round(t / w, 4) AS blurred FROM c""",
-)
-def w09(spark, sf):
-    got = raster.blur(pix_nan(spark, sf)).filter("(x + y) % 5 = 0 AND NOT isnan(blurred)")
-    return got.select("frame", "x", "y", r("blurred"))
-
-
-@query(
-    "w09_gaussian_blur_all",
-    f"""{N}, k AS (SELECT i, exp(-i * i / 4.5) AS w FROM (SELECT unnest(range(-5, 6)) AS i)), fin AS (SELECT * FROM pix_nan WHERE isfinite(v)),
 c AS (SELECT p.frame, p.x, p.y, sum(q.v * a.w * b.w) AS t, sum(a.w * b.w) AS w FROM pix_nan p JOIN fin q ON q.frame = p.frame AND q.x BETWEEN p.x - 5 AND p.x + 5 AND q.y BETWEEN p.y - 5 AND p.y + 5 JOIN k a ON a.i = q.x - p.x JOIN k b ON b.i = q.y - p.y GROUP BY 1, 2, 3)
 SELECT frame, x, y, round(t / c.w, 4) AS blurred FROM pix_nan LEFT JOIN c USING (frame, x, y)""",
 )
-def w09_all(spark, sf):
+def w09(spark, sf):
     return raster.blur(pix_nan(spark, sf)).select("frame", "x", "y", F.when(~F.isnan("blurred"), snap(F.col("blurred"), 4)).alias("blurred"))
 
 
 @query("w10_fill_holes")
 def w10(spark, sf):
-    got = raster.fill_holes(pix_nan(spark, sf))
+    got = raster.fill_holes(pix_nan(spark, sf), 64, 64)
     return got.filter(~F.isnan("filled")).select("frame", "x", "y", r("filled"))
 
 
@@ -328,33 +310,24 @@ def m12(spark, sf):
 def m13(spark, sf):
     p = pix_nan(spark, sf)
     levels = stats.background(p, ["frame"]).select("frame", "bg", (F.col("sigma") / 4).alias("sigma"))
-    return raster.clean(p, levels, 64).filter("hit").select("frame", "x", "y", r("clean"))
+    return raster.clean(p, levels, 64, 64).filter("hit").select("frame", "x", "y", r("clean"))
 
 
-STARS_SQL = """WITH src AS (SELECT user_id % 8 AS frame, event_id AS id, round((value * 13) % 256, 3) AS x, CAST((event_id * 7) % 256 AS DOUBLE) AS y, 1.5 + event_id % 3 AS radius, CAST(1 << (event_id % 5) AS BIGINT) AS bits FROM events WHERE event_id % 4 = 0),
+STARS_SQL = """WITH src AS (SELECT user_id % 8 AS frame, event_id AS id, round((value * 13) % 256, 3) AS x, CAST((event_id * 7) % 256 AS DOUBLE) AS y, 1.5 + event_id % 3 AS radius, CAST(1 << (event_id % 5) AS BIGINT) AS bits FROM events),
 g AS (SELECT src.*, unnest(range(CAST(ceil(x - radius) AS BIGINT), CAST(floor(x + radius) AS BIGINT) + 1)) AS px FROM src), g2 AS (SELECT g.*, unnest(range(CAST(ceil(y - radius) AS BIGINT), CAST(floor(y + radius) AS BIGINT) + 1)) AS py FROM g),
 m AS (SELECT *, sqrt((px - x) * (px - x) + (py - y) * (py - y)) / radius AS t FROM g2), k AS (SELECT *, CASE WHEN t <= 0.65 THEN 1.0 WHEN t <= 1 THEN 0.5 + 0.5 * cos(pi() * (t - 0.65) / 0.35) ELSE 0 END AS mask FROM m)
 SELECT frame, px AS x, py AS y, round(max(mask), 4) AS mask, arg_max(id, (mask, -id)) AS label, bit_or(bits) AS bits FROM k WHERE mask > 1e-6 GROUP BY 1, 2, 3"""
 
 
-def _feathered(spark, sf, among):
-    src = table(spark, sf, "events").filter(among).select(
+@query("m18_star_raster", STARS_SQL)
+def m18(spark, sf):
+    src = table(spark, sf, "events").select(
         (F.col("user_id") % 8).alias("frame"), F.col("event_id").alias("id"), snap((F.col("value") * 13) % 256, 3).alias("x"),
         ((F.col("event_id") * 7) % 256).cast("double").alias("y"), (F.col("event_id") % 3 + 1.5).cast("double").alias("radius"), F.expr("cast(shiftleft(1, cast(event_id % 5 as int)) as bigint)").alias("bits"),
     )
     return raster.feathered(src).filter("mask > 1e-6").select("frame", "x", "y", r("mask"), "label", "bits")
 
 
-@query("m18_star_raster", STARS_SQL)
-def m18(spark, sf):
-    return _feathered(spark, sf, "event_id % 4 = 0")
-
-
-@query("m18_star_raster_all", STARS_SQL.replace(" WHERE event_id % 4 = 0", ""))
-def m18_all(spark, sf):
-    return _feathered(spark, sf, "true")
-
-
 @query("u01_mask_fold", f"{P}, st AS (SELECT 0 AS frame, x, y, frame AS step, CASE WHEN frame % 3 = 2 THEN 'erase' ELSE 'add' END AS op FROM pix WHERE (x + frame) % 3 = 0), lst AS (SELECT x, y, arg_max(op, step) AS op FROM st GROUP BY 1, 2) SELECT CAST(0 AS BIGINT) AS frame, x, y FROM lst WHERE op = 'add'")
 def u01(spark, sf):
     st = pix(spark, sf).filter((F.col("x") + F.col("frame")) % 3 == 0)
@@ -367,9 +340,9 @@ def u02(spark, sf):
     return pix(spark, sf).groupBy("x", "y").agg(F.bool_or(F.col("v") > 50).alias("masked"))
 
 
-@query("u03_shared_seed", f"{P} SELECT x, y, count(*) AS channels FROM pix WHERE frame < 3 AND v > 42 GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("u03_shared_seed", f"{P} SELECT x, y, count(*) AS channels FROM pix WHERE v > 42 GROUP BY 1, 2 HAVING count(*) >= 2")
 def u03(spark, sf):
-    return pix(spark, sf).filter("frame < 3 AND v > 42").groupBy("x", "y").agg(F.count("*").alias("channels")).filter("channels >= 2")
+    return pix(spark, sf).filter("v > 42").groupBy("x", "y").agg(F.count("*").alias("channels")).filter("channels >= 2")
 
 
 @query("g01_rasterise", f"{P} SELECT frame, x, y FROM pix WHERE (x BETWEEN 10 AND 20 AND y BETWEEN 5 AND 9) OR (x - 40) * (x - 40) + (y - 40) * (y - 40) <= 49 OR (x >= 30 AND y >= 10 AND x + y <= 60) OR v > 70")
@@ -438,13 +411,13 @@ def g04(spark, sf):
 
 @query("m14_channel_clean")
 def m14(spark, sf):
-    p = pix_nan(spark, sf).filter("frame < 3").cache()
+    p = pix_nan(spark, sf).cache()  # read by the levels, the star mask and the cleaning
     levels = stats.background(p, ["frame"]).select("frame", "bg", (F.col("sigma") / 4).alias("sigma"))
     return raster.clean_channels(p, levels, 64, 64, 64).filter("hit").select("frame", "x", "y", r("clean"))
 
 
 @query("u03_shared_star_mask")
 def u03_mask(spark, sf):
-    p = pix(spark, sf).filter("frame < 3").cache()
+    p = pix(spark, sf).cache()  # read by the levels and the mask
     levels = stats.background(p, ["frame"]).select("frame", "bg", (F.col("sigma") / 4).alias("sigma"))
     return raster.shared_star_mask(p, levels, 64, 64).select("x", "y")

@@ -43,25 +43,38 @@ def m03(spark, sf):
     moved = spark.range(1, 5).withColumnRenamed("id", "frame").crossJoin(st)
     k = F.col("frame")
     moved = moved.filter((F.col("star") + k) % 5 != 0).withColumns({"x": F.col("x") - 3 * k, "y": F.col("y") + 2 * k})
-    return align.align_to(moved, st, 256.0, 120).select("frame", "method", "support", r("c", "dx", 2), r("f", "dy", 2))
+    return align.align_to(moved, st, 256.0).select("frame", "method", "support", r("c", "dx", 2), r("f", "dy", 2))
+
+
+def _field(spark, sf, profile):
+    """A raster of 256 x 256 a frame with the brightest star of each 32 x 32 cell of the catalog drawn near the cell's centre."""
+    st = stars(spark, sf).withColumns({"cx": F.floor(F.col("x") / 32), "cy": F.floor(F.col("y") / 32)})
+    top = st.groupBy("frame", "cx", "cy").agg(F.max_by(F.struct("x", "y", "peak"), F.struct("peak", "star")).alias("s"))
+    at = lambda c: F.col(f"c{c}") * 32 + 13 + F.col(f"s.{c}") % 6
+    top = top.select("frame", at("x").alias("sx"), at("y").alias("sy"), (200 + F.col("s.peak") * 3).alias("peak"))
+    span = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(255).cast("long")))
+    grid = top.select("frame").distinct().withColumn("x", span).withColumn("y", span)
+    px = grid.withColumns({"cx": F.floor(F.col("x") / 32), "cy": F.floor(F.col("y") / 32)})
+    drawn = top.withColumns({"cx": F.floor(F.col("sx") / 32), "cy": F.floor(F.col("sy") / 32)})
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    lit = F.coalesce(F.col("peak") * profile(dx * dx + dy * dy), F.lit(0.0))
+    field = px.join(drawn, ["frame", "cx", "cy"], "left").select("frame", "x", "y", (100 + lit).alias("v"))
+    return field, top
 
 
 @query("m15_star_extraction")
 def m15(spark, sf):
-    """Gaussian stars on a grid, found again."""
-    px = spark.range(128 * 128).select((F.col("id") % 128).alias("x"), F.floor(F.col("id") / 128).alias("y"))
-    dx, dy = F.col("x") % 32 - 15.5, F.col("y") % 32 - 16.25
-    field = px.select(F.lit(0).cast("long").alias("frame"), "x", "y", (100 + (200 + F.floor(F.col("x") / 32) * 50) * F.exp(-(dx * dx + dy * dy) / 8)).alias("v"))
-    levels = spark.createDataFrame([(0, 100.0, 2.0)], "frame long, bg double, sigma double")
+    """Gaussian stars at catalog places in all frames, found again."""
+    field, top = _field(spark, sf, lambda d: F.exp(-d / 8))
+    levels = top.select("frame").distinct().select("frame", F.lit(100.0).alias("bg"), F.lit(2.0).alias("sigma"))
     return detect.extract_stars(field, levels, 64).select("frame", r("x", digits=2), r("y", digits=2), r("peak", digits=1), "area")
 
 
 @query("m16_star_map")
 def m16(spark, sf):
-    px = spark.range(128 * 128).select((F.col("id") % 128).alias("x"), F.floor(F.col("id") / 128).alias("y"))
-    dx, dy = F.col("x") % 32 - 15.5, F.col("y") % 32 - 16.25
-    field = px.select(F.lit(0).cast("long").alias("frame"), "x", "y", (100 + 0.1 * F.col("x") + 300 * F.pow(1 + (dx * dx + dy * dy) / 6, -2.5)).alias("v"))
-    levels = spark.createDataFrame([(0, 106.0, 3.0)], "frame long, bg double, sigma double")
+    """Moffat stars at catalog places in all frames, mapped with profile and status."""
+    field, top = _field(spark, sf, lambda d: F.pow(1 + d / 6, -2.5))
+    levels = top.select("frame").distinct().select("frame", F.lit(100.0).alias("bg"), F.lit(3.0).alias("sigma"))
     got = detect.star_map(field, detect.extract_stars(field, levels, 64), levels)
     return got.select("frame", r("x", digits=2), r("y", digits=2), r("fwhm", digits=1), r("snr", digits=1), "status")
 
@@ -85,22 +98,13 @@ def _sources(spark):
 
 
 GENTLER = f"""{P}, {SRC}, k AS (SELECT p.frame, p.x, p.y, v / 110 AS v, greatest(0.0, v / 110 - base) AS e, sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y)) / radius AS t FROM pix p JOIN src s ON s.frame = p.frame AND abs(p.x - s.x) <= 16 AND abs(p.y - s.y) <= 16),
-c AS (SELECT frame, x, y, max({FEATHER} * (e - e / (1 + 2 * e))) AS c FROM k GROUP BY 1, 2, 3) SELECT frame, x, y, round(v / 110 - coalesce(c, 0), 5) AS v FROM pix LEFT JOIN c USING (frame, x, y) WHERE frame < 2"""
-
-
-def _gentler(spark, sf, among):
-    p = pix(spark, sf).filter(among).select("frame", "x", "y", (F.col("v") / 110).alias("v"))
-    return detect.gentler(p, _sources(spark)).select("frame", "x", "y", r("v", digits=5))
+c AS (SELECT frame, x, y, max({FEATHER} * (e - e / (1 + 2 * e))) AS c FROM k GROUP BY 1, 2, 3) SELECT frame, x, y, round(v / 110 - coalesce(c, 0), 5) AS v FROM pix LEFT JOIN c USING (frame, x, y)"""
 
 
 @query("m20_gentler_stars", GENTLER)
 def m20(spark, sf):
-    return _gentler(spark, sf, "frame < 2")
-
-
-@query("m20_gentler_stars_all", GENTLER.replace(" WHERE frame < 2", ""))
-def m20_all(spark, sf):
-    return _gentler(spark, sf, "true")
+    p = pix(spark, sf).select("frame", "x", "y", (F.col("v") / 110).alias("v"))
+    return detect.gentler(p, _sources(spark)).select("frame", "x", "y", r("v", digits=5))
 
 
 @query("m21_whitened_stars")
@@ -154,21 +158,6 @@ def m29(spark, sf):
     return detect.match_psf(pix(spark, sf), 2.0, 3.5, 90.0).select("frame", "x", "y", r("v"))
 
 
-@query(
-    "s14_calibration_kinds",
-    """WITH k AS (SELECT o_orderkey, ['BIAS', 'Twilight', 'science', 'BPM', 'flat lamp'][o_orderkey % 5 + 1] AS name, o_custkey % 3 AS exptime FROM orders)
-SELECT CASE WHEN upper(name) = 'BPM' THEN 'bpm' WHEN upper(name) LIKE '%BIAS%' AND exptime = 0 THEN 'bias' WHEN upper(name) LIKE '%TWILIGHT%' THEN 'flat' WHEN exptime > 0 THEN 'science' ELSE '' END AS kind, count(*) AS n FROM k GROUP BY 1""",
-)
-def s14(spark, sf):
-    names = F.array(*[F.lit(x) for x in ("BIAS", "Twilight", "science", "BPM", "flat lamp")])
-    k = table(spark, sf, "orders").select(F.upper(F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int"))).alias("name"), (F.col("o_custkey") % 3).alias("exptime"))
-    kind = (
-        F.when(F.col("name") == "BPM", "bpm").when(F.col("name").contains("BIAS") & (F.col("exptime") == 0), "bias")
-        .when(F.col("name").contains("TWILIGHT"), "flat").when(F.col("exptime") > 0, "science").otherwise("")
-    )
-    return k.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
-
-
 @query("a10_tile_levels", f"{P} SELECT frame, x // 16 AS tx, y // 16 AS ty, round(median(v), 4) AS median FROM pix GROUP BY 1, 2, 3")
 def a10_tiles(spark, sf):
     p = pix(spark, sf).withColumns({"tx": F.floor(F.col("x") / 16), "ty": F.floor(F.col("y") / 16)})

@@ -20,23 +20,14 @@ def m08_edges(spark, sf):
     return _edges(spark, sf).select("i", "j", r("delta"), "cells", r("weight"))
 
 
-LINKS = "WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS f, (s_suppkey * 7) % 25 AS t FROM supplier WHERE s_suppkey % 5 = 0), b AS (SELECT f, t FROM e UNION SELECT t, f FROM e UNION SELECT n_nationkey, n_nationkey FROM nation), reach AS (SELECT n_nationkey AS a, n_nationkey AS c FROM nation UNION SELECT r.a, b.t FROM reach r JOIN b ON b.f = r.c) SELECT CAST(a AS BIGINT) AS frame, CAST(min(c) AS BIGINT) AS component FROM reach GROUP BY 1"
-
-
-def _linked(spark, sf, among):
-    e = spark.read.parquet(f"{sf}/supplier.parquet").filter(among).select(F.col("s_nationkey").cast("long").alias("i"), ((F.col("s_suppkey") * 7) % 25).alias("j"))
-    frames = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame"))
-    return graph.frame_components(frames, e)
+LINKS = "WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS f, (s_suppkey * 7) % 25 AS t FROM supplier), b AS (SELECT f, t FROM e UNION SELECT t, f FROM e UNION SELECT n_nationkey, n_nationkey FROM nation), reach AS (SELECT n_nationkey AS a, n_nationkey AS c FROM nation UNION SELECT r.a, b.t FROM reach r JOIN b ON b.f = r.c) SELECT CAST(a AS BIGINT) AS frame, CAST(min(c) AS BIGINT) AS component FROM reach GROUP BY 1"
 
 
 @query("w13_frame_components", LINKS)
 def w13(spark, sf):
-    return _linked(spark, sf, "s_suppkey % 5 = 0")
-
-
-@query("w13_frame_components_all", LINKS.replace(" WHERE s_suppkey % 5 = 0", ""))
-def w13_all(spark, sf):
-    return _linked(spark, sf, "true")
+    e = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").cast("long").alias("i"), ((F.col("s_suppkey") * 7) % 25).alias("j"))
+    frames = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame"))
+    return graph.frame_components(frames, e)
 
 
 @query("m08_sky_offsets")

@@ -83,16 +83,15 @@ def w08(spark, sf):
     return series.local_maxima(pix(spark, sf))
 
 
-VOTES = """s AS (SELECT * FROM stars WHERE star % 3 = 0), vt AS (SELECT a.star, a.frame, a.x, a.y, a.peak, count(DISTINCT b.exposure) AS support FROM s a JOIN s b ON floor(b.x / 4) BETWEEN floor(a.x / 4) - 1 AND floor(a.x / 4) + 1 AND floor(b.y / 4) BETWEEN floor(a.y / 4) - 1 AND floor(a.y / 4) + 1
+VOTES = """s AS (SELECT * FROM stars), vt AS (SELECT a.star, a.frame, a.x, a.y, a.peak, count(DISTINCT b.exposure) AS support FROM s a JOIN s b ON floor(b.x / 4) BETWEEN floor(a.x / 4) - 1 AND floor(a.x / 4) + 1 AND floor(b.y / 4) BETWEEN floor(a.y / 4) - 1 AND floor(a.y / 4) + 1
 AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 4 GROUP BY ALL)"""
-VOTES_ALL = VOTES.replace(" WHERE star % 3 = 0", "")
 SUPPORTED = """k AS (SELECT *, count(*) FILTER (support >= 2) OVER (PARTITION BY frame) AS good FROM vt),
 r AS (SELECT *, good < 4 AS fallback, CASE WHEN good >= 4 THEN row_number() OVER (PARTITION BY frame ORDER BY support DESC, star) ELSE row_number() OVER (PARTITION BY frame ORDER BY star) END AS rank FROM k)
 SELECT frame, star, support, fallback, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 25 AND (fallback OR support >= 2)"""
 
 
-def _votes(spark, sf, among="star % 3 = 0"):
-    return joins.votes(stars(spark, sf).filter(among).select("star", "frame", "x", "y", "peak", "exposure"), 4.0)
+def _votes(spark, sf):
+    return joins.votes(stars(spark, sf).select("star", "frame", "x", "y", "peak", "exposure"), 4.0)
 
 
 @query("j02_consensus_votes", f"{S}, {VOTES} SELECT star, frame, support FROM vt")
@@ -100,21 +99,11 @@ def j02(spark, sf):
     return _votes(spark, sf).select("star", "frame", "support")
 
 
-@query("j02_consensus_votes_all", f"{S}, {VOTES_ALL} SELECT star, frame, support FROM vt")
-def j02_all(spark, sf):
-    return _votes(spark, sf, "true").select("star", "frame", "support")
-
-
 @query("w03_supported_selection", f"{S}, {VOTES}, {SUPPORTED}")
 def w03(spark, sf):
     return series.supported(_votes(spark, sf), 25, ["frame"]).select("frame", "star", "support", "fallback", "rank")
 
 
-@query("w03_supported_selection_all", f"{S}, {VOTES_ALL}, {SUPPORTED}")
-def w03_all(spark, sf):
-    return series.supported(_votes(spark, sf, "true"), 25, ["frame"]).select("frame", "star", "support", "fallback", "rank")
-
-
 @query(
     "w04_spatial_round_robin",
     f"""{S}, c AS (SELECT frame, star, x, y, peak, least(CAST(floor(y * 6 / 256) AS BIGINT), 5) * 6 + least(CAST(floor(x * 6 / 256) AS BIGINT), 5) AS cell FROM stars),
@@ -151,23 +140,10 @@ def t01(spark, sf):
     return series.brightest(stars(spark, sf), 50, ["frame"]).select("frame", "star", "rank")
 
 
-REVIEW = f"{S}, t AS (SELECT * FROM stars WHERE star % 10 = 0) SELECT star, CAST(row_number() OVER o AS INTEGER) AS position, lag(star) OVER o AS previous, lead(star) OVER o AS following FROM t WINDOW o AS (PARTITION BY frame ORDER BY area DESC, peak DESC, star)"
-
-
-def _review(spark, sf, among):
-    w = Window.partitionBy("frame").orderBy(F.desc("area"), F.desc("peak"), "star")
-    t = stars(spark, sf).filter(among)
-    return t.select("star", F.row_number().over(w).alias("position"), F.lag("star").over(w).alias("previous"), F.lead("star").over(w).alias("following"))
-
-
-@query("t02_review_order", REVIEW)
+@query("t02_review_order", f"{S} SELECT star, CAST(row_number() OVER o AS INTEGER) AS position, lag(star) OVER o AS previous, lead(star) OVER o AS following FROM stars WINDOW o AS (PARTITION BY frame ORDER BY area DESC, peak DESC, star)")
 def t02(spark, sf):
-    return _review(spark, sf, "star % 10 = 0")
-
-
-@query("t02_review_order_all", REVIEW.replace(" WHERE star % 10 = 0", ""))
-def t02_all(spark, sf):
-    return _review(spark, sf, "true")
+    w = Window.partitionBy("frame").orderBy(F.desc("area"), F.desc("peak"), "star")
+    return stars(spark, sf).select("star", F.row_number().over(w).alias("position"), F.lag("star").over(w).alias("previous"), F.lead("star").over(w).alias("following"))
 
 
 @query(
