@@ -41,7 +41,7 @@ def test_holes_of_a_plane_are_filled_exactly(spark):
     g = 3.0 + 2 * x - y
     h = g.copy()
     h[4, 4] = h[4, 5] = np.nan
-    assert np.allclose(grid(raster.fill_holes(frame_of(spark, h)), g.shape, "filled"), g)
+    assert np.allclose(grid(raster.fill_holes(frame_of(spark, h), 10, 10), g.shape, "filled"), g)
 
 
 @pytest.mark.parametrize("size", [4, 100])
@@ -70,7 +70,7 @@ def test_cosmic_ray_goes_and_star_stays(spark):
     g = 100 + 400 * np.exp(-((x - 25) ** 2 + (y - 25) ** 2) / (2 * 3.0**2)) + np.random.default_rng(2).normal(0, 1, (40, 40))
     g[8, 8] += 500
     levels = spark.createDataFrame([(0, 100.0, 2.0)], "frame long, bg double, sigma double")
-    got = raster.clean(frame_of(spark, g), levels).filter("hit").collect()
+    got = raster.clean(frame_of(spark, g), levels, *g.shape[::-1]).filter("hit").collect()
     assert {(r.x, r.y) for r in got} == {(8, 8)} and abs(got[0].clean - 100) < 5
 
 

@@ -17,8 +17,9 @@ def test_query_matches_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SF), ORACLE[name], duck) == []
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
-def test_query_without_sql_has_stable_columns(spark, name):
-    df = QUERIES[name](spark, SF)
-    df.collect()
-    assert df.columns == QUERIES[name](spark, SF).columns
+def test_queries_without_sql_have_value_tests():
+    """What SQL can't express is held against plain loops by name in test_values.py or test_whole.py."""
+    import pathlib
+
+    text = "".join(p.read_text() for p in pathlib.Path(__file__).parent.glob("test_*.py") if p.name in ("test_values.py", "test_whole.py"))
+    assert [n for n in set(QUERIES) - set(ORACLE) if f'"{n}"' not in text] == []

@@ -30,7 +30,7 @@ def test_mosaic_and_listing(spark, tmp_path):
     path = str(tmp_path / "F606W_x_drz.fits")
     products.save_mosaic(m, path, 4, 3, cards={"TELESCOP": "T", "EXPTIME": 10.0})
     got = products.list_headers(spark, path).collect()
-    assert [(r.extname, r.width, r.height) for r in got] == [("", 4, 3), ("WEIGHT", 4, 3), ("INPUTS", 4, 3), ("DQ", 4, 3)]
+    assert [(r.extname, r.width, r.height) for r in got] == [("", 4, 3), ("WHT", 4, 3), ("NCONTRIB", 4, 3), ("DQ", 4, 3)]
     assert got[0].telescop == "T" and got[0].samples == 12 and got[2].median == 3
     (tmp_path / "f814w_y_driz.fits").write_bytes(b"x")
     (tmp_path / "b_starmap.fits").write_bytes(b"x")
@@ -52,7 +52,12 @@ def test_masks(spark, tmp_path):
 def test_reduced_copies(spark, tmp_path):
     fits.write_file(str(tmp_path / "a.fits"), [("", np.arange(36, dtype=np.float32).reshape(6, 6), {})])
     out = products.reduce_files(spark, str(tmp_path / "a.fits"), str(tmp_path / "o"), 4).collect()
-    assert len(out) == 1 and out[0].pixels == 1  # incomplete edge blocks go
+    assert len(out) == 1 and out[0].chips == 1 and out[0].path.endswith("a_bin4.fits")
+    fits.register(spark)
+    got = fits.pixels(spark.read.format("fits").load(str(tmp_path / "o"))).filter("extname = 'SCI'").collect()
+    assert [(r.x, r.y, r.v) for r in got] == [(0, 0, np.arange(36).reshape(6, 6)[:4, :4].mean())]  # incomplete edge blocks go
+    with pytest.raises(FileExistsError):
+        products.reduce_files(spark, str(tmp_path / "a.fits"), str(tmp_path / "o"), 4)
     with pytest.raises(ValueError):
         products.reduce_files(spark, str(tmp_path / "a.fits"), str(tmp_path / "p"), 3)
 
