@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, read_table, ship_package
+from .common import Scratch, long_id, read_table, ship_package
 
 # --- the plan -------------------------------------------------------------------------------------
 
@@ -356,7 +356,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, ca
                     names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank_in_part"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(long_id(docs, id_col).alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, PIECES)
 
 
 def pack(
@@ -371,8 +371,10 @@ def pack(
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A row's ids are its text's (null: none), then ``end_id``; only longer ones are cut, into pieces of
-    ``capacity`` ids. No row is dropped: a null or empty text is a piece of the end id alone. Repeated rows
-    and null ids are packed like any other. An empty table gives an empty result.
+    ``capacity`` ids. No row is dropped: a null or empty text is a piece of the end id alone, a very long one many pieces. Repeated rows
+    and null ids are packed like any other. Ids are of an integer type. Pieces of one length are alike to the plan; which of them goes
+    where follows the order in which tasks read them. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship_package(spark)

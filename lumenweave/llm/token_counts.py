@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import annotate, read_table, ship_package
@@ -124,8 +125,10 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     """Per row: the id, ``n_words``, ``n_tokens`` (an unspellable word counts as one) and ``n_unknown``.
 
     Words are runs of bytes that are not ASCII white space, with A-Z lowered. A null or empty text, or
-    one of white space only, has zeros. Null ids and repeated rows come back as they are, one row each;
-    other columns are dropped. The vocabulary (fixed size) is read on the driver and broadcast.
+    one of white space only, has zeros; a very long one is counted whole, and so is a very long word, in time that is linear in it. Of pieces that
+    match at one place the longest is taken, so there are no ties. Null ids and repeated rows come back as they are, one row
+    each; ids may be of any type; an empty table gives an empty result. Other columns are dropped, whatever their names.
+    The vocabulary (fixed size) is read on the driver and broadcast.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -146,7 +149,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
         return run
 
-    return annotate(docs.select(id_col, text_col), text_col, make, ADDED).drop(text_col)
+    source = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
+    return annotate(source, "__text", make, ADDED).drop("__text").withColumnRenamed("__id", id_col)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
