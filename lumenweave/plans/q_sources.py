@@ -436,13 +436,13 @@ def k05(spark, sf):
     return spark.createDataFrame(rows, "what string, twice int, n long, total double")
 
 
-@query("k06_plane_copy", f"{P}, u AS (SELECT x, y, v FROM pix WHERE frame = 1), b AS (SELECT min(v) AS lo, max(v) AS hi FROM u) SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(v, 3) AS v, round((v - lo) / (hi - lo), 4) AS unit FROM u CROSS JOIN b")
+@query("k06_plane_copy", f"{P}, u AS (SELECT x, y, v FROM pix WHERE frame = 1), b AS (SELECT min(v) AS lo, max(v) AS hi FROM u) SELECT CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(v, 2) AS v, round((v - lo) / (hi - lo), 3) AS unit FROM u CROSS JOIN b")
 def k06(spark, sf):
     folder, out = exposures(spark, sf), shared_folder(spark, "copies")
     for name, unit in (("raw", False), ("unit", True)):
         paged.copy_plane(spark, f"{folder}/exp-0_flc.fits", f"{out}-{name}", "SCI", 2, unit, 20)
     one = lambda name: paged.window(spark, f"{out}-{name}", 0, 0, SIDE, SIDE).filter("NOT isnan(v)")
-    return one("raw").join(one("unit").withColumnRenamed("v", "u"), ["x", "y"]).select("x", "y", r(F.col("v").cast("double"), "v", 3), r(F.col("u").cast("double"), "unit", 4))
+    return one("raw").join(one("unit").withColumnRenamed("v", "u"), ["x", "y"]).select("x", "y", r(F.col("v").cast("double"), "v", 2), r(F.col("u").cast("double"), "unit", 3))
 
 
 @query("k07_png_export", f"{P} SELECT frame, x, y, CAST(floor(least(1.0, v / 110) * 255 + 0.5) AS INTEGER) AS level, CAST(floor(least(1.0, v / 110) * 65535) AS INTEGER) // 64 AS deep FROM pix")
