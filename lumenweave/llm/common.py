@@ -167,7 +167,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-PIECE = 1 << 20  # bytes of a text that are hashed together
+PIECE = 1 << 18  # bytes of a text that are hashed together
 _BASE = np.uint64(0xD1342543DE82EF95 | 3)  # odd, and twice odd less one: its powers lie far apart
 _tables: dict[str, np.ndarray] = {}
 

@@ -25,7 +25,7 @@ ROWS = VOCABULARY + SHAPES
 DIM, NONZERO, REACH = 64, 2, 2  # width, entries of an index vector, neighbours each side
 BLOCK = 1024  # rows of the table that travel together
 MERGE = 32  # partial tables that one task adds up at a time
-FLUSH = 1_000_000  # tokens that a task gathers before it adds them up
+FLUSH = 400_000  # tokens that a task gathers before it adds them up
 EDGE = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Classes of a shape's bytes: 1 of A-Z, 2 of a-z and all above ASCII, 3 of digits, 0 of white space, others by themselves below 0.
 _CLASSES = np.array(
@@ -108,6 +108,8 @@ def common_words(docs: DataFrame, text_col: str) -> np.ndarray:
         if held:
             u, c = add()
         yield pa.RecordBatch.from_pydict({"h": u.view(np.int64), "n": c})
+        del u, c, held
+        tidy()
 
     # every sixteenth of a power of two is a level of commonness: 1024 of them at most
     counted = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -137,15 +139,15 @@ def add_contexts(table: np.ndarray, docs: list[np.ndarray], place: np.ndarray, s
     """Add to each token's row the index vectors of its neighbours; documents don't touch."""
     gap = np.full(REACH, -1, dtype=np.int64)
     seq = np.concatenate([x for d in docs for x in (d, gap)])
-    total = np.zeros(ROWS * DIM)
+    flat = table.reshape(-1)
     for o in range(1, REACH + 1):
         a, b = seq[:-o], seq[o:]
         ok = (a >= 0) & (b >= 0)
         a, b = a[ok], b[ok]
         for k in range(NONZERO):
-            total += np.bincount(a * DIM + place[b, k], weights=sign[b, k], minlength=ROWS * DIM)
-            total += np.bincount(b * DIM + place[a, k], weights=sign[a, k], minlength=ROWS * DIM)
-    table += total.reshape(ROWS, DIM)
+            # sums of -1 and 1: whole numbers, which doubles hold exactly in any order
+            flat += np.bincount(a * DIM + place[b, k], weights=sign[b, k], minlength=ROWS * DIM)
+            flat += np.bincount(b * DIM + place[a, k], weights=sign[a, k], minlength=ROWS * DIM)
 
 
 def _sum_blobs(key):
@@ -227,6 +229,8 @@ def pooled(docs: DataFrame, text_col: str, vocabulary: np.ndarray, table: np.nda
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, DIM, dtype=np.int32)), pa.array(out.ravel()))
                 rest = [c for j, c in enumerate(part.columns) if j != at]
                 yield pa.RecordBatch.from_arrays([*rest, vectors], names=[*(n for j, n in enumerate(part.schema.names) if j != at), "vector"])
+        del rows, t
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
