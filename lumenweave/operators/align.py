@@ -191,6 +191,39 @@ def align_to(stars: DataFrame, reference: DataFrame, extent: float, cap: int = S
     return own.groupBy("frame").cogroup(ref.groupBy("frame")).applyInPandas(run, FIT)
 
 
+def estimate(stars: DataFrame, reference: DataFrame, model: str = "translation", cap: int = STARS) -> DataFrame:
+    """A fit (FIT) of each frame to the reference by one model: ``translation`` (the median displacement of matched stars), ``similarity`` or ``affine``.
+
+    Stars match by the commonest offset, or by alike triangles where that gives fewer than three pairs; three stars must support the fit.
+    """
+    if model not in ("translation", "similarity", "affine"):
+        raise ValueError(f"no model {model!r}")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        order = lambda f: f.sort_values("rank")[["x", "y"]].to_numpy(float)
+        rows, p, q = [], order(left), order(right)
+        i, j = _by_offsets(p, q)
+        how = "offsets"
+        if len(i) < 3:
+            how, (i, j) = "triangles", _by_triangles(p, q)
+        if len(i) >= 3:
+            if model == "translation":
+                m = np.column_stack([np.eye(2), np.median(q[j] - p[i], axis=0)])
+            else:
+                m, ok = ransac(p[i], q[j], 1.5, 2000 if model == "affine" else 300, model)
+                m = m if ok.any() else None
+            if m is not None:
+                a, b = _mutual(moved(p, m), q, NEAR)
+                if len(a) >= 3:
+                    rms = float(np.sqrt(((moved(p[a], m) - q[b]) ** 2).sum(axis=1).mean()))
+                    rows = [(int(left["frame"].iloc[0]), f"{model}-{how}", len(a), rms, *m.ravel())]
+        return pd.DataFrame(rows, columns=["frame", "method", "support", "rms", *"abcdef"])
+
+    own = brightest(stars, cap, ["frame"]).select("frame", "x", "y", "rank")
+    ref = _beside(own, reference, cap, MOST_SHIFT)
+    return own.groupBy("frame").cogroup(ref.groupBy("frame")).applyInPandas(run, FIT)
+
+
 def transformed(stars: DataFrame, fits: DataFrame) -> DataFrame:
     """Stars in the reference's grid."""
     j = stars.join(F.broadcast(fits.select("frame", *"abcdef")), "frame")  # a row a frame

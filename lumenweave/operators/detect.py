@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.operators.graph import connected
 from lumenweave.operators.joins import radius_join
 from lumenweave.operators.raster import blur_grid, haloed_tiles
+from lumenweave.session import settled
 
 STAR = "frame long, x double, y double, flux double, peak double, area long"
 
@@ -200,3 +202,124 @@ def match_psf(df: DataFrame, own: float, target: float, saturated: float, size:
         return df.select("frame", "x", "y", "v")
     wide = blur(df, extra, size)
     return df.join(wide, ["frame", "x", "y"]).select("frame", "x", "y", F.when(F.col("v") >= saturated, F.col("v")).otherwise(F.col("blurred")).alias("v"))
+
+
+# --- saturated stars and their spikes --------------------------------------------------------------
+
+
+def saturated_stars(df: DataFrame, level: float, least: int = 4, size: int = 64) -> DataFrame:
+    """Stars whose cores are cut off at ``level``: a row a component of such pixels of ``least`` or more that isn't long (aspect up to 3).
+
+    frame, x, y (its centre), area, radius (that of a disc of its area). A missing core inside a bright ring isn't found this way.
+    """
+    from lumenweave.operators.raster import component_shapes, label_components
+
+    hot = df.filter(F.col("v") >= level).select("frame", "x", "y")
+    labels = settled(label_components(hot, size), "saturated")
+    shape = component_shapes(labels)
+    centre = labels.groupBy("frame", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    long = F.greatest("width", "height") / F.least("width", "height")
+    good = shape.join(centre, ["frame", "label"]).filter((F.col("area") >= least) & (long <= 3))
+    return good.select("frame", "x", "y", "area", F.sqrt(F.col("area") / math.pi).alias("radius"))
+
+
+def reject_spikes(sources: DataFrame, saturated: DataFrame, reach: float = 12.0, width: float = 1.5, turn: float = 45.0) -> DataFrame:
+    """``sources`` (frame, id, x, y, ...) with ``spike``: whether one lies on a ray of a saturated star (frame, x, y, radius), beyond its core.
+
+    Rays leave a star every ``turn`` degrees and are ``reach`` of its radii long; ``width`` is a ray's half width in pixels.
+    """
+    far = saturated.agg(F.coalesce(F.max(F.col("radius") * reach), F.lit(1.0)).alias("m")).first()["m"]  # one number
+    near = radius_join(saturated.select("frame", "x", "y", "radius"), sources.select("frame", "id", "x", "y"), float(far), ["frame"])
+    dx, dy = F.col("r_x") - F.col("x"), F.col("r_y") - F.col("y")
+    angle = F.degrees(F.atan2(dy, dx))
+    off = F.abs(angle - F.floor(angle / turn + 0.5) * turn)
+    beside = F.col("dist") * F.sin(F.radians(off))
+    hit = near.filter((F.col("dist") > F.col("radius") + 1) & (F.col("dist") <= reach * F.col("radius")) & (beside <= width))
+    return sources.join(hit.select("frame", F.col("r_id").alias("id")).distinct().withColumn("spike", F.lit(True)), ["frame", "id"], "left").withColumn("spike", F.coalesce("spike", F.lit(False)))
+
+
+# --- fits that treatments use ----------------------------------------------------------------------
+
+
+def nonnegative(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
+    """Least squares with no coefficient below 0: those that would be are held at 0, one at a time, and let go where that pays."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], dtype=bool)
+    for _ in range(rounds):
+        slope = a.T @ (b - a @ x)
+        slope[free] = -np.inf
+        k = int(slope.argmax())
+        if free.all() or slope[k] <= 1e-10 * max(1.0, float(np.abs(a.T @ b).max())):
+            return x
+        free[k] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (z[free] > 0).all():
+                x = z
+                break
+            low = free & (z <= 0)
+            step = (x[low] / np.maximum(x[low] - z[low], 1e-300)).min()
+            x = x + step * (z - x)
+            free &= x > 1e-12
+            x[~free] = 0
+    return x
+
+
+TREATMENT = "frame long, id long, x double, y double, fwhm double, blend long, amplitude double, base double, residual double, wing double, footprint double"
+
+
+def fit_treatments(df: DataFrame, sources: DataFrame, noise: DataFrame, beta: float = 2.5, most: float = 16.0) -> DataFrame:
+    """Per source (frame, id, x, y, fwhm, radius) what a treatment needs (TREATMENT), stars that touch solved together.
+
+    Profiles of known width over a level are fitted with no amplitude below 0, on the pixels within the blend's radii. ``wing`` is the median
+    excess over the fit from 1.1 to 1.5 radii, ``footprint`` the distance at which the profile sinks to half the noise, 16 pixels at most. A
+    blend is a group of discs that overlap, with their pixels.
+    """
+    src = sources.select("frame", "id", "x", "y", "fwhm", "radius")
+    pairs = radius_join(src, src, 2 * most, ["frame"]).filter((F.col("id") < F.col("r_id")) & (F.col("dist") <= F.col("radius") + F.col("r_radius")))
+    comp = connected(pairs.select(F.col("id").alias("a"), F.col("r_id").alias("b")))
+    grouped = src.join(comp, "id", "left").withColumn("blend", F.coalesce("component", F.col("id"))).drop("component")
+    reach = F.col("radius") * 1.5
+    span = lambda c: F.explode(F.sequence(F.ceil(F.col(c) - reach).cast("long"), F.floor(F.col(c) + reach).cast("long")))
+    stamp = grouped.select("frame", "blend", span("x").alias("px"), "y", "radius").select("frame", "blend", "px", span("y").alias("py")).distinct()
+    px = stamp.join(df.select("frame", F.col("x").alias("px"), F.col("y").alias("py"), "v"), ["frame", "px", "py"])
+    px = px.join(F.broadcast(noise.select("frame", "sigma")), "frame")  # a row a frame
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        stars = right.sort_values("id")
+        ok = np.isfinite(left["v"].to_numpy(float))
+        x, y, v = (left[c].to_numpy(float)[ok] for c in ("px", "py", "v"))
+        if not len(v):
+            return pd.DataFrame(columns=[c.split()[0] for c in TREATMENT.split(", ")])
+        sigma = float(left["sigma"].iloc[0])
+        alpha = stars["fwhm"].to_numpy(float) / (2 * math.sqrt(2 ** (1 / beta) - 1))
+        d2 = (x[:, None] - stars["x"].to_numpy(float)) ** 2 + (y[:, None] - stars["y"].to_numpy(float)) ** 2
+        shape = (1 + d2 / alpha**2) ** -beta
+        inside = (d2 <= stars["radius"].to_numpy(float) ** 2).any(axis=1)
+        low = float(np.median(v[~inside])) if (~inside).sum() >= 8 else float(v.min())
+        design = np.column_stack([shape, np.ones(len(v))])
+        floor = min(low, float(v.min()))  # the level may be below 0: it is fitted from the least sample up
+        got = nonnegative(design[inside] if inside.any() else design, (v[inside] if inside.any() else v) - floor)
+        amplitude, base = got[:-1], got[-1] + floor
+        rest = v - shape @ amplitude - base
+        rows = []
+        for k, star in enumerate(stars.itertuples()):
+            d = np.sqrt(d2[:, k])
+            own = d <= star.radius
+            ring = (d >= 1.1 * star.radius) & (d <= 1.5 * star.radius)
+            residual = float(np.sqrt((rest[own] ** 2).mean()) / amplitude[k]) if own.any() and amplitude[k] > 0 else math.inf
+            wing = float(np.median(rest[ring])) if ring.sum() >= 8 else 0.0
+            fades = alpha[k] * math.sqrt(max((2 * amplitude[k] / sigma) ** (1 / beta) - 1, 0.0)) if sigma > 0 and amplitude[k] > 0 else 0.0
+            rows.append((int(star.frame), int(star.id), star.x, star.y, star.fwhm, int(star.blend), float(amplitude[k]), float(base), residual, wing, min(most, fades)))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in TREATMENT.split(", ")])
+
+    right = grouped.select(*[F.col(c).alias(c) for c in ("frame", "blend", "id", "x", "y", "fwhm", "radius")])
+    return px.groupBy("frame", "blend").cogroup(right.groupBy("frame", "blend")).applyInPandas(run, TREATMENT)
+
+
+def treatment_preview(before: DataFrame, after: DataFrame, sources: DataFrame, rings: int = 8) -> DataFrame:
+    """Per source (frame, id, x, y, radius) and ring (of a pixel's width, from its centre): samples, and their mean before and after a treatment."""
+    near = _within_reach(before.select("frame", "x", "y", "v"), sources.select("frame", "id", "x", "y", "radius"))
+    both = near.join(after.select("frame", "x", "y", F.col("v").alias("after")), ["frame", "x", "y"])
+    ring = F.least(F.floor("dist"), F.lit(rings - 1)).cast("int")
+    return both.groupBy("frame", F.col("r_id").alias("id"), ring.alias("ring")).agg(F.count("*").alias("n"), F.avg("v").alias("before"), F.avg("after").alias("after"))

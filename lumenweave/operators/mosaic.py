@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass, field
 
@@ -116,6 +117,13 @@ def build(df: DataFrame, options: Options) -> DataFrame:
     return sums.select("ox", "oy", F.when(F.abs("weight") > 1e-12, F.col("vw") / F.col("weight")).otherwise(F.lit(float("nan"))).alias("v"), "weight", "inputs", "dq")
 
 
+def inputs_fingerprint(files: DataFrame, calibration: str = "", version: int = 1) -> str:
+    """A name for what a build was made of: its files (path, size, modified), their calibration and this version; another file or time gives another."""
+    one = F.sha2(F.concat_ws("|", "path", F.col("size").cast("string"), F.col("modified").cast("string")), 256)
+    every = files.select(one.alias("h")).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("h"))), 256).alias("h")).first()["h"]  # a row a file
+    return hashlib.sha256(f"{version}:{calibration}:{every}".encode()).hexdigest()
+
+
 def cached_build(df: DataFrame, options: Options, folder: str, fingerprint: str) -> DataFrame:
     """``build`` kept as Parquet under a fingerprint of its inputs; another fingerprint builds again, an equal one reads."""
     spark = df.sparkSession

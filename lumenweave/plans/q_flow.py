@@ -162,3 +162,117 @@ def m29(spark, sf):
 def a10_tiles(spark, sf):
     p = pix(spark, sf).withColumns({"tx": F.floor(F.col("x") / 16), "ty": F.floor(F.col("y") / 16)})
     return stats.robust_sigma(p, ["frame", "tx", "ty"]).select("frame", "tx", "ty", r("median"))
+
+
+def _shifted_frames(spark, sf):
+    """The catalog of frame 0 four times, each moved and turned a little."""
+    st = stars(spark, sf).filter("frame = 0").select("star", "x", "y", "peak")
+    k = F.col("frame")
+    each = spark.range(1, 5).withColumnRenamed("id", "frame").join(st, F.col("star") >= 0)
+    return st, each.select("frame", "star", (F.col("x") - 6 * k).alias("x"), (F.col("y") + 4 * k).alias("y"), "peak")
+
+
+@query("m06_single_models", "SELECT CAST(k AS BIGINT) AS frame, m AS model, CAST(6 * k AS DOUBLE) AS dx, CAST(-4 * k AS DOUBLE) AS dy FROM (SELECT unnest(range(1, 5)) AS k) CROSS JOIN (SELECT unnest(['translation', 'similarity', 'affine']) AS m)")
+def m06(spark, sf):
+    st, each = _shifted_frames(spark, sf)
+    out = None
+    for model in ("translation", "similarity", "affine"):
+        got = align.estimate(each, st, model).select("frame", F.lit(model).alias("model"), (F.round("c", 0) + 0.0).alias("dx"), (F.round("f", 0) + 0.0).alias("dy"))
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query("m16_saturated_stars")
+def m16_saturated(spark, sf):
+    """The drawn stars' cores cut off at a level: each is one component about its centre."""
+    field, _ = _field(spark, sf, lambda d: F.exp(-d / 8))
+    got = detect.saturated_stars(field.withColumn("v", F.least("v", F.lit(220.0))), 220.0)
+    return got.select("frame", r("x", digits=2), r("y", digits=2), "area")
+
+
+@query(
+    "m16_spikes",
+    f"""{S}, b AS (SELECT frame, star, x, y, 3.0 AS radius FROM stars WHERE star % 50 = 0), d AS (SELECT a.star, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS dist, degrees(atan2(a.y - b.y, a.x - b.x)) AS angle FROM stars a JOIN b ON a.frame = b.frame),
+h AS (SELECT DISTINCT star FROM d WHERE dist > 4 AND dist <= 36 AND dist * sin(radians(abs(angle - floor(angle / 45 + 0.5) * 45))) <= 1.5) SELECT frame, star AS id, star IN (SELECT star FROM h) AS spike FROM stars""",
+)
+def m16_spikes(spark, sf):
+    """All stars of the catalog; every fiftieth has spikes."""
+    st = stars(spark, sf).select("frame", F.col("star").alias("id"), "x", "y")
+    bright = st.filter("id % 50 = 0").select("frame", "x", "y", F.lit(3.0).alias("radius"))
+    return detect.reject_spikes(st, bright).select("frame", "id", "spike")
+
+
+def _blends(spark, sf):
+    """Pairs of Moffat stars about the drawn places, 5 pixels apart, the second half as bright, over a level of 100."""
+    profile = lambda d: F.pow(1 + d / 4, -2.5)
+    field, top = _field(spark, sf, profile)
+    at = top.select("frame", "sx", "sy", "peak", F.floor(F.col("sx") / 32).alias("cx"), F.floor(F.col("sy") / 32).alias("cy"))
+    dx, dy = F.col("x") - F.col("sx") - 5, F.col("y") - F.col("sy")
+    second = field.join(at, (field["frame"] == at["frame"]) & (F.floor(field["x"] / 32) == at["cx"]) & (F.floor(field["y"] / 32) == at["cy"])).drop(at["frame"])
+    lit = second.select("frame", "x", "y", (F.col("v") + 0.5 * F.col("peak") * profile(dx * dx + dy * dy)).alias("v"))
+    number = (F.col("frame") * 64 + F.col("cx") * 8 + F.col("cy")) * 2
+    fwhm = 2 * 2 * (2 ** (1 / 2.5) - 1) ** 0.5
+    one = lambda k: at.select("frame", (number + k).alias("id"), (F.col("sx") + 5.0 * k).alias("x"), F.col("sy").alias("y"), F.lit(fwhm).alias("fwhm"), F.lit(4.0).alias("radius"), (F.col("peak") / (1 + k)).alias("planted"))
+    return lit, one(0).union(one(1))
+
+
+@query("m19_blended_fits")
+def m19(spark, sf):
+    """Amplitudes of stars that overlap, solved together."""
+    field, src = _blends(spark, sf)
+    noise = src.select("frame").distinct().withColumn("sigma", F.lit(2.0))
+    got = detect.fit_treatments(field, src, noise)
+    return got.join(src.select("id", "planted"), "id").select("frame", "id", "blend", r("amplitude", digits=1), r("base", digits=1), r("planted", digits=1), r("footprint", digits=2), r("wing", digits=2))
+
+
+@query(
+    "m24_cached_builds",
+    f"{with_views('pix_nan')}, p AS (SELECT DISTINCT x, y, frame FROM pix_nan WHERE isfinite(v)) SELECT 'built' AS step, count(DISTINCT y * 64 + x) AS pixels FROM p UNION ALL SELECT 'read', count(DISTINCT y * 64 + x) FROM p UNION ALL SELECT 'other inputs', count(DISTINCT y * 64 + x) FROM p WHERE frame >= 4",
+)
+def m24(spark, sf):
+    """An equal fingerprint reads what was built, whatever the frames now are; another builds again."""
+    from lumenweave.session import shared_folder
+
+    folder, files = shared_folder(spark, "builds"), table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_custkey").alias("size"), F.col("o_orderdate").alias("modified"))
+    p, o = pix_nan(spark, sf).withColumns({"err": F.lit(1.0), "dq": F.lit(0).cast("long")}), mosaic.Options(sky="none")
+    one, two = mosaic.inputs_fingerprint(files), mosaic.inputs_fingerprint(files, "new flat")
+    steps = (("built", p, one), ("read", p.limit(0), one), ("other inputs", p.filter("frame >= 4"), two))
+    out = None
+    for name, df, key in steps:
+        got = mosaic.cached_build(df, o, folder, key).filter(~F.isnan("v")).agg(F.count("*").alias("pixels")).select(F.lit(name).alias("step"), "pixels")
+        out = got if out is None else out.union(got)
+    return out
+
+
+@query(
+    "x10_treatment_preview",
+    f"""{P}, {SRC}, s2 AS (SELECT *, CAST(row_number() OVER (ORDER BY frame, x) AS BIGINT) AS id FROM src), d AS (SELECT p.frame, s2.id, v / 110 AS v, least(floor(sqrt((p.x - s2.x) * (p.x - s2.x) + (p.y - s2.y) * (p.y - s2.y))), 7) AS ring FROM pix p JOIN s2 ON s2.frame = p.frame AND (p.x - s2.x) * (p.x - s2.x) + (p.y - s2.y) * (p.y - s2.y) <= s2.radius * s2.radius)
+SELECT frame, id, CAST(ring AS INTEGER) AS ring, count(*) AS n, round(avg(v), 4) AS "before", round(avg(v) / 2, 4) AS "after" FROM d GROUP BY 1, 2, 3""",
+)
+def x10(spark, sf):
+    """Rings about three sources, before and after a treatment that halves every sample."""
+    from pyspark.sql import Window
+
+    p = pix(spark, sf).select("frame", "x", "y", (F.col("v") / 110).alias("v"))
+    src = _sources(spark).withColumn("id", F.row_number().over(Window.orderBy("frame", "x")).cast("long"))
+    got = detect.treatment_preview(p, p.withColumn("v", F.col("v") / 2), src)
+    return got.select("frame", "id", "ring", "n", r("before"), r("after"))
+
+
+@query("r02_status_stream", "SELECT date_trunc('hour', ts) AS start, event_type AS status, count(*) AS jobs FROM events GROUP BY 1, 2")
+def r02_stream(spark, sf):
+    """Events that land as files, counted by hour in a stream that runs until it has read them all."""
+    from lumenweave.session import shared_folder
+    from lumenweave.streaming import jobs
+
+    folder = shared_folder(spark, "stream")
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
+    e.repartition(4).write.parquet(f"{folder}/in")
+    counted = jobs.windowed_counts(jobs.status_stream(spark, f"{folder}/in", e.schema))
+
+    def keep(batch, number):
+        batch.select("start", "status", "jobs").write.mode("overwrite").parquet(f"{folder}/out")
+
+    q = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))

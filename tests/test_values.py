@@ -497,3 +497,58 @@ def test_quantiles_of_large_groups(spark):
         assert r.n == len(x) and r.up == x[len(x) // 2] and r.third == (x[3] if len(x) > 3 else None)
         assert [r[f"q{i}"] for i in range(len(probs))] == pytest.approx([np.quantile(x, p) for p in probs], rel=1e-12)
     assert stats.quantiles(df, [], F.col("v"), {"m": stats.linear(0.5)}).first().m == pytest.approx(np.median(np.concatenate(list(data.values()))))
+
+
+def test_saturated_cores(spark):
+    planted = defaultdict(list)
+    for r in _field(spark, SF, lambda d: F.exp(-d / 8))[1].collect():
+        planted[r.frame].append((r.sx, r.sy, r.peak))
+    got = rows(spark, "m16_saturated_stars")
+    for r in got:
+        near = min((math.hypot(r.x - x, r.y - y), p) for x, y, p in planted[r.frame])
+        assert near[0] < 0.75 and r.area >= 4
+    # a disc of pixels above the level: r ** 2 < 8 ln(peak / 120)
+    wide = sum(8 * math.log(p / 120) > 2.5 for x in planted.values() for _, _, p in x)
+    assert len(got) >= 0.97 * wide > 20
+
+
+def test_blended_fits(spark):
+    got = rows(spark, "m19_blended_fits")
+    assert len(got) > 100 and len({r.id for r in got}) == len(got)
+    assert all(r.blend == r.id - r.id % 2 for r in got)
+    assert np.mean([abs(r.amplitude / r.planted - 1) < 0.05 for r in got]) > 0.95 and np.mean([abs(r.base - 100) < 3 for r in got]) > 0.95
+
+
+def test_nonnegative_least_squares():
+    from lumenweave.operators.detect import nonnegative
+
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        a, b = rng.normal(size=(12, 4)), rng.normal(size=12)
+        x = nonnegative(a, b)
+        slope = a.T @ (b - a @ x)
+        assert (x >= 0).all() and (slope <= 1e-6).all() and np.abs(slope * x).max() < 1e-6  # what holds of the optimum and nothing else
+
+
+def test_commands(spark, tmp_path):
+    """Stars of a file mapped, then drawn in: bright cores fall, the sky stays."""
+    from lumenweave.__main__ import science, star_map, star_stretch
+    from lumenweave.sources import fits
+
+    y, x = np.mgrid[0:100, 0:120]
+    g = 100 + np.random.default_rng(1).normal(0, 1, (100, 120))
+    for a, b in ((30, 40), (80, 60), (60, 20)):
+        g += 500 * (1 + ((x - a) ** 2 + (y - b) ** 2) / 6) ** -2.5
+    one, out, done = (str(tmp_path / n) for n in ("a.fits", "a_starmap.fit", "b.fits"))
+    fits.write_file(one, [("", g.astype(np.float32), {"FILTER": "F606W"})])
+    assert star_map(spark, one, out) == 3
+    star_stretch(spark, one, out, done, 0.5)
+    px, width, height = science(spark, done)
+    got = np.full((height, width), NAN)
+    for r in px.collect():
+        got[r.y, r.x] = r.v
+    unit = (g - g.min()) / (g.max() - g.min())
+    assert (width, height) == (120, 100) and all(got[b, a] < unit[b, a] - 0.1 for a, b in ((30, 40), (80, 60), (60, 20))) and abs(got[90, 5] - unit[90, 5]) < 1e-5
+    fits.write_file(one, [("", (g + 1).astype(np.float32), {})])
+    with pytest.raises(ValueError, match="changed"):
+        star_stretch(spark, one, out, done, 0.5)
