@@ -27,9 +27,8 @@ def ship_package(spark: SparkSession) -> None:
     atexit.register(shutil.rmtree, folder, True)
     name = os.path.join(folder, "lumenweave_engine.zip")
     with zipfile.ZipFile(name, "w") as z:
-        for p in (_ROOT / "lumenweave").rglob("*.py"):
-            if "llm" not in p.parts:
-                z.write(p, p.relative_to(_ROOT))
+        for p in (_ROOT / "lumenweave").rglob("*.py"):  # one archive of all that is there: a second one of the package would hide behind it
+            z.write(p, p.relative_to(_ROOT))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
 
