@@ -2,44 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_ROOT = Path(__file__).resolve().parents[2]
-_shipped: set[str] = set()
-_own_tmp: list[str] = []
-
+from lumenweave.session import shared_folder
+from lumenweave.session import ship_package as ship
 
 BATCH_ROWS = 1024  # rows that travel to Python together: whole texts may be long
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers (a no-op when PYTHONPATH has it), and batches small."""
+    """Make this package importable in the Python workers, and batches small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    app = spark.sparkContext.applicationId
-    on_path = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    if app in _shipped or str(_ROOT) in on_path:
-        return
-    folder = tempfile.mkdtemp(prefix="lumenweave-zip-")
-    _own_tmp.append(folder)
-    name = os.path.join(folder, "lumenweave_pkg.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in (_ROOT / "lumenweave").rglob("*.py"):
-            z.write(p, p.relative_to(_ROOT))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
+    ship(spark)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,24 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _own_tmp or not any("lumenweave-shared-" in x for x in _own_tmp):
-            _own_tmp.append(tempfile.mkdtemp(prefix="lumenweave-shared-"))
-        found = "file://" + next(x for x in _own_tmp if "lumenweave-shared-" in x)
-    return found.rstrip("/")
-
-
-@atexit.register
-def _clean() -> None:
-    for x in _own_tmp:
-        shutil.rmtree(x, ignore_errors=True)
-
-
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and a lost executor costs no recomputation.
 
@@ -74,7 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
-        self.spark, self.dir = spark, f"{shared_dir(spark)}/lumenweave-{name}-{uuid.uuid4().hex}"
+        self.spark, self.dir = spark, shared_folder(spark, f"lumenweave-{name}")
 
     def path(self, name: str) -> str:
         return f"{self.dir}/{name}"
