@@ -37,8 +37,8 @@ from .common import Scratch, long_id, mix64, read_table, ship_package, tidy, win
 from .components import components
 
 LOW = np.uint64((1 << 48) - 1)
-CHUNK = 1_000_000  # tokens of the documents that send and are answered together
-BUCKET_BYTES = 12_000_000  # of text, whose tokens one bucket counts
+CHUNK = 500_000  # tokens of the documents that send and are answered together
+BUCKET_BYTES = 6_000_000  # of text, whose tokens one bucket counts
 BLOCK = 1024  # members of a posting list that one comparison holds twice, at most
 CLASSES = 40  # of sizes: from 2 ** c to 2 ** (c + 1)
 PER_TOKEN = 2.5  # combinations of a set for each of its tokens, at most about
@@ -127,12 +127,14 @@ def sent_tokens(docs: DataFrame, n: int, id_col: str, text_col: str, width: int)
             places = [next(packed) if x else None for x in some.tolist()]
             s1, s2 = (x.view(np.int64) for x in both)
             yield rows(len(ids), key=np.full(len(ids), -1 - chunk), chunk=np.full(len(ids), chunk), id=ids, n_shingles=size, s1=s1, s2=s2, places=places)
-            edges = np.searchsorted(_bucket(u, n), np.arange(n + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(edges))
+            # tokens are sorted, and so are their buckets: only those that have some are gone through
+            bucket = _bucket(u, n).astype(np.int64)
+            start = np.flatnonzero(np.diff(bucket, prepend=-1))
+            end = np.append(start[1:], len(u))
             low = u & LOW
-            cut = lambda x: [x[edges[k] : edges[k + 1]].tobytes() for k in full]
+            cut = lambda x: [x[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())]
             four, two, times = low.astype(np.uint32), (low >> np.uint64(32)).astype(np.uint16), np.minimum(c, 255).astype(np.uint8)
-            yield rows(len(full), key=full, chunk=np.full(len(full), chunk), start=edges[full], four=cut(four), two=cut(two), times=cut(times))
+            yield rows(len(start), key=bucket[start], chunk=np.full(len(start), chunk), start=start, four=cut(four), two=cut(two), times=cut(times))
 
         for b in batches:
             for doc, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary())):
@@ -186,6 +188,8 @@ def answered_tokens(sent: DataFrame, rare: int) -> DataFrame:
             "tokens": [_identity(bucket, low[k][shared[k]]).tobytes() for k in some],
         }
         kept = {c: table.column(c).take(pa.array(some, pa.int64())) for c in ("chunk", "start")}
+        del low, back, total, times, shared
+        tidy()
         return pa.table({c: kept[c] if c in kept else pa.array(made[c], k) if c in made else pa.nulls(len(some), k) for c, k in zip(names, kinds)})
 
     return sent.groupBy("key").applyInArrow(answer, ANSWERED)
@@ -302,6 +306,8 @@ def prefixes(answered: DataFrame, percent: int) -> DataFrame:
                 col.append(x)
         types = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary())
         made = dict(zip(("classes", "rare", "frequent", "tokens", "bits"), (pa.array(c, x) for c, x in zip(cols, types))))
+        del cols, kinds, kind, token, places, some
+        tidy()
         return pa.table({**{c: docs.column(c) for c in ("id", "n_shingles", "s1", "s2")}, **made})
 
     return answered.groupBy("chunk").applyInArrow(run, PREFIX)
