@@ -295,6 +295,7 @@ MORE_RULES = (
 
 
 BLOCK = 256  # bytes that one step sequence takes at most
+WINDOW = 1 << 20  # bytes of texts that are scanned together
 
 
 class Scanner:
@@ -309,6 +310,8 @@ class Scanner:
         self.is_reset = np.zeros(256, dtype=bool)
         self.is_reset[self.all.resets] = True
         self.accepting = self.all.accepts > 0
+        if not self.all.resets:
+            raise ValueError("the rules leave no byte at which texts may be cut")
 
     def _pieces(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and lengths of the stretches between reset bytes."""
@@ -381,36 +384,65 @@ class Scanner:
                 free[r] = end
         return out
 
+    def _parts(self, texts: list[bytes | None]):
+        """Groups of (text number, place, bytes) of WINDOW bytes together or less, texts cut behind reset bytes: no match reaches over one. Bytes without any stay together."""
+        group, size = [], 0
+        for k, t in enumerate(texts):
+            t, at = t or b"", 0
+            while at < len(t):
+                end = min(at + WINDOW, len(t))
+                if end < len(t):
+                    hit = np.flatnonzero(self.is_reset[np.frombuffer(t, dtype=np.uint8, count=end - at, offset=at)])
+                    while not len(hit) and end < len(t):
+                        more = min(WINDOW, len(t) - end)
+                        hit = np.flatnonzero(self.is_reset[np.frombuffer(t, dtype=np.uint8, count=more, offset=end)])[:1] + (end - at)
+                        end += more
+                    end = at + int(hit[-1]) + 1 if len(hit) else len(t)
+                if group and size + end - at > WINDOW:
+                    yield group
+                    group, size = [], 0
+                group.append((k, at, t[at:end]))
+                size += end - at
+                at = end
+        if group:
+            yield group
+
     def scan(self, texts: list[bytes | None]) -> list[list[tuple[int, int, int]]]:
         """Spans of each text, by start and then rule; offsets in code points, end exclusive."""
         found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        cut = bytes([self.all.resets[0]]) if self.all.resets else None
-        groups = [list(range(len(texts)))] if cut else [[k] for k in range(len(texts))]
-        for group in groups:
-            held = [texts[k] or b"" for k in group]
-            buf = np.frombuffer((cut or b"").join(held) or b"\0", dtype=np.uint8)
-            begin = np.concatenate([[0], np.cumsum([len(t) + 1 for t in held])])[:-1]
+        cut = bytes([self.all.resets[0]])
+        before = [0] * len(texts)  # code points of each text's parts so far
+        for group in self._parts(texts):
+            buf = np.frombuffer(cut.join(p for _, _, p in group), dtype=np.uint8)
+            begin = np.concatenate([[0], np.cumsum([len(p) + 1 for _, _, p in group])])[:-1]
             starts, lengths = self._pieces(buf)
             masks = self.flags(buf, starts, lengths)
             hit = np.flatnonzero(masks)
             of = np.searchsorted(begin, starts[hit], side="right") - 1
-            points, at = None, -1
-            for i, k in zip(hit.tolist(), of.tolist()):
-                a = int(starts[i] - begin[k])
-                spans = self.resolve(held[k][a : a + int(lengths[i])], int(masks[i]))
-                if not spans:
-                    continue
-                if at != k:  # code points before each byte of the text
-                    raw = np.frombuffer(held[k], dtype=np.uint8)
-                    points, at = None if held[k].isascii() else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]), k
+            at, points = -1, None
+            for i, g in zip(hit.tolist(), of.tolist()):
+                k, _, part = group[g]
+                a = int(starts[i] - begin[g])
+                spans = self.resolve(part[a : a + int(lengths[i])], int(masks[i]))
+                if spans and at != g:  # code points before each byte of the part
+                    own = np.frombuffer(part, dtype=np.uint8)
+                    points, at = None if part.isascii() else np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)]), g
+                    base = before[k] + sum(_points(p) for j, _, p in group[:g] if j == k)
                 for x, y, r in spans:
                     x, y = (a + x, a + y) if points is None else (int(points[a + x]), int(points[a + y]))
-                    found[group[k]].append((x, y, r))
+                    found[k].append((base + x, base + y, r))
+            for k, _, part in group:
+                before[k] += _points(part)
         for spans in found:
             spans.sort(key=lambda s: (s[0], s[2]))
         return found
 
 
+def _points(part: bytes) -> int:
+    """Code points that begin in the bytes."""
+    return len(part) if part.isascii() else int(np.count_nonzero((np.frombuffer(part, dtype=np.uint8) & 0xC0) != 0x80))
+
+
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 _made: dict = {}
 
@@ -430,8 +462,10 @@ def secret_spans(docs: DataFrame, text_col: str = "text", rules=BASE_RULES + MOR
     """
     rules = tuple(rules)
 
+    shared = docs.sparkSession.sparkContext.broadcast(_scanner(rules))  # arrays of about 4,000 states
+
     def make():
-        scanner = _scanner(rules)
+        scanner = shared.value
 
         def run(texts):
             return [[[{"kind": rules[r].kind, "start": a, "end": b} for a, b, r in spans] for spans in scanner.scan(texts)]]
@@ -449,8 +483,10 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mark: str = "[secret
     """
     rules, fields = tuple(rules), list(docs.columns)
 
+    shared = docs.sparkSession.sparkContext.broadcast(_scanner(rules))  # arrays of about 4,000 states
+
     def make():
-        scanner = _scanner(rules)
+        scanner = shared.value
 
         def run(texts):
             out, changed = [], []
@@ -497,8 +533,10 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rules = BASE_RULES + MORE_RULES
     n_base = len(BASE_RULES)
 
+    shared = docs.sparkSession.sparkContext.broadcast(_scanner(rules))  # arrays of about 4,000 states
+
     def make():
-        scanner = _scanner(rules)
+        scanner = shared.value
 
         def run(texts):
             cols = [[] for _ in range(5)]

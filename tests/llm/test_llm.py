@@ -705,6 +705,7 @@ def test_secrets_across_blocks(block, monkeypatch):
     import lumenweave.llm.secret_scan as module
 
     monkeypatch.setattr(module, "BLOCK", block)
+    monkeypatch.setattr(module, "WINDOW", 60 * block)
     scanner, rng = Scanner(), np.random.default_rng(block)
     bits = ["token", "=", ":", " ", "api_key", "apikey", "SECRET", "password", "'", '"', "AKIA", "B" * 16, "0af9" * 6, "deadbeef", "é", "中", ",", "\n", "abc-def_", "==", " " * 9,
             "a" * 300, "f" * 23, "f" * 24, "token=" + "x" * 500, "AKIA" + "Z9" * 200, "0" * 1000]
@@ -764,14 +765,15 @@ def test_stages_on_edges(spark, edge):
             out.count()
 
 
-def test_rows_without_ids_by_a_filter(spark):
-    from lumenweave.llm.jaccard_join import without
-
-    docs = spark.range(3000).select(F.when(F.col("id") % 500 != 0, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
-    gone = spark.range(3000).filter("id % 7 = 0").select(F.col("id").alias("doc_id"))
-    want = [k if k % 500 else None for k in range(3000) if k % 500 == 0 or k % 7]
-    assert Counter(r.doc_id for r in without(docs, gone, "doc_id").collect()) == Counter(want)
-    assert without(docs, gone.limit(0), "doc_id").count() == 3000
+def test_rows_without_ids_stay(spark):
+    """Many rows without an id beside copies that go: none of them meets another."""
+    rows = [(k if k % 5 else None, f"w{k // 3} " * 3 + f"a{k // 3} b{k // 3} c{k // 3} d{k // 3}") for k in range(300)]
+    got = keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[t] = min(i, first.get(t, i))
+    assert Counter(r.doc_id for r in got.collect()) == Counter([None] * 60 + list(first.values()))
 
 
 def test_ranks_are_gapless(spark):
