@@ -17,6 +17,7 @@ _WHERE = {
     "op9_language_id": "language_id",
     "op10_secret_scan": "secret_scan",
     "op11_fill_in_middle": "fill_in_middle",
+    "op12_collocations": "collocations",
 }
 
 
@@ -71,5 +72,33 @@ FROM g
 """
 
 
+_SUB = "array_to_string(list_slice(p.ws, {a}, {b}), ' ')"
+_OP12 = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\\x0A-\\x0D]')) AS t FROM documents
+), p AS (SELECT lang, list_filter(string_split_regex(t, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM piece
+), total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang
+), gram AS (
+  SELECT p.lang, k, unnest(list_transform(range(1, CAST(len(p.ws) AS BIGINT) - k + 2), lambda i: {_SUB.format(a="i", b="i + k - 1")})) AS phrase
+  FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE len(p.ws) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1
+), cut AS (SELECT p.*, u.j FROM c p, (SELECT unnest(range(1, 5)) AS j) u WHERE u.j < p.k
+), scored AS (
+  SELECT p.lang, p.phrase, p.k, p.a, x.f AS l, y.f AS r, total.n, p.j, CAST((1000::HUGEINT * p.a * total.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cut p JOIN f x ON x.lang = p.lang AND x.phrase = {_SUB.format(a="1", b="p.j")} JOIN f y ON y.lang = p.lang AND y.phrase = {_SUB.format(a="p.j + 1", b="p.k")}
+  JOIN total ON total.lang = p.lang
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inner_part AS (
+  SELECT p.lang, {_SUB.format(a="i", b="i + s - 1")} AS phrase, max(p.a) AS longer
+  FROM c p, (SELECT unnest(range(2, 5)) AS s) z, (SELECT unnest(range(1, 5)) AS i) q WHERE s < p.k AND i + s - 1 <= p.k GROUP BY ALL
+)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, b.n, b.score
+FROM best b LEFT JOIN inner_part q ON q.lang = b.lang AND q.phrase = b.phrase WHERE q.longer IS NULL OR 100 * q.longer < 100 * b.a
+QUALIFY rank <= 2000
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": _OP3, "op5_warc": _OP5, "op11_fill_in_middle": _OP11}
+    return {"op3_jaccard_join": _OP3, "op5_warc": _OP5, "op11_fill_in_middle": _OP11, "op12_collocations": _OP12}
