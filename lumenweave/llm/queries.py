@@ -18,6 +18,7 @@ _WHERE = {
     "op10_secret_scan": "secret_scan",
     "op11_fill_in_middle": "fill_in_middle",
     "op12_collocations": "collocations",
+    "op13_suffix_dedup": "suffix_dedup",
 }
 
 
@@ -100,5 +101,22 @@ QUALIFY rank <= 2000
 """
 
 
+_OP13 = """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS t FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)
+), again AS (SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY md5(t) ORDER BY doc_id, s) > 1
+), run AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= 100 THEN 0 ELSE 1 END AS opens FROM again
+), numbered AS (SELECT doc_id, s, sum(opens) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM run
+), span AS (SELECT doc_id, k, min(s) AS a, max(s) + 100 AS b FROM numbered GROUP BY ALL
+), kept AS (SELECT doc_id, coalesce(lag(b) OVER o, 0) AS a, a AS b FROM span WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+), spans AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS last FROM span GROUP BY doc_id
+), parts AS (
+  SELECT doc_id, a, b FROM kept UNION ALL SELECT d.doc_id, coalesce(last, 0), d.n FROM d LEFT JOIN spans USING (doc_id)
+), text AS (SELECT p.doc_id, string_agg(substr(d.x, 2 * p.a + 1, 2 * (p.b - p.a)), '' ORDER BY p.a) AS x FROM parts p JOIN d USING (doc_id) GROUP BY p.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed, coalesce(s.n, 0) AS n_spans, sha256(unhex(t.x)) AS kept_sha256
+FROM d JOIN text t USING (doc_id) LEFT JOIN spans s USING (doc_id)
+"""
+
+
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op3_jaccard_join": _OP3, "op5_warc": _OP5, "op11_fill_in_middle": _OP11, "op12_collocations": _OP12}
+    return {"op3_jaccard_join": _OP3, "op5_warc": _OP5, "op11_fill_in_middle": _OP11, "op12_collocations": _OP12, "op13_suffix_dedup": _OP13}
