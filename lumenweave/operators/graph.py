@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.session import settled
+
 
 def connected(edges: DataFrame, every: int = 3) -> DataFrame:
     """(id, component) of the ends of ``edges`` (a, b): the least id that links reach, by joins, with labels followed as pointers.
@@ -94,41 +96,71 @@ def solve_offsets(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return inside.groupBy("component").applyInPandas(run, "frame long, offset double")
 
 
-def solve_planes(differences: DataFrame, comps: DataFrame, extent: float, ridge: float = 0.01) -> DataFrame:
-    """Per frame a plane a x + b y + c such that differences of planes fit the cells' differences; slopes have a ridge, the lowest frame is flat.
+def _planes(cells: DataFrame, ridge: float) -> DataFrame:
+    """(component, frame, a, b, c) that fit the cells' differences (component, i, j, weight, u, v, delta) best; slopes have a ridge, and a component's lowest frame is flat.
 
     Products are summed by pair of frames first, so a component's group holds one row a pair.
     """
-    x, y = (F.col("cx") + 0.5) / extent, (F.col("cy") + 0.5) / extent
-    p = differences.withColumns({"px": x, "py": y})
-    sums = {"n": F.lit(1.0), "sx": F.col("px"), "sy": F.col("py"), "sxx": F.col("px") ** 2, "sxy": F.col("px") * F.col("py"), "syy": F.col("py") ** 2}
-    sums |= {"d": F.col("delta"), "dx": F.col("delta") * F.col("px"), "dy": F.col("delta") * F.col("py")}
-    pair = p.groupBy("i", "j").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = sorted(set(pdf["i"]) | set(pdf["j"]))
-        at = {n: k for k, n in enumerate(nodes)}
-        m = np.eye(3 * len(nodes)) * 1e-9
-        b = np.zeros(3 * len(nodes))
-        for k in range(len(nodes)):
-            m[3 * k, 3 * k] += ridge
-            m[3 * k + 1, 3 * k + 1] += ridge
-        for r in pdf.itertuples():
-            s = np.array([[r.sxx, r.sxy, r.sx], [r.sxy, r.syy, r.sy], [r.sx, r.sy, r.n]])
-            t = np.array([r.dx, r.dy, r.d])
-            p, q = 3 * at[r.i], 3 * at[r.j]
-            m[p : p + 3, p : p + 3] += s
-            m[q : q + 3, q : q + 3] += s
-            m[p : p + 3, q : q + 3] -= s
-            m[q : q + 3, p : p + 3] -= s
-            b[q : q + 3] += t
-            b[p : p + 3] -= t
+    u, v, d, w = (F.col(c) for c in ("u", "v", "delta", "weight"))
+    sums = {"n": w, "su": w * u, "sv": w * v, "suu": w * u * u, "suv": w * u * v, "svv": w * v * v, "d": w * d, "du": w * d * u, "dv": w * d * v}
+    pair = cells.groupBy("component", "i", "j").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.unique(pdf[["i", "j"]].to_numpy())
+        i, j = np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"])
+        blocks = pdf[["suu", "suv", "su", "suv", "svv", "sv", "su", "sv", "n"]].to_numpy().reshape(-1, 3, 3)
+        sides = pdf[["du", "dv", "d"]].to_numpy()
+        m, b = np.zeros((len(nodes), 3, len(nodes), 3)), np.zeros((len(nodes), 3))
+        for one, two, sign in ((i, i, 1), (j, j, 1), (i, j, -1), (j, i, -1)):
+            np.add.at(m, (one, slice(None), two), sign * blocks)
+        np.add.at(b, j, sides)
+        np.add.at(b, i, -sides)
+        m, b = m.reshape(3 * len(nodes), -1), b.ravel()
+        m[np.diag_indices_from(m)] += np.tile([ridge, ridge, 0.0], len(nodes)) + 1e-9
+        free = np.repeat(nodes != key[0], 3)
         out = np.zeros(3 * len(nodes))
-        out[3:] = np.linalg.solve(m[3:, 3:], b[3:])
-        return pd.DataFrame({"frame": nodes, "a": out[0::3], "b": out[1::3], "c": out[2::3]})
+        out[free] = np.linalg.solve(m[np.ix_(free, free)], b[free])
+        return pd.DataFrame({"component": key[0], "frame": nodes, "a": out[0::3], "b": out[1::3], "c": out[2::3]})
 
-    inside = pair.join(comps.withColumnRenamed("frame", "i"), "i")
-    return inside.groupBy("component").applyInPandas(run, "frame long, a double, b double, c double")
+    return pair.groupBy("component").applyInPandas(run, "component long, frame long, a double, b double, c double")
+
+
+def solve_planes(
+    differences: DataFrame, comps: DataFrame, extent: float, ridge: float = 0.01, passes: int = 2, low: float = 3.0, high: float = 3.0, least: int = 8
+) -> DataFrame:
+    """Per frame a plane a u + b v + c such that differences of planes fit the cells' differences, with u = (cx + 0.5) / extent and v alike.
+
+    A cell counts with the root of its pair's number of cells; pairs of under ``least`` don't take part. After each of up to ``passes`` solutions the
+    cells whose residuals lie beyond ``low`` or ``high`` deviations of their component's mean go, and what is left is solved again. Cells meet planes of a row a frame
+    in joins; only sums by pair of frames come together in a component's group. A frame that loses all cells keeps the plane it had.
+    """
+    numbers = differences.groupBy("i", "j").agg(F.count("*").alias("cells")).filter(F.col("cells") >= least)
+    cells = differences.join(numbers, ["i", "j"]).join(comps.select(F.col("frame").alias("i"), "component"), "i").select(
+        "component", "i", "j", F.sqrt("cells").alias("weight"), ((F.col("cx") + 0.5) / extent).alias("u"), ((F.col("cy") + 0.5) / extent).alias("v"), "delta"
+    )
+    cells = settled(cells, "plane-cells")
+    planes = settled(_planes(cells, ridge), "planes")
+    for _ in range(passes):
+        side = lambda at: planes.select(F.col("frame").alias(at), *[F.col(c).alias(c + at) for c in "abc"])
+        fit = (F.col("aj") - F.col("ai")) * F.col("u") + (F.col("bj") - F.col("bi")) * F.col("v") + F.col("cj") - F.col("ci")
+        left = cells.join(side("i"), "i").join(side("j"), "j").withColumn("residual", F.col("delta") - fit)
+        level = left.groupBy("component").agg(F.avg("residual").alias("mean"), F.stddev_pop("residual").alias("spread"))
+        inside = (F.col("spread") <= 0) | F.col("residual").between(F.col("mean") - low * F.col("spread"), F.col("mean") + high * F.col("spread"))
+        kept = settled(left.join(level, "component").filter(inside).select(*cells.columns), "plane-cells")
+        if kept.count() == cells.count():
+            break
+        cells = kept
+        new = _planes(cells, ridge)
+        planes = settled(new.unionByName(planes.join(new.select("frame"), "frame", "left_anti")), "planes")
+    return planes.select("frame", "a", "b", "c")
+
+
+def plan_planes(sky: DataFrame, planes: DataFrame) -> DataFrame:
+    """The ``match+plane`` plan: what to take off each frame (frame, sky, a, b, c) is its plane alone, whose c holds the level; a frame
+    without a plane keeps its own sky and is flat."""
+    p = planes.select("frame", "a", "b", "c")
+    flat = {c: F.coalesce(c, F.lit(0.0)) for c in "abc"}
+    return sky.join(p, "frame", "left").select("frame", F.when(F.col("c").isNull(), F.col("sky")).otherwise(0.0).alias("sky"), *[v.alias(k) for k, v in flat.items()])
 
 
 def plan_sky(sky: DataFrame, offsets: DataFrame, method: str, group: str = "file") -> DataFrame:

@@ -61,6 +61,22 @@ def m10(spark, sf):
     return out
 
 
+@query(
+    "m10_match_plane",
+    f"""{SKY}, pl AS (SELECT frame, 0.5 * frame AS a, 2.0 - frame AS b, frame * 0.25 - 1 AS c FROM sk WHERE frame < 6)
+SELECT cl.frame, cl.cx, cl.cy, round(value - CASE WHEN pl.frame IS NULL THEN sky ELSE a * (cx + 0.5) / 8 + b * (cy + 0.5) / 8 + c END, 4) + 0.0 AS left_over
+FROM cl JOIN sk ON sk.frame = cl.frame LEFT JOIN pl ON pl.frame = cl.frame""",
+)
+def m10_match_plane(spark, sf):
+    c = _cells(spark, sf)
+    sky = c.groupBy("frame").agg(F.median("value").alias("sky"))
+    f = F.col("frame")
+    planes = sky.filter("frame < 6").select("frame", (f * 0.5).alias("a"), (2.0 - f).alias("b"), (f * 0.25 - 1).alias("c"))
+    surface = F.col("sky") + F.col("a") * (F.col("cx") + 0.5) / 8 + F.col("b") * (F.col("cy") + 0.5) / 8 + F.col("c")
+    got = c.join(F.broadcast(graph.plan_planes(sky, planes)), "frame").withColumn("left_over", F.col("value") - surface)
+    return got.select("frame", "cx", "cy", r("left_over"))
+
+
 @query("m11_equalise_components", f"{SKY}, m AS (SELECT file AS component, median(sky) AS m FROM sk GROUP BY 1), sh AS (SELECT component, m - min(m) OVER () AS shift FROM m) SELECT frame, component, round(shift, 4) AS shift FROM sk JOIN sh ON component = file")
 def m11(spark, sf):
     sky = _cells(spark, sf).groupBy("frame").agg(F.median("value").alias("level")).withColumn("component", F.floor(F.col("frame") / 2))

@@ -132,6 +132,62 @@ def test_planes_recover_gradients(spark):
     assert abs(p[1].a - 0.5) < 1e-4 and abs(p[1].b + 0.25) < 1e-4 and abs(p[1].c - 2) < 1e-4
 
 
+def _planes_by_loop(cells, extent, ridge=0.01, passes=2):
+    """One component's planes by least squares over all cells, with cells clipped in between."""
+    from collections import Counter
+
+    n = Counter((i, j) for i, j, *_ in cells)
+    rows = [(i, j, (x + 0.5) / extent, (y + 0.5) / extent, d, n[i, j] ** 0.5) for i, j, x, y, d in cells if n[i, j] >= 8]
+    nodes = sorted({f for r in rows for f in r[:2]})
+    for k in range(passes + 1):
+        a, b = [], []
+        for i, j, u, v, d, w in rows:
+            line = np.zeros(3 * len(nodes))
+            line[3 * nodes.index(j) : 3 * nodes.index(j) + 3] += [u, v, 1]
+            line[3 * nodes.index(i) : 3 * nodes.index(i) + 3] -= [u, v, 1]
+            a.append(line * w**0.5)
+            b.append(d * w**0.5)
+        for f in range(1, len(nodes)):
+            for axis in (0, 1):
+                a.append(np.eye(3 * len(nodes))[3 * f + axis] * ridge**0.5)
+                b.append(0.0)
+        x = np.zeros(3 * len(nodes))
+        x[3:] = np.linalg.lstsq(np.array(a)[:, 3:], np.array(b), rcond=None)[0]
+        p = dict(zip(nodes, x.reshape(-1, 3)))
+        res = np.array([d - (p[j] - p[i]) @ [u, v, 1] for i, j, u, v, d, _ in rows])
+        keep = np.abs(res - res.mean()) <= 3 * res.std()
+        if k == passes or keep.all():
+            return p, len(rows)
+        rows = [r for r, ok in zip(rows, keep) if ok]
+
+
+@pytest.mark.parametrize("outliers", [0, 6])
+def test_planes_without_outlier_cells(spark, outliers):
+    rng = np.random.default_rng(8)
+    truth = {0: (0, 0, 0), 1: (0.5, -0.25, 2), 2: (-1, 0.3, -4), 3: (0.2, 0.9, 1)}
+    cells = []
+    for i in truth:
+        for j in truth:
+            if i < j:
+                for cx in range(12):
+                    for cy in range(12):
+                        u = np.array([(cx + 0.5) / 8, (cy + 0.5) / 8, 1])
+                        cells.append((i, j, cx, cy, float((np.array(truth[j]) - truth[i]) @ u + rng.normal(0, 0.01))))
+    clean = _planes_by_loop(cells, 8.0)[0]
+    for k in rng.choice(len(cells), outliers, replace=False):
+        i, j, cx, cy, d = cells[k]
+        cells[k] = (i, j, cx, cy, d + 40.0)
+    cells += [(3, 9, 0, 0, 5.0)] * 3  # a pair of too few cells
+    comps = spark.createDataFrame([(f, 0) for f in truth] + [(9, 9)], "frame long, component long")
+    got = {r.frame: np.array([r.a, r.b, r.c]) for r in graph.solve_planes(spark.createDataFrame(cells, "i long, j long, cx long, cy long, delta double"), comps, 8.0).collect()}
+    want, _ = _planes_by_loop(cells, 8.0)
+    assert got.keys() == want.keys() == truth.keys()
+    assert all(np.allclose(got[f], want[f], atol=1e-6) for f in want)
+    assert all(np.allclose(got[f], clean[f], atol=0.02) for f in want)
+    plan = graph.plan_planes(spark.createDataFrame([(f, 10.0 + f) for f in (*truth, 9)], "frame long, sky double"), spark.createDataFrame([(f, *map(float, p)) for f, p in got.items()], "frame long, a double, b double, c double"))
+    assert {r.frame: r.sky for r in plan.collect()} == {0: 0.0, 1: 0.0, 2: 0.0, 3: 0.0, 9: 19.0}
+
+
 def test_similarity_despite_outliers():
     rng = np.random.default_rng(3)
     p = rng.uniform(0, 100, (60, 2))
