@@ -1,4 +1,5 @@
-"""Aligning frames: a cascade of matches per frame, chains through aligned frames, and a bundle that must improve.
+"""Aligning frames by their stars: every matcher's fit is a row of one table, from which a frame's best is taken; frames without one are placed
+through those that have one; and common stars move all frames together in one linear solution.
 
 Matches are made on catalogs capped to a stated number of stars, so a frame's group is small; which stars of the
 frames placed before a frame meets is a join on cells, and never passes the driver.
@@ -14,11 +15,14 @@ from pyspark.sql import functions as F
 from lumenweave.operators.fit import fit_affine, fit_similarity, moved, ransac, shift_of_corners
 from lumenweave.operators.joins import mutual_nearest
 from lumenweave.operators.series import brightest
+from lumenweave.session import settled
 
 FIT = "frame long, method string, support long, rms double, a double, b double, c double, d double, e double, f double"
-STARS = 500  # of a catalog that is matched, at most
+STARS = 500  # of a catalog that is matched, at most: a cap of the operator itself, for the brightest stars decide a frame's place
 MOST_SHIFT = 150.0  # of a corner, by a fit that is believed
 NEAR = 2.0  # within which a star supports a fit
+TRIANGLE_STARS = 40  # whose triangles are compared
+NOISE = 0.05  # of a star's place, below which residuals of two models don't differ
 
 
 def _mutual(p: np.ndarray, q: np.ndarray, radius: float, ratio: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +59,8 @@ def _by_offsets(p: np.ndarray, q: np.ndarray, window: float = 150.0, size: float
 
 def _triangles(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices (by the length of the side across, ascending) and the two side ratios of all triangles."""
-    n = len(p)
-    i, j, k = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), np.arange(n), indexing="ij"))
-    t = np.stack([i, j, k], axis=1)[(i < j) & (j < k)]
+    i, j, k = np.meshgrid(*[np.arange(len(p))] * 3, indexing="ij")
+    t = np.argwhere((i < j) & (j < k))
     side = np.stack([np.hypot(*(p[t[:, b]] - p[t[:, c]]).T) for b, c in ((1, 2), (0, 2), (0, 1))], axis=1)
     order = np.argsort(side, axis=1)
     t, side = np.take_along_axis(t, order, axis=1), np.take_along_axis(side, order, axis=1)
@@ -65,102 +68,98 @@ def _triangles(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t[ok], side[ok, :2] / side[ok, 2:]
 
 
-def _by_triangles(p: np.ndarray, q: np.ndarray, cap: int = 40, tolerance: float = 0.01, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs by votes of alike triangles of the first ``cap`` stars of each, which shift, turn and scale leave alone."""
-    a, b = _triangles(p[:cap]), _triangles(q[:cap])
-    if not len(a[0]) or not len(b[0]):
+def _by_triangles(p: np.ndarray, q: np.ndarray, tolerance: float = 0.01, least: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs by votes of alike triangles of the first stars of each, which shift, turn and scale leave alone."""
+    (ta, ra), (tb, rb) = _triangles(p[:TRIANGLE_STARS]), _triangles(q[:TRIANGLE_STARS])
+    if not len(ta) or not len(tb):
         return np.empty(0, int), np.empty(0, int)
-    votes = np.zeros((min(cap, len(p)), min(cap, len(q))), dtype=np.int64)
-    order = np.argsort(b[1][:, 0], kind="stable")
-    r = b[1][order]
-    lo, hi = np.searchsorted(r[:, 0], a[1][:, 0] - tolerance), np.searchsorted(r[:, 0], a[1][:, 0] + tolerance, "right")
-    for t, (_, r2), x, y in zip(a[0], a[1], lo, hi):
-        near = order[x:y][np.abs(r[x:y, 1] - r2) <= tolerance]
-        for v in range(3):
-            np.add.at(votes[t[v]], b[0][near, v], 1)
+    order = np.argsort(rb[:, 0], kind="stable")
+    lo, hi = np.searchsorted(rb[order, 0], ra[:, 0] - tolerance), np.searchsorted(rb[order, 0], ra[:, 0] + tolerance, "right")
+    # every triangle of p beside each of q whose first ratio is near
+    left = np.repeat(np.arange(len(ta)), hi - lo)
+    right = order[np.arange(len(left)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+    alike = np.abs(ra[left, 1] - rb[right, 1]) <= tolerance
+    votes = np.zeros((min(TRIANGLE_STARS, len(p)), min(TRIANGLE_STARS, len(q))), dtype=np.int64)
+    np.add.at(votes, (ta[left[alike]].ravel(), tb[right[alike]].ravel()), 1)
     best, back = votes.argmax(axis=1), votes.argmax(axis=0)
     i = np.flatnonzero((back[best] == np.arange(len(votes))) & (votes.max(axis=1) >= least))
     return i, best[i]
 
 
-def _clipped(p: np.ndarray, q: np.ndarray, m: np.ndarray, sigmas: float = 3.0) -> np.ndarray:
-    """Which pairs a fit leaves within some deviations of its residuals."""
-    d = np.hypot(*(moved(p, m) - q).T)
-    spread = np.sqrt((d * d).mean())
-    return d <= sigmas * spread if spread > 0 else np.ones(len(d), dtype=bool)
+# --- trials ---------------------------------------------------------------------------------------
+
+#: name -> pairs (i, j) of two catalogs, brightest first
+MATCHERS = {
+    "none": lambda p, q: _mutual(p, q, NEAR),
+    "offsets": _by_offsets,
+    "nearest": lambda p, q: _mutual(p, q, 15.0, 0.8),
+    "wide": lambda p, q: _mutual(p, q, 30.0, 0.8),
+    "triangles": _by_triangles,
+}
 
 
 def believable(m: np.ndarray) -> bool:
     """Nearly the identity: no mirror, a scale within 15 %, a turn below 10 degrees."""
-    det = m[0, 0] * m[1, 1] - m[0, 1] * m[1, 0]
+    det = np.linalg.det(m[:, :2])
     turn = np.degrees(np.arctan2(m[1, 0] - m[0, 1], m[0, 0] + m[1, 1]))
-    return det > 0 and 0.85 <= np.sqrt(det) <= 1.15 and abs(turn) < 10
+    return bool(det > 0 and abs(np.sqrt(max(det, 0.0)) - 1) <= 0.15 and abs(turn) < 10)
 
 
-def _residuals(p: np.ndarray, q: np.ndarray, m: np.ndarray) -> tuple[float, float]:
-    d = np.hypot(*(moved(p, m) - q).T)
-    return float(np.sqrt((d * d).mean())), float(d.max())
+def information(p: np.ndarray, q: np.ndarray, m: np.ndarray, unknowns: int) -> float:
+    """Schwarz's criterion of a map: twice the pairs times the log of the mean square residual, and a price for each unknown."""
+    n = 2 * len(p)
+    return n * np.log(((moved(p, m) - q) ** 2).sum() / n + NOISE**2) + unknowns * np.log(n)
 
 
-def _worth_an_affine(p: np.ndarray, q: np.ndarray, similar: np.ndarray, affine: np.ndarray, extent: tuple[float, float]) -> bool:
-    """Whether six unknowns instead of four pay: clearly smaller residuals, where those of four are large, over stars that span the frame."""
-    if len(p) < 6:
-        return False
-    (r1, m1), (r2, m2) = _residuals(p, q, similar), _residuals(p, q, affine)
-    if not (r2 < r1 and m2 < m1) or (r1 <= 1.25 and m1 <= 3.5) or (r2 > 0.75 * r1 and m2 > 0.8 * m1):
-        return False
-    w, h = np.ptp(q, axis=0)
-    return min(w, h) >= max(120, 0.2 * min(extent)) and np.hypot(w, h) >= max(250, 0.35 * np.hypot(*extent))
+def best_model(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, int] | None:
+    """A map of pairs by random samples, and its unknowns: a similarity, or an affine where the criterion over the pairs of either says that its two more unknowns pay."""
+    tried = {4: ransac(p, q, 1.5, 300), 6: ransac(p, q, 1.5, 2000, "affine")}
+    held = {k: (m, ok) for k, (m, ok) in tried.items() if ok.sum() >= k // 2}
+    if len(held) < 2:
+        return next(((m, k) for k, (m, _) in held.items()), None)
+    either = held[4][1] | held[6][1]
+    # both are fitted again to the same pairs: a criterion compares nothing else
+    fits = {4: fit_similarity(p[either], q[either]), 6: fit_affine(p[either], q[either])}
+    k = min(fits, key=lambda k: information(p[either], q[either], fits[k], k))
+    return held[k][0], k
 
 
-def cascade(p: np.ndarray, q: np.ndarray, extent: tuple[float, float], radius: float = 15.0) -> tuple[str, np.ndarray, int, float] | None:
-    """(method, 2 x 3 map, stars that support it, RMS) of p onto q, or None.
+def trials(p: np.ndarray, q: np.ndarray, extent: tuple[float, float], most_shift: float = MOST_SHIFT) -> list[tuple[str, np.ndarray, int, float]]:
+    """(matcher, 2 x 3 map, stars that support it, RMS) of p onto q, of each matcher whose fit can be believed.
 
-    Pairs come from the first of these that gives four: the commonest offset, nearest pairs tightened round by round, nearest
-    pairs of twice the radius, alike triangles. A similarity by random samples, an affine where that fails or clearly pays. A
-    fit must be believable, move no corner by more than MOST_SHIFT and be supported by three stars (four, for an affine of larger catalogs). Stars come brightest first.
+    A fit must be nearly the identity, move no corner by more than ``most_shift``, and be supported by three stars, or four by an affine of larger catalogs.
     """
-    method, (i, j) = "offsets", _by_offsets(p, q)
-    if len(i) < 4:
-        i, j = np.empty(0, int), np.empty(0, int)
-    reach = radius
-    for _ in range(3):
-        if len(i) >= 4:
-            break
-        method, (i, j) = "nearest", _mutual(p[:80], q[:80], reach, 0.8)
-        if len(i) < 4:
-            break
-        keep = _clipped(p[i], q[j], fit_similarity(p[i], q[j]))
-        i, j, reach = i[keep], j[keep], max(radius / 3, 5.0)
-    if len(i) < 4 and len(p) >= 30:
-        wide = _mutual(p[:80], q[:80], 2 * radius, 0.8)
-        if len(wide[0]) > len(i):
-            method, (i, j) = "wide", wide
-    if len(i) < 4:
-        alike = _by_triangles(p, q)
-        if len(alike[0]) > len(i):
-            method, (i, j) = "triangles", alike
-    if len(i) < 2:
-        return None
-    m, ok = ransac(p[i], q[j], 1.5, 300)
-    affine, in_affine = ransac(p[i], q[j], 1.5, 2000, "affine") if len(i) >= 3 else (None, None)
-    general = False
-    if ok.sum() < 2:
-        if affine is None or in_affine.sum() < 3:
-            return None
-        m, general = affine, True
-    elif affine is not None and in_affine.sum() >= 3 and _worth_an_affine(p[i], q[j], m, affine, extent):
-        m, general = affine, True
-    at = moved(p, m)
-    a, b = _mutual(at, q, NEAR)
-    # a correction that no more stars support than none does is none
-    same = _mutual(p, q, NEAR)
-    if len(same[0]) >= max(3, len(a)):
-        m, (a, b), general = np.array([[1.0, 0, 0], [0, 1, 0]]), same, False
-    least = 4 if general and min(len(p), len(q)) > 3 else 3
-    if not believable(m) or shift_of_corners(m, extent) > MOST_SHIFT or len(a) < least:
-        return None
-    return method, m, len(a), float(np.sqrt(((moved(p[a], m) - q[b]) ** 2).sum(axis=1).mean()))
+    out = []
+    for name, match in MATCHERS.items():
+        i, j = match(p, q)
+        if name == "none":
+            m, unknowns = np.array([[1.0, 0, 0], [0, 1, 0]]), 0
+        elif len(i) < 3 or (got := best_model(p[i], q[j])) is None:
+            continue
+        else:
+            m, unknowns = got
+        a, b = _mutual(moved(p, m), q, NEAR)
+        least = 4 if unknowns == 6 and min(len(p), len(q)) > 3 else 3
+        if len(a) >= least and believable(m) and shift_of_corners(m, extent) <= most_shift:
+            out.append((name, m, len(a), float(np.sqrt(((moved(p[a], m) - q[b]) ** 2).sum(axis=1).mean()))))
+    return out
+
+
+def _tried(own: DataFrame, ref: DataFrame, key: str, extent: float) -> DataFrame:
+    """All trials of catalogs (key, x, y, rank) against those of the same key, a row a matcher."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        order = lambda f: f.sort_values("rank")[["x", "y"]].to_numpy(float)
+        got = trials(order(left), order(right), (extent, extent)) if len(left) and len(right) else []
+        return pd.DataFrame([(left[key].iloc[0], name, n, rms, *m.ravel()) for name, m, n, rms in got], columns=[key, "method", "support", "rms", *"abcdef"])
+
+    return own.groupBy(key).cogroup(ref.groupBy(key)).applyInPandas(run, FIT.replace("frame long", f"{key} {dict(own.dtypes)[key]}"))
+
+
+def best_trials(tried: DataFrame, key: str) -> DataFrame:
+    """The row of each key that most stars support; of equal ones no correction, then the least RMS."""
+    order = F.struct("support", F.col("method") == "none", -F.col("rms"), "method")
+    return tried.groupBy(key).agg(F.max_by(F.struct(*tried.columns), order).alias("t")).select("t.*")
 
 
 def _beside(stars: DataFrame, reference: DataFrame, cap: int, pad: float) -> DataFrame:
@@ -178,17 +177,9 @@ def _beside(stars: DataFrame, reference: DataFrame, cap: int, pad: float) -> Dat
 
 
 def align_to(stars: DataFrame, reference: DataFrame, extent: float, cap: int = STARS) -> DataFrame:
-    """A fit (FIT) of each frame's stars (frame, x, y, peak) to the reference's (x, y, peak); frames that the cascade can't place are left out."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = lambda f: f.sort_values("rank")[["x", "y"]].to_numpy(float)
-        got = cascade(order(left), order(right), (extent, extent)) if len(left) and len(right) else None
-        rows = [] if got is None else [(int(left["frame"].iloc[0]), got[0], got[2], got[3], *got[1].ravel())]
-        return pd.DataFrame(rows, columns=["frame", "method", "support", "rms", *"abcdef"])
-
+    """A fit (FIT) of each frame's stars (frame, x, y, peak) to the reference's (x, y, peak): the best of the trials; frames without one are left out."""
     own = brightest(stars, cap, ["frame"]).select("frame", "x", "y", "rank")
-    ref = _beside(own, reference, cap, MOST_SHIFT)
-    return own.groupBy("frame").cogroup(ref.groupBy("frame")).applyInPandas(run, FIT)
+    return best_trials(_tried(own, _beside(own, reference, cap, MOST_SHIFT), "frame", extent), "frame")
 
 
 def estimate(stars: DataFrame, reference: DataFrame, model: str = "translation", cap: int = STARS) -> DataFrame:
@@ -196,27 +187,24 @@ def estimate(stars: DataFrame, reference: DataFrame, model: str = "translation",
 
     Stars match by the commonest offset, or by alike triangles where that gives fewer than three pairs; three stars must support the fit.
     """
-    if model not in ("translation", "similarity", "affine"):
+    fits = {
+        "translation": lambda p, q: np.column_stack([np.eye(2), np.median(q - p, axis=0)]),
+        "similarity": lambda p, q: ransac(p, q, 1.5, 300)[0],
+        "affine": lambda p, q: ransac(p, q, 1.5, 2000, "affine")[0],
+    }
+    if model not in fits:
         raise ValueError(f"no model {model!r}")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         order = lambda f: f.sort_values("rank")[["x", "y"]].to_numpy(float)
         rows, p, q = [], order(left), order(right)
-        i, j = _by_offsets(p, q)
-        how = "offsets"
-        if len(i) < 3:
-            how, (i, j) = "triangles", _by_triangles(p, q)
+        how, (i, j) = max(((name, MATCHERS[name](p, q)) for name in ("offsets", "triangles")), key=lambda x: (len(x[1][0]) >= 3, x[0] == "offsets"))
         if len(i) >= 3:
-            if model == "translation":
-                m = np.column_stack([np.eye(2), np.median(q[j] - p[i], axis=0)])
-            else:
-                m, ok = ransac(p[i], q[j], 1.5, 2000 if model == "affine" else 300, model)
-                m = m if ok.any() else None
-            if m is not None:
-                a, b = _mutual(moved(p, m), q, NEAR)
-                if len(a) >= 3:
-                    rms = float(np.sqrt(((moved(p[a], m) - q[b]) ** 2).sum(axis=1).mean()))
-                    rows = [(int(left["frame"].iloc[0]), f"{model}-{how}", len(a), rms, *m.ravel())]
+            m = fits[model](p[i], q[j])
+            a, b = _mutual(moved(p, m), q, NEAR)
+            if len(a) >= 3:
+                rms = float(np.sqrt(((moved(p[a], m) - q[b]) ** 2).sum(axis=1).mean()))
+                rows = [(int(left["frame"].iloc[0]), f"{model}-{how}", len(a), rms, *m.ravel())]
         return pd.DataFrame(rows, columns=["frame", "method", "support", "rms", *"abcdef"])
 
     own = brightest(stars, cap, ["frame"]).select("frame", "x", "y", "rank")
@@ -256,6 +244,7 @@ def align_frames(stars: DataFrame, reference_frame: int, extent: float, adjust:
 # --- bundle ---------------------------------------------------------------------------------------
 
 COMMON, LEAST, STEP = 3.0, 6, 25.0  # radius of common stars, pairs that a frame needs, largest move of a corner
+GAIN = 0.999  # of the RMS before, which a component's solution must fall below
 
 
 def common_stars(placed: DataFrame, cap: int = STARS) -> DataFrame:
@@ -274,73 +263,164 @@ def common_stars(placed: DataFrame, cap: int = STARS) -> DataFrame:
     return both.select("i", "j", F.col("x_star").alias("xi"), F.col("y_star").alias("yi"), F.col("x_r_star").alias("xj"), F.col("y_r_star").alias("yj"))
 
 
-def bundle(pairs: pd.DataFrame, fixed: set[int], extent: float, general: bool = False, sweeps: int = 20) -> tuple[dict[int, np.ndarray], float, float]:
-    """Maps of frames that bring common stars (i, j, xi, yi, xj, yj) together, frame by frame in turn, with those of ``fixed`` held.
+def _normal_sums(pairs: DataFrame) -> DataFrame:
+    """Sums by pair of frames that the normal equations of small similarities are made of; a similarity moves (x, y) by (s x - r y + t, r x + s y + u)."""
+    xi, yi, xj, yj = (F.col(c) for c in ("xi", "yi", "xj", "yj"))
+    dx, dy = xi - xj, yi - yj
+    sums = {"n": F.lit(1.0), "sxi": xi, "syi": yi, "sxj": xj, "syj": yj, "ii": xi * xi + yi * yi, "jj": xj * xj + yj * yj}
+    sums |= {"dot": xi * xj + yi * yj, "cross": xi * yj - yi * xj, "dx": dx, "dy": dy}
+    sums |= {"si": xi * dx + yi * dy, "ri": xi * dy - yi * dx, "sj": xj * dx + yj * dy, "rj": xj * dy - yj * dx}
+    return pairs.groupBy("component", "i", "j").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
 
-    Returns maps, and the RMS before and after; all maps are the identity unless the RMS falls below 0.999 of itself.
+
+def _moves(sums: DataFrame, held: int, extent: float) -> DataFrame:
+    """(component, frame, ua .. uf): the small similarity of each frame that brings common stars together, all frames of a component in one solution.
+
+    ``held`` stays where it is, or the component's lowest frame does; so do frames of under LEAST pairs, and those whose move
+    can't be believed or takes a corner further than STEP, without which the others are solved again.
     """
-    i, j = pairs["i"].to_numpy(), pairs["j"].to_numpy()
-    p, q = pairs[["xi", "yi"]].to_numpy(float), pairs[["xj", "yj"]].to_numpy(float)
-    frames = sorted(set(i.tolist()) | set(j.tolist()))
-    same = np.array([[1.0, 0, 0], [0, 1, 0]])
-    maps = {f: same.copy() for f in frames}
-    rms = lambda: float(np.sqrt(((p - q) ** 2).sum(axis=1).mean())) if len(p) else 0.0
-    solve = fit_affine if general else fit_similarity
-    before = rms()
-    for _ in range(sweeps):
-        any_moved = False
-        for f in frames:
-            left, right = i == f, j == f
-            if f in fixed or left.sum() + right.sum() < LEAST:
-                continue
-            own, other = np.vstack([p[left], q[right]]), np.vstack([q[left], p[right]])
-            u = solve(own, other)
-            keep = _clipped(own, other, u)
-            if keep.sum() >= LEAST:
-                u = solve(own[keep], other[keep])
-            if not believable(u) or shift_of_corners(u, (extent, extent)) > STEP:
-                continue
-            p[left], q[right] = moved(p[left], u), moved(q[right], u)
-            maps[f] = np.column_stack([u[:, :2] @ maps[f][:, :2], u[:, :2] @ maps[f][:, 2] + u[:, 2]])
-            any_moved = True
-        if not any_moved:
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = np.unique(pdf[["i", "j"]].to_numpy())
+        i, j = np.searchsorted(nodes, pdf["i"]), np.searchsorted(nodes, pdf["j"])
+        c = {k: pdf[k].to_numpy() for k in pdf.columns}
+        zero = np.zeros(len(pdf))
+        block = lambda rows: np.array(rows).transpose(2, 0, 1)
+        own = lambda x, y, xx: block([[xx, zero, x, y], [zero, xx, -y, x], [x, -y, c["n"], zero], [y, x, zero, c["n"]]])
+        both = block([
+            [c["dot"], -c["cross"], c["sxi"], c["syi"]], [c["cross"], c["dot"], -c["syi"], c["sxi"]],
+            [c["sxj"], -c["syj"], c["n"], zero], [c["syj"], c["sxj"], zero, c["n"]],
+        ])
+        m, b = np.zeros((len(nodes), 4, len(nodes), 4)), np.zeros((len(nodes), 4))
+        np.add.at(m, (i, slice(None), i), own(c["sxi"], c["syi"], c["ii"]))
+        np.add.at(m, (j, slice(None), j), own(c["sxj"], c["syj"], c["jj"]))
+        np.add.at(m, (i, slice(None), j), -both)
+        np.add.at(m, (j, slice(None), i), -both.transpose(0, 2, 1))
+        np.add.at(b, i, -np.stack([c["si"], c["ri"], c["dx"], c["dy"]], axis=1))
+        np.add.at(b, j, np.stack([c["sj"], c["rj"], c["dx"], c["dy"]], axis=1))
+        m, b = m.reshape(4 * len(nodes), -1), b.ravel()
+        number = np.bincount(i, c["n"], len(nodes)) + np.bincount(j, c["n"], len(nodes))
+        free = (number >= LEAST) & (nodes != (held if held in nodes else nodes[0]))
+        x = np.zeros((len(nodes), 4))
+        while True:
+            at = np.repeat(free, 4)
+            x[:] = 0
+            if at.any():
+                x[free] = np.linalg.lstsq(m[np.ix_(at, at)], b[at], rcond=None)[0].reshape(-1, 4)
+            maps = [np.array([[1 + s, -r, t], [r, 1 + s, u]]) for s, r, t, u in x]
+            wrong = np.array([not believable(u) or shift_of_corners(u, (extent, extent)) > STEP for u in maps])
+            if not wrong.any():
+                break
+            free &= ~wrong
+        return pd.DataFrame([(key[0], f, *u.ravel()) for f, u in zip(nodes.tolist(), maps)], columns=["component", "frame", *(f"u{k}" for k in "abcdef")])
+
+    return sums.groupBy("component").applyInPandas(run, "component long, frame long, " + ", ".join(f"u{k} double" for k in "abcdef"))
+
+
+def bundle(pairs: DataFrame, comps: DataFrame, held: int, extent: float, passes: int = 2, sigmas: float = 3.0) -> DataFrame:
+    """Moves (component, frame, ua .. uf, before, after) that bring common stars (i, j, xi, yi, xj, yj) together, and the RMS of a component's pairs before and after.
+
+    Pairs that a solution leaves beyond some deviations go, and the rest are solved again. A component whose RMS over all pairs doesn't fall below GAIN of itself stays as it was.
+    Pairs meet moves of a row a frame in joins; a component's group holds a row a pair of frames.
+    """
+    every = settled(pairs.join(comps.select(F.col("frame").alias("i"), "component"), "i"), "common-stars")
+
+    def left(of: DataFrame, moves: DataFrame) -> DataFrame:
+        side = lambda at: moves.select(F.col("frame").alias(at), *[F.col(f"u{k}").alias(f"{k}{at}") for k in "abcdef"])
+        j = of.join(side("i"), "i").join(side("j"), "j")
+        to = lambda u, v, w, at: F.col(u + at) * F.col("x" + at) + F.col(v + at) * F.col("y" + at) + F.col(w + at)
+        dx, dy = to("a", "b", "c", "i") - to("a", "b", "c", "j"), to("d", "e", "f", "i") - to("d", "e", "f", "j")
+        return j.select(*of.columns, (dx * dx + dy * dy).alias("square"))
+
+    kept, n = every, every.count()
+    for k in range(passes):
+        moves = settled(_moves(_normal_sums(kept), held, extent), "moves")
+        if k == passes - 1:
+            break
+        rest = left(kept, moves)
+        level = rest.groupBy("component").agg(F.avg("square").alias("mean"))
+        kept = settled(rest.join(level, "component").filter(F.col("square") <= sigmas**2 * F.col("mean") + 1e-18).select(*every.columns), "common-stars")
+        if kept.count() == n:
             break
-    after = rms()
-    if after >= 0.999 * before:
-        return {f: same for f in frames}, before, before
-    return maps, before, after
+    square = (F.col("xi") - F.col("xj")) ** 2 + (F.col("yi") - F.col("yj")) ** 2
+    score = left(every, moves).groupBy("component").agg(F.sqrt(F.avg(square)).alias("before"), F.sqrt(F.avg("square")).alias("after"))
+    better = F.col("after") < GAIN * F.col("before")
+    same = dict(zip("abcdef", (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)))
+    chosen = [F.when(better, F.col(f"u{k}")).otherwise(F.lit(v)).alias(f"u{k}") for k, v in same.items()]
+    return moves.join(score, "component").select("component", "frame", *chosen, "before", F.when(better, F.col("after")).otherwise(F.col("before")).alias("after"))
+
+
+def composed(fits: DataFrame, after: str = "u") -> list:
+    """Columns a .. f of the map ``a .. f`` followed by the map of the columns with the prefix."""
+    c, u = F.col, lambda k: F.col(after + k)
+    row = lambda x, y, z: [u(x) * c("a") + u(y) * c("d"), u(x) * c("b") + u(y) * c("e"), u(x) * c("c") + u(y) * c("f") + u(z)]
+    return [v.alias(k) for k, v in zip("abcdef", row("a", "b", "c") + row("d", "e", "f"))]
 
 
 def bundled(stars: DataFrame, fits: DataFrame, reference_frame: int, extent: float) -> DataFrame:
-    """``fits`` with the bundle's moves behind them. Common stars are found by joins; a group of frames that hang together is solved at once, of capped catalogs."""
+    """``fits`` with the bundle's moves behind them. Common stars are found by joins."""
     from lumenweave.operators.graph import frame_components
 
-    pairs = common_stars(transformed(stars, fits))
+    fits = settled(fits, "fits")
+    pairs = settled(common_stars(transformed(stars, fits)), "common-stars")
     comps = frame_components(fits.select("frame"), pairs.select("i", "j").distinct())
+    moves = bundle(pairs, comps, reference_frame, extent)
+    j = fits.join(moves, "frame", "left").fillna({"ua": 1.0, "ub": 0.0, "uc": 0.0, "ud": 0.0, "ue": 1.0, "uf": 0.0})
+    return j.select("frame", "method", "support", "rms", *composed(j))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "j", "xi", "yi"])
-        held = {reference_frame} & (set(pdf["i"]) | set(pdf["j"]))
-        maps, _, _ = bundle(pdf, held or {int(pdf["i"].min())}, extent)
-        return pd.DataFrame([(f, *m.ravel()) for f, m in maps.items()], columns=["frame", "ua", "ub", "uc", "ud", "ue", "uf"])
 
-    schema = "frame long, ua double, ub double, uc double, ud double, ue double, uf double"
-    moves = pairs.join(comps.withColumnRenamed("frame", "i"), "i").groupBy("component").applyInPandas(run, schema)
-    c = F.col
-    j = fits.join(moves, "frame", "left").fillna({"ua": 1.0, "ub": 0.0, "uc": 0.0, "ud": 0.0, "ue": 1.0, "uf": 0.0})
-    lead = lambda u, v: (c(u) * c("a") + c(v) * c("d"), c(u) * c("b") + c(v) * c("e"), c(u) * c("c") + c(v) * c("f"))
-    top, low = lead("ua", "ub"), lead("ud", "ue")
-    return j.select(
-        "frame", "method", "support", "rms", top[0].alias("a"), top[1].alias("b"), (top[2] + c("uc")).alias("c"), low[0].alias("d"), low[1].alias("e"), (low[2] + c("uf")).alias("f")
-    )
+def align_frames(stars: DataFrame, reference_frame: int, extent: float, adjust: bool = False) -> DataFrame:
+    """Fits of all frames that can be placed: directly first, then through the stars of frames placed before, until none is added.
+
+    Fits, a row a frame, are written between rounds. With ``adjust`` the bundle moves all but the reference
+    once more, where that brings the frames' common stars closer.
+    """
+    done = settled(stars.sparkSession.createDataFrame([(reference_frame, "reference", 0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0)], FIT), "fits")
+    way = ""
+    while True:
+        new = align_to(stars.join(done.select("frame"), "frame", "left_anti"), transformed(stars, done), extent)
+        new = settled(new.withColumn("method", F.concat(F.lit(way), "method")), "fits")
+        if new.isEmpty():
+            break
+        done, way = settled(done.unionByName(new), "fits"), "chain-"
+    return bundled(stars, done, reference_frame, extent) if adjust else done
 
 
-def align_channels(stars: DataFrame, reference: int, extent: float) -> DataFrame:
-    """Fits of colour channels (``frame``) that share a grid already to one of them: catalogs spread over the field, directly, without chains."""
+CHANNEL = "frame long, via long, " + FIT.partition(", ")[2]
+
+
+def align_channels(stars: DataFrame, reference: int, extent: float, eligible: DataFrame | None = None, least: int = 8, most_rms: float = NEAR) -> DataFrame:
+    """Fits (frame, via and a fit's columns) of colour channels (``frame``) that share a grid to one of them: directly, or else through a channel that has been placed.
+
+    Catalogs are spread over the field. What the reference can't place is tried against every channel placed in the rounds before, in pairs of ``eligible`` (frame, via;
+    all if not given), until a round places none. A fit needs ``least`` stars and an RMS of ``most_rms``; of several ways the one with most stars is
+    taken, and its map goes behind that of the channel it leads through. ``via`` is the reference for direct fits; channels without a way are left out.
+    """
     from lumenweave.operators.series import spread
 
-    even = spread(stars, STARS, ["frame"], extent).drop("rank")
-    return align_to(even.filter(F.col("frame") != reference), even.filter(F.col("frame") == reference), extent)
+    even = settled(spread(stars, STARS, ["frame"], extent).withColumn("rank", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("peak"), "x", "y"))).select("frame", "x", "y", "rank"), "channels")
+    every = even.select("frame").distinct()
+    identity = [F.lit(float(v)).alias(k) for k, v in zip("abcdef", (1, 0, 0, 0, 1, 0))]
+    placed = every.filter(F.col("frame") == reference).select("frame", F.col("frame").alias("via"), F.lit("reference").alias("method"), F.lit(0).cast("long").alias("support"), F.lit(0.0).alias("rms"), *identity)
+    placed = settled(placed, "placed")
+    newest = placed
+    while True:
+        pairs = every.join(placed, "frame", "left_anti").crossJoin(F.broadcast(newest.select(F.col("frame").alias("via"))))  # channels, a handful
+        if eligible is not None:
+            pairs = pairs.join(eligible.select("frame", "via"), ["frame", "via"], "left_semi").union(pairs.filter(F.col("via") == reference)).distinct()
+        pairs = pairs.withColumn("pair", F.concat_ws(":", "frame", "via"))
+        own = even.join(pairs, "frame").select("pair", "x", "y", "rank")
+        ref = even.select(F.col("frame").alias("via"), "x", "y", "rank").join(pairs, "via")
+        ref = ref.select(*[F.col(c).alias(c) for c in ("pair", "x", "y", "rank")])  # new names for the plan, as in _beside
+        tried = _tried(own, ref, "pair", extent).filter((F.col("support") >= least) & (F.col("rms") <= most_rms))
+        found = best_trials(tried, "pair").join(pairs, "pair").select("frame", "via", "method", "support", "rms", *"abcdef")
+        found = found.groupBy("frame").agg(F.max_by(F.struct(*found.columns), F.struct("support", -F.col("rms"), -F.col("via"))).alias("t")).select("t.*")
+        parents = placed.select(F.col("frame").alias("via"), *[F.col(k).alias(f"u{k}") for k in "abcdef"])
+        j = found.join(parents, "via")
+        newest = settled(j.select("frame", "via", "method", "support", "rms", *composed(j)), "placed")
+        if newest.isEmpty():
+            return placed.filter(F.col("frame") != reference)
+        placed = settled(placed.unionByName(newest), "placed")
 
 
 def warped(df: DataFrame, fits: DataFrame, width: int, height: int) -> DataFrame:

@@ -53,7 +53,7 @@ def test_alignment_goes_through_a_chain(spark):
     assert abs(got[1].c + 4) < 0.2 and abs(got[2].c + 8) < 0.4 and abs(got[2].f - 6) < 0.4
 
 
-def test_bundle_improves_or_leaves_alone():
+def test_bundle_improves_or_leaves_alone(spark):
     rng = np.random.default_rng(2)
     truth = {0: (0, 0), 1: (2, -1), 2: (-1.5, 1.2)}
     p = rng.uniform(0, 100, (30, 2))
@@ -62,25 +62,86 @@ def test_bundle_improves_or_leaves_alone():
         rows = [(i, j, *(p[k] - shift[i]), *(p[k] - shift[j])) for i, j in ((0, 1), (0, 2), (1, 2)) for k in range(30)]
         return pd.DataFrame(rows, columns=["i", "j", "xi", "yi", "xj", "yj"])
 
-    maps, before, after = align.bundle(pairs(truth), {0}, 100.0)
-    assert after < 1e-3 < before and np.allclose(maps[2][:, 2], truth[2], atol=1e-2) and np.array_equal(maps[0], [[1, 0, 0], [0, 1, 0]])
-    maps, before, after = align.bundle(pairs({k: (0, 0) for k in truth}), {0}, 100.0)
-    assert before == after == 0 and all(np.array_equal(m, [[1, 0, 0], [0, 1, 0]]) for m in maps.values())
-
-
-def test_cascade_finds_large_shifts_and_refuses_false_ones():
+    def solved(df):
+        comps = spark.createDataFrame([(k, 0) for k in truth], "frame long, component long")
+        rows = align.bundle(spark.createDataFrame(df), comps, 0, 100.0).collect()
+        return {r.frame: np.array([[r.ua, r.ub, r.uc], [r.ud, r.ue, r.uf]]) for r in rows}, rows[0].before, rows[0].after
+
+    same = np.array([[1.0, 0, 0], [0, 1, 0]])
+    maps, before, after = solved(pairs(truth))
+    assert after < 1e-3 < before and np.allclose(maps[2][:, 2], truth[2], atol=1e-2) and np.array_equal(maps[0], same)
+    wild = pairs(truth)
+    wild.loc[[3, 40, 77], "xi"] += 9
+    maps, before, after = solved(wild)
+    assert np.allclose(maps[1][:, 2], truth[1], atol=1e-6) and np.allclose(maps[2][:, 2], truth[2], atol=1e-6)  # pairs that don't fit go
+    far = pairs(truth | {2: (60, 0)})
+    maps, _, _ = solved(far)
+    assert np.array_equal(maps[2], same)  # a move that can't be believed isn't made
+    maps, before, after = solved(pairs({k: (0, 0) for k in truth}))
+    assert before == after == 0 and all(np.array_equal(m, same) for m in maps.values())
+
+
+def test_bundle_equals_least_squares(spark):
+    """The sums by pair of frames give what one system over all stars gives."""
+    rng = np.random.default_rng(12)
+    rows = [(i, j, *p.tolist(), *(p + rng.normal(0, 0.3, 2)).tolist()) for i, j in ((0, 1), (1, 2), (0, 3), (2, 3)) for p in rng.uniform(0, 100, (20, 2))]
+    a, b = [], []
+    for i, j, xi, yi, xj, yj in rows:
+        for axis in (0, 1):
+            line = np.zeros(16)
+            line[4 * i : 4 * i + 4] += [xi, -yi, 1, 0] if axis == 0 else [yi, xi, 0, 1]
+            line[4 * j : 4 * j + 4] -= [xj, -yj, 1, 0] if axis == 0 else [yj, xj, 0, 1]
+            a.append(line[4:])
+            b.append(xj - xi if axis == 0 else yj - yi)
+    want = np.linalg.lstsq(np.array(a), np.array(b), rcond=None)[0].reshape(-1, 4)
+    comps = spark.createDataFrame([(k, 0) for k in range(4)], "frame long, component long")
+    got = align.bundle(spark.createDataFrame(rows, "i long, j long, xi double, yi double, xj double, yj double"), comps, 0, 100.0, passes=1).collect()
+    for r in got:
+        s_, r_, t, u = (0, 0, 0, 0) if r.frame == 0 else want[r.frame - 1]
+        assert np.allclose([r.ua, r.ub, r.uc, r.ud, r.ue, r.uf], [1 + s_, -r_, t, r_, 1 + s_, u], atol=1e-8)
+
+
+def best(p, q, extent=(900, 900)):
+    return max(align.trials(p, q, extent), key=lambda t: (t[2], t[0] == "none", -t[3]), default=None)
+
+
+def test_trials_find_large_shifts_and_refuse_false_ones():
     rng = np.random.default_rng(8)
     q = rng.uniform(0, 900, (60, 2))
     turn = np.array([[0.9995, -0.02], [0.02, 0.9995]])
     for shift in ((3, -2), (60, 40), (110, -90)):
         p = (q - shift) @ np.linalg.inv(turn).T
-        method, m, n, rms = align.cascade(p, q, (900, 900))
+        method, m, n, rms = best(p, q)
         assert n >= 55 and rms < 0.1 and np.allclose(p @ m[:, :2].T + m[:, 2], q, atol=0.05)
-    assert align.cascade(rng.uniform(0, 900, (12, 2)), q, (900, 900)) is None
-    assert align.cascade(q[:1], q, (900, 900)) is None
-    few = q[:5] + 140  # so far that only triangles tell
-    got = align.cascade(few, q[:5], (900, 900))
-    assert got is None or got[2] >= 3
+    assert best(rng.uniform(0, 900, (12, 2)), q) is None
+    assert best(q[:1], q) is None
+    few = q[:8] + 100  # so few that no offset is common enough
+    assert np.allclose(best(few, q[:8])[1], [[1, 0, -100], [0, 1, -100]], atol=0.01)
+    assert best(q, q + rng.normal(0, 0.1, q.shape))[0] == "none"  # a correction must pay
+
+
+def test_the_model_with_fewer_unknowns_unless_more_pay():
+    rng = np.random.default_rng(4)
+    p = rng.uniform(0, 500, (50, 2))
+    noise = rng.normal(0, 0.2, p.shape)
+    assert align.best_model(p, p @ np.array([[1.0, -0.01], [0.01, 1.0]]).T + [3, 4] + noise)[1] == 4
+    m, unknowns = align.best_model(p, p @ np.array([[1.01, 0.004], [0.0, 0.99]]).T + [3, 4] + noise)
+    assert unknowns == 6 and np.allclose(m, [[1.01, 0.004, 3], [0, 0.99, 4]], atol=0.2)
+    assert align.best_model(p[:1], p[:1]) is None
+
+
+def test_channels_through_neighbours(spark):
+    """Channel 2 shares no star with the reference, 3 none with anything; 2 is placed through 1."""
+    rng = np.random.default_rng(6)
+    sky = rng.uniform(0, 250, (120, 2))
+    own = {0: sky[:60], 1: sky[40:100] + [5, -3], 2: sky[75:] + [9, 4], 3: rng.uniform(0, 250, (2, 2))}
+    rows = [(f, k, float(x), float(y), float(200 - k)) for f, p in own.items() for k, (x, y) in enumerate(p)]
+    st = spark.createDataFrame(rows, "frame long, star long, x double, y double, peak double")
+    got = {r.frame: r for r in align.align_channels(st, 0, 250.0).collect()}
+    assert got[1].via == 0 and abs(got[1].c + 5) < 0.01 and abs(got[1].f - 3) < 0.01
+    assert got[2].via == 1 and abs(got[2].c + 9) < 0.01 and abs(got[2].f + 4) < 0.01 and set(got) == {1, 2}
+    none = spark.createDataFrame([(2, 3)], "frame long, via long")
+    assert {r.frame for r in align.align_channels(st, 0, 250.0, eligible=none).collect()} == {1}
 
 
 def test_samples_decide_the_seed():
