@@ -203,64 +203,100 @@ def component_shapes(labels: DataFrame) -> DataFrame:
     return labels.groupBy("frame", "label").agg(F.count("*").alias("area"), w.alias("width"), h.alias("height"), (F.count("*") / (w * h)).alias("fill"))
 
 
+def _grown(now: np.ndarray, seeds: np.ndarray, floors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels (flat places of a grid with a border of NaN) that hang together with seeds, each above the floor of the seed it is reached from, and the number of their blob.
+
+    All blobs grow together by a ring of pixels at a time; those that touch are one, and have the number of their first seed.
+    """
+    width = now.shape[1]
+    values, label = now.ravel(), np.full(now.size, -1, dtype=np.int64)
+    label[seeds] = np.arange(len(seeds))
+    around = np.array([i * width + j for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    ring, touching = seeds, [np.empty((0, 2), dtype=np.int64)]
+    while len(ring):
+        at, own = (ring[:, None] + around).ravel(), np.repeat(label[ring], 8)
+        met = (label[at] >= 0) & (label[at] != own)
+        touching.append(np.unique(np.stack([own[met], label[at[met]]], axis=1), axis=0))
+        new = (label[at] < 0) & (values[at] > floors[own])
+        at, own = at[new], own[new]
+        order = np.lexsort((own, at))
+        ring, first = np.unique(at[order], return_index=True)
+        label[ring] = own[order][first]
+    blob, links = np.arange(len(seeds)), np.concatenate(touching)
+    while len(links):
+        before = blob.copy()
+        np.minimum.at(blob, links[:, 0], blob[links[:, 1]])
+        np.minimum.at(blob, links[:, 1], blob[links[:, 0]])
+        blob = blob[blob]
+        if np.array_equal(blob, before):
+            break
+    at = np.flatnonzero(label >= 0)
+    return at, blob[label[at]]
+
+
 def clean_grid(g: np.ndarray, sigma: float, inside: np.ndarray | None = None, spared: np.ndarray | None = None, passes: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Single-frame cosmic-ray removal: (cleaned, hit).
 
     A seed is positive and above its four neighbours (a missing one counts as the seed itself) by ten deviations in all; it grows over
-    touching samples above its own wide background, the upper median of 11 x 11, plus two deviations. A grown blob like a star (over 60
-    pixels, or over 12 that fill their box of more than 3 x 3 to 0.65) stays, any other becomes the background. ``inside``: where
-    seeds may lie (the raster but for its outer two pixels); ``spared`` pixels never seed.
+    touching samples above its own wide background, the upper median of 11 x 11, plus two deviations; blobs that touch are one, with the background of
+    the first seed. A blob like a star (over 60 pixels, or over 12 that fill their box of more than 3 x 3 to 0.65) stays, any other becomes the background.
+    ``inside``: where seeds may lie (the raster but for its outer two pixels); ``spared`` pixels never seed.
     """
     height, width = g.shape
     if inside is None:
         inside = np.zeros(g.shape, dtype=bool)
         inside[2 : height - 2, 2 : width - 2] = True
-    now, hit = g, np.zeros(g.shape, dtype=bool)
+    if spared is not None:
+        inside = inside & ~spared
+    now, hit = np.pad(g, 5, constant_values=np.nan), np.zeros((height + 10, width + 10), dtype=bool)
+    inside = np.pad(inside, 5)
+    wide = np.array([i * now.shape[1] + j for i in range(-5, 6) for j in range(-5, 6)])
     for _ in range(passes):
-        s = shifted(now, 1)
-        sides = [np.where(np.isnan(s[k]), now, s[k]) for k in (1, 3, 5, 7)]
-        seed = inside & (now > 0) & (4 * now - sum(sides) > 10 * sigma)
-        if spared is not None:
-            seed &= ~spared
-        out, done = now.copy(), np.zeros(g.shape, dtype=bool)
-        for y, x in map(tuple, np.argwhere(seed)):
-            if done[y, x]:
-                continue
-            wide = now[max(0, y - 5) : y + 6, max(0, x - 5) : x + 6]
-            wide = np.sort(wide[~np.isnan(wide)])
-            level = float(wide[len(wide) // 2])
-            blob, own = [(y, x)], {(y, x)}
-            for a, b in blob:
-                for i in range(max(0, a - 1), min(height, a + 2)):
-                    for j in range(max(0, b - 1), min(width, b + 2)):
-                        if (i, j) not in own and not done[i, j] and now[i, j] > level + 2 * sigma:
-                            own.add((i, j))
-                            blob.append((i, j))
-            ys, xs = (np.array(c) for c in zip(*blob))
-            h, w = np.ptp(ys) + 1, np.ptp(xs) + 1
-            done[ys, xs] = True
-            if not (len(blob) > 60 or (len(blob) > 12 and len(blob) / (h * w) > 0.65 and h > 3 and w > 3)):
-                out[ys, xs] = level
-                hit[ys, xs] = True
-        now = out
-    return now, hit
+        around = np.stack([np.roll(now, step, axis) for axis in (0, 1) for step in (-1, 1)])
+        excess = (now - np.where(np.isnan(around), now, around)).sum(axis=0)
+        seeds = np.flatnonzero(inside & (now > 0) & (excess > 10 * sigma))
+        if not len(seeds):
+            break
+        window = np.sort(now.ravel()[seeds[:, None] + wide], axis=1)  # NaN come last
+        levels = window[np.arange(len(seeds)), (~np.isnan(window)).sum(axis=1) // 2]
+        at, blob = _grown(now, seeds, levels + 2 * sigma)
+        area = np.bincount(blob, minlength=len(seeds))
+        y, x = np.divmod(at, now.shape[1])
+        span = []
+        for c in (y, x):
+            low, high = np.full(len(seeds), now.size), np.full(len(seeds), -1)
+            np.minimum.at(low, blob, c)
+            np.maximum.at(high, blob, c)
+            span.append(np.maximum(high - low + 1, 1))
+        star = (area > 60) | ((area > 12) & (area > 0.65 * span[0] * span[1]) & (span[0] > 3) & (span[1] > 3))
+        gone = ~star[blob]
+        now, flat = now.copy(), hit.ravel()
+        now.ravel()[at[gone]] = levels[blob[gone]]
+        flat[at[gone]] = True
+    return now[5:-5, 5:-5], hit[5:-5, 5:-5]
 
 
 #: What a blob that isn't a star may span, with the window of its background, in each of two passes.
 CLEAN_HALO = 2 * (61 + 6)
 
 
-def clean(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256) -> DataFrame:
-    """Cosmic-ray cleaned pixels with a ``hit`` flag; ``levels`` has the sigma of each frame. The halo holds every blob that is removed, so tiles don't show."""
+def clean(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256, spared: DataFrame | None = None) -> DataFrame:
+    """Cosmic-ray cleaned pixels with a ``hit`` flag; ``levels`` has the sigma of each frame, ``spared`` the pixels (x, y) that never seed.
+
+    The halo holds every blob that is removed, so tiles don't show.
+    """
     rows = df.join(F.broadcast(levels.select("frame", "sigma")), "frame")  # a row a frame
+    if spared is not None:
+        rows = rows.join(spared.select("x", "y", F.lit(1.0).alias("spared")), ["x", "y"], "left")
+    inputs = ("v", "sigma") if spared is None else ("v", "sigma", "spared")
 
     def kernel(p, left, top):
         y, x = np.arange(p["v"].shape[0]) + top, np.arange(p["v"].shape[1]) + left
         inside = ((y >= 2) & (y < height - 2))[:, None] & ((x >= 2) & (x < width - 2))[None, :]
-        out, hit = clean_grid(p["v"], float(np.nanmax(p["sigma"])), inside)
+        out, hit = clean_grid(p["v"], float(np.nanmax(p["sigma"])), inside, p["spared"] == 1 if "spared" in p else None)
         return {"clean": out, "hit": hit}
 
-    return tile_map(rows, kernel, {"clean": "double", "hit": "boolean"}, size, CLEAN_HALO, ("v", "sigma"), placed=True)
+    return tile_map(rows, kernel, {"clean": "double", "hit": "boolean"}, size, CLEAN_HALO, inputs, placed=True)
 
 
 def cosmic_mask(df: DataFrame, snr: float = 4.0, scale: float = 1.2) -> DataFrame:
@@ -358,24 +394,21 @@ def feathered(sources: DataFrame) -> DataFrame:
     )
 
 
-def shared_star_mask(df: DataFrame, levels: DataFrame, width: int, height: int, least: int = 2) -> DataFrame:
-    """Pixels (x, y) that are stars in several channels: seeds above bg + 2 sigma in at least ``least`` frames, grown in each
-    channel above bg + 1 sigma along touching pixels, and dilated by one."""
+def shared_star_mask(df: DataFrame, levels: DataFrame, width: int, height: int, least: int = 2, seed_sigmas: float = 2.0, grow_sigmas: float = 1.0) -> DataFrame:
+    """Pixels (x, y) that are stars in several channels: seeds above bg + ``seed_sigmas`` sigma in at least ``least`` frames, grown in each
+    channel above bg + ``grow_sigmas`` sigma along touching pixels, and dilated by one."""
     rows = df.join(F.broadcast(levels), "frame").filter(finite(F.col("v")))
-    seed = rows.filter(F.col("v") > F.col("bg") + 2 * F.col("sigma")).groupBy("x", "y").agg(F.countDistinct("frame").alias("n")).filter(F.col("n") >= least)
-    bright = rows.filter(F.col("v") > F.col("bg") + F.col("sigma")).select("frame", "x", "y")
+    seed = rows.filter(F.col("v") > F.col("bg") + seed_sigmas * F.col("sigma")).groupBy("x", "y").agg(F.countDistinct("frame").alias("n")).filter(F.col("n") >= least)
+    bright = rows.filter(F.col("v") > F.col("bg") + grow_sigmas * F.col("sigma")).select("frame", "x", "y")
     blobs = label_components(bright)
     hit = blobs.join(seed.select("x", "y"), ["x", "y"]).select("frame", "label").distinct()
     grown = blobs.join(hit, ["frame", "label"], "left_semi").select(F.lit(0).cast("long").alias("frame"), "x", "y").distinct()
     return dilate(grown, 1, width, height).select("x", "y")
 
 
-def clean_channels(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256) -> DataFrame:
-    """Cosmic-ray cleaning of aligned channels: what they share as stars is left alone, whatever a single channel looks like."""
-    stars = shared_star_mask(df, levels, width, height).withColumn("star", F.lit(True))
-    got = clean(df, levels, width, height, size).join(df.select("frame", "x", "y", "v"), ["frame", "x", "y"]).join(stars, ["x", "y"], "left")
-    spared = F.coalesce("star", F.lit(False))
-    return got.select("frame", "x", "y", F.when(spared, F.col("v")).otherwise(F.col("clean")).alias("clean"), (F.col("hit") & ~spared).alias("hit"))
+def clean_channels(df: DataFrame, levels: DataFrame, width: int, height: int, size: int = 256, **stars) -> DataFrame:
+    """Cosmic-ray cleaning of aligned channels: pixels that they share as stars never seed, whatever a single channel looks like there. ``stars``: settings of ``shared_star_mask``."""
+    return clean(df, levels, width, height, size, shared_star_mask(df, levels, width, height, **stars))
 
 
 def footprints(frames: DataFrame, maps: dict) -> DataFrame:

@@ -413,7 +413,7 @@ def g04(spark, sf):
 def m14(spark, sf):
     p = pix_nan(spark, sf).cache()  # read by the levels, the star mask and the cleaning
     levels = stats.background(p, ["frame"]).select("frame", "bg", (F.col("sigma") / 4).alias("sigma"))
-    return raster.clean_channels(p, levels, 64, 64, 64).filter("hit").select("frame", "x", "y", r("clean"))
+    return raster.clean_channels(p, levels, 64, 64, 64, seed_sigmas=8.0, grow_sigmas=6.0).filter("hit").select("frame", "x", "y", r("clean"))
 
 
 @query("u03_shared_star_mask")

@@ -268,31 +268,47 @@ def wide_background(g, y, x):
 
 
 def cleaned(g, sigma, spared=None):
-    """Two passes, seed by seed in row order."""
+    """Two passes; blobs grow by rings, those that touch are one."""
     hit = np.zeros(g.shape, bool)
+    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
     for _ in range(2):
-        out, done = g.copy(), np.zeros(g.shape, bool)
+        levels, label = {}, {}
         for y in range(2, 62):
             for x in range(2, 62):
                 v = g[y, x]
-                if done[y, x] or not v > 0 or (spared is not None and spared[y, x]):
-                    continue
                 near = [g[y - 1, x], g[y + 1, x], g[y, x - 1], g[y, x + 1]]
-                if 4 * v - sum(v if math.isnan(n) else n for n in near) <= 10 * sigma:
-                    continue
-                level = wide_background(g, y, x)
-                blob, seen = [(y, x)], {(y, x)}
-                for a, b in blob:
-                    for k in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
-                        if 0 <= k[0] < 64 and 0 <= k[1] < 64 and k not in seen and not done[k] and g[k] > level + 2 * sigma:
-                            seen.add(k)
-                            blob.append(k)
-                h, w = (max(c) - min(c) + 1 for c in zip(*blob))
-                star = len(blob) > 60 or (len(blob) > 12 and len(blob) / (h * w) > 0.65 and h > 3 and w > 3)
+                if v > 0 and not (spared is not None and spared[y, x]) and 4 * v - sum(v if math.isnan(n) else n for n in near) > 10 * sigma:
+                    label[y, x] = len(levels)
+                    levels[len(levels)] = wide_background(g, y, x)
+        ring = list(label)
+        while ring:
+            new = {}
+            for a, b in ring:
+                for k in ((a + i, b + j) for i, j in around):
+                    if 0 <= k[0] < 64 and 0 <= k[1] < 64 and k not in label and g[k] > levels[label[a, b]] + 2 * sigma:
+                        new[k] = min(new.get(k, len(levels)), label[a, b])
+            label |= new
+            ring = list(new)
+        top = {n: n for n in levels}
+
+        def find(n):
+            while top[n] != n:
+                n = top[n]
+            return n
+
+        for (a, b), n in label.items():
+            for i, j in around:
+                if (m := label.get((a + i, b + j))) is not None:
+                    lo, hi = sorted((find(n), find(m)))
+                    top[hi] = lo
+        out, blobs = g.copy(), defaultdict(list)
+        for k, n in label.items():
+            blobs[find(n)].append(k)
+        for n, blob in blobs.items():
+            h, w = (max(c) - min(c) + 1 for c in zip(*blob))
+            if not (len(blob) > 60 or (len(blob) > 12 and len(blob) / (h * w) > 0.65 and h > 3 and w > 3)):
                 for k in blob:
-                    done[k] = True
-                    if not star:
-                        out[k], hit[k] = level, True
+                    out[k], hit[k] = levels[n], True
         g = out
     return g, hit
 
@@ -311,13 +327,13 @@ def test_cosmic_cleaning(spark, holed):
     assert got.keys() == want.keys() and got and all(abs(got[k] - want[k]) < 2e-4 for k in got)
 
 
-def shared(spark, df):
+def shared(spark, df, seed_sigmas=2, grow_sigmas=1):
     levels = {r.frame: (r.bg, r.sigma / 4) for r in stats.background(df, ["frame"]).collect()}
     g = grids(df)
-    seed = sum((np.nan_to_num(v, nan=-1e9) > levels[f][0] + 2 * levels[f][1]).astype(int) for f, v in g.items()) >= 2
+    seed = sum((np.nan_to_num(v, nan=-1e9) > levels[f][0] + seed_sigmas * levels[f][1]).astype(int) for f, v in g.items()) >= 2
     grown = np.zeros((64, 64), bool)
     for f, v in g.items():
-        labels = components(np.nan_to_num(v, nan=-1e9) > levels[f][0] + levels[f][1])
+        labels = components(np.nan_to_num(v, nan=-1e9) > levels[f][0] + grow_sigmas * levels[f][1])
         good = {n for k, n in labels.items() if seed[k]}
         for k, n in labels.items():
             grown[k] |= n in good
@@ -332,12 +348,12 @@ def test_shared_star_mask(spark):
 
 def test_channel_cleaning(spark, holed):
     df = pix_nan(spark, SF)
-    stars_, sigma = shared(spark, df), sigmas(spark, df)
+    stars_, sigma = shared(spark, df, 8, 6), sigmas(spark, df)
     want = set()
     for f, g in holed.items():
-        _, hit = cleaned(g, sigma[f])
-        want |= {(f, x, y) for y, x in map(tuple, np.argwhere(hit & ~stars_))}
-    assert {(r.frame, r.x, r.y) for r in rows(spark, "m14_channel_clean")} == want
+        _, hit = cleaned(g, sigma[f], stars_)
+        want |= {(f, x, y) for y, x in map(tuple, np.argwhere(hit))}
+    assert {(r.frame, r.x, r.y) for r in rows(spark, "m14_channel_clean")} == want and want
 
 
 def found_again(spark, name, profile, field):
