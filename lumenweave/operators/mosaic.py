@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import scalars as s
 from lumenweave.functions.scalars import Affine
 from lumenweave.operators import combine, compose, graph, raster, series, stats
+from lumenweave.session import settled
 
 
 @dataclass
@@ -25,6 +26,9 @@ class Options:
     sky: str = "match"
     destripe: bool = False
     reject: bool = False
+    separate_kernel: str = "turbo"  # of the frames that the model is made of
+    snr: float = 4.0  # of an excess over the model, that seeds
+    derivative: float = 1.2  # of the model's steepest step, that a seed must pass besides
     cell: int = 32
     width: int = 64
     maps: dict[int, Affine] = field(default_factory=dict)
@@ -33,7 +37,7 @@ class Options:
 
 def prepare(df: DataFrame, options: Options, meta: DataFrame | None = None, template: DataFrame | None = None) -> DataFrame:
     """Frames' pixels (frame, x, y, v, err, dq) ready to combine. The order is part of the result:
-    template, units, exposure, amplifier steps, row bands, masks, and last the sky (see ``subtract_sky``).
+    template, units, exposure, amplifier steps, row bands, and last masks. The sky comes off when frames are combined (``build``).
 
     ``meta``: unit and exptime a frame. ``template``: t by pixel, scaled by its own fit.
     """
@@ -59,16 +63,21 @@ def prepare(df: DataFrame, options: Options, meta: DataFrame | None = None, temp
     return out.withColumn("v", F.when(F.col("dq").bitwiseAND(1 << 31) != 0, F.lit(float("nan"))).otherwise(F.col("v")))
 
 
-def sky_levels(df: DataFrame, options: Options) -> DataFrame:
-    """The sky (frame, sky) that a build subtracts, by the options' method."""
-    own = stats.sky(df, ["frame"]).select("frame", F.col("median").alias("sky"), F.col("frame").alias("file")).cache()  # a row a frame, read by each step below
-    if options.sky in ("localmin", "globalmin", "none", ""):
-        return graph.plan_sky(own, own.select("frame", F.lit(None).cast("double").alias("offset")), options.sky) if options.sky not in ("none", "") else own.select("frame", F.lit(0.0).alias("sky"))
+def sky_levels(df: DataFrame, options: Options, extent: float = 0.0) -> DataFrame:
+    """What a build subtracts of each frame by the options' method: a sky and a plane (frame, sky, a, b, c), flat but for ``match+plane``, over ``extent`` cells."""
+    flat = [F.lit(0.0).alias(c) for c in "abc"]
+    if options.sky in ("none", ""):
+        return df.select("frame").distinct().select("frame", F.lit(0.0).alias("sky"), *flat)
+    own = settled(stats.sky(df, ["frame"]).select("frame", F.col("median").alias("sky"), F.col("frame").alias("file")), "sky")
+    if options.sky in ("localmin", "globalmin"):
+        return graph.plan_sky(own, own.select("frame", F.lit(None).cast("double").alias("offset")), options.sky).select("frame", "sky", *flat)
     placed = combine.place(df, options.maps).withColumns({"x": F.floor("cx"), "y": F.floor("cy")})
-    c = combine.cells(placed, options.cell).cache()  # a row a cell
-    edges = graph.overlap_edges(combine.overlap_differences(c)).cache()
+    differences = settled(combine.overlap_differences(combine.cells(placed, options.cell)), "overlaps")  # a row a pair of frames and cell
+    edges = settled(graph.overlap_edges(differences), "edges")
     comps = graph.frame_components(own, edges)
-    return graph.plan_sky(own, graph.solve_offsets(edges, comps), options.sky)
+    if options.sky == "match+plane":
+        return graph.plan_planes(own, graph.solve_planes(differences, comps, extent or 1.0))
+    return graph.plan_sky(own, graph.solve_offsets(edges, comps), options.sky).select("frame", "sky", *flat)
 
 
 def _on_output(df: DataFrame, options: Options) -> DataFrame:
@@ -89,25 +98,59 @@ def canvas(placed: DataFrame) -> tuple[int, int, int, int]:
     return left, top, math.ceil(r["hicx"]) - left + 1, math.ceil(r["hicy"]) - top + 1
 
 
+def separate(placed: DataFrame, kernel: str, drop: float, weight=None) -> DataFrame:
+    """Each frame drizzled alone (frame, ox, oy, v), of samples at (cx, cy) on the output grid."""
+    k = combine.scatter(placed.filter(s.finite(F.col("v"))), kernel, drop)
+    w = F.col("kw") if weight is None else weight * F.col("kw")
+    sums = k.groupBy("frame", "ox", "oy").agg(F.sum(F.col("v") * w).alias("vw"), F.sum(w).alias("w")).filter(F.abs("w") > 1e-12)
+    return sums.select("frame", "ox", "oy", (F.col("vw") / F.col("w")).alias("v"))
+
+
+def median_model(each: DataFrame, frames: int) -> DataFrame:
+    """What frames drizzled alone agree on (x, y, v): their median, or the lesser of mean and median for up to three frames."""
+    return combine.stack(each.select("frame", F.col("ox").alias("x"), F.col("oy").alias("y"), "v"), frames).select("x", "y", "v")
+
+
+def blot(model: DataFrame, placed: DataFrame) -> DataFrame:
+    """The output model (x, y, v) seen from each detector pixel (frame, x, y at cx, cy on the output grid): bilinear between the four output pixels around its
+    place, by weight of those that are there; pixels with none are left out."""
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    at = placed.select("frame", "x", "y", "cx", "cy", corner.alias("o")).filter(s.finite(F.col("cx")) & s.finite(F.col("cy")))
+    side = lambda c, o: F.when(F.col(f"o.{o}") == 0, 1 - (F.col(c) - F.floor(c))).otherwise(F.col(c) - F.floor(c))
+    at = at.select("frame", "x", "y", (F.floor("cx") + F.col("o.i")).alias("mx"), (F.floor("cy") + F.col("o.j")).alias("my"), (side("cx", "i") * side("cy", "j")).alias("w")).filter("w > 0")
+    known = model.filter(s.finite(F.col("v"))).select(F.col("x").alias("mx"), F.col("y").alias("my"), F.col("v").alias("m"))
+    got = at.join(known, ["mx", "my"]).groupBy("frame", "x", "y").agg(F.sum(F.col("m") * F.col("w")).alias("mw"), F.sum("w").alias("w"))
+    return got.select("frame", "x", "y", (F.col("mw") / F.col("w")).alias("model"))
+
+
+def rejected(placed: DataFrame, options: Options, frames: int) -> DataFrame:
+    """Detector pixels (frame, x, y) that stand out of what the other frames show there: frames drizzled alone, their median blotted back to each, and
+    a mask of the excess over noise and the blotted model's steepness. Noise is the error where there is one, else the frame's robust deviation."""
+    drop = options.pixfrac * options.scale
+    model = median_model(separate(placed, options.separate_kernel, drop), frames)
+    noise = stats.robust_sigma(placed, ["frame"]).select("frame", F.col("sigma").alias("own"))
+    seen = placed.join(blot(model, placed), ["frame", "x", "y"]).join(noise, "frame")
+    seen = seen.withColumn("noise", F.when(s.finite(F.col("err")) & (F.col("err") > 0), F.col("err")).otherwise(F.col("own")))
+    seen = settled(seen.filter(s.finite(F.col("v"))).select("frame", "x", "y", "v", "model", "noise"), "blotted")
+    return settled(raster.cosmic_mask(seen, options.snr, options.derivative).filter("flag").select("frame", "x", "y"), "rejected")
+
+
 def build(df: DataFrame, options: Options) -> DataFrame:
-    """Mosaic (ox, oy, v, weight, inputs, dq) of prepared frames: sky off, cosmic rays rejected if asked, scattered, summed, normalised.
+    """Mosaic (ox, oy, v, weight, inputs, dq) of prepared frames: sky or plane off, cosmic rays rejected if asked, scattered, summed, normalised.
 
     A canvas of more than ``most_pixels`` is refused: a stray map would make it.
     """
     _, _, width, height = canvas(_on_output(df, options))
     if width * height > options.most_pixels:
         raise ValueError(f"a canvas of {width} x {height} pixels: some frame's map is wrong")
-    levels = sky_levels(df, options).cache()
-    flat = df.join(F.broadcast(levels), "frame").withColumn("v", F.col("v") - F.coalesce("sky", F.lit(0.0))).drop("sky")
-    placed = _on_output(flat, options)
-    if options.reject:
-        # the model of each pixel is the median of all frames where it lands
-        near = placed.withColumns({"mx": F.floor(F.col("cx") + 0.5), "my": F.floor(F.col("cy") + 0.5)})
-        model = near.filter(s.finite(F.col("v"))).groupBy("mx", "my").agg(F.median("v").alias("model"), F.count("*").alias("n")).filter("n >= 3")
-        noise = stats.robust_sigma(flat, ["frame"]).select("frame", F.col("sigma").alias("noise"))
-        seen = near.join(model, ["mx", "my"]).join(F.broadcast(noise), "frame").select("frame", "x", "y", "v", "model", "noise")
-        bad = raster.cosmic_mask(seen).filter("flag").select("frame", "x", "y")
-        placed = placed.join(bad, ["frame", "x", "y"], "left_anti")
+    extent = max(width, height, 1) / options.scale / options.cell
+    levels = settled(sky_levels(df, options, extent), "levels")  # a row a frame
+    placed = _on_output(df.join(levels, "frame"), options)
+    at = lambda c: (F.col(c) / options.scale + 0.5) / options.cell / extent
+    off = F.coalesce("sky", F.lit(0.0)) + F.col("a") * at("cx") + F.col("b") * at("cy") + F.col("c")
+    placed = placed.withColumn("v", F.col("v") - off).drop("sky", "a", "b", "c")
+    if options.reject and (frames := levels.count()) > 1:
+        placed = placed.join(rejected(placed, options, frames), ["frame", "x", "y"], "left_anti")
     value, weight = combine.sample_weight("uniform")
     if options.weighting == "err":
         weight = F.when(F.col("err") > 0, 1 / (F.col("err") * F.col("err"))).otherwise(1.0)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenweave.functions import scalars as s
-from lumenweave.operators import align, detect, edit, mosaic, stats
+from lumenweave.operators import align, combine, detect, edit, mosaic, stats
 from lumenweave.plans.registry import query, r
 from lumenweave.plans.views import pix, pix_nan, stars, table, with_views
 
-P, S = with_views("pix"), with_views("stars")
+P, N, S = with_views("pix"), with_views("pix", "pix_nan"), with_views("stars")
 
 
 @query(
@@ -128,11 +128,29 @@ def m23(spark, sf):
 @query("m26_mosaic")
 def m26(spark, sf):
     maps = {k: s.Affine(c=1.5 * k, f=-0.75 * k) for k in range(8)}
-    ready = mosaic.prepare(pix_nan(spark, sf), mosaic.Options()).cache()  # each step of the build reads it
+    ready = mosaic.prepare(pix_nan(spark, sf).withColumn("err", F.col("err") * 20), mosaic.Options())  # errors of the size of the samples' own spread
     got = mosaic.build(ready, mosaic.Options(maps=maps, reject=True, cell=8, weighting="err"))
     return got.filter(~F.isnan("v")).select("ox", "oy", r("v", digits=2), r("weight", digits=3), "inputs", "dq")
 
 
+@query(
+    "m26_blotted_model",
+    f"""{N}, p AS (SELECT frame, x, y, v, CAST(x + 2 * frame AS DOUBLE) + 0.25 AS cx, CAST(y - frame AS DOUBLE) + 0.5 AS cy FROM pix_nan),
+e AS (SELECT frame, CAST(floor(cx + 0.5) AS BIGINT) AS ox, CAST(floor(cy + 0.5) AS BIGINT) AS oy, avg(v) AS v FROM p WHERE isfinite(v) GROUP BY 1, 2, 3),
+m AS (SELECT ox, oy, median(v) AS v FROM e GROUP BY 1, 2),
+k AS (SELECT p.frame, p.x, p.y, CAST(floor(cx) AS BIGINT) + i AS ox, CAST(floor(cy) AS BIGINT) + j AS oy,
+  (CASE i WHEN 0 THEN 1 - (cx - floor(cx)) ELSE cx - floor(cx) END) * (CASE j WHEN 0 THEN 1 - (cy - floor(cy)) ELSE cy - floor(cy) END) AS w
+  FROM p, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j))
+SELECT frame, x, y, round(sum(m.v * w) / sum(w), 4) AS model FROM k JOIN m USING (ox, oy) GROUP BY 1, 2, 3""",
+)
+def m26_blot(spark, sf):
+    """Frames drizzled alone, their median, and that seen from each frame's pixels."""
+    maps = {k: s.Affine(c=2.0 * k + 0.25, f=0.5 - k) for k in range(8)}
+    placed = combine.place(pix_nan(spark, sf), maps)
+    model = mosaic.median_model(mosaic.separate(placed, "point", 1.0), 8)
+    return mosaic.blot(model, placed).select("frame", "x", "y", r("model"))
+
+
 @query("m27_colour")
 def m27(spark, sf):
     weights = spark.range(8).select(F.col("id").alias("frame"), *[((F.col("id") + k) % 3 * 0.2).alias(c) for k, c in enumerate(("wr", "wg", "wb"))])

@@ -174,6 +174,94 @@ def test_mosaic_levels_frames_and_keeps_the_cache(spark, tmp_path):
     assert mosaic.cached_build(empty, o, f"file://{tmp_path}", "f1").count() == 2800  # an equal fingerprint reads
 
 
+@pytest.fixture(scope="module")
+def struck(spark):
+    """Five frames of one field under sub-pixel shifts, each with cosmic rays of its own: pixels, maps, places of rays and of stars."""
+    rng = np.random.default_rng(21)
+    y, x = np.mgrid[0:48, 0:48]
+    stars_ = [(12.3, 15.8, 900.0), (30.6, 9.2, 600.0), (21.1, 33.7, 1200.0), (38.4, 36.6, 300.0)]
+    maps = {k: s.Affine(c=0.37 * k, f=-0.53 * k) for k in range(5)}
+    frames, rays = {}, set()
+    for k in maps:
+        g = rng.normal(0, 1, (48, 48))
+        for a, b, peak in stars_:
+            g += peak * np.exp(-((x + maps[k].c - a) ** 2 + (y + maps[k].f - b) ** 2) / (2 * 1.6**2))
+        for _ in range(6):
+            i, j = (int(n) for n in rng.integers(4, 44, 2))
+            if min(math.hypot(i + maps[k].c - a, j + maps[k].f - b) for a, b, _ in stars_) > 7:
+                g[j, i] += 80
+                rays.add((k, i, j))
+        frames[k] = g
+    df = None
+    for k, g in frames.items():
+        own = px_frame(spark, g, k)
+        df = own if df is None else df.union(own)
+    return df.withColumns({"err": F.lit(1.0), "dq": F.lit(0).cast("long")}).cache(), frames, maps, rays, stars_
+
+
+def test_model_and_blot_by_loops(spark, struck):
+    from lumenweave.operators import combine
+
+    df, frames, maps, _, _ = struck
+    placed = combine.place(df, maps)
+    own = {}
+    for k, g in frames.items():
+        sums = {}
+        for j in range(48):
+            for i in range(48):
+                cx, cy = i + maps[k].c, j + maps[k].f
+                for ox in range(math.floor(cx), math.floor(cx) + 2):
+                    for oy in range(math.floor(cy), math.floor(cy) + 2):
+                        w = max(0, 1 - abs(ox - cx)) * max(0, 1 - abs(oy - cy))
+                        if w > 0:
+                            v, n = sums.get((ox, oy), (0.0, 0.0))
+                            sums[ox, oy] = v + w * g[j, i], n + w
+        own[k] = {at: v / n for at, (v, n) in sums.items() if n > 1e-12}
+    each = mosaic.separate(placed, "square", 1.0)
+    assert {(r.frame, r.ox, r.oy): r.v for r in each.collect()} == pytest.approx({(k, *at): v for k, o in own.items() for at, v in o.items()})
+    want = {at: float(np.median([o[at] for o in own.values() if at in o])) for at in set().union(*own.values())}
+    model = mosaic.median_model(each, 5)
+    assert {(r.x, r.y): r.v for r in model.collect()} == pytest.approx(want)
+    back = {(r.frame, r.x, r.y): r.model for r in mosaic.blot(model, placed).collect()}
+    assert len(back) == 5 * 48 * 48
+    for (k, i, j), m in back.items():
+        cx, cy = i + maps[k].c, j + maps[k].f
+        fx, fy = math.floor(cx), math.floor(cy)
+        w = {(fx + a, fy + b): (a * (cx - fx) + (1 - a) * (1 - cx + fx)) * (b * (cy - fy) + (1 - b) * (1 - cy + fy)) for a in (0, 1) for b in (0, 1)}
+        here = {at: n for at, n in w.items() if n > 0 and at in want}
+        assert m == pytest.approx(sum(n * want[at] for at, n in here.items()) / sum(here.values()))
+
+
+def test_rays_go_and_stars_stay(spark, struck):
+    df, frames, maps, rays, stars_ = struck
+    o = mosaic.Options(sky="none", reject=True, maps=maps, weighting="err")
+    from lumenweave.operators import combine
+
+    bad = {(r.frame, r.x, r.y) for r in mosaic.rejected(combine.place(df, maps), o, 5).collect()}
+    assert rays <= bad and len(rays) > 15
+    off = [min(math.hypot(i + maps[k].c - a, j + maps[k].f - b) for a, b, _ in stars_) for k, i, j in bad - rays]
+    assert all(d > 1.5 for d in off) and len(bad - rays) < 9 * len(rays)  # growth takes a ray's neighbours and no star's core
+    clean = {(r.ox, r.oy): r.v for r in mosaic.build(df, o).collect()}
+    for a, b, peak in stars_:
+        ox, oy = round(a), round(b)
+        want = peak * math.exp(-((ox - a) ** 2 + (oy - b) ** 2) / (2 * 1.6**2))
+        assert abs(clean[ox, oy] - want) < 0.12 * peak
+    quiet = [v for (i, j), v in clean.items() if 5 < i < 43 and 5 < j < 40 and min(math.hypot(i - a, j - b) for a, b, _ in stars_) > 9]
+    assert max(quiet) < 6
+
+
+def test_planes_come_off_in_a_build(spark):
+    y, x = np.mgrid[0:40, 0:40]
+    rng = np.random.default_rng(3)
+    scene = rng.normal(0, 0.5, (40, 60))
+    left, right = scene[:, :40] + 100, scene[:, 20:] + 130 + 0.4 * (x + 20) - 0.2 * y
+    df = px_frame(spark, left).union(px_frame(spark, right, 1)).withColumns({"err": F.lit(1.0), "dq": F.lit(0).cast("long")})
+    o = mosaic.Options(sky="match+plane", cell=4, maps={1: s.Affine(c=20.0)})
+    out = {(r.ox, r.oy): r.v for r in mosaic.build(df, o).collect()}
+    got = np.array([[out[i, j] for i in range(60)] for j in range(40)]) - scene
+    assert np.ptp(got) < 1.5  # the gradient of 24 and the step of 30 are gone
+
+
 def test_preparation_order(spark):
     df = px_frame(spark, np.full((4, 4), 20.0)).withColumns({"err": F.lit(2.0), "dq": F.when(F.col("x") == 0, F.expr("shiftleft(1L, 31)")).otherwise(0)})
     meta = spark.createDataFrame([(0, "counts", 10.0)], "frame long, unit string, exptime double")
