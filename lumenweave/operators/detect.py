@@ -6,9 +6,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.functions.scalars import finite
 from lumenweave.operators.graph import connected
 from lumenweave.operators.joins import radius_join
 from lumenweave.operators.raster import blur_grid, haloed_tiles
@@ -148,6 +149,57 @@ def star_map(df: DataFrame, stars: DataFrame, noise: DataFrame, reach: int = 6)
     )
 
 
+RINGS = range(2, 15)  # of half a pixel, from 1 to 7.5 pixels around a source
+LEAST_SOURCES = 5  # that a field's profile is taken from
+
+
+def ring_profiles(df: DataFrame, sources: DataFrame) -> DataFrame:
+    """(frame, id, ring, n, level) of sources (frame, id, x, y, amplitude): the median of the samples at each distance, over the source's own background and amplitude.
+
+    The background is the median of the samples 8 to 11 pixels away. A group is one source's ring.
+    """
+    near = _within_reach(df.select("frame", "x", "y", "v").filter(finite(F.col("v"))), sources.select("frame", "id", "x", "y", "amplitude", F.lit(11.0).alias("radius")))
+    rows = near.select("frame", F.col("r_id").alias("id"), F.col("r_amplitude").alias("amplitude"), "v", "dist")
+    base = rows.filter("dist >= 8").groupBy("frame", "id").agg(F.median("v").alias("base"))
+    ring = F.floor(2 * F.col("dist")).cast("int")
+    inner = rows.withColumn("ring", ring).filter(F.col("ring").between(RINGS[0], RINGS[-1])).join(base, ["frame", "id"])
+    return inner.groupBy("frame", "id", "ring").agg(F.count("*").alias("n"), F.median((F.col("v") - F.col("base")) / F.col("amplitude")).alias("level"))
+
+
+def field_profiles(rings: DataFrame) -> DataFrame:
+    """``rings`` (frame, id, ring, level, ...) with ``field``: the median of the levels of the frame's other sources in that ring, not below 0; null with fewer than LEAST_SOURCES.
+
+    A source's own level is left out by its rank: of the values around the middle only which ones count changes.
+    """
+    w = Window.partitionBy("frame", "ring")
+    ranked = settled(rings.withColumns({"rank": F.row_number().over(w.orderBy("level", "id")) - 1, "of": F.count("*").over(w)}), "rings")
+    low = F.floor((F.col("of") - 2) / 2).cast("int")  # places of the middle among the others
+    middle = ranked.filter(F.col("rank").between(low, low + 2)).groupBy("frame", "ring").agg(F.map_from_entries(F.collect_list(F.struct("rank", "level"))).alias("at"))
+    high = F.floor((F.col("of") - 1) / 2).cast("int")
+    pick = lambda k: F.try_element_at("at", F.when(k < F.col("rank"), k).otherwise(k + 1).cast("int"))
+    value = F.greatest(F.lit(0.0), (pick(low) + pick(high)) / 2)
+    got = ranked.join(middle, ["frame", "ring"]).withColumn("field", F.when(F.col("of") > LEAST_SOURCES, value))
+    return got.drop("rank", "of", "at")
+
+
+def field_tested(df: DataFrame, mapped: DataFrame, narrow: float = 0.55, wide: float = 1.65, differs: float = 0.65) -> DataFrame:
+    """A star map (``star_map``) with ``reason``, and accepted sources made uncertain that don't look like their frame's stars.
+
+    ``width``: the FWHM lies beyond ``narrow`` or ``wide`` of the frame's median. ``wings``: the root of the squared differences of the rings' levels to those of the frame's other
+    accepted sources, over the squared levels, is above ``differs``. Rings of one sample don't count, frames of too few sources are not tested.
+    """
+    ok = mapped.filter("status = 'accepted'")
+    widths = ok.groupBy("frame").agg(F.median("fwhm").alias("usual"), F.count("*").alias("of"))
+    rings = field_profiles(ring_profiles(df, ok.select("frame", "id", "x", "y", "amplitude")))
+    off = F.sum((F.col("level") - F.col("field")) ** 2) / F.sum(F.col("level") ** 2)
+    wings = rings.filter("n >= 2 AND field IS NOT NULL").groupBy("frame", "id").agg(F.sqrt(off).alias("difference"))
+    j = mapped.join(widths, "frame", "left").join(wings, ["frame", "id"], "left")
+    unlike = (F.col("of") > LEAST_SOURCES) & ~F.col("fwhm").between(narrow * F.col("usual"), wide * F.col("usual"))
+    reason = F.when(F.col("status") != "accepted", "fit").when(unlike, "width").when(F.col("difference") > differs, "wings")
+    tested = j.withColumn("reason", reason).withColumn("status", F.when(reason.isNull(), "accepted").otherwise("uncertain"))
+    return tested.select(*mapped.columns, "reason", "difference")
+
+
 def verify(sources: DataFrame, evidence: DataFrame, radius: float = 2.0, least: int = 2) -> DataFrame:
     """Sources confirmed by detections in at least ``least`` different original exposures."""
     near = radius_join(sources.select("id", "x", "y"), evidence.select("x", "y", "exposure"), radius)
@@ -210,7 +262,7 @@ def match_psf(df: DataFrame, own: float, target: float, saturated: float, size:
 def saturated_stars(df: DataFrame, level: float, least: int = 4, size: int = 64) -> DataFrame:
     """Stars whose cores are cut off at ``level``: a row a component of such pixels of ``least`` or more that isn't long (aspect up to 3).
 
-    frame, x, y (its centre), area, radius (that of a disc of its area). A missing core inside a bright ring isn't found this way.
+    frame, x, y (its centre), area, radius (that of a disc of its area). Cores whose samples are missing are found by ``missing_cores``.
     """
     from lumenweave.operators.raster import component_shapes, label_components
 
@@ -223,6 +275,28 @@ def saturated_stars(df: DataFrame, level: float, least: int = 4, size: int = 64)
     return good.select("frame", "x", "y", "area", F.sqrt(F.col("area") / math.pi).alias("radius"))
 
 
+def missing_cores(df: DataFrame, levels: DataFrame, k: float = 20.0, share: float = 0.75, least: int = 4, most: int = 2000, size: int = 64) -> DataFrame:
+    """Stars whose cores are missing: components of ``least`` to ``most`` samples that aren't finite, all around which there is a bright ring.
+
+    The ring is what touches the component. ``share`` of it must be above bg + k sigma of ``levels`` (frame, bg, sigma), and none of it may be missing or beyond the
+    raster. frame, x, y, area, radius.
+    """
+    from lumenweave.operators.raster import label_components
+
+    rows = df.select("frame", "x", "y", "v").withColumn("gone", ~F.coalesce(finite(F.col("v")), F.lit(False)))
+    labels = settled(label_components(rows.filter("gone").select("frame", "x", "y"), size), "missing")
+    area = labels.groupBy("frame", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("area")).filter(F.col("area").between(least, most))
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]))
+    around = labels.join(area.select("frame", "label"), ["frame", "label"]).withColumn("o", steps)
+    around = around.select("frame", "label", (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y")).distinct()
+    around = around.join(labels.select("frame", "label", "x", "y"), ["frame", "label", "x", "y"], "left_anti")
+    seen = around.join(rows, ["frame", "x", "y"], "left").join(levels.select("frame", "bg", "sigma"), "frame")
+    bright = F.avg((~F.col("gone") & (F.col("v") > F.col("bg") + k * F.col("sigma"))).cast("int"))
+    ring = seen.groupBy("frame", "label").agg(F.coalesce(bright, F.lit(0.0)).alias("bright"), F.max(F.coalesce("gone", F.lit(True))).alias("open"))
+    good = area.join(ring.filter((F.col("bright") >= share) & ~F.col("open")), ["frame", "label"])
+    return good.select("frame", "x", "y", "area", F.sqrt(F.col("area") / math.pi).alias("radius"))
+
+
 def reject_spikes(sources: DataFrame, saturated: DataFrame, reach: float = 12.0, width: float = 1.5, turn: float = 45.0) -> DataFrame:
     """``sources`` (frame, id, x, y, ...) with ``spike``: whether one lies on a ray of a saturated star (frame, x, y, radius), beyond its core.
 

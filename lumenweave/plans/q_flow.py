@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import scalars as s
 from lumenweave.operators import align, combine, detect, edit, mosaic, stats
 from lumenweave.plans.registry import query, r
+from lumenweave.session import settled
 from lumenweave.plans.views import pix, pix_nan, stars, table, with_views
 
 P, N, S = with_views("pix"), with_views("pix", "pix_nan"), with_views("stars")
@@ -79,6 +80,31 @@ def m16(spark, sf):
     return got.select("frame", r("x", digits=2), r("y", digits=2), r("fwhm", digits=1), r("snr", digits=1), "status")
 
 
+def _disturbed_field(spark, sf):
+    """Moffat stars of another width in each frame; around those with a peak just past a multiple of 7 lies a disc of half of their height."""
+    field, top = _field(spark, sf, lambda d: F.pow(1 + d / (4 + F.col("frame") * 0.8), -2.5) + F.when((F.floor("peak") % 7 == 0) & (d <= 81), 0.5).otherwise(0.0))
+    return field, top
+
+
+@query("m16_field_tested")
+def m16_field(spark, sf):
+    """Sources that fit as stars do, held against the rings of the frame's other stars."""
+    field, top = _disturbed_field(spark, sf)
+    levels = top.select("frame").distinct().select("frame", F.lit(100.0).alias("bg"), F.lit(3.0).alias("sigma"))
+    mapped = detect.star_map(field, detect.extract_stars(field, levels, 64), levels)
+    got = detect.field_tested(field, settled(mapped, "star-map"))
+    return got.select("frame", r("x", digits=1), r("y", digits=1), r("fwhm", digits=1), "status", "reason", r("difference", digits=3))
+
+
+@query("m16_missing_cores")
+def m16_missing(spark, sf):
+    """The drawn stars with their cores missing: each is a hole inside a bright ring."""
+    field, top = _field(spark, sf, lambda d: F.exp(-d / 8))
+    levels = top.select("frame").distinct().select("frame", F.lit(100.0).alias("bg"), F.lit(2.0).alias("sigma"))
+    got = detect.missing_cores(field.withColumn("v", F.when(F.col("v") > 250, float("nan")).otherwise(F.col("v"))), levels)
+    return got.select("frame", r("x", digits=2), r("y", digits=2), "area")
+
+
 @query(
     "m17_verified_sources",
     f"""{S}, a AS (SELECT star AS id, x, y FROM stars WHERE frame = 0), n AS (SELECT a.id, count(DISTINCT b.exposure) AS c FROM a JOIN stars b ON b.frame > 0 AND floor(b.x / 2) BETWEEN floor(a.x / 2) - 1 AND floor(a.x / 2) + 1

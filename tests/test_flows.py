@@ -340,3 +340,26 @@ def test_gentler_and_whiter_stars(spark):
     base = src.withColumns({f"base_{c}": F.lit(0.1) for c in "rgb"})
     w = detect.whiten(rgb, base).first()
     assert abs(w.r - 0.9) < 1e-9 and abs(w.g - 0.9) < 1e-9 and abs(w.b - 0.9) < 1e-9
+
+
+def test_others_profile_leaves_out_the_own(spark):
+    rng = np.random.default_rng(1)
+    for n in (6, 7, 12):
+        levels = rng.normal(0.5, 0.2, (n, 3))
+        levels[1] = levels[0]  # ties
+        rows = [(0, i, k, 4, float(v)) for i, own in enumerate(levels) for k, v in enumerate(own)]
+        got = {(r.id, r.ring): r.field for r in detect.field_profiles(spark.createDataFrame(rows, "frame long, id long, ring int, n long, level double")).collect()}
+        assert got == {(i, k): pytest.approx(max(0, np.median(np.delete(levels[:, k], i)))) for i in range(n) for k in range(3)}
+    few = spark.createDataFrame([(0, i, 0, 4, 0.5) for i in range(5)], "frame long, id long, ring int, n long, level double")
+    assert {r.field for r in detect.field_profiles(few).collect()} == {None}
+
+
+def test_holes_without_a_ring_are_no_stars(spark):
+    y, x = np.mgrid[0:60, 0:60]
+    g = 100 + 900 * np.exp(-((x - 20) ** 2 + (y - 20) ** 2) / 30) + 900 * np.exp(-((x - 59) ** 2 + (y - 40) ** 2) / 30)
+    for a, b in ((20, 20), (45, 15), (59, 40)):  # a star's core, a hole in the sky, a star at the edge
+        g[(x - a) ** 2 + (y - b) ** 2 <= 8] = np.nan
+    df = px_frame(spark, g)
+    levels = spark.createDataFrame([(0, 100.0, 2.0)], "frame long, bg double, sigma double")
+    got = detect.missing_cores(df, levels, size=16).collect()
+    assert [(r.x, r.y, r.area) for r in got] == [(20.0, 20.0, 25)]

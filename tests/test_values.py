@@ -563,3 +563,30 @@ def test_commands(spark, tmp_path):
     fits.write_file(one, [("", (g + 1).astype(np.float32), {})])
     with pytest.raises(ValueError, match="changed"):
         star_stretch(spark, one, out, done, 0.5)
+
+
+def test_field_profiles(spark):
+    """Stars stay, discs around stars make them uncertain, in frames of different widths."""
+    from lumenweave.plans.q_flow import _disturbed_field
+
+    field, top = _disturbed_field(spark, SF)
+    drawn = {}
+    for r in top.collect():
+        drawn[r.frame, r.sx, r.sy] = math.floor(r.peak) % 7 == 0
+    got = rows(spark, "m16_field_tested")
+    seen = defaultdict(list)
+    for r in got:
+        near = min((math.hypot(r.x - x, r.y - y), disc) for (f, x, y), disc in drawn.items() if f == r.frame)
+        if near[0] < 1.5:
+            seen[near[1]].append(r)
+    assert len(seen[True]) > 20 and len(seen[False]) > 100
+    assert all(r.status == "uncertain" for r in seen[True])
+    assert sum(r.status == "accepted" for r in seen[False]) > 0.97 * len(seen[False])
+    assert any(r.reason == "wings" for r in seen[True]) and len({r.fwhm for r in seen[False] if r.status == "accepted"}) > 3
+
+
+def test_missing_cores(spark):
+    _, top = _field(spark, SF, lambda d: F.exp(-d / 8))
+    want = {(r.frame, round(r.sx, 0), round(r.sy, 0)) for r in top.collect() if 100 + r.peak > 260}
+    got = {(r.frame, r.x, r.y) for r in rows(spark, "m16_missing_cores")}
+    assert len(got) > 0.9 * len(want) and all(any(f == g and abs(x - a) <= 1 and abs(y - b) <= 1 for g, a, b in want) for f, x, y in got)
