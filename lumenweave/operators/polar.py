@@ -1,7 +1,7 @@
 """Stars in polar bins: wings of saturated stars, diffraction rings, spikes at any angle, and colours drawn to neutral over measured backgrounds.
 
-Pixels meet the stars whose reach they lie in by an equi join on the pixel, and are summed to a row a ring and sector of a star. All later steps work on
-these rows; a star's group has rings x sectors of them, whatever the raster's size.
+Pixels meet the stars whose reach they lie in by an equi join on the pixel. A star's samples, whose number its radius bounds, become a row a ring and sector, and
+all later steps work on these rows, whatever the raster's size.
 """
 
 from __future__ import annotations
@@ -13,49 +13,62 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.functions.scalars import finite
 from lumenweave.session import settled
 
 FROM, TO = 1.35, 1.9  # of a star's outer radius: the annulus of its background
 
 
+MOST_OUTER = 64.0  # pixels: a star's samples are one group, of less than 12 times its square
+
+
 def _around(df: DataFrame, sources: DataFrame, columns: list[str]) -> DataFrame:
-    """Pixels with each source (frame, id, x, y, outer) whose annulus reaches them: frame, id, outer, dx, dy, dist and the columns."""
-    reach = F.col("outer") * TO
+    """Pixels with each source (frame, id, x, y, outer) whose annulus reaches them: frame, id, outer, x, y, dx, dy, dist and the columns."""
+    reach = F.least(F.col("outer"), F.lit(MOST_OUTER)) * TO
     span = lambda c: F.explode(F.sequence(F.ceil(F.col(c) - reach).cast("long"), F.floor(F.col(c) + reach).cast("long")))
     s = sources.select("frame", "id", F.col("x").alias("sx"), F.col("y").alias("sy"), "outer", span("x").alias("x"), "y").withColumn("y", span("y"))
-    j = s.join(df.select("frame", "x", "y", *columns), ["frame", "x", "y"])
     dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
-    j = j.select("frame", "id", "outer", dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("dist"), *columns)
-    return j.filter(F.col("dist") <= TO * F.col("outer"))
+    near = s.select("frame", "id", "x", "y", F.least("outer", F.lit(MOST_OUTER)).alias("outer"), dx.alias("dx"), dy.alias("dy"), F.sqrt(dx * dx + dy * dy).alias("dist"))
+    return near.filter(F.col("dist") <= TO * F.col("outer")).join(df.select("frame", "x", "y", *columns), ["frame", "x", "y"])
 
 
-def annulus(near: DataFrame, v: str = "v", clips: int = 2) -> DataFrame:
-    """(frame, id, base, gx, gy, noise) of the samples of ``_around`` between FROM and TO outer radii: their median, slopes about it, and robust deviation.
+def background_plane(dx: np.ndarray, dy: np.ndarray, v: np.ndarray, clips: int = 2) -> tuple[float, float, float, float]:
+    """(base, gx, gy, noise) of an annulus' samples: their median, slopes about it, and robust deviation; NaN where there are none.
 
     Samples beyond three deviations of the median go ``clips`` times: neighbours and knots are few of an annulus.
     """
-    keys = ["frame", "id"]
-    rows = near.filter((F.col("dist") >= FROM * F.col("outer")) & finite(F.col(v))).select(*keys, "dx", "dy", F.col(v).alias("v"))
+    ok = np.isfinite(v)
+    dx, dy, v = dx[ok], dy[ok], v[ok]
+    if not len(v):
+        return (math.nan,) * 4
     for k in range(clips + 1):
-        mid = rows.groupBy(*keys).agg(F.median("v").alias("m"))
-        away = rows.join(mid, keys)
-        spread = away.groupBy(*keys).agg((1.4826 * F.median(F.abs(F.col("v") - F.col("m")))).alias("s"))
-        rows = away.join(spread, keys)
-        if k < clips:
-            rows = rows.filter((F.col("s") <= 0) | (F.abs(F.col("v") - F.col("m")) <= 3 * F.col("s"))).select(*keys, "dx", "dy", "v")
-    slope = lambda c: F.coalesce(F.try_divide(F.sum(F.col(c) * (F.col("v") - F.col("m"))), F.sum(F.col(c) * F.col(c))), F.lit(0.0))
-    return rows.groupBy(*keys).agg(F.first("m").alias("base"), slope("dx").alias("gx"), slope("dy").alias("gy"), F.greatest(F.first("s"), F.lit(1e-12)).alias("noise"))
+        m = np.median(v)
+        s = 1.4826 * np.median(np.abs(v - m))
+        keep = np.abs(v - m) <= 3 * s
+        if k < clips and s > 0:
+            dx, dy, v = dx[keep], dy[keep], v[keep]
+    slope = lambda d: float((d * (v - m)).sum() / max((d * d).sum(), 1e-300))
+    return float(m), slope(dx), slope(dy), max(float(s), 1e-12)
 
 
 def polar_table(df: DataFrame, sources: DataFrame, sectors: int = 16) -> DataFrame:
-    """(frame, id, ring, sector, n, level, noise): medians of the samples less the star's background plane, in rings of a pixel and equal sectors from angle 0."""
-    near = settled(_around(df.filter(finite(F.col("v"))), sources, ["v"]), "polar-samples")
-    inner = near.filter(F.col("dist") < F.col("outer")).join(annulus(near), ["frame", "id"])
-    turn = F.pmod(F.atan2("dy", "dx") / (2 * math.pi), F.lit(1.0)) * sectors
-    bins = inner.withColumns({"ring": F.floor("dist").cast("int"), "sector": F.least(F.floor(turn), F.lit(sectors - 1)).cast("int")})
-    level = F.median(F.col("v") - F.col("base") - F.col("gx") * F.col("dx") - F.col("gy") * F.col("dy"))
-    return settled(bins.groupBy("frame", "id", "ring", "sector").agg(F.count("*").alias("n"), level.alias("level"), F.first("noise").alias("noise")), "polar")
+    """(frame, id, ring, sector, n, level, noise): medians of the samples less the star's background plane, in rings of a pixel and equal sectors from angle 0.
+
+    A group is one star's samples within TO of its outer radius; stars whose annulus has no sample are left out.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        dx, dy, dist, v = (pdf[c].to_numpy(float) for c in ("dx", "dy", "dist", "v"))
+        outer = float(pdf["outer"].iloc[0])
+        ring = dist >= FROM * outer
+        base, gx, gy, noise = background_plane(dx[ring], dy[ring], v[ring])
+        own = (dist < outer) & np.isfinite(v) & math.isfinite(base)
+        sector = np.minimum(np.floor(np.mod(np.arctan2(dy[own], dx[own]) / (2 * math.pi), 1.0) * sectors), sectors - 1)
+        bins = pd.DataFrame({"ring": np.floor(dist[own]).astype(np.int32), "sector": sector.astype(np.int32), "level": v[own] - base - gx * dx[own] - gy * dy[own]})
+        out = bins.groupby(["ring", "sector"], as_index=False)["level"].agg(n="count", level="median")
+        return pd.DataFrame({"frame": pdf["frame"].iloc[0], "id": pdf["id"].iloc[0], "ring": out["ring"], "sector": out["sector"], "n": out["n"], "level": out["level"], "noise": noise})
+
+    near = _around(df, sources, ["v"]).select("frame", "id", "outer", "dx", "dy", "dist", "v")
+    return settled(near.groupBy("frame", "id").applyInPandas(run, "frame long, id long, ring int, sector int, n long, level double, noise double"), "polar")
 
 
 def _grid(pdf: pd.DataFrame, sectors: int) -> np.ndarray:
@@ -176,7 +189,7 @@ def diffraction_rings(polar: DataFrame, sectors: int = 16, prominent: float = 3.
 def spikes(polar: DataFrame, cores: DataFrame, sectors: int, beside: int = 2, k: float = 4.0, least: int = 5, paired: bool = True) -> DataFrame:
     """Diffraction spikes (frame, id, sector, angle in degrees, length, score) at whatever angle the pixels show them.
 
-    A sector's contrast in a ring is its level less the greater of those ``beside`` sectors to both sides. A spike begins within three rings of the star's core (frame, id, core), goes
+    A sector's contrast in a ring is its level less the greater of those ``beside`` sectors to both sides. A spike begins within three rings of the star's core (frame, id, core) and of the first ring with a pixel a sector, goes
     on over rings whose contrast is above ``k`` noises of a sector's sample (a ring may fail once), and is ``least`` rings long; its score, the mean contrast in
     noises, is the greatest among its neighbours. ``paired``: only those that have another on the star's other side, which a filament that ends at a star has not.
     """
@@ -191,7 +204,7 @@ def spikes(polar: DataFrame, cores: DataFrame, sectors: int, beside: int = 2, k:
     fails = F.sum((~F.col("good")).cast("int")).over(out)
     held = rows.withColumn("fails", fails).filter("fails <= 1 AND good")
     arm = held.groupBy(*keys, "sector").agg(F.min("ring").alias("begins"), (F.max("ring") - F.min("ring") + 1).alias("length"), F.avg(F.col("contrast") / F.col("noise")).alias("score"), F.first("core").alias("core"))
-    arm = arm.filter((F.col("length") >= least) & (F.col("begins") <= F.col("core") + 3))
+    arm = arm.filter((F.col("length") >= least) & (F.col("begins") <= F.greatest("core", F.lit(sectors / (2 * math.pi))) + 3))
     other = arm.select(*keys, F.col("sector").alias("o"), F.col("score").alias("os"))
     pairs = arm.join(other, keys)  # a star's arms, at most as many as sectors
     apart = F.pmod(F.col("o") - F.col("sector"), F.lit(sectors))
@@ -229,12 +242,16 @@ def feather(t: Column) -> Column:
 
 
 def annulus_levels(df: DataFrame, sources: DataFrame, channels: str = "rgb") -> DataFrame:
-    """Sources (frame, id, x, y, radius) with ``base_r`` and so on: the clipped median of each channel in the annulus around a star."""
-    near = settled(_around(df, sources.withColumn("outer", F.col("radius")), list(channels)), "annuli")
-    out = sources
-    for c in channels:
-        out = out.join(annulus(near, c).select("frame", "id", F.col("base").alias(f"base_{c}")), ["frame", "id"])
-    return out
+    """Sources (frame, id, x, y, radius) with ``base_r`` and so on: the clipped median of each channel in the annulus around a star; a group is one star's annulus."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        dx, dy = pdf["dx"].to_numpy(float), pdf["dy"].to_numpy(float)
+        levels = [background_plane(dx, dy, pdf[c].to_numpy(float))[0] for c in channels]
+        return pd.DataFrame([(pdf["frame"].iloc[0], pdf["id"].iloc[0], *levels)], columns=["frame", "id", *(f"base_{c}" for c in channels)])
+
+    near = _around(df, sources.withColumn("outer", F.col("radius")), list(channels)).filter(F.col("dist") >= FROM * F.col("outer"))
+    got = near.select("frame", "id", "dx", "dy", *channels).groupBy("frame", "id").applyInPandas(run, "frame long, id long, " + ", ".join(f"base_{c} double" for c in channels))
+    return sources.join(got, ["frame", "id"])
 
 
 def whitened(df: DataFrame, sources: DataFrame, amount: float = 1.0, passes: int = 2) -> DataFrame:
@@ -244,13 +261,12 @@ def whitened(df: DataFrame, sources: DataFrame, amount: float = 1.0, passes: int
     backgrounds and what is left to do again, on what the one before it made; stars whose annulus has no sample stay.
     """
     for _ in range(passes):
-        src = annulus_levels(df, sources)
-        near = _around(df, src.withColumn("outer", F.col("radius") / TO), list("rgb")).filter(F.col("dist") <= F.col("outer") * TO)
-        near = near.withColumn("w", feather(F.col("dist") / (F.col("outer") * TO))).filter("w > 0").join(src.select("frame", "id", *[f"base_{c}" for c in "rgb"], F.col("x").alias("sx"), F.col("y").alias("sy")), ["frame", "id"])
+        src = settled(annulus_levels(df, sources), "annuli")
+        near = _around(df, src.withColumn("outer", F.col("radius") / TO), list("rgb")).withColumn("w", feather(F.col("dist") / (F.col("outer") * TO))).filter("w > 0")
+        near = near.join(src.select("frame", "id", *[f"base_{c}" for c in "rgb"]), ["frame", "id"])
         ex = {c: F.greatest(F.lit(0.0), F.col(c) - F.col(f"base_{c}")) for c in "rgb"}
         top = F.greatest(*ex.values())
-        at = {"x": F.round(F.col("sx") + F.col("dx")).cast("long"), "y": F.round(F.col("sy") + F.col("dy")).cast("long")}
-        moved = near.select("frame", *[v.alias(k) for k, v in at.items()], "w", *[(F.col("w") * F.col("w") * amount * (top - ex[c])).alias(c) for c in "rgb"])
+        moved = near.select("frame", "x", "y", "w", *[(F.col("w") * F.col("w") * amount * (top - ex[c])).alias(c) for c in "rgb"])
         add = moved.groupBy("frame", "x", "y").agg(*[(F.sum(c) / F.sum("w")).alias(f"d{c}") for c in "rgb"])
         j = df.join(add, ["frame", "x", "y"], "left")
         df = settled(j.select("frame", "x", "y", *[(F.col(c) + F.coalesce(F.col(f"d{c}"), F.lit(0.0))).alias(c) for c in "rgb"]), "whitened")

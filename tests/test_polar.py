@@ -4,9 +4,11 @@ import math
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from lumenweave.operators import polar
+from lumenweave.plans.queries import QUERIES
 
 SIZE = 96
 y, x = np.mgrid[0:SIZE, 0:SIZE]
@@ -132,3 +134,48 @@ def test_colours_over_measured_backgrounds(spark):
     far = out[12, 22]
     assert np.allclose(far, [plane[c][22, 12] for c in "rgb"])
     assert polar.whitened(df.limit(0), src).count() == 0 and polar.whitened(df, src.limit(0)).agg(F.sum("r")).first()[0] == pytest.approx(sum(r[3] for r in rows))
+
+
+# --- the registered queries, on all drawn stars ----------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def drawn(spark):
+    from lumenweave.plans.q_polar import _drawn
+
+    return {r.id: r for r in _drawn(spark, SF, lambda d: F.exp(-d), 8.0, 2.0)[1].collect()}
+
+
+def named(spark, name):
+    return QUERIES[name](spark, SF).collect()
+
+
+def test_query_wings(spark, drawn):
+    got = named(spark, "m19_saturated_wings")
+    assert {r.id for r in got} == set(drawn) and sum(r.status == "accepted" for r in got) > 0.9 * len(got)
+    assert np.median([abs(r.width - 3**0.5) for r in got if r.model == "moffat-2.5"]) < 0.5
+
+
+def test_query_rings(spark, drawn):
+    got = named(spark, "m19_diffraction_rings")
+    assert {r.id for r in got} == set(drawn) and all(r.ring in (4, 5, 6) for r in got) and len(got) == len(drawn)
+
+
+def test_query_spikes(spark, drawn):
+    got = named(spark, "m19_spikes")
+    assert len({r.id for r in got}) > 0.95 * len(drawn)
+    for r in got:
+        assert min(abs((r.angle - 11 * r.frame - 7 - 90 * k + 180) % 360 - 180) for k in range(4)) <= 8
+
+
+def test_query_halos(spark, drawn):
+    got = named(spark, "m19_halos")
+    assert {r.id for r in got} == set(drawn) and all(r.reach >= 6 and r.light > 0 for r in got)
+
+
+def test_query_whitening(spark, drawn):
+    got = {(r.frame, r.x, r.y): (r.r - 0.1, r.g - 0.1, r.b - 0.2) for r in named(spark, "m21_annulus_whitening")}
+    assert len(got) == 256 * 256 * len({r.frame for r in drawn.values()})
+    for r in drawn.values():
+        ex = got[r.frame, round(r.x), round(r.y)]
+        assert max(ex) > 0.1 and max(ex) - min(ex) < 0.03 * max(ex) + 2e-3
