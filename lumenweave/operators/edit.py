@@ -1,13 +1,16 @@
-"""Editing: sharpening, curves, healing, cropping and turning of pixel tables."""
+"""Editing: sharpening, curves, healing, cropping and turning of pixel tables, and cleaning of colour specks."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.functions.scalars import clamp01
-from lumenweave.operators.raster import blur
+from lumenweave.operators.raster import blur, label_components, shifted, tile_map
+from lumenweave.session import settled
 
 
 def sharpen(df: DataFrame, amount: float = 0.5, sigma: float = 1.0, size: int = 64) -> DataFrame:
@@ -65,3 +68,68 @@ def turn(df: DataFrame, width: int, height: int, how: str) -> DataFrame:
         "counter": (y, width - 1 - x), "half": (width - 1 - x, height - 1 - y),
     }[how]
     return df.select(*[c for c in df.columns if c not in ("x", "y")], nx.alias("x"), ny.alias("y"))
+
+
+# --- specks of composed colour --------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Specks:
+    """What counts as a speck, in levels of 0..255: fixed values of the cleaning's defaults."""
+
+    most: int = 25  # pixels of a speck
+    ratio: float = 2.5  # of the strongest channel to the next
+    delta: int = 60
+    strong: int = 96
+    excess: int = 40  # over the channel's median of 5 x 5, of one of its pixels at least
+    ring: int = 2
+    dark: int = 64  # a dropout's brightest channel at most
+    deficit: int = 50  # below the medians of all channels
+
+
+def local_medians(df: DataFrame, reach: int = 2, size: int = 64) -> DataFrame:
+    """Upper medians (mr, mg, mb) of each channel in the window around a pixel, as far as it lies in the raster."""
+
+    def kernel(p):
+        out = {}
+        for c in "rgb":
+            s = np.sort(shifted(p[c], reach), axis=0)  # what is missing comes last
+            out[f"m{c}"] = np.take_along_axis(s, (np.isfinite(s).sum(axis=0) // 2)[None], axis=0)[0]
+        return out
+
+    return tile_map(df, kernel, {f"m{c}": "double" for c in "rgb"}, size, reach, tuple("rgb"))
+
+
+def clean_specks(df: DataFrame, settings: Specks = Specks(), size: int = 64) -> DataFrame:
+    """Levels (frame, x, y, r, g, b, and ``repaired``) with small specks of one colour and dark dropouts replaced by the medians around them.
+
+    A pixel is a candidate of a channel that dominates the others, or of the dark kind where all are far below the local medians. Components of a kind of up to ``most`` pixels, one of
+    which stands out of its surroundings, get the upper median of each channel over their box and ``ring`` pixels around it, candidates left out. Components
+    are whole whatever tiles they cross, so their size decides and not the tile's.
+    """
+    s, c = settings, F.col
+    rows = df.select("frame", "x", "y", "r", "g", "b").join(local_medians(df, 2, size), ["frame", "x", "y"])
+    kind = F.lit(None).cast("int")
+    out = F.lit(False)
+    for k, (a, p, q) in enumerate((("r", "g", "b"), ("g", "r", "b"), ("b", "r", "g"))):
+        second = F.greatest(p, q)
+        strong = (c(a) > c(p) if k else c(a) >= c(p)) & (c(a) > c(q) if k == 2 else c(a) >= c(q))
+        hit = strong & (c(a) >= s.strong) & (c(a) - second >= s.delta) & (c(a) >= s.ratio * second)
+        kind, out = F.when(hit, k).otherwise(kind), F.when(hit, c(a) >= c(f"m{a}") + s.excess).otherwise(out)
+    hole = (F.greatest("r", "g", "b") <= s.dark) & (c("mr") - c("r") >= s.deficit) & (c("mg") - c("g") >= s.deficit) & (c("mb") - c("b") >= s.deficit)
+    rows = rows.withColumns({"kind": F.coalesce(kind, F.when(hole, 3)), "out": F.when(kind.isNotNull(), out).otherwise(hole)})
+    rows = settled(rows, "speck-candidates")
+    marked = rows.filter("kind IS NOT NULL")
+    labels = label_components(marked.select((c("frame") * 4 + c("kind")).alias("frame"), "x", "y"), size)  # kinds don't grow together
+    labels = labels.select(F.floor(c("frame") / 4).alias("frame"), (c("frame") % 4).cast("int").alias("kind"), "x", "y", "label")
+    members = settled(marked.join(labels, ["frame", "kind", "x", "y"]).select("frame", "kind", "label", "x", "y", "out"), "specks")
+    box = {f"{n}{a}": f(a) for a in "xy" for n, f in (("lo", F.min), ("hi", F.max))}
+    small = members.groupBy("frame", "kind", "label").agg(F.count("*").alias("area"), F.max("out").alias("out"), *[v.alias(k) for k, v in box.items()]).filter((c("area") <= s.most) & c("out"))
+    span = lambda a: F.explode(F.sequence(c(f"lo{a}") - s.ring, c(f"hi{a}") + s.ring))
+    around = small.select("frame", "kind", "label", span("x").alias("x"), "loy", "hiy").withColumn("y", span("y"))
+    ring = around.join(rows.filter("kind IS NULL").select("frame", "x", "y", "r", "g", "b"), ["frame", "x", "y"])
+    upper = lambda a: F.element_at(F.sort_array(F.collect_list(a)), (F.floor(F.count("*") / 2) + 1).cast("int"))  # noqa: E731  a ring's size is bounded by the speck's
+    fill = ring.groupBy("frame", "kind", "label").agg(*[upper(a).alias(f"f{a}") for a in "rgb"])
+    fixed = members.join(fill, ["frame", "kind", "label"]).select("frame", "x", "y", "fr", "fg", "fb")
+    j = rows.select("frame", "x", "y", "r", "g", "b").join(fixed, ["frame", "x", "y"], "left")
+    return j.select("frame", "x", "y", *[F.coalesce(f"f{a}", a).alias(a) for a in "rgb"], c("fr").isNotNull().alias("repaired"))

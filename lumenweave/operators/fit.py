@@ -130,6 +130,7 @@ def match_bipartite(candidates: DataFrame, key: str = "region") -> DataFrame:
         for t, d in sorted(zip(pdf["truth"], pdf["detection"])):
             near.setdefault(t, []).append(d)
         owner: dict[int, int] = {}
+        mate: dict[int, int] = {}
         for start in near:
             came: dict[int, int] = {}
             queue, end = [start], None
@@ -145,11 +146,8 @@ def match_bipartite(candidates: DataFrame, key: str = "region") -> DataFrame:
                     queue.append(owner[d])
             while end is not None:
                 t = came[end]
-                before = next((d for d, o in owner.items() if o == t), None)
-                owner[end] = t
-                if before is not None and before != end:
-                    del owner[before]
-                end = before if t != start else None
+                # what was this truth's goes to the one that it was reached from
+                owner[end], mate[t], end = t, end, mate.get(t)
         return pd.DataFrame({key: pdf[key].iloc[0], "truth": list(owner.values()), "detection": list(owner)})
 
     return candidates.groupBy(key).applyInPandas(run, f"{key} long, truth long, detection long")

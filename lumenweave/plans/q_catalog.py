@@ -115,6 +115,19 @@ def m02(spark, sf):
     return fit.ransac_frames(pairs).select("frame", "inliers", *[r(c) for c in "abcdef"])
 
 
+@query(
+    "m02_ransac_affine",
+    f"{S}, k AS (SELECT frame, least(count(*), 200) AS n FROM stars GROUP BY 1) SELECT frame, n - n // 7 AS inliers, 1.01::DOUBLE AS a, 0.004::DOUBLE AS b, 3::DOUBLE AS c, -0.02::DOUBLE AS d, 0.97::DOUBLE AS e, -2::DOUBLE AS f FROM k",
+)
+def m02_affine(spark, sf):
+    """A map that no similarity is, with every seventh pair wrong."""
+    st = series.brightest(stars(spark, sf), 200, ["frame"])
+    bad = F.col("rank") % 7 == 0
+    u, v = 1.01 * F.col("x") + 0.004 * F.col("y") + 3, -0.02 * F.col("x") + 0.97 * F.col("y") - 2
+    pairs = st.select("frame", "x", "y", F.when(bad, u + 40 + F.col("rank")).otherwise(u).alias("u"), F.when(bad, v - 55).otherwise(v).alias("v"))
+    return fit.ransac_frames(pairs, 1.5, 2000, "affine").select("frame", "inliers", *[r(c) for c in "abcdef"])
+
+
 @query(
     "a35_detector_scores",
     f"""{S}, d AS (SELECT frame % 2 AS split, star, peak > 8 AS selected, CASE WHEN area < 14 THEN 'star' WHEN area < 28 THEN 'not' ELSE 'ambiguous' END AS truth FROM stars),

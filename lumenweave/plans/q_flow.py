@@ -197,6 +197,36 @@ def m28_crop(spark, sf):
     return edit.turn(edit.crop(pix(spark, sf).select("frame", "x", "y", "v"), 5, 10, 35, 30), 30, 20, "clockwise").select("frame", "x", "y", "v")
 
 
+@query(
+    "m28_heal",
+    f"""{P}, u AS (SELECT frame, x, y, v / 110 AS v, sqrt((x - 20) * (x - 20) + (y - 30) * (y - 30)) AS r FROM pix), j AS (SELECT u.*, s.v AS s FROM u LEFT JOIN u s ON s.frame = u.frame AND s.x = u.x + 22 AND s.y = u.y - 7),
+h AS (SELECT frame, avg(v - s) AS shift FROM j WHERE r > 6 AND r <= 8 GROUP BY 1), k AS (SELECT j.*, coalesce(shift, 0) AS shift, CASE WHEN r <= 4.8 THEN 1.0 WHEN r <= 6 THEN (6 - r) / 1.2 ELSE 0 END AS w FROM j LEFT JOIN h USING (frame))
+SELECT frame, x, y, round(CASE WHEN s IS NOT NULL AND w > 0 THEN v + w * (s + shift - v) ELSE v END, 4) AS v FROM k""",
+)
+def m28_heal(spark, sf):
+    p = pix(spark, sf).select("frame", "x", "y", (F.col("v") / 110).alias("v"))
+    return edit.heal(p, 20, 30, 6.0, 42, 23).select("frame", "x", "y", r("v"))
+
+
+@query("m28_curve", f"{P} SELECT frame, x, y, round(least(1.0, floor(least(1.0, v / 110) * 255 + 0.5) / 255), 4) AS v FROM pix")
+def m28_curve(spark, sf):
+    """Three points of a line: the curve through them is that line, at 256 steps."""
+    return pix(spark, sf).select("frame", "x", "y", r(edit.curve(F.col("v") / 110, [(0.0, 0.0), (0.5, 0.5), (1.0, 1.0)]), "v"))
+
+
+def _levels(spark, sf):
+    """Frames 0 to 2, and so on, as colours of 0..255; a channel that is missing where another is not is a dim 40."""
+    p = pix(spark, sf).filter("frame < 6").withColumns({"c": F.col("frame") % 3, "frame": F.floor(F.col("frame") / 3)})
+    wide = p.groupBy("frame", "x", "y").pivot("c", [0, 1, 2]).agg(F.first(F.floor(F.least(F.lit(1.0), F.col("v") / 70) * 255).cast("long")))
+    return wide.select("frame", "x", "y", *[F.coalesce(F.col(str(k)), F.lit(40).cast("long")).alias(c) for k, c in enumerate("rgb")])
+
+
+@query("m28_specks")
+def m28_specks(spark, sf):
+    """Two composed colours with their small specks and dropouts filled."""
+    return edit.clean_specks(_levels(spark, sf), size=16).select("frame", "x", "y", "r", "g", "b", "repaired")
+
+
 @query("m29_matched_psf")
 def m29(spark, sf):
     return detect.match_psf(pix(spark, sf), 2.0, 3.5, 90.0).select("frame", "x", "y", r("v"))
@@ -212,7 +242,7 @@ def _shifted_frames(spark, sf):
     """The catalog of frame 0 four times, each moved and turned a little."""
     st = stars(spark, sf).filter("frame = 0").select("star", "x", "y", "peak")
     k = F.col("frame")
-    each = spark.range(1, 5).withColumnRenamed("id", "frame").join(st, F.col("star") >= 0)
+    each = spark.range(1, 5).withColumnRenamed("id", "frame").crossJoin(st)  # four shifts of a catalog
     return st, each.select("frame", "star", (F.col("x") - 6 * k).alias("x"), (F.col("y") + 4 * k).alias("y"), "peak")
 
 
@@ -315,8 +345,10 @@ def r02_stream(spark, sf):
     counted = jobs.windowed_counts(jobs.status_stream(spark, f"{folder}/in", e.schema))
 
     def keep(batch, number):
-        batch.select("start", "status", "jobs").write.mode("overwrite").parquet(f"{folder}/out")
+        # a window's count comes again when it changes; the last one holds
+        batch.select("start", "status", "jobs", F.lit(number).alias("batch")).write.mode("overwrite").parquet(f"{folder}/out/{number}")
 
-    q = counted.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    q = counted.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    last = spark.read.parquet(f"{folder}/out/*").groupBy("start", "status").agg(F.max_by("jobs", "batch").alias("jobs"))
+    return last.withColumn("start", F.col("start").cast("timestamp_ntz"))

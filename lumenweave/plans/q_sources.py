@@ -566,7 +566,7 @@ def m07(spark, sf):
     """Three channels of frame 0's stars, shifted by known amounts, against it."""
     st = stars(spark, sf).filter("frame = 0").select("star", "x", "y", "peak")
     k = F.col("frame")
-    each = spark.range(4).withColumnRenamed("id", "frame").join(st, F.col("star") >= 0).select("frame", "star", (F.col("x") + 1.5 * k).alias("x"), (F.col("y") - 2 * k).alias("y"), "peak")
+    each = spark.range(4).withColumnRenamed("id", "frame").crossJoin(st).select("frame", "star", (F.col("x") + 1.5 * k).alias("x"), (F.col("y") - 2 * k).alias("y"), "peak")
     got = align.align_channels(each, 0, 260.0)
     half = lambda c: F.round(F.col(c) * 2, 0) / 2 + 0.0
     return got.select("frame", half("c").alias("dx"), half("f").alias("dy"))

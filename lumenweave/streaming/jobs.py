@@ -16,7 +16,7 @@ def status_stream(spark, folder: str, schema) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", status: str = "status", window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events by status and window; state is dropped behind the watermark."""
+    """Events by status and window. In append and update mode a window's state is dropped behind the watermark; in complete mode it never is."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, window), status).agg(F.count("*").alias("jobs")).select(
         F.col("window.start").alias("start"), F.col("window.end").alias("end"), status, "jobs"
     )

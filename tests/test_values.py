@@ -9,7 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from lumenweave.functions import scalars as s
-from lumenweave.operators import raster, stats
+from lumenweave.operators import edit, raster, stats
 from lumenweave.plans.q_flow import _field
 from lumenweave.plans.queries import QUERIES
 from lumenweave.plans.views import pix, pix_nan, stars
@@ -590,3 +590,46 @@ def test_missing_cores(spark):
     want = {(r.frame, round(r.sx, 0), round(r.sy, 0)) for r in top.collect() if 100 + r.peak > 260}
     got = {(r.frame, r.x, r.y) for r in rows(spark, "m16_missing_cores")}
     assert len(got) > 0.9 * len(want) and all(any(f == g and abs(x - a) <= 1 and abs(y - b) <= 1 for g, a, b in want) for f, x, y in got)
+
+
+def test_specks(spark):
+    """Blob by blob in row order, as a person would."""
+    from lumenweave.plans.q_flow import _levels
+
+    sets = edit.Specks()
+    px = defaultdict(dict)
+    for q in _levels(spark, SF).collect():
+        px[q.frame][q.x, q.y] = (q.r, q.g, q.b)
+    want = {}
+    for f, own in px.items():
+        kinds, out = {}, {}
+        for (x, y), v in own.items():
+            near = [own[x + i, y + j] for i in range(-2, 3) for j in range(-2, 3) if (x + i, y + j) in own]
+            mid = [sorted(n[k] for n in near)[len(near) // 2] for k in range(3)]
+            k = v.index(max(v))
+            second = max(v[:k] + v[k + 1 :])
+            if v[k] >= sets.strong and v[k] - second >= sets.delta and v[k] >= sets.ratio * second:
+                kinds[x, y], out[x, y] = k, v[k] >= mid[k] + sets.excess
+            elif max(v) <= sets.dark and all(m - c >= sets.deficit for m, c in zip(mid, v)):
+                kinds[x, y], out[x, y] = 3, True
+        fixed, seen = dict(own), set()
+        for start in kinds:
+            if start in seen:
+                continue
+            blob = [start]
+            seen.add(start)
+            for a, b in blob:
+                for k in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                    if k not in seen and kinds.get(k) == kinds[start]:
+                        seen.add(k)
+                        blob.append(k)
+            xs, ys = zip(*blob)
+            ring = [own[x, y] for x in range(min(xs) - 2, max(xs) + 3) for y in range(min(ys) - 2, max(ys) + 3) if (x, y) in own and (x, y) not in kinds]
+            if len(blob) <= sets.most and any(out[k] for k in blob) and ring:
+                for k in blob:
+                    fixed[k] = tuple(sorted(n[c] for n in ring)[len(ring) // 2] for c in range(3))
+                    want[f, *k] = True
+        px[f] = fixed
+    got = rows(spark, "m28_specks")
+    assert {(r.frame, r.x, r.y) for r in got if r.repaired} == set(want) and len(want) > 10
+    assert all((r.r, r.g, r.b) == px[r.frame][r.x, r.y] for r in got) and len(got) == sum(map(len, px.values()))
