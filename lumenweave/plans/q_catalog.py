@@ -83,13 +83,15 @@ def j12(spark, sf):
 
 @query(
     "j13_global_support",
-    f"""{S}, m AS (SELECT a.star, b.star AS r_star, sqrt((a.x + 1.5 - b.x) * (a.x + 1.5 - b.x) + (a.y - 0.5 - b.y) * (a.y - 0.5 - b.y)) AS dist FROM stars a JOIN stars b ON a.frame = 2 AND b.frame = 0 AND floor(b.x / 2) BETWEEN floor((a.x + 1.5) / 2) - 1 AND floor((a.x + 1.5) / 2) + 1),
-p AS (SELECT * FROM m WHERE dist <= 2), k AS (SELECT *, row_number() OVER (PARTITION BY star ORDER BY dist, r_star) AS ra, row_number() OVER (PARTITION BY r_star ORDER BY dist, star) AS rb FROM p) SELECT count(*) AS support FROM k WHERE ra = 1 AND rb = 1""",
+    f"""{S}, m AS (SELECT a.frame, a.star, b.star AS r_star, sqrt((a.x + 1.5 - b.x) * (a.x + 1.5 - b.x) + (a.y - 0.5 - b.y) * (a.y - 0.5 - b.y)) AS dist FROM stars a JOIN stars b ON a.frame > 0 AND b.frame = 0 AND floor(b.x / 2) BETWEEN floor((a.x + 1.5) / 2) - 1 AND floor((a.x + 1.5) / 2) + 1),
+p AS (SELECT * FROM m WHERE dist <= 2), k AS (SELECT *, row_number() OVER (PARTITION BY frame, star ORDER BY dist, r_star) AS ra, row_number() OVER (PARTITION BY frame, r_star ORDER BY dist, star) AS rb FROM p) SELECT frame, count(*) AS support FROM k WHERE ra = 1 AND rb = 1 GROUP BY frame""",
 )
 def j13(spark, sf):
+    """Every other frame against frame 0, under one map."""
     st = stars(spark, sf)
-    moved = st.filter("frame = 2").withColumns({"x": F.col("x") + 1.5, "y": F.col("y") - 0.5})
-    return joins.mutual_nearest(moved, st.filter("frame = 0"), 2.0).agg(F.count("*").alias("support"))
+    moved = st.filter("frame > 0").withColumns({"x": F.col("x") + 1.5, "y": F.col("y") - 0.5})
+    reference = st.filter("frame = 0").drop("frame").crossJoin(F.broadcast(moved.select("frame").distinct()))  # a copy a frame
+    return joins.mutual_nearest(moved, reference, 2.0, 1.0, ["frame"]).groupBy("frame").agg(F.count("*").alias("support"))
 
 
 AFF = """WITH p AS (SELECT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, 2.0 * l_quantity - 0.5 * l_linenumber + l_tax * 10 AS u, 0.25 * l_quantity + 1.5 * l_linenumber - l_discount * 10 AS v FROM lineitem),

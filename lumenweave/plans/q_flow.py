@@ -38,13 +38,31 @@ def f15(spark, sf):
     return map_pixels(stars(spark, sf).select("star", "frame", "x", "y"), {k: at(k) for k in range(8)}, at(0)).select("star", "frame", r("cx"), r("cy"))
 
 
+def _fields(spark, sf):
+    """All frames' catalogs side by side, one field each, 4,000 pixels apart."""
+    return stars(spark, sf).select(F.col("frame").alias("field"), "star", (F.col("x") + 4000 * F.col("frame")).alias("x"), "y", "peak")
+
+
+def _moved_fields(spark, sf, dx: int, dy: int):
+    """Each field four times, moved by so much times 1 to 4; frames are numbered by field and time."""
+    st, k = _fields(spark, sf), F.col("k")
+    each = st.crossJoin(F.broadcast(spark.range(1, 5).withColumnRenamed("id", "k")))
+    return st, each.select("field", "k", (F.col("field") * 8 + k).alias("frame"), "star", (F.col("x") + dx * k).alias("x"), (F.col("y") + dy * k).alias("y"), "peak")
+
+
+def _displacement(fits):
+    """Fits of ``_moved_fields`` with what each does at its field's centre."""
+    field = F.floor(F.col("frame") / 8)
+    x, y = field * 4000 + 128, F.lit(128)
+    dx, dy = F.col("a") * x + F.col("b") * y + F.col("c") - x, F.col("d") * x + F.col("e") * y + F.col("f") - y
+    return fits.select(field.alias("field"), (F.col("frame") % 8).alias("frame"), "method", "support", dx.alias("dx"), dy.alias("dy"))
+
+
 @query("m03_alignment", None)
 def m03(spark, sf):
-    st = stars(spark, sf).filter("frame = 0").select("star", "x", "y", "peak")
-    moved = spark.range(1, 5).withColumnRenamed("id", "frame").crossJoin(st)
-    k = F.col("frame")
-    moved = moved.filter((F.col("star") + k) % 5 != 0).withColumns({"x": F.col("x") - 3 * k, "y": F.col("y") + 2 * k})
-    return align.align_to(moved, st, 256.0).select("frame", "method", "support", r("c", "dx", 2), r("f", "dy", 2))
+    st, moved = _moved_fields(spark, sf, -3, 2)
+    moved = moved.filter((F.col("star") + F.col("k")) % 5 != 0)
+    return _displacement(align.align_to(moved, st, 256.0)).select("field", "frame", "method", "support", r("dx", digits=2), r("dy", digits=2))
 
 
 def _field(spark, sf, profile):
@@ -238,20 +256,16 @@ def a10_tiles(spark, sf):
     return stats.robust_sigma(p, ["frame", "tx", "ty"]).select("frame", "tx", "ty", r("median"))
 
 
-def _shifted_frames(spark, sf):
-    """The catalog of frame 0 four times, each moved and turned a little."""
-    st = stars(spark, sf).filter("frame = 0").select("star", "x", "y", "peak")
-    k = F.col("frame")
-    each = spark.range(1, 5).withColumnRenamed("id", "frame").crossJoin(st)  # four shifts of a catalog
-    return st, each.select("frame", "star", (F.col("x") - 6 * k).alias("x"), (F.col("y") + 4 * k).alias("y"), "peak")
-
-
-@query("m06_single_models", "SELECT CAST(k AS BIGINT) AS frame, m AS model, CAST(6 * k AS DOUBLE) AS dx, CAST(-4 * k AS DOUBLE) AS dy FROM (SELECT unnest(range(1, 5)) AS k) CROSS JOIN (SELECT unnest(['translation', 'similarity', 'affine']) AS m)")
+@query(
+    "m06_single_models",
+    f"{S}, f AS (SELECT DISTINCT frame AS field FROM stars) SELECT field, CAST(k AS BIGINT) AS frame, m AS model, CAST(6 * k AS DOUBLE) AS dx, CAST(-4 * k AS DOUBLE) AS dy FROM f CROSS JOIN (SELECT unnest(range(1, 5)) AS k) CROSS JOIN (SELECT unnest(['translation', 'similarity', 'affine']) AS m)",
+)
 def m06(spark, sf):
-    st, each = _shifted_frames(spark, sf)
+    st, each = _moved_fields(spark, sf, -6, 4)
     out = None
     for model in ("translation", "similarity", "affine"):
-        got = align.estimate(each, st, model).select("frame", F.lit(model).alias("model"), (F.round("c", 0) + 0.0).alias("dx"), (F.round("f", 0) + 0.0).alias("dy"))
+        got = _displacement(align.estimate(each, st, model))
+        got = got.select("field", "frame", F.lit(model).alias("model"), *[(F.round(F.col(c) * 10, 0) / 10 + 0.0).alias(c) for c in ("dx", "dy")])
         out = got if out is None else out.union(got)
     return out
 

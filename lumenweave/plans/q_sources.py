@@ -272,10 +272,10 @@ def s16(spark, sf):
 
 
 def _star_map(spark, sf: str):
-    """A star map of frame 0's science plane with the catalog's first 200 sources in it, by number."""
+    """A star map of frame 0's science plane with the whole catalog in it, at a quarter of its size."""
     px = pix_nan(spark, sf).filter("frame = 0").select("x", "y", "v")
-    st = stars(spark, sf).filter("x < 64 AND y < 64").select(
-        F.col("star").cast("int").alias("id"), "x", "y", F.lit(2.5).alias("fwhm"), (F.col("area") % 4 + 2).cast("double").alias("radius"), F.col("peak").alias("snr"), F.lit(0.1).alias("residual"),
+    st = stars(spark, sf).select(
+        F.col("star").cast("int").alias("id"), (F.col("x") / 4).alias("x"), (F.col("y") / 4).alias("y"), F.lit(2.5).alias("fwhm"), (F.col("area") % 4 + 2).cast("double").alias("radius"), F.col("peak").alias("snr"), F.lit(0.1).alias("residual"),
         F.col("flux").alias("amplitude"), F.when(F.col("star") % 3 == 0, "uncertain").otherwise("accepted").alias("status"), F.lit("").alias("reason"), (F.col("star") % 5 == 0).alias("saturated"),
         F.lit(2).alias("usable"), (F.col("star") % 4).cast("int").alias("confirmed"), F.when(F.col("star") % 7 == 0, "reject").when(F.col("star") % 11 == 0, "accept").otherwise("").alias("override"),
     )
@@ -284,12 +284,12 @@ def _star_map(spark, sf: str):
     return products.read_star_map(spark, path, px, SIDE, SIDE)
 
 
-MAPPED = "st AS (SELECT CAST(star AS INTEGER) AS id, x, y, peak AS snr, CAST(area % 4 + 2 AS DOUBLE) AS radius, CASE WHEN star % 3 = 0 THEN 'uncertain' ELSE 'accepted' END AS status, star % 5 = 0 AS saturated, CAST(star % 4 AS INTEGER) AS confirmed, CASE WHEN star % 7 = 0 THEN 'reject' WHEN star % 11 = 0 THEN 'accept' ELSE '' END AS override FROM stars WHERE x < 64 AND y < 64)"
+MAPPED = "st AS (SELECT CAST(star AS INTEGER) AS id, x / 4 AS x, y / 4 AS y, peak AS snr, CAST(area % 4 + 2 AS DOUBLE) AS radius, CASE WHEN star % 3 = 0 THEN 'uncertain' ELSE 'accepted' END AS status, star % 5 = 0 AS saturated, CAST(star % 4 AS INTEGER) AS confirmed, CASE WHEN star % 7 = 0 THEN 'reject' WHEN star % 11 = 0 THEN 'accept' ELSE '' END AS override FROM stars)"
 
 
-@query("s17_star_map_catalog", f"{S}, {MAPPED} SELECT id, round(x, 3) AS x, round(y, 3) AS y, round(snr, 3) AS snr, radius, status, saturated, confirmed, override FROM st")
+@query("s17_star_map_catalog", f"{S}, {MAPPED} SELECT id, round(x * 4, 3) AS x, round(y * 4, 3) AS y, round(snr, 3) AS snr, radius, status, saturated, confirmed, override FROM st")
 def s17(spark, sf):
-    return _star_map(spark, sf)[0].select("id", r("x", digits=3), r("y", digits=3), r("snr", digits=3), "radius", "status", "saturated", "confirmed", "override")
+    return _star_map(spark, sf)[0].select("id", r(F.col("x") * 4, "x", 3), r(F.col("y") * 4, "y", 3), r("snr", digits=3), "radius", "status", "saturated", "confirmed", "override")
 
 
 @query(

@@ -140,8 +140,10 @@ def test_similarities(spark):
 
 
 def test_alignment(spark):
-    got = {r.frame: r for r in rows(spark, "m03_alignment")}
-    assert set(got) == {1, 2, 3, 4} and all(abs(r.dx - 3 * f) < 0.02 and abs(r.dy + 2 * f) < 0.02 and r.support >= 50 for f, r in got.items())
+    fields = {r.frame for r in stars(spark, SF).select("frame").distinct().collect()}
+    got = {(r.field, r.frame): r for r in rows(spark, "m03_alignment")}
+    assert set(got) == {(f, k) for f in fields for k in range(1, 5)}
+    assert all(abs(r.dx - 3 * k) < 0.02 and abs(r.dy + 2 * k) < 0.02 and r.support >= 50 for (_, k), r in got.items())
 
 
 def test_template_scales(spark):
