@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenweave.functions import scalars as s
-from lumenweave.operators import align, combine, detect, edit, mosaic, stats
+from lumenweave.functions.wcs import Mapper
+from lumenweave.operators import align, combine, detect, edit, mosaic, reproject, stats
 from lumenweave.plans.registry import query, r
 from lumenweave.session import settled
 from lumenweave.plans.views import pix, pix_nan, stars, table, with_views
@@ -201,6 +202,26 @@ def m27(spark, sf):
     return mosaic.colour(pix_nan(spark, sf), weights, s.Stretch("Asinh", 0.1, 1.0, 20.0), 0.3)
 
 
+def _grids():
+    """Eight grids of one field, turned, scaled and bent a little against the first, whose shift is its number."""
+    import math as m
+
+    out = {}
+    for k in range(8):
+        turn, scale = m.radians(1.5 * k), 1e-4 * (1 + 0.01 * k)
+        cd = (scale * m.cos(turn), -scale * m.sin(turn), scale * m.sin(turn), scale * m.cos(turn))
+        out[k] = Mapper((32.0 - k, 32.0 + 0.5 * k), (150.0, 2.2), cd, {(2, 0): 1e-5 * k}, {(1, 1): -1e-5 * k})
+    return out
+
+
+@query("m27_grids")
+def m27_grids(spark, sf):
+    """Frames of eight grids on the first's, equalised, mixed, and the last screened over the mix."""
+    grids = _grids()
+    weights = spark.range(8).select(F.col("id").alias("frame"), *[((F.col("id") + k) % 3 * 0.3).alias(c) for k, c in enumerate(("wr", "wg", "wb"))])
+    return reproject.composed(pix(spark, sf).select("frame", "x", "y", "v"), grids, grids[0], 64, 64, weights, overlay=7, opacity=0.4, tint=(1.0, 0.5, 0.2), bound=1e-4)
+
+
 @query("m28_sharpen")
 def m28(spark, sf):
     p = pix(spark, sf).select("frame", "x", "y", (F.col("v") / 110).alias("v"))
