@@ -112,3 +112,20 @@ def test_the_state_of_a_stream_is_what_a_loop_gives(spark, tmp_path):
         assert sorted(map(tuple, out), key=key) == sorted(want, key=key) and len(want) == events.count()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_query_of_job_states(spark):
+    from collections import Counter
+
+    from conftest import SF
+
+    from lumenweave.plans.queries import QUERIES
+
+    names, held, want = (*states.ORDER, *states.FINAL), {}, Counter()
+    events = [(r.user_id, r.ts, names[r.event_id % 8]) for r in spark.read.parquet(f"{SF}/events.parquet").collect()]
+    for job, ts, status in sorted(events):
+        good = states.legal(held.get(job), status)
+        want[job, status, "moved" if good else "refused"] += 1
+        if good:
+            held[job] = status
+    assert {(r.job, r.status, r.verdict): r.n for r in QUERIES["r02_job_states"](spark, SF).collect()} == want
