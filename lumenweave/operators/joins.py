@@ -12,6 +12,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenweave.operators.near import nearest_within, neighbours_within
+
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str] = (), x: str = "x", y: str = "y", copied: str = "left") -> DataFrame:
     """Pairs within ``radius`` (inclusive) and equal ``keys``: left columns, right ones prefixed r_, and dist.
@@ -33,26 +35,22 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str
 
 
 def votes(catalog: DataFrame, radius: float) -> DataFrame:
-    """Each detection with the number of exposures that see it, its own included."""
-    other = catalog.select("x", "y", "exposure")
-    return radius_join(catalog, other, radius).groupBy(*catalog.columns).agg(F.countDistinct("r_exposure").alias("support"))
+    """Each detection with the number of exposures that see it, its own included. Exposures are counted by place (``near``), with no pairs."""
+    seen = catalog.filter("exposure IS NOT NULL").select("x", "y", "exposure", F.lit(float(radius)).alias("reach"), F.lit(1).cast("long").alias("n")).distinct()
+    support = neighbours_within(catalog, seen, radius, [], "support", "exposure")
+    return catalog.join(support, ["x", "y"]).select(*catalog.columns, "support").distinct()
 
 
 def mutual_nearest(ref: DataFrame, target: DataFrame, radius: float, ratio: float = 1.0, keys: list[str] = ()) -> DataFrame:
     """One-to-one pairs that are each other's nearest within ``radius``; with a second candidate inside it, the best must be at most ``ratio`` of it.
 
-    Ties go by distance, then the ids. Mutual bests by a total order are one-to-one already.
+    Ties go by distance, then the ids. Mutual bests by a total order are one-to-one already. Each side asks for its two nearest (``near``); no other pairs are made.
     """
-    pairs = radius_join(ref.select(*keys, F.col("star"), "x", "y"), target.select(*keys, F.col("star"), "x", "y"), radius, keys)
-    a, b = Window.partitionBy(*keys, "star"), Window.partitionBy(*keys, "r_star")
-    rank = pairs.withColumns(
-        {
-            "ra": F.row_number().over(a.orderBy("dist", "r_star")), "rb": F.row_number().over(b.orderBy("dist", "star")),
-            "sa": F.lead("dist").over(a.orderBy("dist", "r_star")), "sb": F.lead("dist").over(b.orderBy("dist", "star")),
-        }
-    )
-    clear = lambda s: F.col(s).isNull() | (F.col("dist") <= ratio * F.col(s))
-    return rank.filter((F.col("ra") == 1) & (F.col("rb") == 1) & clear("sa") & clear("sb")).select(*keys, "star", "r_star", "dist")
+    keys = list(keys)
+    there = nearest_within(ref, target, radius, keys).select(*keys, "star", F.col("other").alias("r_star"), "dist", F.col("second").alias("sa"))
+    back = nearest_within(target, ref, radius, keys).select(*keys, F.col("other").alias("star"), F.col("star").alias("r_star"), F.col("second").alias("sb"))
+    both = there.join(back, [*keys, "star", "r_star"])
+    return both.filter((F.col("dist") <= ratio * F.col("sa")) & (F.col("dist") <= ratio * F.col("sb"))).select(*keys, "star", "r_star", "dist")
 
 
 def dominant_offset(ref: DataFrame, target: DataFrame, window: float = 150.0, bin_size: float = 3.0, least: int = 4) -> DataFrame:
