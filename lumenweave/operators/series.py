@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.scalars import finite
+from lumenweave.session import settled
 
 NAN = float("nan")
 
@@ -61,13 +62,13 @@ def spread(df: DataFrame, n: int, keys: list[str], extent: float) -> DataFrame:
 
 def supported(df: DataFrame, n: int, keys: list[str], support: str = "support", order: str = "star", least: int = 4, enough: int = 2) -> DataFrame:
     """The ``n`` of most support, then least index; where fewer than ``least`` have ``enough`` of it, the first ``n`` by index."""
-    w = Window.partitionBy(*keys)
-    rows = df.withColumn("__k", F.sum((F.col(support) >= enough).cast("int")).over(w))
-    by_support = F.row_number().over(w.orderBy(F.col(support).desc(), order))
-    by_index = F.row_number().over(w.orderBy(order))
-    good = F.col("__k") >= least
-    rows = rows.withColumn("rank", F.when(good, by_support).otherwise(by_index)).withColumn("fallback", ~good)
-    return rows.filter((F.col("rank") <= n) & (F.col("fallback") | (F.col(support) >= enough))).drop("__k")
+    # a row a group says which order holds, so that ranks stop at n in every task before a group comes together
+    rows = settled(df, "supported")
+    good = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg((F.count_if(F.col(support) >= enough) < least).alias("fallback"))
+    first = F.when(F.col("fallback"), 0).otherwise(-F.col(support))
+    placed = rows.join(F.broadcast(good), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*good.columns[:-1])
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(first, order))).filter(F.col("rank") <= n)
+    return ranked.filter(F.col("fallback") | (F.col(support) >= enough))
 
 
 def neighbours(df: DataFrame, v: str = "v") -> DataFrame:
