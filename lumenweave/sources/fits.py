@@ -14,6 +14,7 @@ import math
 import os
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql.types import StructType
 from lumenweave.sources import storage
 
 BLOCK, CARD = 2880, 80
+TABLE_SHARE = 64 << 20  # bytes of a file: a task's share of its table's rows
 SUFFIXES = (".fits", ".fit", ".fts")
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 SCHEMA = (
@@ -223,7 +225,8 @@ class TableReader(DataSourceReader):
         self.path, self.name, self.layout = options["path"], options.get("extname", ""), layout
 
     def partitions(self):
-        return [_Part(n, 0, 1) for n, _ in storage.children(self.path) if n.lower().endswith(SUFFIXES)]
+        shares = lambda size: max(1, -(-size // TABLE_SHARE))
+        return [_Part(n, k, shares(size)) for n, size in storage.children(self.path) if n.lower().endswith(SUFFIXES) for k in range(shares(size))]
 
     def read(self, partition: _Part):
         dtype = np.dtype([(n, k) for n, k, _ in self.layout])
@@ -233,8 +236,10 @@ class TableReader(DataSourceReader):
             if [x[:2] for x in table_layout(cards)] != [x[:2] for x in self.layout] or dims[0] != dtype.itemsize:
                 raise ValueError(f"{partition.path}: another layout of {self.name}")
             with storage.reading(partition.path) as f:
-                for row in range(0, dims[1], 8192):
-                    n = min(8192, dims[1] - row)
+                # a task's share of the rows
+                first, end = (dims[1] * k // partition.parts for k in (partition.part, partition.part + 1))
+                for row in range(first, end, 8192):
+                    n = min(8192, end - row)
                     f.seek(at + row * dtype.itemsize)
                     got = np.frombuffer(f.read(n * dtype.itemsize), dtype=dtype)
                     cols = [pa.array([partition.path] * n, pa.string())]
@@ -334,16 +339,68 @@ def encode_plane(data: np.ndarray, cards: dict, first: bool, name: str = "", ver
     return text.ljust(-(-len(text) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 
 
-def encode_table(name: str, columns: list[tuple[str, str]], rows: np.ndarray, cards: dict | None = None) -> bytes:
-    """Header and data of a binary table; ``columns`` are (name, form), ``rows`` a structured array in their order."""
-    head = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", rows.dtype.itemsize), card("NAXIS2", len(rows))]
+def table_header(name: str, columns: list[tuple[str, str]], size: int, rows: int, cards: dict | None = None) -> bytes:
+    """Header of a binary table of so many rows of ``size`` bytes."""
+    head = [card("XTENSION", "BINTABLE"), card("BITPIX", 8), card("NAXIS", 2), card("NAXIS1", size), card("NAXIS2", rows)]
     head += [card("PCOUNT", 0), card("GCOUNT", 1), card("TFIELDS", len(columns)), card("EXTNAME", name)]
     for k, (column, form) in enumerate(columns, 1):
         head += [card(f"TTYPE{k}", column), card(f"TFORM{k}", form)]
     head += [card(k, v) for k, v in (cards or {}).items()]
     text = b"".join(head) + b"END".ljust(CARD)
+    return text.ljust(-(-len(text) // BLOCK) * BLOCK)
+
+
+def encode_table(name: str, columns: list[tuple[str, str]], rows: np.ndarray, cards: dict | None = None) -> bytes:
+    """Header and data of a binary table; ``columns`` are (name, form), ``rows`` a structured array in their order."""
     body = rows.tobytes()
-    return text.ljust(-(-len(text) // BLOCK) * BLOCK) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+    return table_header(name, columns, rows.dtype.itemsize, len(rows), cards) + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
+
+
+@dataclass
+class Spooled:
+    """A table whose rows lie in siblings of its file, in their order, until the file is put together."""
+
+    header: bytes
+    parts: list[str]
+    size: int
+    rows: int
+
+    def __iter__(self) -> Iterator[bytes]:
+        yield self.header
+        for part in self.parts:
+            with storage.reading(part) as f:
+                while data := f.read(1 << 22):
+                    yield data
+        yield b"\0" * (-self.size % BLOCK)
+
+    def remove(self) -> None:
+        for part in self.parts:
+            storage.remove(part)
+
+
+def spool_table(df, path: str, name: str, columns: list[tuple[str, str]], encode, order: str, cards: dict | None = None) -> Spooled:
+    """``df`` as a binary table by ``order``: each task writes a range of it to a sibling of ``path``, a batch in memory at a time; only their names come back.
+
+    ``encode`` makes a structured array of a pandas batch.
+    """
+    import pandas as pd
+    from pyspark import TaskContext
+
+    def run(batches):
+        task = TaskContext.get()
+        part = f"{path}.{name}-{task.partitionId()}-{task.taskAttemptId()}.part"
+        n = size = 0
+        with storage.writing(part) as f:
+            for pdf in batches:
+                rows = encode(pdf)
+                f.write(rows.tobytes())
+                n, size = n + len(rows), rows.dtype.itemsize
+        yield pd.DataFrame({"k": [task.partitionId()], "part": [part], "n": [n], "size": [size]})
+
+    parts = sorted(df.orderBy(order).mapInPandas(run, "k int, part string, n long, size int").collect())  # a row a task
+    size = max((r["size"] for r in parts), default=0) or encode(df.limit(0).toPandas()).dtype.itemsize
+    n = sum(r["n"] for r in parts)
+    return Spooled(table_header(name, columns, size, n, cards), [r["part"] for r in parts], n * size, n)
 
 
 def write_bytes(path: str, parts: Iterator[bytes], overwrite: bool = True) -> None:
@@ -379,7 +436,7 @@ def plane_header(width: int, height: int, exact: bool, cards: dict, first: bool,
     return text.replace(card("NAXIS1", 1), card("NAXIS1", width)).replace(card("NAXIS2", 1), card("NAXIS2", height))
 
 
-def write_sorted(df, path: str, width: int, height: int, columns: list[tuple[str, str, bool]], cards: dict | None = None, extra: list[bytes] = ()) -> int:
+def write_sorted(df, path: str, width: int, height: int, columns: list[tuple[str, str, bool]], cards: dict | None = None, extra: list[bytes | Spooled] = ()) -> int:
     """Pixel rows (x, y and the columns) as one file of planes (column, name, exact), a row of pixels in memory at a time.
 
     Rows come sorted to one task, which spools each plane to a sibling in the store and joins them at the end. Pixels that
@@ -420,7 +477,8 @@ def write_sorted(df, path: str, width: int, height: int, columns: list[tuple[str
                         while data := f.read(1 << 22):
                             yield data
                     yield b"\0" * (-4 * width * height % BLOCK)
-                yield from extra
+                for table in extra:
+                    yield from [table] if isinstance(table, bytes) else table
 
             write_bytes(path, parts())
         finally:

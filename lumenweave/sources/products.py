@@ -135,7 +135,7 @@ def star_planes(sources: DataFrame, pixels: DataFrame) -> DataFrame:
 def save_star_map(sources: DataFrame, pixels: DataFrame, path: str, width: int, height: int, provenance: dict, cards: dict | None = None) -> None:
     """A star map: mask, LABELS and FLAGS planes, the STARS table and INPUTS provenance, bound to the science pixels by their hash.
 
-    A file that is there and is no star map is refused. Sources are a row a star, gathered for the table.
+    A file that is there and is no star map is refused. The table's rows are written by tasks, range by range of their ids.
     """
     spark = pixels.sparkSession
     if storage.exists(path):
@@ -144,26 +144,33 @@ def save_star_map(sources: DataFrame, pixels: DataFrame, path: str, width: int,
         if old is None or old["cards"].get("PRODUCT") != "STARMAP":
             raise FileExistsError(f"{path} is no star map")
     names = [n.lower() for n, _ in STAR_COLUMNS]
-    table = sources.select(*names).orderBy("id").toPandas()
     dtype = np.dtype([(n, {"1J": ">i4", "1D": ">f8", "1L": "S1"}.get(f, f"S{f[:-1]}")) for n, f in STAR_COLUMNS])
-    rows = np.zeros(len(table), dtype=dtype)
-    for name, form in STAR_COLUMNS:
-        c = table[name.lower()]
-        if form.endswith("A"):
-            rows[name] = [str(x or "").encode("latin-1", "replace")[: int(form[:-1])].ljust(int(form[:-1])) for x in c]
-        elif form == "1L":
-            rows[name] = np.where(c.fillna(False).astype(bool), b"T", b"F")
-        else:
-            rows[name] = c.to_numpy() + (1 if name in "XY" else 0)  # places count from 1 in a file
+
+    def encoded(table: pd.DataFrame) -> np.ndarray:
+        rows = np.zeros(len(table), dtype=dtype)
+        for name, form in STAR_COLUMNS:
+            c = table[name.lower()]
+            if form.endswith("A"):
+                rows[name] = [str(x or "").encode("latin-1", "replace")[: int(form[:-1])].ljust(int(form[:-1])) for x in c]
+            elif form == "1L":
+                rows[name] = np.where(c.fillna(False).astype(bool), b"T", b"F")
+            else:
+                rows[name] = c.to_numpy() + (1 if name in "XY" else 0)  # places count from 1 in a file
+        return rows
+
+    table = fits.spool_table(sources.select(*names), path, "STARS", list(STAR_COLUMNS), encoded, "id", {"COORDSYS": "FITS 1-based pixels"})
     good = int(sources.filter(accepted(F.col("status"), F.col("override"))).count())
-    head = {"PRODUCT": "STARMAP", "SMAPVER": 1, "BUNIT": "1", "NSOURCE": len(table), "NACCEPT": good, **(cards or {})}
+    head = {"PRODUCT": "STARMAP", "SMAPVER": 1, "BUNIT": "1", "NSOURCE": table.rows, "NACCEPT": good, **(cards or {})}
     hashed = science_hash(pixels, width, height)
     head |= {"SCIHASH": hashed}
     text = json.dumps(provenance, sort_keys=True).encode()
-    tables = [fits.encode_table("STARS", list(STAR_COLUMNS), rows, {"COORDSYS": "FITS 1-based pixels"})]
+    tables = [table]
     tables.append(fits.encode_table("INPUTS", [("JSON", f"{len(text)}A")], np.array([text], dtype=[("JSON", f"S{len(text)}")])))
     planes = [("mask", "", False), ("label", "LABELS", True), ("flags", "FLAGS", True)]
-    fits.write_sorted(star_planes(sources, pixels), path, width, height, planes, head, tables)
+    try:
+        fits.write_sorted(star_planes(sources, pixels), path, width, height, planes, head, tables)
+    finally:
+        table.remove()
 
 
 def read_star_map(spark: SparkSession, path: str, pixels: DataFrame | None = None, width: int = 0, height: int = 0) -> tuple[DataFrame, DataFrame, dict]:
