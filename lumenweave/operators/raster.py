@@ -383,15 +383,21 @@ def fold_masks(steps: DataFrame) -> DataFrame:
 
 
 def feathered(sources: DataFrame) -> DataFrame:
-    """Star discs (x, y, radius, id, bits) to pixels: mask 1 within 0.65 of the radius, a cosine to 0 beyond; greatest mask wins, its id labels, bits OR."""
+    """Star discs (x, y, radius, id, bits) to pixels: mask 1 within 0.65 of the radius, a cosine to 0 beyond; greatest mask wins, its id labels, bits OR.
+
+    Equal discs are one. Mask and id make one number of 38 digits, whose greatest is kept without a sort: a mask is a multiple of 2 ** -54.
+    """
+    kind = dict(sources.dtypes)["id"]
+    discs = sources.groupBy("frame", "x", "y", "radius").agg(F.min("id").alias("id"), F.bit_or("bits").alias("bits"))
     at = lambda c, sign: F.ceil(F.col(c) - F.col("radius")) if sign < 0 else F.floor(F.col(c) + F.col("radius"))
-    grid = sources.withColumn("px", F.explode(F.sequence(at("x", -1), at("x", 1)))).withColumn("py", F.explode(F.sequence(at("y", -1), at("y", 1))))
+    grid = discs.withColumn("px", F.explode(F.sequence(at("x", -1), at("x", 1)))).withColumn("py", F.explode(F.sequence(at("y", -1), at("y", 1))))
     t = F.sqrt((F.col("px") - F.col("x")) ** 2 + (F.col("py") - F.col("y")) ** 2) / F.col("radius")
     mask = F.when(t <= 0.65, 1.0).when(t <= 1, 0.5 + 0.5 * F.cos(F.lit(np.pi) * (t - 0.65) / 0.35)).otherwise(0.0)
-    hit = grid.withColumn("mask", mask).filter("mask > 0")
-    return hit.groupBy("frame", F.col("px").alias("x"), F.col("py").alias("y")).agg(
-        F.max("mask").alias("mask"), F.max_by("id", F.struct("mask", -F.col("id"))).alias("label"), F.bit_or("bits").alias("bits")
-    )
+    step, top = "CAST(20000000000000000000 AS DECIMAL(20, 0))", "CAST(9223372036854775807 AS DECIMAL(20, 0))"
+    # an id counts from above, so that the least of equal masks wins
+    hit = grid.withColumn("mask", mask).filter("mask > 0").withColumn("best", F.expr(f"CAST(CAST(mask * 18014398509481984D AS BIGINT) AS DECIMAL(17, 0)) * {step} + ({top} - CAST(id AS DECIMAL(20, 0)))"))
+    won = hit.groupBy("frame", F.col("px").alias("x"), F.col("py").alias("y")).agg(F.max("mask").alias("mask"), F.max("best").alias("best"), F.bit_or("bits").alias("bits"))
+    return won.select("frame", "x", "y", "mask", F.expr(f"CAST({top} - best % {step} AS {kind})").alias("label"), "bits")
 
 
 def shared_star_mask(df: DataFrame, levels: DataFrame, width: int, height: int, least: int = 2, seed_sigmas: float = 2.0, grow_sigmas: float = 1.0) -> DataFrame:
