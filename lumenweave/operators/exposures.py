@@ -88,9 +88,17 @@ def input_order(chips: DataFrame, radius: float, middle: float) -> DataFrame:
 
     files = chips.groupBy("file").agg(F.min("input").alias("first"), *[F.min_by(c, F.struct("chip", "input")).alias(c) for c in "xy"])
     there = files.filter("x IS NOT NULL AND y IS NOT NULL")
-    near = radius_join(there.select("first", "x", "y"), there.select("first", "x", "y"), radius).filter("first < r_first")
-    places = connected(near.select(F.col("first").alias("a"), F.col("r_first").alias("b")))
-    placed = there.join(places, there["first"] == places["id"], "left").select("file", "first", "x", "y", F.coalesce("component", "first").alias("place"))
+    # files at one spot are one, and so are spots of a cell whose diagonal is the radius; between cells one pair is enough
+    spots = there.groupBy("x", "y").agg(F.min("first").alias("first"))
+    side = radius / 2**0.5 * (1 - 1e-9)
+    spots = settled(spots.withColumns({"gx": F.floor(F.col("x") / side), "gy": F.floor(F.col("y") / side)}), "spots")
+    cells = spots.groupBy("gx", "gy").agg(F.min("first").alias("a"))
+    at = cells.join(spots, ["gx", "gy"]).select("a", "x", "y")
+    near = radius_join(at, at, radius).filter("a < r_a").select("a", F.col("r_a").alias("b")).distinct()
+    heads = connected(near)
+    of_cell = cells.join(heads, cells["a"] == heads["id"], "left").select("gx", "gy", F.coalesce("component", "a").alias("place"))
+    of_spot = spots.join(of_cell, ["gx", "gy"]).select("x", "y", "place")
+    placed = there.join(of_spot, ["x", "y"]).select("file", "first", "x", "y", "place")
     # a component is named by its least member, which is its first file
     head = placed.filter("first = place").select("place", F.col("x").alias("px"), F.col("y").alias("py"))
     off = F.abs(F.col("py") - middle) > radius

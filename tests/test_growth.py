@@ -47,3 +47,32 @@ def test_discs_are_put_on_the_raster_without_a_sort(spark):
     assert {(r.x, r.y): (round(r.mask, 9), r.bits) for r in got.collect()} == {k: (round(m, 9), b) for k, (m, _, b) in want.items()}
     sure = {(r.x, r.y): r.label for r in got.filter("mask = 1").collect()}
     assert sure == {k: i for k, (m, i, _) in want.items() if m == 1}
+
+
+def test_files_fingerprint_is_made_in_parts(spark):
+    """m24: no task gathers a hash a file; order doesn't matter, any other file does."""
+    from lumenweave.operators.mosaic import inputs_fingerprint
+
+    files = spark.range(3000).select(F.col("id").cast("string").alias("path"), (F.col("id") % 7).alias("size"), F.lit("2026-01-01").alias("modified"))
+    longest, arrays = [], F.array_sort
+    F.array_sort = lambda c, *a: longest.append(c) or arrays(c, *a)
+    try:
+        one = inputs_fingerprint(files)
+    finally:
+        F.array_sort = arrays
+    assert len(longest) == 2 and one == inputs_fingerprint(files.orderBy(F.desc("size")).repartition(5))
+    assert len({one, inputs_fingerprint(files.filter("path <> '1'")), inputs_fingerprint(files, "flat")}) == 3
+
+
+def test_files_at_one_spot_make_no_pairs(spark, monkeypatch):
+    """w14: 20,000 files at three spots, two of which hang together."""
+    from lumenweave.operators import exposures, joins
+
+    met, join = [], joins.radius_join
+    monkeypatch.setattr(joins, "radius_join", lambda a, *r: met.append(a.count()) or join(a, *r))
+    k = F.col("id") % 3
+    chips = spark.range(20000).select(F.col("id").alias("input"), F.col("id").alias("file"), F.lit(0).alias("chip"), F.when(k == 2, 900.0).otherwise(k * 90.0).alias("x"), F.lit(0.0).alias("y"))
+    got = {r.input: r.position for r in exposures.input_order(chips, 100.0, 32.0).collect()}
+    assert met == [3]
+    near = [i for i in range(20000) if i % 3 != 2]
+    assert [got[i] for i in near] == list(range(len(near))) and [got[i] for i in range(2, 20000, 3)] == list(range(len(near), 20000))
