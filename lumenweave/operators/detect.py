@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions.scalars import finite
+from lumenweave.operators import near
 from lumenweave.operators.graph import connected
 from lumenweave.operators.joins import radius_join
 from lumenweave.operators.raster import blur_grid, haloed_tiles
@@ -302,14 +303,39 @@ def reject_spikes(sources: DataFrame, saturated: DataFrame, reach: float = 12.0,
 
     Rays leave a star every ``turn`` degrees and are ``reach`` of its radii long; ``width`` is a ray's half width in pixels.
     """
-    far = saturated.agg(F.coalesce(F.max(F.col("radius") * reach), F.lit(1.0)).alias("m")).first()["m"]  # one number
-    near = radius_join(saturated.select("frame", "x", "y", "radius"), sources.select("frame", "id", "x", "y"), float(far), ["frame"])
-    dx, dy = F.col("r_x") - F.col("x"), F.col("r_y") - F.col("y")
-    angle = F.degrees(F.atan2(dy, dx))
-    off = F.abs(angle - F.floor(angle / turn + 0.5) * turn)
-    beside = F.col("dist") * F.sin(F.radians(off))
-    hit = near.filter((F.col("dist") > F.col("radius") + 1) & (F.col("dist") <= reach * F.col("radius")) & (beside <= width))
-    return sources.join(hit.select("frame", F.col("r_id").alias("id")).distinct().withColumn("spike", F.lit(True)), ["frame", "id"], "left").withColumn("spike", F.coalesce("spike", F.lit(False)))
+    # places meet by cells; one on a ray leaves the cell's search, so few are held against many stars. What lies at a ray's very edge is decided by columns below
+    far = float(saturated.agg(F.coalesce(F.max(F.col("radius") * reach), F.lit(1.0)).alias("m")).first()["m"])  # one number
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):  # a side without rows has no columns
+            return pd.DataFrame()
+        ax, ay, left = a["x"].to_numpy(float), a["y"].to_numpy(float), np.arange(len(a))
+        sure, edge = np.zeros(len(a), dtype=bool), []
+        for x, y, radius in zip(*(b[c].to_numpy(float) for c in ("x", "y", "radius"))):
+            dx, dy = ax[left] - x, ay[left] - y
+            dist, angle = np.sqrt(dx * dx + dy * dy), np.degrees(np.arctan2(dy, dx))
+            # how far inside the ray a place is: beyond the core, before the end, beside its middle
+            inside = np.minimum(np.minimum(dist - radius - 1, reach * radius - dist), width - dist * np.sin(np.radians(np.abs(angle - np.floor(angle / turn + 0.5) * turn))))
+            edge += [(k, x, y, radius) for k in left[np.abs(inside) <= 1e-6]]
+            sure[left[inside > 1e-6]] = True
+            left = left[inside <= 1e-6]
+            if not len(left):
+                break
+        edge = [e for e in edge if not sure[e[0]]]
+        k = np.r_[np.flatnonzero(sure), np.array([e[0] for e in edge], dtype=int)]
+        at = np.array([(math.nan,) * 3] * int(sure.sum()) + [e[1:] for e in edge], dtype=float).reshape(-1, 3)
+        return pd.DataFrame({"frame": a["frame"].iloc[0], "x": ax[k], "y": ay[k], "sx": at[:, 0], "sy": at[:, 1], "radius": at[:, 2], "sure": sure[k]})
+
+    places = near.known(sources.select("frame", "x", "y")).distinct()
+    side = near.cell_side(places, ["frame"], far)
+    bright = near.known(saturated.select("frame", "x", "y", "radius")).distinct()
+    got = near.meet(near.celled(places, side), near.celled(bright, side, far), ["frame"], run, "frame long, x double, y double, sx double, sy double, radius double, sure boolean")
+    dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    dist, angle = F.sqrt(dx * dx + dy * dy), F.degrees(F.atan2(dy, dx))
+    beside = dist * F.sin(F.radians(F.abs(angle - F.floor(angle / turn + 0.5) * turn)))
+    hit = got.filter(F.col("sure") | ((dist > F.col("radius") + 1) & (dist <= reach * F.col("radius")) & (beside <= width))).select("frame", "x", "y").distinct()
+    marked = sources.join(hit.withColumn("spike", F.lit(True)), ["frame", "x", "y"], "left")
+    return marked.select("frame", "id", *[c for c in sources.columns if c not in ("frame", "id")], F.coalesce("spike", F.lit(False)).alias("spike"))
 
 
 # --- fits that treatments use ----------------------------------------------------------------------

@@ -104,3 +104,22 @@ def test_matching_makes_no_pairs_and_is_largest(spark, monkeypatch):
         assert len(got) == sum(place(t, set()) for t in range(n))
     monkeypatch.setattr(joins, "radius_join", None)
     assert QUERIES["j12_bipartite_matching"](spark, SF).count() > 0
+
+
+def test_stars_on_spikes_are_found_without_pairs(spark, monkeypatch):
+    """m16_spikes: 40 saturated stars against 6,000 places, as plain loops have it, and no radius join."""
+    from lumenweave.operators import detect
+
+    monkeypatch.setattr(detect, "radius_join", None)
+    g = np.random.default_rng(8)
+    stars = [(0, k, float(x) / 10, float(y)) for k, (x, y) in enumerate(zip(g.integers(0, 2560, 6000), g.integers(0, 256, 6000)))]
+    st = spark.createDataFrame(stars, "frame long, id long, x double, y double")
+    bright = np.array([s[2:] for s in stars if s[1] % 150 == 0])
+    got = {r.id: r.spike for r in detect.reject_spikes(st, st.filter("id % 150 = 0").select("frame", "x", "y", F.lit(3.0).alias("radius"))).collect()}
+    assert len(got) == 6000
+    for _, k, x, y in stars:
+        dx, dy = x - bright[:, 0], y - bright[:, 1]
+        dist, angle = np.hypot(dx, dy), np.degrees(np.arctan2(dy, dx))
+        beside = dist * np.sin(np.radians(np.abs(angle - np.floor(angle / 45 + 0.5) * 45)))
+        inside = np.minimum(np.minimum(dist - 4, 36 - dist), 1.5 - beside).max()
+        assert abs(inside) < 1e-9 or got[k] == (inside > 0)
