@@ -12,7 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenweave.operators.near import nearest_within, neighbours_within
+from lumenweave.operators.near import mutual_within, neighbours_within
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, keys: list[str] = (), x: str = "x", y: str = "y", copied: str = "left", squared: bool = False) -> DataFrame:
@@ -47,12 +47,10 @@ def votes(catalog: DataFrame, radius: float) -> DataFrame:
 def mutual_nearest(ref: DataFrame, target: DataFrame, radius: float, ratio: float = 1.0, keys: list[str] = ()) -> DataFrame:
     """One-to-one pairs that are each other's nearest within ``radius``; with a second candidate inside it, the best must be at most ``ratio`` of it.
 
-    Ties go by distance, then the ids. Mutual bests by a total order are one-to-one already. Each side asks for its two nearest (``near``); no other pairs are made.
+    Ties go by distance, then the ids. Mutual bests by a total order are one-to-one already. Each side asks for its two nearest (``near``), in one pass over cells; no other pairs are made.
     """
     keys = list(keys)
-    there = nearest_within(ref, target, radius, keys).select(*keys, "star", F.col("other").alias("r_star"), "dist", F.col("second").alias("sa"))
-    back = nearest_within(target, ref, radius, keys).select(*keys, F.col("other").alias("star"), F.col("star").alias("r_star"), F.col("second").alias("sb"))
-    both = there.join(back, [*keys, "star", "r_star"])
+    both = mutual_within(ref, target, radius, keys).withColumnRenamed("other", "r_star")
     return both.filter((F.col("dist") <= ratio * F.col("sa")) & (F.col("dist") <= ratio * F.col("sb"))).select(*keys, "star", "r_star", "dist")
 
 

@@ -92,3 +92,26 @@ def test_squares_are_compared_where_the_sql_compares_squares(spark):
     assert (4.69 - 1.69) ** 2 + 16.0 > 25
     assert joins.radius_join(a, b, 5.0, squared=True).count() == 0
     assert joins.radius_join(a, b, 5.0).count() == 1
+
+
+def test_mutual_nearest_is_decided_in_one_pass(spark, monkeypatch):
+    """j13, j03: the pairs of plain loops at every size of cells, over their edges too, with four shuffles by place and cell and no join; a null key meets none."""
+    g = np.random.default_rng(8)
+    sides = [[(f, int(k), float(g.integers(0, 480)) / 16, float(g.integers(0, 30))) for k, f in enumerate([0, 1, None] * 120)] for _ in "ab"]
+    monkeypatch.setattr(near, "CROWD", 10)  # cells of four radii
+    a, b = (spark.createDataFrame(rows, "frame long, star long, x double, y double") for rows in sides)
+    for keys in (["frame"], []):
+        want, best = set(), {}
+        for mine, others, way in ((sides[0], sides[1], 0), (sides[1], sides[0], 1)):
+            for f, star, x, y in mine:
+                near_by = sorted((((x - u) * (x - u) + (y - v) * (y - v)) ** 0.5, k) for e, k, u, v in others if not keys or e == f is not None)
+                best[way, star] = [(d, k) for d, k in near_by if d <= 2.0][:2]
+        for (way, star), got in best.items():
+            if way == 0 and got and best[1, got[0][1]][0][1] == star:
+                other = best[1, got[0][1]]
+                if all(len(x) < 2 or x[0][0] <= 0.85 * x[1][0] for x in (got, other)):
+                    want.add((star, got[0][1]))
+        pairs = joins.mutual_nearest(a, b, 2.0, 0.85, keys)
+        assert {(r.star, r.r_star) for r in pairs.collect()} == want and len(want) > 20
+    plan = joins.mutual_nearest(a, b, 2.0, 0.85, ["frame"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 4 and "Join" not in plan
