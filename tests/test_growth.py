@@ -123,3 +123,20 @@ def test_stars_on_spikes_are_found_without_pairs(spark, monkeypatch):
         beside = dist * np.sin(np.radians(np.abs(angle - np.floor(angle / 45 + 0.5) * 45)))
         inside = np.minimum(np.minimum(dist - 4, 36 - dist), 1.5 - beside).max()
         assert abs(inside) < 1e-9 or got[k] == (inside > 0)
+
+
+def test_star_map_query_brings_no_catalog_to_the_driver(spark, monkeypatch):
+    """k03: what comes back while the map is written and read is a row a task or a header unit, not a row a star."""
+    from conftest import SF
+
+    from lumenweave.plans.queries import QUERIES
+    from lumenweave.plans.views import stars
+
+    frame = type(spark.range(0))  # the class that the methods are of
+    n, came = stars(spark, SF).count(), []
+    for name in ("collect", "toPandas"):
+        whole = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda df, whole=whole: came.append(len(got := whole(df))) or got)
+    planes = QUERIES["k03_star_map_planes"](spark, SF)
+    assert came and max(came) < 100 < n
+    assert planes.filter("mask > 0").count() > 0
