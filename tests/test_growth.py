@@ -140,3 +140,36 @@ def test_star_map_query_brings_no_catalog_to_the_driver(spark, monkeypatch):
     planes = QUERIES["k03_star_map_planes"](spark, SF)
     assert came and max(came) < 100 < n
     assert planes.filter("mask > 0").count() > 0
+
+
+def _events(spark, path, places, copies):
+    """Two frames of so many places, with as many stars each as there are copies."""
+    k = F.col("id") % places
+    rows = spark.range(2 * places * copies).select((F.col("id") + 256 * F.floor(F.col("id") / places) - places * F.floor(F.col("id") / places)).alias("event_id"), (F.floor(F.col("id") / places) % 2).alias("user_id"), (k * 0.002).alias("value"))
+    rows.write.parquet(f"{path}/events.parquet")
+
+
+def test_pairs_of_copies_are_written_as_runs(spark, tmp_path):
+    """j02_radius_join: all pairs of 60 stars a place take a fraction of a byte each, for they are unrolled from pairs of places."""
+    from lumenweave.plans.queries import QUERIES
+
+    _events(spark, tmp_path, 256, 60)
+    QUERIES["j02_radius_join"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    size = sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet"))
+    assert n > 1_000_000 and size < 0.3 * n, (n, size)
+
+
+def test_pairs_of_one_place_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    """j02_radius_join: a cell's tasks are by its pairs, even where all its rows are few."""
+    from lumenweave.operators import joins
+    from lumenweave.plans.queries import QUERIES
+
+    monkeypatch.setattr(joins, "PAIRS", 40_000, raising=False)
+    _events(spark, tmp_path, 1, 2000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as tables are too large for
+    try:
+        got = [r["count"] for r in QUERIES["j02_radius_join"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(got) == 4_000_000 and max(got) < 2_000_000

@@ -115,3 +115,22 @@ def test_mutual_nearest_is_decided_in_one_pass(spark, monkeypatch):
         assert {(r.star, r.r_star) for r in pairs.collect()} == want and len(want) > 20
     plan = joins.mutual_nearest(a, b, 2.0, 0.85, ["frame"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 4 and "Join" not in plan
+
+
+@pytest.mark.parametrize("squared", [True, False])
+def test_all_pairs_are_those_of_plain_loops(spark, squared, monkeypatch):
+    """j02_radius_join: rows of one place, places at the radius and over the edges of cells, cells of one task and of several; no place or no key, no pair."""
+    g = np.random.default_rng(9)
+    sides = [[(int(g.integers(0, 2)), int(k), float(g.integers(-80, 80)) / 4, float(g.integers(-3, 3))) for k in range(300)] + [(0, 300, None, 1.0), (0, 301, 1.0, float("nan")), (None, 302, 1.0, 1.0)] for _ in "ab"]
+    monkeypatch.setattr(joins, "PAIRS", 40)
+    a, b = (spark.createDataFrame(rows, "frame long, star long, x double, y double") for rows in sides)
+    for keys in (["frame"], []):
+        want = []
+        for f, star, x, y in sides[0]:
+            for e, other, u, v in sides[1]:
+                if x is not None and u is not None and (not keys or (e == f and f is not None)):
+                    square = (x - u) * (x - u) + (y - v) * (y - v)
+                    want += [(star, other, square**0.5)] * (square <= 2.5 * 2.5 if squared else square**0.5 <= 2.5)
+        got = joins.all_pairs(a, b, 2.5, keys, squared)
+        assert got.columns == joins.radius_join(a, b, 2.5, keys).columns
+        assert sorted((r.star, r.r_star, r.dist) for r in got.collect()) == sorted(want) and len(want) > 1000
