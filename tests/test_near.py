@@ -123,6 +123,7 @@ def test_all_pairs_are_those_of_plain_loops(spark, squared, monkeypatch):
     g = np.random.default_rng(9)
     sides = [[(int(g.integers(0, 2)), int(k), float(g.integers(-80, 80)) / 4, float(g.integers(-3, 3))) for k in range(300)] + [(0, 300, None, 1.0), (0, 301, 1.0, float("nan")), (None, 302, 1.0, 1.0)] for _ in "ab"]
     monkeypatch.setattr(joins, "PAIRS", 40)
+    monkeypatch.setattr(joins, "LIST", 2)
     a, b = (spark.createDataFrame(rows, "frame long, star long, x double, y double") for rows in sides)
     for keys in (["frame"], []):
         want = []
